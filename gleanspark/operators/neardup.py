@@ -4,15 +4,16 @@ The answer is the one a nested loop would give. The work is an equi-join:
 
 * copies of one text are folded first, on both sides;
 * shingles are put in one global order, rarest among the references first, and
-  each text is joined on its leading ones only: two texts that reach the
-  threshold must share one of those;
+  each text joins on its leading ones only;
+* two texts that reach the threshold share several leading shingles, so the
+  shared ones are counted and pairs with too few are dropped;
 * the join key also holds a size class, since sizes of matching texts are close;
 * every pair left is checked on the full shingle sets.
 
-A shingle of a boilerplate family could still pair every copy-with-a-twist with
-every other. The question is only whether *any* reference is close enough, so
-the candidates meet a few references per shingle first; the ones settled there
-leave, and the rest meet all references. Nothing is capped in the end.
+A boilerplate family could still pair every copy-with-a-twist with every other.
+The question is only whether *any* reference is close enough, so where a shingle
+belongs to very many references the candidates meet a few of them first. The
+ones settled there leave, and the rest meet all references: nothing is capped.
 """
 
 from __future__ import annotations
@@ -28,8 +29,13 @@ from gleanspark.operators.selection import top_k
 from gleanspark.operators.skew import spread_hot_keys
 from gleanspark.runtime import broadcast_if_small, materialize
 
+# A shingle with more references than this calls for the first round.
+CROWD = 200
 # References per shingle and size class that candidates meet in the first round.
 FIRST_ROUND = 8
+# Extra leading shingles, as a share of the text's, that buy the same number of
+# shared ones every pair must show.
+EXTRA = 0.05
 
 
 def jaccard(left: Column | str, right: Column | str, n: int = 5) -> Column:
@@ -40,76 +46,72 @@ def jaccard(left: Column | str, right: Column | str, n: int = 5) -> Column:
 
 
 def _folded(texts: DataFrame, column: str, n: int) -> DataFrame:
-    """Distinct collapsed texts: ``(tid, flat, size)``. The key is the text itself, hashed."""
+    """Distinct collapsed texts ``(tid, flat, grams, size)``; grams are hashed shingles."""
     flat = texts.where(F.col(column).isNotNull()).select(collapse(column).alias("flat"))
-    return flat.groupBy(F.sha2("flat", 256).alias("tid")).agg(F.first("flat").alias("flat")).withColumn(
-        "size", F.size(shingles("flat", n))
-    )
+    distinct = flat.groupBy(F.sha2("flat", 256).alias("tid")).agg(F.first("flat").alias("flat"))
+    hashed = distinct.withColumn("grams", F.transform(shingles("flat", n), lambda g: F.xxhash64(g)))
+    return hashed.withColumn("size", F.size("grams"))
+
+
+def _demanded(size: Column) -> Column:
+    """Shared leading shingles a pair must show: the smaller of both texts' numbers."""
+    return 1 + F.floor(size * EXTRA)
 
 
-def _leading(n: Column, threshold: float) -> Column:
-    """How many leading shingles a text of ``n`` shingles has to offer."""
-    return n - F.ceil(n * threshold - 1e-9) + 1
+def _leading(size: Column, threshold: float) -> Column:
+    """Leading shingles a text offers: with fewer, a match could hide behind them."""
+    return size - F.ceil(size * threshold - 1e-9) + _demanded(size)
 
 
-def _size_class(n: Column, threshold: float) -> Column:
+def _size_class(size: Column, threshold: float) -> Column:
     step = math.log(1 / min(threshold, 0.99))
-    return F.floor(F.log(n.cast("double")) / step + 1e-9).cast("int")
+    return F.floor(F.log(size.cast("double")) / step + 1e-9).cast("int")
 
 
-def _prefixes(
-    candidates: DataFrame, references: DataFrame, threshold: float, n: int
-) -> tuple[DataFrame, DataFrame]:
-    ref_grams = references.select("tid", "size", F.explode(shingles("flat", n)).alias("gram"))
-    common = ref_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+def _prefixes(cand: DataFrame, refs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Leading shingles ``(tid, size, gram, class)`` of candidates and of references."""
+    ref_grams = refs.select("tid", "size", F.explode("grams").alias("gram"))
+    common = broadcast_if_small(ref_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
+    rarest = Window.partitionBy("tid").orderBy("df", "gram")
 
     def leading(rows: DataFrame, unseen: Column) -> DataFrame:
-        rarest = Window.partitionBy("tid").orderBy("df", "gram")
         return (
             rows.withColumn("place", F.row_number().over(rarest) + unseen)
             .where(F.col("place") <= _leading(F.col("size"), threshold))
-            .select("tid", "size", "gram", "place")
+            .select("tid", "size", "gram", _size_class(F.col("size"), threshold).alias("class"))
         )
 
-    refs = leading(ref_grams.join(common, "gram"), F.lit(0)).withColumn(
-        "class", _size_class(F.col("size"), threshold)
-    )
+    right = leading(ref_grams.join(common, "gram"), F.lit(0))
     # Shingles no reference has are the rarest of all: they fill the front of a
-    # candidate's order and a text with enough of them never enters the join.
-    grams = candidates.select("tid", "size", F.explode(shingles("flat", n)).alias("gram"))
-    seen = grams.join(broadcast_if_small(common), "gram")
-    shared = F.count(F.lit(1)).over(Window.partitionBy("tid"))
-    cand = leading(seen.withColumn("shared", shared), F.col("size") - F.col("shared"))
-    near = F.array(*[_size_class(F.col("size"), threshold) + d for d in (-1, 0, 1)])
-    return cand.withColumn("class", F.explode(near)), refs
-
-
-def _meet(cand: DataFrame, refs: DataFrame, threshold: float) -> DataFrame:
-    """Candidate and reference rows sharing a leading shingle that could still match."""
-    left = cand.select(
-        "tid", "gram", "class", F.col("size").alias("ln"), F.col("place").alias("lp")
-    )
-    right = refs.select(
-        F.col("tid").alias("rid"), "gram", "class", F.col("size").alias("rn"), F.col("place").alias("rp")
-    )
-    left, right = spread_hot_keys(left, right, ["gram", "class"])
-    close = F.least("ln", "rn") >= threshold * F.greatest("ln", "rn") - 1e-9
-    # At the first shingle two texts share, the rest of both orders bounds the
-    # overlap; a pair that matches passes there, whatever its later shingles say.
-    ceiling = 1 + F.least(F.col("ln") - F.col("lp"), F.col("rn") - F.col("rp"))
-    room = ceiling >= threshold / (1 + threshold) * (F.col("ln") + F.col("rn")) - 1e-9
-    return left.join(right, ["gram", "class", "salt"]).where(close & room)
+    # candidate's order, and a text with enough of them never enters the join.
+    grams = cand.select("tid", "size", F.explode("grams").alias("gram"))
+    seen = F.count(F.lit(1)).over(Window.partitionBy("tid"))
+    left = leading(grams.join(common, "gram").withColumn("seen", seen), F.col("size") - F.col("seen"))
+    near = F.array(*[F.col("class") + d for d in (-1, 0, 1)])
+    return left, right.withColumn("class", F.explode(near))
 
 
-def _verify(
-    pairs: DataFrame, candidates: DataFrame, references: DataFrame, threshold: float, n: int
+def _matches(
+    left: DataFrame, right: DataFrame, cand: DataFrame, refs: DataFrame, threshold: float, n: int
 ) -> DataFrame:
-    texts = references.select(F.col("tid").alias("rid"), F.col("flat").alias("rflat"))
+    """Pairs ``(tid, rid)`` at or above the threshold."""
+    right = right.select(F.col("tid").alias("rid"), "gram", "class", F.col("size").alias("rsize"))
+    left, right = spread_hot_keys(left, right, ["gram", "class"])
+    close = F.least("size", "rsize") >= threshold * F.greatest("size", "rsize") - 1e-9
+    pairs = (
+        left.join(right, ["gram", "class", "salt"])
+        .where(close)
+        .groupBy("tid", "rid", F.least("size", "rsize").alias("least"))
+        .agg(F.count(F.lit(1)).alias("shared"))
+        .where(F.col("shared") >= _demanded(F.col("least")))
+        .select("tid", "rid")
+    )
+    texts = refs.select(F.col("tid").alias("rid"), F.col("flat").alias("rflat"))
     return (
-        pairs.join(candidates.select("tid", "flat"), "tid")
+        pairs.join(cand.select("tid", "flat"), "tid")
         .join(texts, "rid")
-        .select("tid", "rid", jaccard("flat", "rflat", n).alias("similarity"))
-        .where(F.col("similarity") >= threshold)
+        .where(jaccard("flat", "rflat", n) >= threshold)
+        .select("tid", "rid")
     )
 
 
@@ -119,19 +121,23 @@ def near_duplicate_keys(
     column: str = "prompt",
     threshold: float = 0.8,
     n: int = 5,
+    crowd: int = CROWD,
 ) -> DataFrame:
     """Collapsed-text keys ``tid`` of the candidates that have a close reference."""
     cand = materialize(_folded(candidates, column, n), "candidates")
     refs = materialize(_folded(references, column, n), "references")
-    left, right = _prefixes(cand, refs, threshold, n)
+    left, right = _prefixes(cand, refs, threshold)
     left, right = materialize(left, "left"), materialize(right, "right")
-
+    per_gram = right.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("n"))
+    if per_gram.where(F.col("n") > crowd).isEmpty():
+        found = _matches(left, right, cand, refs, threshold, n).select("tid").distinct()
+        return materialize(found, "near")
     few = top_k(right, ["gram", "class"], [F.col("tid")], FIRST_ROUND, "r").drop("r")
-    first = _verify(_meet(left, few, threshold).select("tid", "rid").distinct(), cand, refs, threshold, n)
-    settled = materialize(first.select("tid").distinct(), "settled")
-    rest = left.join(settled, "tid", "left_anti")
-    second = _verify(_meet(rest, right, threshold).select("tid", "rid").distinct(), cand, refs, threshold, n)
-    return settled.unionByName(second.select("tid").distinct())
+    first = _matches(left, few, cand, refs, threshold, n).select("tid").distinct()
+    settled = materialize(first, "settled")
+    rest = materialize(left.join(settled, "tid", "left_anti"), "rest")
+    second = _matches(rest, right, cand, refs, threshold, n).select("tid").distinct()
+    return settled.unionByName(materialize(second, "near"))
 
 
 def mark_near_duplicates(

@@ -81,7 +81,7 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
     if not size["n"]:
         return [None for _ in probs]
     if size["d"] <= PERCENTILE_VALUES:
-        found = counted.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]), "c").alias("q"))
+        found = counted.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]), F.col("c")).alias("q"))
         return list(found.first()["q"])
     placed = running_total(counted, "v", F.col("c"), "at")
     spots = []
