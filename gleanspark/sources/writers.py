@@ -24,7 +24,14 @@ def write_chunk_shards(chunks: DataFrame, path: str, shard_rows: int = 200_000)
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.csv(path, header=True, quote='"', escape='"')
+    rows.write.csv(
+        path,
+        header=True,
+        quote='"',
+        escape='"',
+        ignoreLeadingWhiteSpace=False,
+        ignoreTrailingWhiteSpace=False,
+    )
 
 
 def write_json(report: DataFrame, path: str) -> None:
