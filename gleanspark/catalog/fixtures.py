@@ -16,6 +16,7 @@ from gleanspark.operators.bm25 import Bm25Index, build_index
 from gleanspark.operators.corpus import explode_chunks
 from gleanspark.operators.joins import within
 from gleanspark.operators.selection import keep_first, sample_exact
+from gleanspark.runtime import use_all_cores
 from gleanspark.schemas import OPTION_COLUMNS
 
 DEV_ROWS = 100
@@ -33,7 +34,7 @@ class Tables:
 
     @cached_property
     def documents(self) -> DataFrame:
-        return self.read("documents")
+        return use_all_cores(self.read("documents"), "doc_id")
 
     @cached_property
     def benchmark(self) -> DataFrame:

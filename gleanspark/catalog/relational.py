@@ -313,13 +313,13 @@ def w1(t: Tables):
 
 @query(
     "w2_rank_in_list",
-    "SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY md5('0|' || doc_id)) AS rank FROM documents",
+    "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rank FROM conversations",
 )
 def w2(t: Tables):
     from pyspark.sql.window import Window
 
-    within = Window.partitionBy("source").orderBy(selection.draw_key("doc_id", 0))
-    return t.documents.select("source", "doc_id", F.row_number().over(within).cast("long").alias("rank"))
+    within = Window.partitionBy("conv_id").orderBy(F.length("text").desc(), "turn")
+    return t.read("conversations").select("conv_id", "turn", F.row_number().over(within).cast("long").alias("rank"))
 
 
 @query("w3_keep_first", "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text")

@@ -8,10 +8,10 @@ from gleanspark.catalog.rows import SENTENCES_SQL
 from gleanspark.functions.questions import distinctive_keywords, options_array, pooled_query, position_of, support_hit
 from gleanspark.functions.scores import ndcg_at, recall_at, reciprocal_rank
 from gleanspark.operators import dense, fusion, rerank, stats, support
-from gleanspark.operators.bm25 import Bm25Parameters, build_index, load_index, query_terms, save_index, search
+from gleanspark.operators.bm25 import Bm25Parameters, build_index, load_index, query_terms, save_index, score_chunks, search
 from gleanspark.operators.selection import sample_exact
 from gleanspark.plans import retrieval as plan
-from gleanspark.runtime import scratch_path
+from gleanspark.runtime import materialize, scratch_path
 
 HALVES = {
     "chunks_a": (["chunks"], "SELECT * FROM chunks WHERE article_id % 2 = 0"),
@@ -142,7 +142,7 @@ def b3(t: Tables):
 
 @query("j6_query_postings", view("SELECT qid, count(*) AS n_chunks, round(sum(score), 5) AS score_sum FROM s_scored GROUP BY qid", "s_scored"))
 def j6(t: Tables):
-    everything = search(t.index, support.question_queries(t.questions), 2_000_000_000)
+    everything = score_chunks(t.index, support.question_queries(t.questions))
     return everything.groupBy("qid").agg(F.count(F.lit(1)).alias("n_chunks"), F.round(F.sum("score"), 5).alias("score_sum"))
 
 
@@ -186,7 +186,7 @@ def b5_rerank(t: Tables):
 @query("j7_chunk_texts", view("SELECT r.qid, r.rank, md5(c.text) AS text_md5 FROM s_ranked r JOIN chunks c USING (chunk_id) WHERE r.rank <= 5", "s_ranked", "chunks"))
 def j7(t: Tables):
     found = search(t.index, support.question_queries(t.questions), 5)
-    return support.with_texts(found, t.chunks).select("qid", whole("rank"), F.md5("text").alias("text_md5"))
+    return support.with_texts(found, t.chunks, t.questions.count() * 5).select("qid", whole("rank"), F.md5("text").alias("text_md5"))
 
 
 # --- fusion and reranking ------------------------------------------------------------------
@@ -312,13 +312,13 @@ def dense_inputs(t: Tables):
     return asked, stored
 
 
-@query("j11_nearest_within", sql("SELECT qid, rank, label AS document_id, vec_id AS sentence_id, round(score, 6) AS score FROM inside", "inside", extra=DENSE))
+@query("j11_nearest_within", sql("SELECT qid, rank, vec_id AS sentence_id, round(score, 6) AS score FROM inside", "inside", extra=DENSE))
 def j11(t: Tables):
     asked, stored = dense_inputs(t)
     labels = t.embeddings.select("vec_id", F.col("label").alias("document_id"))
     allowed = dense.nearest(asked, t.embeddings, 5).join(labels, "vec_id").select("qid", "document_id")
     found = dense.nearest_within(asked, allowed, stored, 20)
-    return found.select("qid", whole("rank"), "document_id", "sentence_id", rounded("score"))
+    return found.select("qid", whole("rank"), "sentence_id", rounded("score"))
 
 
 TWO_STAGE = {
@@ -341,7 +341,7 @@ TWO_STAGE = {
 }
 
 
-@query("b11_two_stage_dense", sql("SELECT qid, rank, document_id, sentence_id, round(score, 6) AS score FROM stage2", "stage2", extra=TWO_STAGE))
+@query("b11_two_stage_dense", sql("SELECT qid, rank, sentence_id, round(score, 6) AS score FROM stage2", "stage2", extra=TWO_STAGE))
 def b11(t: Tables):
     asked, stored = dense_inputs(t)
     parts = t.embeddings.select("label", F.posexplode("embedding").alias("i", "e"))
@@ -349,7 +349,7 @@ def b11(t: Tables):
     ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
     articles = means.groupBy(F.col("label").alias("document_id")).agg(F.transform(ordered, lambda s: s["m"]).alias("embedding"))
     found = plan.two_stage_dense(asked, articles, stored, asked)
-    return found.select("qid", whole("rank"), "document_id", "sentence_id", rounded("score"))
+    return found.select("qid", whole("rank"), "sentence_id", rounded("score"))
 
 
 # --- sentence rerank -----------------------------------------------------------------------
@@ -546,7 +546,7 @@ def b20(t: Tables):
 @query("b21_per_option_vs_pooled", view(compare_sql(FULL_HIT, f"(SELECT qid, {recall_sql('hit_rank', 5)} AS score FROM prompt_hits)"), "hit_ranks", "prompt_hits"))
 def b21(t: Tables):
     pooled = plan.retrieve(t.questions, t.index, t.chunks)
-    fused = support.with_texts(option_search(t), t.chunks)
+    fused = support.with_texts(option_search(t), t.chunks, t.questions.count() * 5)
     return compared(plan.compare_recall(t.questions, pooled, fused, hashed=True, resamples=200))
 
 
@@ -581,7 +581,7 @@ def window_hit(text: str) -> str:
 
 @query("b22_window_recall", sql(compare_sql(window_hit("plain"), window_hit("moved")), "kept", extra=window_views()))
 def b22(t: Tables):
-    rows = reranked_contexts(t)
+    rows = materialize(reranked_contexts(t), "contexts")
     wanted = distinctive_keywords(options_array(), position_of("answer"))
     arms = {}
     for name, column in (("plain", "context"), ("moved", "context_reranked")):

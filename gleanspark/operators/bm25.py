@@ -77,18 +77,10 @@ def query_terms(
     return counted if parameters.query_tf else counted.withColumn("qtf", F.lit(1))
 
 
-def search(
-    index: Bm25Index,
-    queries: DataFrame,
-    k: int,
-    keys: list[str] | None = None,
-    query: str = "query",
+def score_chunks(
+    index: Bm25Index, queries: DataFrame, keys: list[str] | None = None, query: str = "query"
 ) -> DataFrame:
-    """``(keys…, rank, chunk_id, score)``: the best ``k`` chunks of every query.
-
-    Chunks sharing no term with a query are not listed for it. Equal scores are
-    ordered by ``chunk_id``.
-    """
+    """``(keys…, chunk_id, score)`` of every chunk that shares a term with the query."""
     keys = keys or ["qid"]
     p = index.parameters
     totals = index.totals.first()
@@ -112,7 +104,23 @@ def search(
     avg_dl = F.lit(float(totals["avg_dl"] or 0.0))
     norm = p.k1 * (1 - p.b + p.b * F.col("dl") / avg_dl)
     part = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
-    scored = matched.groupBy(*keys, "chunk_id").agg(F.sum(part).alias("score"))
+    return matched.groupBy(*keys, "chunk_id").agg(F.sum(part).alias("score"))
+
+
+def search(
+    index: Bm25Index,
+    queries: DataFrame,
+    k: int,
+    keys: list[str] | None = None,
+    query: str = "query",
+) -> DataFrame:
+    """``(keys…, rank, chunk_id, score)``: the best ``k`` chunks of every query.
+
+    Chunks sharing no term with a query are not listed for it. Equal scores are
+    ordered by ``chunk_id``.
+    """
+    keys = keys or ["qid"]
+    scored = score_chunks(index, queries, keys, query)
     order = [F.round("score", SCORE_DIGITS).desc(), F.col("chunk_id")]
     return top_k(scored, keys, order, k).select(*keys, "rank", "chunk_id", "score")
 

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.functions.scores import dot
@@ -14,6 +14,8 @@ from gleanspark.operators.selection import draw_position, top_k
 
 # Queries are held in every task as one matrix; more of them take further passes.
 QUERY_BLOCK = 20_000
+# Queries multiplied with a batch at a time.
+ROWS = 512
 SCORE_DIGITS = 9
 
 
@@ -28,43 +30,88 @@ def _best_columns(sims: np.ndarray, k: int) -> np.ndarray:
     return chosen
 
 
-def _block_scorer(ids: np.ndarray, matrix: np.ndarray, k: int):
-    """Best k corpus vectors per query over one whole task, kept as batches pass by."""
+def _block_scorer(ids: np.ndarray, matrix: np.ndarray, k: int, allowed: dict | None):
+    """Best k items per query over one whole task, kept as its batches pass by.
+
+    ``allowed`` maps a group to the rows of ``matrix`` that may see its items;
+    without it every query sees every item.
+    """
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_sims = best_keys = None
+        best_sims = np.full((len(ids), k), -np.inf)
+        best_keys = None
+
+        def merge(rows: np.ndarray, keys: np.ndarray, found: np.ndarray) -> None:
+            for start in range(0, len(rows), ROWS):
+                part = rows[start : start + ROWS]
+                sims = np.round(matrix[part] @ found.T, SCORE_DIGITS)
+                columns = _best_columns(sims, k)
+                sims = np.concatenate([best_sims[part], np.take_along_axis(sims, columns, axis=1)], axis=1)
+                held = np.concatenate([best_keys[part], keys[columns]], axis=1)
+                place = np.lexsort((held, -sims), axis=1)[:, :k]
+                best_sims[part] = np.take_along_axis(sims, place, axis=1)
+                best_keys[part] = np.take_along_axis(held, place, axis=1)
+
+        everyone = np.arange(len(ids))
         for batch in batches:
             if batch.empty:
                 continue
+            # Ascending keys, so that equal scores keep the lower one.
+            batch = batch.sort_values("item", kind="stable")
             keys = batch["item"].to_numpy()
-            order = np.argsort(keys, kind="stable")
-            keys = keys[order]
-            found = np.stack(batch["embedding"].to_numpy()).astype(np.float64)[order]
-            sims, held = [], []
-            for start in range(0, len(ids), 512):
-                part = np.round(matrix[start : start + 512] @ found.T, SCORE_DIGITS)
-                columns = _best_columns(part, k)
-                sims.append(np.take_along_axis(part, columns, axis=1))
-                held.append(keys[columns])
-            sims, held = np.concatenate(sims), np.concatenate(held)
-            if best_sims is not None:
-                sims = np.concatenate([best_sims, sims], axis=1)
-                held = np.concatenate([best_keys, held], axis=1)
-            place = np.lexsort((held, -sims), axis=1)[:, :k]
-            best_sims = np.take_along_axis(sims, place, axis=1)
-            best_keys = np.take_along_axis(held, place, axis=1)
-        if best_sims is not None:
+            found = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
+            if best_keys is None:
+                best_keys = np.zeros((len(ids), k), dtype=keys.dtype)
+            if allowed is None:
+                merge(everyone, keys, found)
+                continue
+            for group, places in batch.groupby("part", sort=False).indices.items():
+                if group in allowed:
+                    merge(allowed[group], keys[places], found[places])
+        if best_keys is not None:
+            row, column = np.nonzero(best_sims > -np.inf)
             yield pd.DataFrame(
-                {
-                    "query": np.repeat(ids, best_sims.shape[1]),
-                    "item": best_keys.ravel(),
-                    "score": best_sims.ravel(),
-                }
+                {"query": ids[row], "item": best_keys[row, column], "score": best_sims[row, column]}
             )
 
     return score
 
 
+def _scan(
+    queries: DataFrame,
+    corpus: DataFrame,
+    k: int,
+    block: int,
+    allowed: DataFrame | None = None,
+) -> DataFrame:
+    """``(query, rank, item, score)`` for ``queries(query, embedding)``, ``corpus(item, embedding[, part])``.
+
+    One pass over the corpus per block of queries, without shuffling it.
+    """
+    spark = corpus.sparkSession
+    total = queries.count()
+    if total > block:
+        queries = draw_position(queries, "query", 0, "at").withColumn("block", F.floor(F.col("at") / block))
+    else:
+        queries = queries.withColumn("block", F.lit(0))
+    kinds = {**dict(corpus.dtypes), **dict(queries.dtypes)}
+    schema = f"query {kinds['query']}, item {kinds['item']}, score double"
+    found = spark.createDataFrame([], schema)
+    for number in range(-(-total // block)):
+        inside = queries.where(F.col("block") == number)
+        # At most `block` vectors, and the few groups each of them may see.
+        held = inside.select("query", "embedding").toPandas()
+        ids = held["query"].to_numpy()
+        matrix = np.stack(held["embedding"].to_numpy()).astype(np.float64)
+        groups = None
+        if allowed is not None:
+            place = pd.Series(np.arange(len(ids)), index=ids)
+            pairs = allowed.join(inside.select("query"), "query", "left_semi").toPandas()
+            groups = {g: place[part["query"]].to_numpy() for g, part in pairs.groupby("part")}
+        found = found.unionByName(corpus.mapInPandas(_block_scorer(ids, matrix, k, groups), schema))
+    return top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
+
+
 def nearest(
     queries: DataFrame,
     corpus: DataFrame,
@@ -76,36 +123,13 @@ def nearest(
     """``(query_key, rank, item_key, score)``: top-k by inner product over the whole corpus.
 
     The corpus is never shuffled: each task multiplies its batches with the query
-    matrix and gives k rows per query. A query set beyond one block is cut into blocks
-    of bounded size, each with its own pass over the corpus.
+    matrix and gives k rows per query. A query set beyond one block is cut into
+    blocks of bounded size, each with its own pass over the corpus.
     """
-    spark = corpus.sparkSession
+    asked = queries.select(F.col(query_key).alias("query"), "embedding")
     stored = corpus.select(F.col(item_key).alias("item"), "embedding")
-    total = queries.count()
-    narrow = queries.select(F.col(query_key).alias("query"), "embedding")
-    if total > block:
-        narrow = draw_position(narrow, "query", 0, "at").withColumn("block", F.floor(F.col("at") / block))
-    else:
-        narrow = narrow.withColumn("block", F.lit(0))
-    item_type = dict(stored.dtypes)["item"]
-    query_type = dict(narrow.dtypes)["query"]
-    schema = f"query {query_type}, item {item_type}, score double"
-    parts = []
-    for number in range(max(1, -(-total // block))):
-        # At most `block` vectors per pass.
-        held = narrow.where(F.col("block") == number).select("query", "embedding").toPandas()
-        if held.empty:
-            continue
-        ids = held["query"].to_numpy()
-        matrix = np.stack(held["embedding"].to_numpy()).astype(np.float64)
-        parts.append(stored.mapInPandas(_block_scorer(ids, matrix, k), schema))
-    found = parts[0] if parts else spark.createDataFrame([], schema)
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    best = top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
-    return best.select(
-        F.col("query").alias(query_key), "rank", F.col("item").alias(item_key), "score"
-    )
+    best = _scan(asked, stored, k, block)
+    return best.select(F.col("query").alias(query_key), "rank", F.col("item").alias(item_key), "score")
 
 
 def nearest_within(
@@ -116,25 +140,22 @@ def nearest_within(
     query_key: str = "qid",
     document_key: str = "document_id",
     item_key: str = "sentence_id",
+    block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Top-k sentences per query among the documents ``allowed(query_key, document_key)``.
 
-    Only sentences of allowed documents are scored. The allowed pairs are few
-    per query, so the sentences are what a hot document spreads over tasks.
+    The same pass as :func:`nearest`, each query seeing the sentences of its own
+    few documents only. A document with very many sentences stays spread over
+    the tasks that read it.
     """
-    pairs = allowed.select(query_key, document_key).distinct()
-    asked = pairs.join(queries.select(query_key, F.col("embedding").alias("__q")), query_key)
-    scored = sentences.join(asked, document_key).select(
-        query_key,
-        document_key,
-        item_key,
-        F.round(dot("embedding", "__q"), SCORE_DIGITS).alias("score"),
-    )
-    best = top_k(scored, [query_key], [F.col("score").desc(), F.col(item_key)], k)
-    return best.select(query_key, "rank", document_key, item_key, "score")
-
-
-def normalized(embedding: str = "embedding"):
+    asked = queries.select(F.col(query_key).alias("query"), "embedding")
+    pairs = allowed.select(F.col(query_key).alias("query"), F.col(document_key).alias("part")).distinct()
+    stored = sentences.select(F.col(document_key).alias("part"), F.col(item_key).alias("item"), "embedding")
+    best = _scan(asked, stored, k, block, pairs)
+    return best.select(F.col("query").alias(query_key), "rank", F.col("item").alias(item_key), "score")
+
+
+def normalized(embedding: str = "embedding") -> Column:
     """The vector scaled to length one; a zero vector stays zero."""
     length = F.sqrt(dot(embedding, embedding))
     return F.when(

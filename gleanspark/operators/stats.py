@@ -13,8 +13,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanspark.functions.scores import resolved
+from gleanspark.runtime import materialize
 
 # Z for the tabulated confidence levels.
 Z_BY_LEVEL = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
@@ -23,11 +25,6 @@ Z_BY_LEVEL = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 HELD_VALUES = 50_000
 
 
-def require_rows(scores: DataFrame) -> None:
-    if scores.isEmpty():
-        raise ValueError("cannot bootstrap an empty set of scores")
-
-
 def _multinomial(counts: pd.DataFrame, groups: list[str], seed: int):
     """Resample means of every group for each resample number."""
     if groups:
@@ -73,23 +70,23 @@ def _poisson(groups: list[str], resamples: int, seed: int):
     return draw
 
 
-def resample_means(
-    scores: DataFrame,
-    value: str = "score",
-    groups: Sequence[str] = (),
-    resamples: int = 10_000,
-    seed: int = 0,
-) -> DataFrame:
-    """``(groups…, b, m)``: the mean of each bootstrap resample."""
-    groups = list(groups)
-    spark = scores.sparkSession
-    kinds = dict(scores.dtypes)
-    named = "".join(f"`{g}` {kinds[g]}, " for g in groups)
-    counted = (
+def count_values(scores: DataFrame, value: str = "score", groups: Sequence[str] = ()) -> DataFrame:
+    """``(groups…, v, c)``: how often each score occurs. All the resampling needs."""
+    return (
         scores.where(F.col(value).isNotNull())
         .groupBy(*groups, F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
+
+
+def resample_means(
+    counted: DataFrame, groups: Sequence[str] = (), resamples: int = 10_000, seed: int = 0
+) -> DataFrame:
+    """``(groups…, b, m)``: the mean of each bootstrap resample of ``counted(groups…, v, c)``."""
+    groups = list(groups)
+    spark = counted.sparkSession
+    kinds = dict(counted.dtypes)
+    named = "".join(f"`{g}` {kinds[g]}, " for g in groups)
     # Bounded: one row more than the limit is enough to know it is exceeded.
     held = counted.limit(HELD_VALUES + 1).toPandas()
     if len(held) <= HELD_VALUES:
@@ -150,15 +147,14 @@ def interval(means: DataFrame, groups: Sequence[str] = (), ci: float = 0.95) ->
     )
 
 
-def _with_mean(scores: DataFrame, value: str, groups: list[str], bounds: DataFrame) -> DataFrame:
+def _with_mean(counted: DataFrame, groups: list[str], bounds: DataFrame) -> DataFrame:
+    mean = (F.sum(F.col("v") * F.col("c")) / F.sum("c")).alias("mean")
+    means = counted.groupBy(*groups).agg(F.sum("c").alias("n"), mean)
     if groups:
-        means = scores.groupBy(*groups).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
         return means.join(bounds, groups).select(*groups, "n", "mean", "ci_lower", "ci_upper")
     # One row on each side.
-    means = scores.agg(F.avg(value).alias("mean"), F.count(value).alias("n")).withColumn("__k", F.lit(1))
-    return means.join(bounds.withColumn("__k", F.lit(1)), "__k").select(
-        "n", "mean", "ci_lower", "ci_upper"
-    )
+    one = F.lit(1).alias("__k")
+    return means.select("*", one).join(bounds.select("*", one), "__k").drop("__k")
 
 
 def bootstrap_ci(
@@ -169,11 +165,17 @@ def bootstrap_ci(
     ci: float = 0.95,
     seed: int = 0,
 ) -> DataFrame:
-    """``(groups…, n, mean, ci_lower, ci_upper)``; no rows at all is an error."""
-    require_rows(scores)
+    """``(groups…, n, mean, ci_lower, ci_upper)``; no rows at all is an error.
+
+    The scores are computed once: the counts are written and everything else
+    reads those.
+    """
     groups = list(groups)
-    bounds = interval(resample_means(scores, value, groups, resamples, seed), groups, ci)
-    return _with_mean(scores, value, groups, bounds)
+    counted = materialize(count_values(scores, value, groups), "counts")
+    if counted.isEmpty():
+        raise ValueError("cannot bootstrap an empty set of scores")
+    bounds = interval(resample_means(counted, groups, resamples, seed), groups, ci)
+    return _with_mean(counted, groups, bounds)
 
 
 def hashed_bootstrap_ci(
@@ -186,34 +188,25 @@ def hashed_bootstrap_ci(
     seed: int = 0,
 ) -> DataFrame:
     groups = list(groups)
+    scores = materialize(scores.select(*groups, key, value), "scores")
     bounds = interval(hashed_resample_means(scores, key, value, groups, resamples, seed), groups, ci)
-    return _with_mean(scores, value, groups, bounds)
-
-
-def check_pairing(baseline: DataFrame, variant: DataFrame, key: str = "qid") -> DataFrame:
-    """One row: rows only on either side, and keys given more than once."""
-    left = baseline.groupBy(key).agg(F.count(F.lit(1)).alias("na"))
-    right = variant.groupBy(key).agg(F.count(F.lit(1)).alias("nb"))
-    both = left.join(right, key, "full")
-    return both.agg(
-        F.count_if(F.col("nb").isNull()).alias("n_only_baseline"),
-        F.count_if(F.col("na").isNull()).alias("n_only_variant"),
-        F.count_if((F.col("na") > 1) | (F.col("nb") > 1)).alias("n_repeated"),
-    )
+    return _with_mean(count_values(scores, value, groups), groups, bounds)
 
 
-def paired(
-    baseline: DataFrame, variant: DataFrame, key: str = "qid", value: str = "score", strict: bool = True
-) -> DataFrame:
+def paired(baseline: DataFrame, variant: DataFrame, key: str = "qid", value: str = "score") -> DataFrame:
     """``(key, a, b, difference)`` with difference = variant − baseline.
 
-    ``strict`` makes keys that are missing on one side, or repeated, an error.
+    A key that one side lacks, or gives twice, is an error. Each side is
+    computed once: the pairs are written, checked and then read.
     """
-    if strict and any(check_pairing(baseline, variant, key).first()):
+    def side(scores: DataFrame, name: str) -> DataFrame:
+        return scores.groupBy(key).agg(F.count(F.lit(1)).alias(f"n{name}"), F.first(value).alias(name))
+
+    both = materialize(side(baseline, "a").join(side(variant, "b"), key, "full"), "pairs")
+    bad = F.coalesce((F.col("na") != 1) | (F.col("nb") != 1), F.lit(True))
+    if not both.where(bad).isEmpty():
         raise ValueError("paired scores need the same keys on both sides, each once")
-    left = baseline.select(key, F.col(value).alias("a"))
-    right = variant.select(key, F.col(value).alias("b"))
-    return left.join(right, key).withColumn("difference", F.col("b") - F.col("a"))
+    return both.select(key, "a", "b", (F.col("b") - F.col("a")).alias("difference"))
 
 
 def paired_bootstrap(
@@ -289,9 +282,12 @@ def compare_arms(
     hashed: bool = False,
 ) -> DataFrame:
     """Every arm of ``scores(arm, key, score)`` against one of them, paired on the key."""
-    base = scores.where(F.col("arm") == baseline).select(key, F.col("score").alias("__base"))
-    diffs = scores.where(F.col("arm") != baseline).join(base, key).select(
-        "arm", key, (F.col("score") - F.col("__base")).alias("difference")
+    # One row per arm and key, so a key's window is a handful of rows.
+    own = F.max(F.when(F.col("arm") == baseline, F.col("score"))).over(Window.partitionBy(key))
+    diffs = (
+        scores.withColumn("__base", own)
+        .where((F.col("arm") != baseline) & F.col("__base").isNotNull())
+        .select("arm", key, (F.col("score") - F.col("__base")).alias("difference"))
     )
     if hashed:
         report = hashed_bootstrap_ci(diffs, key, "difference", ["arm"], resamples, ci, seed)

@@ -18,6 +18,7 @@ from gleanspark.functions.scores import ndcg_at, recall_at, reciprocal_rank
 from gleanspark.functions.text import words
 from gleanspark.operators import stats
 from gleanspark.operators.bm25 import Bm25Index, search
+from gleanspark.runtime import BROADCAST_ROWS
 
 KS = (1, 5, 10, 20, 50, 100)
 QueryBuilder = Callable[[Column, Column], Column]
@@ -35,9 +36,15 @@ def question_queries(
     return questions.select(key, query(F.col("prompt"), options_array()).alias("query"))
 
 
-def with_texts(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Look chunk texts up by id."""
-    return ranked.join(chunks.select("chunk_id", "text"), "chunk_id")
+def with_texts(ranked: DataFrame, chunks: DataFrame, at_most: int | None = None) -> DataFrame:
+    """Look chunk texts up by id.
+
+    ``at_most`` is a known bound on the ranked rows, such as queries times k.
+    Where it is small the texts stay in place and are not shuffled.
+    """
+    if at_most is not None and at_most <= BROADCAST_ROWS:
+        ranked = F.broadcast(ranked)
+    return chunks.select("chunk_id", "text").join(ranked, "chunk_id")
 
 
 def first_hit_ranks(
@@ -61,7 +68,7 @@ def retrieve_ranks(
     key: str = "qid",
 ) -> DataFrame:
     ranked = search(index, question_queries(questions, query, key), max_k, [key])
-    return first_hit_ranks(questions, with_texts(ranked, chunks), key)
+    return first_hit_ranks(questions, with_texts(ranked, chunks, questions.count() * max_k), key)
 
 
 def metric_rows(ranks: DataFrame, ks: Sequence[int] = KS, key: str = "qid") -> DataFrame:

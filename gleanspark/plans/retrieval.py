@@ -21,6 +21,7 @@ from gleanspark.operators.support import (
     question_queries,
     with_texts,
 )
+from gleanspark.runtime import materialize
 
 TOP_K = 5
 RERANK_POOL = 50
@@ -31,9 +32,10 @@ def retrieve(
 ) -> DataFrame:
     """``(key, rank, chunk_id, score, text)``, reranked by phrases on demand."""
     queries = question_queries(questions, pooled_query, key)
+    pool_k = max(RERANK_POOL, k) if rerank else k
+    pool = with_texts(search(index, queries, pool_k, [key]), chunks, questions.count() * pool_k)
     if not rerank:
-        return with_texts(search(index, queries, k, [key]), chunks)
-    pool = with_texts(search(index, queries, max(RERANK_POOL, k), [key]), chunks)
+        return pool
     return rerank_by_phrases(pool, queries, k, key)
 
 
@@ -58,8 +60,9 @@ def search_per_option(
 def dual_index_lists(
     questions: DataFrame, legs: Sequence[tuple[Bm25Index, DataFrame]], k: int = TOP_K, key: str = "qid"
 ) -> DataFrame:
-    """The top-k texts of each index, as numbered lists."""
-    return tagged_union([retrieve(questions, index, chunks, k, False, key) for index, chunks in legs])
+    """The top-k texts of each index, as numbered lists. Written once, since several arms read them."""
+    lists = tagged_union([retrieve(questions, index, chunks, k, False, key) for index, chunks in legs])
+    return materialize(lists, "lists")
 
 
 def fuse_indexes(lists: DataFrame, top: int = TOP_K, k: int = RRF_K, key: str = "qid") -> DataFrame:
@@ -155,6 +158,7 @@ def two_stage_dense(
     item_key: str = "sentence_id",
 ) -> DataFrame:
     """Articles nearest to the prompt, then within them the sentences nearest to the whole question.
+    Gives ``(key, rank, item_key, score)``.
 
     ``prompts`` and ``questions`` hold ``(key, embedding)``; ``articles``
     ``(document_key, embedding)``; ``sentences`` both keys and ``embedding``.

@@ -22,12 +22,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFra
     return F.broadcast(df) if fits(df, max_rows) else df
 
 
+def use_all_cores(df: DataFrame, key: str) -> DataFrame:
+    """Spread a source with fewer splits than cores, such as one small file.
+
+    Anything larger has splits enough and is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where none is set."""
+    """The shared folder the cluster names; a temporary one only for local sessions without it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="gleanspark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
