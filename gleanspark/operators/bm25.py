@@ -62,7 +62,9 @@ def build_index(
         .agg(F.count(F.lit(1)).alias("tf"))
         .select("chunk_id", "term", "tf", "dl")
     )
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # Counted where the chunks are read: only partial counts per term are shuffled.
+    once = chunks.select(F.explode_outer(F.array_distinct(tokens(text, parameters.stopwords))).alias("term"))
+    terms = once.where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     sizes = chunks.select(F.size(tokens(text, parameters.stopwords)).cast("long").alias("dl"))
     totals = sizes.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_dl"))
     return Bm25Index(postings, terms, totals, parameters)

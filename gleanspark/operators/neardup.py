@@ -45,10 +45,15 @@ def jaccard(left: Column | str, right: Column | str, n: int = 5) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def text_id(flat: Column | str) -> Column:
+    """Sixteen bytes of a SHA-256: short enough to shuffle, safe enough to stand for the text."""
+    return F.unhex(F.substring(F.sha2(flat, 256), 1, 32))
+
+
 def _folded(texts: DataFrame, column: str, n: int) -> DataFrame:
     """Distinct collapsed texts ``(tid, flat, grams, size)``; grams are hashed shingles."""
     flat = texts.where(F.col(column).isNotNull()).select(collapse(column).alias("flat"))
-    distinct = flat.groupBy(F.sha2("flat", 256).alias("tid")).agg(F.first("flat").alias("flat"))
+    distinct = flat.groupBy(text_id("flat").alias("tid")).agg(F.first("flat").alias("flat"))
     hashed = distinct.withColumn("grams", F.transform(shingles("flat", n), lambda g: F.xxhash64(g)))
     return hashed.withColumn("size", F.size("grams"))
 
@@ -150,7 +155,7 @@ def mark_near_duplicates(
 ) -> DataFrame:
     """Add a flag: some reference is at least ``threshold`` similar. Rows are never multiplied."""
     found = near_duplicate_keys(candidates, references, column, threshold, n)
-    keyed = candidates.withColumn("tid", F.sha2(collapse(column), 256))
+    keyed = candidates.withColumn("tid", text_id(collapse(column)))
     hits = found.withColumn("__hit", F.lit(True))
     return (
         keyed.join(hits, "tid", "left")

@@ -4,6 +4,9 @@ Rows are cut into buckets of the order key. The boundaries are a few thousand
 numbers read once, so each row's bucket is a fixed function of its key: a lost
 task recomputes to the same answer. Totals per bucket give each bucket its
 start, and only rows of one bucket are sorted together.
+
+Boundaries are quantiles, so buckets hold about equally many rows however the
+keys are spread; one key value that fills a bucket alone is ordered by ``ties``.
 """
 
 from __future__ import annotations
@@ -23,7 +26,9 @@ PERCENTILE_VALUES = 100_000
 
 def _boundaries(df: DataFrame, key: str, rows_per_bucket: int) -> list[float]:
     rows = df.count()
-    buckets = min(MAX_BUCKETS, max(1, -(-rows // rows_per_bucket)))
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    # Small inputs still give every core a bucket, as long as it is worth a task.
+    buckets = min(MAX_BUCKETS, max(1, -(-rows // rows_per_bucket), min(cores, rows // 1_000)))
     if buckets == 1:
         return []
     probs = [i / buckets for i in range(1, buckets)]

@@ -151,7 +151,7 @@ def test_near_duplicates_equal_the_nested_loop(spark, monkeypatch, crowd, thresh
     keys = neardup.near_duplicate_keys(cand, ref, "prompt", threshold, 5, crowd)
     from gleanspark.functions.text import collapse
 
-    keyed = cand.withColumn("tid", F.sha2(collapse("prompt"), 256)).join(keys, "tid", "left_semi")
+    keyed = cand.withColumn("tid", neardup.text_id(collapse("prompt"))).join(keys, "tid", "left_semi")
     assert {r.i for r in keyed.collect()} == brute_near(candidates, refs, threshold)
 
 
