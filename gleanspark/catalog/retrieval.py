@@ -299,11 +299,11 @@ DENSE = {
 }
 
 
-@query("j10_nearest_global", sql("SELECT qid, rank, vec_id, round(score, 6) AS score FROM near5", "near5", extra=DENSE))
+@query("j10_nearest_global", sql("SELECT qid, rank, vec_id, score FROM near5", "near5", extra=DENSE))
 def j10(t: Tables):
     asked = t.embeddings.select(F.col("vec_id").alias("qid"), "embedding")
     found = dense.nearest(asked, t.embeddings, 5)
-    return found.select("qid", whole("rank"), "vec_id", rounded("score"))
+    return found.select("qid", whole("rank"), "vec_id", "score")
 
 
 def dense_inputs(t: Tables):
@@ -312,13 +312,13 @@ def dense_inputs(t: Tables):
     return asked, stored
 
 
-@query("j11_nearest_within", sql("SELECT qid, rank, vec_id AS sentence_id, round(score, 6) AS score FROM inside", "inside", extra=DENSE))
+@query("j11_nearest_within", sql("SELECT qid, rank, vec_id AS sentence_id, score FROM inside", "inside", extra=DENSE))
 def j11(t: Tables):
     asked, stored = dense_inputs(t)
     labels = t.embeddings.select("vec_id", F.col("label").alias("document_id"))
     allowed = dense.nearest(asked, t.embeddings, 5).join(labels, "vec_id").select("qid", "document_id")
     found = dense.nearest_within(asked, allowed, stored, 20)
-    return found.select("qid", whole("rank"), "sentence_id", rounded("score"))
+    return found.select("qid", whole("rank"), "sentence_id", "score")
 
 
 TWO_STAGE = {
@@ -341,7 +341,7 @@ TWO_STAGE = {
 }
 
 
-@query("b11_two_stage_dense", sql("SELECT qid, rank, sentence_id, round(score, 6) AS score FROM stage2", "stage2", extra=TWO_STAGE))
+@query("b11_two_stage_dense", sql("SELECT qid, rank, sentence_id, score FROM stage2", "stage2", extra=TWO_STAGE))
 def b11(t: Tables):
     asked, stored = dense_inputs(t)
     parts = t.embeddings.select("label", F.posexplode("embedding").alias("i", "e"))
@@ -349,7 +349,7 @@ def b11(t: Tables):
     ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
     articles = means.groupBy(F.col("label").alias("document_id")).agg(F.transform(ordered, lambda s: s["m"]).alias("embedding"))
     found = plan.two_stage_dense(asked, articles, stored, asked)
-    return found.select("qid", whole("rank"), "sentence_id", rounded("score"))
+    return found.select("qid", whole("rank"), "sentence_id", "score")
 
 
 # --- sentence rerank -----------------------------------------------------------------------
