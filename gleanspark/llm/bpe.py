@@ -97,39 +97,48 @@ def _codec(path: str):
 
 
 @lru_cache(maxsize=4)
-def split_pattern(pattern: str) -> str:
-    """``pattern`` with its letter and number classes as the tiktoken library knows them.
+def split_patterns(pattern: str) -> tuple[str, str, str]:
+    """``pattern``, the same with its letter and number classes as the tiktoken
+    library knows them, and the characters on which the two differ.
 
     The two regular-expression libraries may follow different versions of
-    Unicode; code points that only one of them counts are put right here.
+    Unicode. A text with none of those characters is split by the plain pattern.
     """
     import tiktoken
 
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
     single = {bytes([b]): b for b in range(256)}
+    exact, differing = pattern, ""
     for name in (r"\p{L}", r"\p{N}"):
         probe = tiktoken.Encoding(name, pat_str=name, mergeable_ranks=single, special_tokens={})
         theirs = set(probe.decode(probe.encode_ordinary(every)))
         ours = set(regex.findall(name, every))
-        inner = name
-        if theirs - ours:
-            inner += "".join(map(_escaped, sorted(theirs - ours)))
-        own = f"[[{inner}]--[{''.join(map(_escaped, sorted(ours - theirs)))}]]" if ours - theirs else f"[{inner}]"
-        # Inside a negated set the class is written as a nested set.
-        pattern = pattern.replace(name, own)
-    return "(?V1)" + pattern
+        added, dropped = _ranges(theirs - ours), _ranges(ours - theirs)
+        if added or dropped:
+            own = f"[{name}{added}]"
+            exact = exact.replace(name, f"[{own}--[{dropped}]]" if dropped else own)
+            differing += added + dropped
+    return pattern, "(?V1)" + exact, f"[{differing}]" if differing else ""
 
 
-def _escaped(c: str) -> str:
-    return f"\\U{ord(c):08x}"
+def _ranges(characters: set[str]) -> str:
+    """The characters as ranges of a set."""
+    out: list[list[int]] = []
+    for code in sorted(map(ord, characters)):
+        if out and out[-1][1] == code - 1:
+            out[-1][1] = code
+        else:
+            out.append([code, code])
+    return "".join(f"\\U{first:08x}-\\U{last:08x}" for first, last in out)
 
 
 class Coder:
     """Encoder and decoder of one task; pre-tokens seen before are looked up."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, patterns: tuple[str, str, str]):
         self.processor, self.tokens, self.whole = _codec(path)
-        self.split = regex.compile(pattern).findall
+        self.plain, self.exact = regex.compile(patterns[0]).findall, regex.compile(patterns[1]).findall
+        self.differing = regex.compile(patterns[2]).search if patterns[2] else None
         self.kept: dict[str, list[int]] = {}
 
     def ids_of(self, pre_token: str) -> list[int]:
@@ -144,7 +153,9 @@ class Coder:
     def encode(self, text: str | None) -> list[int]:
         out: list[int] = []
         known, extend, find = self.kept.get, out.extend, self.ids_of
-        for token in self.split(text or ""):
+        text = text or ""
+        split = self.exact if self.differing and not text.isascii() and self.differing(text) else self.plain
+        for token in split(text):
             extend(known(token) or find(token))
         return out
 
@@ -154,7 +165,7 @@ class Coder:
 
 def encode(documents: DataFrame, path: str, pattern: str, id_column="doc_id", text_column="text") -> DataFrame:
     """(id, ids array<int>) of every row."""
-    own = split_pattern(pattern)
+    own = split_patterns(pattern)
 
     def make():
         coder = Coder(path, own)
@@ -180,7 +191,7 @@ def digests(documents: DataFrame, path: str, pattern: str, id_column="doc_id", t
 
     The same coder as ``encode`` and ``decode`` in one pass, without moving the ids out of the worker.
     """
-    own = split_pattern(pattern)
+    own = split_patterns(pattern)
 
     def make():
         coder = Coder(path, own)
