@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, packing
+from gleanspark.llm import bpe, language, packing, quality_crf
 from gleanspark.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -22,3 +23,20 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_best_fit_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op1_crf_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = language.held_out("doc_id", 5, 0)
+    field = quality_crf.fit(documents, labels, ~out)
+    scored = quality_crf.score(documents, field)
+    return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op10_byte_gru_language")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    out = language.held_out("doc_id", 3, 1)
+    network = language.fit(documents, ~out)
+    return language.predict(documents, network).select("doc_id", out.alias("held_out"), "lang_pred", "score")
