@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, language, packing, quality_crf
+from gleanspark.llm import bpe, language, line_rules, nra, packing, quality_crf
 from gleanspark.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -40,3 +40,79 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = language.held_out("doc_id", 3, 1)
     network = language.fit(documents, ~out)
     return language.predict(documents, network).select("doc_id", out.alias("held_out"), "lang_pred", "score")
+
+
+OP9_SQL = """
+WITH e AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+         CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+), r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
+@query("op9_no_random_access_topk", OP9_SQL)
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = nra.quantized(table(spark, sf_dir, "embeddings"))
+    return nra.search(rows, F.col("vec_id") % 50 == 0, 5)
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+  FROM d
+), win AS (
+  SELECT r, i, list_slice(words, i, i + 4) AS g FROM (SELECT r, words, unnest(range(1, len(words) - 3)) AS i FROM w)
+), hit AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n_repeat_words FROM (SELECT r, unnest(range(i, i + 5)) AS p FROM hit) GROUP BY r
+), base AS (
+  SELECT w.r, doc_id, source, len(words)::BIGINT AS n_words,
+         coalesce(list_sum(list_transform(words, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
+         coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN rep USING (r)
+), lined AS (
+  SELECT DISTINCT r, coalesce(source, chr(2)) AS host, md5(l) AS line,
+         len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
+  FROM (SELECT r, source, trim(regexp_replace(lower(l0), '[\x20\x09-\x0D0-9]+', ' ', 'g')) AS l
+        FROM (SELECT r, source, unnest(lines) AS l0 FROM w))
+), ends AS (
+  SELECT *, sum(n) OVER (PARTITION BY r) AS total,
+         min(line) OVER a AS lo, max(line) OVER a AS hi,
+         lead(line) OVER (PARTITION BY r ORDER BY line) AS nxt, lag(line) OVER (PARTITION BY r ORDER BY line) AS prv
+  FROM lined WINDOW a AS (PARTITION BY r)
+), spread AS (
+  SELECT host, line FROM (
+    SELECT host, line, count(*) AS c,
+           greatest(count(DISTINCT CASE WHEN line = lo THEN nxt ELSE lo END),
+                    count(DISTINCT CASE WHEN line = hi THEN prv ELSE hi END)) AS k
+    FROM ends GROUP BY ALL) WHERE k > 30 AND k >= 0.5 * c
+), gone AS (
+  SELECT r, sum(n) AS n, max(total) AS total FROM ends JOIN spread USING (host, line) GROUP BY r
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       coalesce(gone.n, 0)::BIGINT AS n_boilerplate,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words)
+         AND NOT coalesce(gone.total - gone.n < 10 OR gone.total - gone.n < 0.3 * gone.total, false) AS kept
+FROM base LEFT JOIN gone USING (r)
+"""
+
+
+@query("op3_line_frequency", OP3_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.judge(table(spark, sf_dir, "documents"))
