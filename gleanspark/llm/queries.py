@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, language, line_rules, nra, packing, quality_crf
+from gleanspark.llm import bpe, language, line_rules, nra, packing, quality_crf, sanitise
 from gleanspark.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -116,3 +116,8 @@ FROM base LEFT JOIN gone USING (r)
 @query("op3_line_frequency", OP3_SQL)
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op4_disclosure")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digests(table(spark, sf_dir, "documents"))
