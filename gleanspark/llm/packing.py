@@ -19,10 +19,12 @@ other than the id and the text are not read.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -36,18 +38,26 @@ OPEN_BINS = 16_384
 # Pieces that one task packs. A task leaves about one bin badly filled, so the loss is one in thousands.
 PIECES_PER_TASK = 20_000
 END_ID = 0
-# Distinct words whose ids are kept in a worker.
-KEPT_WORDS = 300_000
+# Distinct words in each of the two stores of a worker; the old one is dropped when the young one is full.
+KEPT_WORDS = 400_000
 KEPT_LENGTH = 64
+#: Mark of a piece that ends a word.
+WORD_END = "</w>"
+# Latin letters that stay one letter when they are normalised and put in lower case.
+APART = re.compile("(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F])([.,])(?=[ \\n])").sub
 
 
 class WordIds:
-    """Little-endian ids of white-space separated words.
+    """Little-endian ids of the words of texts.
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words one after the other, and a word seen before is
-    looked up. Words end where Python and the tokenizer both see white space;
-    between the rest the tokenizer splits by itself.
+    looked up. A comma or full stop between a letter and a blank is a pre-token
+    of its own for the tokenizer, so it may stand apart as well, which leaves
+    far fewer different words.
+
+    New words of letters only are encoded many at a time: each is one
+    pre-token, and its last id is that of a piece that ends a word.
     """
 
     def __init__(self, path: str):
@@ -56,25 +66,43 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
-        self.kept: dict[str, bytes] = {}
-
-    def learn(self, words: list[str]) -> dict[str, bytes]:
-        if len(self.kept) >= KEPT_WORDS:
-            self.kept.clear()
-        found = {}
-        for word, got in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False)):
-            found[word] = b"".join(i.to_bytes(4, "little") for i in got.ids)
-        self.kept.update((w, b) for w, b in found.items() if len(w) <= KEPT_LENGTH)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _encode_letters(self, words: list[str]) -> list[bytes]:
+        ids = np.array(self.tokenizer.encode(" ".join(words), add_special_tokens=False).ids, "<u4")
+        stops = np.flatnonzero(self.ends[ids]) + 1
+        if len(stops) != len(words):  # a letter to Python only
+            return self._encode(words)
+        data, starts = ids.tobytes(), [0, *(4 * stops[:-1]).tolist()]
+        return [data[a:b] for a, b in zip(starts, (4 * stops).tolist())]
+
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that are not in the young store; they are put there, but for the very long ones."""
+        found = {w: self.old[w] for w in words & self.old.keys()}
+        rest = words - found.keys()
+        letters = [w for w in rest if w.isalpha()]
+        others = [w for w in rest if not w.isalpha()]
+        for group, encode in ((letters, self._encode_letters), (others, self._encode)):
+            for at in range(0, len(group), 5_000):
+                part = group[at : at + 5_000]
+                found.update(zip(part, encode(part)))
+        if len(self.young) + len(found) > KEPT_WORDS:
+            self.old, self.young = self.young, {}
+        self.young.update((w, b) for w, b in found.items() if len(w) <= KEPT_LENGTH)
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(x or "").split(" ") for x in texts]
+        split = [APART(r" \1", x or "").replace("\n", " ").split(" ") for x in texts]
         words = set().union(*split) if split else set()
-        fresh = [w for w in words if w not in self.kept]
-        lookup = self.kept if not fresh else self.kept | {}
-        if fresh:
-            for at in range(0, len(fresh), 20_000):
-                lookup.update(self.learn(fresh[at : at + 20_000]))
+        lookup = {w: self.young[w] for w in words & self.young.keys()}
+        lookup |= self._learn(words - lookup.keys())
         return [b"".join(map(lookup.__getitem__, x)) for x in split]
 
 
