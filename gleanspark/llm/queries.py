@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, language, line_rules, nra, packing, quality_crf, sanitise
+from gleanspark.llm import bpe, hamming_join, language, line_rules, nra, packing, quality_crf, sanitise
 from gleanspark.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -121,3 +121,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_disclosure")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sanitise.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op8_hamming_neardup")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, share=85)
