@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, hamming_join, language, line_rules, nra, packing, quality_crf, sanitise
+from gleanspark.llm import bpe, hamming_join, language, line_rules, nra, packing, quality_crf, sanitise, suffix_levels
 from gleanspark.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -126,3 +126,8 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_hamming_neardup")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hamming_join.near_duplicates(table(spark, sf_dir, "documents"), size=3, share=85)
+
+
+@query("op6_suffix_levels")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_levels.dedup(table(spark, sf_dir, "documents"))
