@@ -52,13 +52,13 @@ CHUNK = PER_LONG
 ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 
-_M1, _M2, _M3, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
+_M1, _M2, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _LOW = sum(((1 << BITS) - 1) << (LANE * k) for k in range(PER_LONG))
 _HIGH = sum((1 << BITS) << (LANE * k) for k in range(PER_LONG))
 
 
-def shingle_set(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles; A-Z in lower case."""
+def ordered_shingles(text: str | None, size: int) -> np.ndarray:
+    """64-bit hashes of the word shingles in order; A-Z in lower case. Fewer than ``size`` words are one shingle."""
     words = (text or "").encode().lower().split()  # bytes split at ASCII white space only
     if not words:
         return np.zeros(0, np.uint64)
@@ -72,8 +72,12 @@ def shingle_set(text: str | None, size: int) -> np.ndarray:
         mixed = (mixed ^ (mixed >> np.uint64(31))) * _M1 + hashes[k : k + n] * _M2
     mixed ^= mixed >> np.uint64(29)
     mixed *= _M4
-    mixed ^= mixed >> np.uint64(32)
-    return np.unique(mixed)
+    return mixed ^ (mixed >> np.uint64(32))
+
+
+def shingle_set(text: str | None, size: int) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles."""
+    return np.unique(ordered_shingles(text, size))
 
 
 class Signer:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanspark.llm import bpe, hamming_join, language, line_rules, nra, packing, quality_crf, sanitise, suffix_levels
+from gleanspark.llm import bpe, hamming_join, language, line_rules, nra, packing, passages, quality_crf, sanitise, suffix_levels
 from gleanspark.llm.registry import ORACLES, QUERIES, query, table
 
 
@@ -131,3 +131,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_suffix_levels")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_levels.dedup(table(spark, sf_dir, "documents"))
+
+
+@query("op2_compact_windows")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document with repeated passages: their spans in words, and the first document that has one of them."""
+    found = passages.spans(passages.repeated_passages(table(spark, sf_dir, "documents")))
+    words = F.aggregate(F.arrays_zip("starts", "ends"), F.lit(0).cast("long"), lambda n, x: n + x["ends"] - x["starts"])
+    return found.select(F.col("doc").alias("doc_id"), "first_doc", "starts", "ends", words.alias("n_words"))
