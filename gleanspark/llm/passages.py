@@ -215,31 +215,40 @@ def verified(text: np.ndarray, other: np.ndarray, length: int, share: int) -> li
     similarity of ``share`` percent with those of ``other``'s stretch; end exclusive, in order."""
     where = {int(h): i for i, h in reversed(list(enumerate(other.tolist())))}
     at = np.fromiter((where.get(h, -1) for h in text.tolist()), np.int64, len(text))
-    # With k of m shingles shared, k / (2 m - k) >= share means k / m >= 2 share / (100 + share).
-    ratio = 2 * share / (100 + share)
+    hit = at >= 0
+
+    def similar(start: int, end: int) -> bool:
+        places = at[start:end][hit[start:end]]
+        mine = set(text[start:end].tolist())
+        middle = int(np.median(places))
+        # The other stretch: all the matches, or as much around the middle one as this stretch is long.
+        tries = ((places.min(), places.max() + 1), (max(0, middle - (end - start) // 2), middle + (end - start) // 2 + 1))
+        for lo, hi in tries:
+            theirs = set(other[lo:hi].tolist())
+            shared = len(mine & theirs)
+            if 100 * shared >= share * (len(mine) + len(theirs) - shared):
+                return True
+        return False
+
+    def best(a: int, b: int) -> tuple[int, int] | None:
+        # With k of m shingles shared, k / (2 m - k) >= share means k / m >= 2 share / (100 + share).
+        least = 2 * share / (100 + share)
+        for ratio in (least, (1 + least) / 2):
+            got = _longest(hit[a:b], ratio, length)
+            if got and similar(a + got[0], a + got[1]):
+                return a + got[0], a + got[1]
+        # Else what is repeated word for word.
+        follows = hit[a : b - 1] & hit[a + 1 : b] & (at[a + 1 : b] == at[a : b - 1] + 1)
+        got = _longest(follows, 1.0, length - 1)
+        return (a + got[0], a + got[1] + 1) if got else None
+
     found, waiting = [], [(0, len(text))]
     while waiting:
         a, b = waiting.pop()
-        best = _longest(at[a:b] >= 0, ratio, length)
-        if best is None:
-            continue
-        start, end = a + best[0], a + best[1]
-        hits = at[start:end]
-        hits = hits[hits >= 0]
-        mine, theirs = set(text[start:end].tolist()), set(other[hits.min() : hits.max() + 1].tolist())
-        shared = len(mine & theirs)
-        if 100 * shared < share * (len(mine) + len(theirs) - shared):
-            # The other text's matches lie apart: those around the middle match are its stretch.
-            middle = int(np.median(hits))
-            near = other[max(0, middle - (end - start) // 2) : middle + (end - start) // 2 + 1]
-            theirs = set(near.tolist())
-            shared = len(mine & theirs)
-        if 100 * shared >= share * (len(mine) + len(theirs) - shared):
-            found.append((start, end))
-            waiting += [(a, start), (end, b)]
-        else:
-            half = (start + end) // 2
-            waiting += [(a, half), (half, b)] if end - start > 2 * length else []
+        got = best(a, b) if b - a >= length else None
+        if got:
+            found.append(got)
+            waiting += [(a, got[0]), (got[1], b)]
     return sorted(found)
 
 
