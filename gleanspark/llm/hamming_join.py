@@ -2,11 +2,12 @@
 
 A document's set of word shingles has a signature of ``SLOTS`` slots of ``BITS``
 bits. Two sets of Jaccard similarity J differ in each slot with probability
-about 1 - J. The first ``INDEX_SLOTS`` slots are indexed: pairs that differ in
-at most ``INDEX_ERRORS`` of them are all found. By the pigeonhole principle
-they differ in at most one slot of one of the chunks of ``CHUNK`` slots, so
-each chunk is entered once for every slot that may be wrong, with that slot left out.
-A similarity of 0.85 exceeds the distance with probability 4e-6.
+about 1 - J. The first ``4 * n`` slots are indexed, in n chunks of four: pairs
+that differ in at most 2 n - 1 of them are all found, since by the pigeonhole
+principle they differ in at most one slot of one chunk, and each chunk is
+entered once for every slot that may be wrong, with that slot left out. n is
+the least number for which a pair at the asked similarity exceeds that distance
+with a probability under ``MISS`` (``thresholds``).
 
 Candidates meet in the buckets of these keys. Links are confirmed on the full
 sets. Only components are asked for, so a bucket need not give all its pairs:
@@ -15,7 +16,7 @@ sets. Only components are asked for, so a bucket need not give all its pairs:
 2. In some rounds every node is compared with its bucket's centre, the best one
    of those that are in another component yet; links contract components.
 3. What is then still apart in a bucket is compared pair by pair, unless sizes
-   or the whole signature (``ERRORS`` of ``SLOTS``) exclude a link.
+   or the whole signature exclude a link.
 
 Step 3 leaves no candidate out, so no link is lost; steps 1 and 2 keep it small
 where a bucket is one large group of copies.
@@ -29,6 +30,7 @@ own text. An empty table gives no rows. Other columns do not matter.
 from __future__ import annotations
 
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -44,11 +46,8 @@ BITS = 14
 LANE = BITS + 1  # one free bit per slot, for comparing slots inside a long
 PER_LONG = 4
 SLOTS = 128
-INDEX_SLOTS = 32
-INDEX_ERRORS = 15
-# Slots of 128 in which sets of similarity 0.85 differ: 19 on average; 42 and more once in ten million.
-ERRORS = 42
-CHUNK = PER_LONG
+# Probability that a pair at the asked similarity is beyond a signature distance.
+MISS = 1e-5
 ROUNDS = 3
 BROADCAST_ROWS = 1_000_000
 
@@ -141,14 +140,28 @@ def _sets(documents: DataFrame, wanted: DataFrame, size: int, id_column: str, te
     return map_columns(rows, [id_column, text_column], "node long, n long, shingles array<long>", make)
 
 
-def _keys(nodes: DataFrame) -> DataFrame:
+def thresholds(share: int) -> tuple[int, int]:
+    """(chunks, errors): chunks of the index, and slots of the whole signature that may differ."""
+    differ = 1 - share / 100
+
+    def beyond(slots: int, errors: int) -> float:
+        chances = (comb(slots, k) * differ**k * (1 - differ) ** (slots - k) for k in range(errors + 1, slots + 1))
+        return sum(chances)
+
+    chunks = next((n for n in range(1, SLOTS // PER_LONG) if beyond(PER_LONG * n, 2 * n - 1) < MISS), None)
+    if chunks is None:
+        raise ValueError("the signature is too short for so low a similarity")
+    return chunks, next(e for e in range(SLOTS + 1) if beyond(SLOTS, e) < MISS)
+
+
+def _keys(nodes: DataFrame, chunks: int) -> DataFrame:
     """(key, node): each chunk of the indexed slots, once for every slot that is left out."""
     each = []
-    for chunk in range(INDEX_SLOTS // CHUNK):
+    for chunk in range(chunks):
         value = F.col("signature")[chunk]
-        for slot in range(CHUNK):
+        for slot in range(PER_LONG):
             keep = ((1 << 63) - 1) & ~(((1 << LANE) - 1) << (LANE * slot))
-            each.append(F.xxhash64(F.lit(chunk * CHUNK + slot), value.bitwiseAND(F.lit(keep))))
+            each.append(F.xxhash64(F.lit(chunk * PER_LONG + slot), value.bitwiseAND(F.lit(keep))))
     return nodes.select("node", F.explode(F.array(*each)).alias("key"))
 
 
@@ -165,8 +178,9 @@ def _may_link(a: str, b: str, share: int) -> Column:
     n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
     x, y = F.col(f"{a}.signature"), F.col(f"{b}.signature")
     sizes = 100 * F.least(n, m) >= share * F.greatest(n, m)
-    index = _equal_slots(x, y, 0, INDEX_SLOTS // PER_LONG) >= INDEX_SLOTS - INDEX_ERRORS
-    return sizes & index & (_equal_slots(x, y, 0, SLOTS // PER_LONG) >= SLOTS - ERRORS)
+    chunks, errors = thresholds(share)
+    index = _equal_slots(x, y, 0, chunks) >= PER_LONG * chunks - (2 * chunks - 1)
+    return sizes & index & (_equal_slots(x, y, 0, SLOTS // PER_LONG) >= SLOTS - errors)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
@@ -200,7 +214,7 @@ def near_duplicates(
 ) -> DataFrame:
     """(id, n_shingles, component_id, kept) of every row; links have ``share`` percent of similarity or more.
 
-    Signature distances are set for shares of 80 and more.
+    The default is for five words and 80 percent; other shares change the index (``thresholds``).
     """
     documents = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     signed = materialize(signatures(documents, size), "signatures")
@@ -210,7 +224,7 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature"))
     )
     nodes = materialize(nodes, "nodes")
-    keys = _keys(nodes)
+    keys = _keys(nodes, thresholds(share)[0])
     shared = keys.groupBy("key").agg(F.min("node").alias("l"), F.max("node").alias("h")).where("l < h").select("key")
     members = materialize(keys.join(shared, "key"), "buckets")
     known = nodes.select("node", "n", "signature").join(

@@ -187,17 +187,26 @@ def _verdict(rows: DataFrame) -> DataFrame:
 
 def clean(documents: DataFrame, id_column="doc_id", text_column="text", host_column="source") -> DataFrame:
     """The kept rows with all their columns, and their texts without boilerplate lines."""
-    names = documents.columns
-    rows = documents.select(F.struct(*names).alias("__row"), _key(id_column, text_column, host_column).alias("__key"))
-    rows = with_figures(rows.withColumn("__text", F.col("__row")[text_column]), "__text")
+    key = _key(id_column, text_column, host_column)
+    base = with_figures(documents.select(F.col(text_column).alias("__text"), key.alias("__key")), "__text")
     gone = boilerplate_in_rows(documents, id_column, text_column, host_column).select(
         F.col("key").alias("__key"), F.col("lines").alias("__lines"), F.col("n").alias("n_boilerplate"),
         F.col("total").alias("__total"),
     )
-    rows = _verdict(rows.join(gone, "__key", "left")).where("kept")
+    verdict = _verdict(base.select("__key", "n_words", "base_failed").join(gone, "__key", "left"))
+    # Written first: a condition on the verdict would be copied into every step of its computation.
+    verdict = materialize(verdict.select("__key", "kept", "__lines"), "verdicts")
+    changed = verdict.where(~F.col("kept") | F.col("__lines").isNotNull()).groupBy("__key").agg(
+        F.max("kept").alias("kept"), F.first("__lines").alias("__lines")
+    )
+    changed = broadcast_if_small(materialize(changed, "rows-to-change"), BROADCAST_LINES)
+    names = documents.columns
+    rows = documents.select(F.struct(*names).alias("__row"), key.alias("__key")).join(changed, "__key", "left")
+    rows = rows.where(F.coalesce("kept", F.lit(True)))
     is_bad = lambda x: x.rlike(f"[^{SPACE}]") & F.array_contains(
         "__lines", F.unhex(F.md5(normalised(x).cast("binary")))
     )
-    kept_lines = F.array_join(F.filter(F.split("__text", "\n"), lambda x: ~is_bad(x)), "\n")
-    text = F.when(F.col("__lines").isNull(), F.col("__text")).otherwise(kept_lines)
+    text = F.col("__row")[text_column]
+    left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~is_bad(x)), "\n")
+    text = F.when(F.col("__lines").isNull(), text).otherwise(left)
     return rows.select(*[text.alias(c) if c == text_column else F.col("__row")[c].alias(c) for c in names])
