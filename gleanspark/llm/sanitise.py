@@ -172,27 +172,34 @@ def disclosing_terms(documents: DataFrame, spotted: DataFrame, text_column="text
         .where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") >= MIN_SPREAD * F.col("c")))
         .select("entity", "term", "c")
     )
-    both = materialize(both, "near-entities")
     held = entities.groupBy("entity").agg(F.countDistinct("tkey").alias("df_entity"))
-    terms = broadcast_if_small(both.select("term").distinct(), BROADCAST_PAIRS)
+    # A term stands in as many texts at least as it stands near entities in. Pairs that would
+    # stay under the threshold with that few have no need of a count over the corpus.
+    around = rows.groupBy("term").agg(F.countDistinct("tkey").alias("df_term"))
     texts = documents.select(F.col(text_column).alias("text")).where("text is not null")
+    total = texts.agg(F.count(F.lit(1)).alias("n"))
+    pmi = F.log(F.col("n") * F.col("c") / (F.col("df_term") * F.col("df_entity")))
+    information = F.log(F.col("n") / F.col("df_entity"))
+
+    def shares(pairs: DataFrame) -> DataFrame:
+        """The pairs, joined with ``df_term``, that disclose enough."""
+        return (
+            pairs.crossJoin(F.broadcast(total))  # one row
+            .where(information > 0)
+            .withColumn("disclosure", pmi / information)
+            .where(F.col("disclosure") >= DISCLOSURE)
+        )
+
+    both = shares(both.join(around, "term").join(held, "entity")).select("entity", "term", "c", "df_entity")
+    both = materialize(both, "near-entities")
+    terms = broadcast_if_small(both.select("term").distinct(), BROADCAST_PAIRS)
     df_term = (
         texts.select(F.xxhash64("text").alias("t"), F.explode(terms_in(F.col("text"))).alias("term"))
         .join(terms, "term")
         .groupBy("term")
         .agg(F.countDistinct("t").alias("df_term"))
     )
-    total = texts.agg(F.count(F.lit(1)).alias("n"))
-    pmi = F.log(F.col("n") * F.col("c") / (F.col("df_term") * F.col("df_entity")))
-    information = F.log(F.col("n") / F.col("df_entity"))
-    return (
-        both.join(df_term, "term")
-        .join(held, "entity")
-        .crossJoin(F.broadcast(total))  # one row
-        .where(information > 0)
-        .select("entity", "term", (pmi / information).alias("disclosure"))
-        .where(F.col("disclosure") >= DISCLOSURE)
-    )
+    return shares(both.join(df_term, "term")).select("entity", "term", "disclosure")
 
 
 def find(documents: DataFrame, id_column="doc_id", text_column="text", keep: list[str] | None = None) -> DataFrame:
