@@ -225,6 +225,8 @@ class Reader:
         return np.add.reduceat(sums, starts, axis=0)
 
     def read(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.network.labels:
+            return [(UNDEFINED, 0.0)] * len(texts)
         split = [x.split() if x else [] for x in texts]
         fresh = [w for w in set().union(*split) if w not in self.known] if split else []
         if len(self.known) + len(fresh) > KEPT_WORDS:
@@ -236,7 +238,7 @@ class Reader:
             self.known.update(zip(fresh, range(start, start + len(fresh))))
         out, find, labels = [], self.known.__getitem__, self.network.labels
         for text, words in zip(texts, split):
-            if not text or not labels or not any(map(str.isalpha, text)):
+            if not text or not any(map(str.isalpha, text)):
                 out.append((UNDEFINED, 0.0))
                 continue
             sums = self.values[np.fromiter(map(find, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)

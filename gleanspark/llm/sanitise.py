@@ -203,7 +203,7 @@ def disclosing_terms(documents: DataFrame, spotted: DataFrame, text_column="text
 
 
 def find(documents: DataFrame, id_column="doc_id", text_column="text", keep: list[str] | None = None) -> DataFrame:
-    """``spans`` of every row, beside its id and the columns ``keep``."""
+    """``__spans`` of every row, ``__base`` of them the base kinds', its text, and its columns in ``__row``."""
     columns = list(dict.fromkeys([id_column, *(keep or [])]))
     full = F.coalesce(F.col(text_column), F.lit(""))
     tkey = F.unhex(F.md5(full.cast("binary")))
@@ -225,8 +225,7 @@ def find(documents: DataFrame, id_column="doc_id", text_column="text", keep: lis
         .agg(F.collect_set("term").alias("__terms"))
     )
     rows = documents.select(
-        *[F.col(c).alias(f"d_{c}") for c in columns], full.alias("__text"), tkey.alias("tkey"),
-        base_spans(full).alias("__base"),
+        F.struct(*columns).alias("__row"), full.alias("__text"), tkey.alias("tkey"), base_spans(full).alias("__base"),
     )
     rows = rows.join(broadcast_if_small(materialize(given, "terms-given"), BROADCAST_PAIRS), "tkey", "left")
     wanted = lambda m: F.array_contains("__terms", F.lower(m))
@@ -237,7 +236,7 @@ def find(documents: DataFrame, id_column="doc_id", text_column="text", keep: lis
         "__own", lambda s: ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     )
     spans = F.array_sort(F.concat("__base", outside))
-    return rows.select(*[F.col(f"d_{c}").alias(c) for c in columns], "__text", "__base", spans.alias("spans"))
+    return rows.select("__row", "__text", "__base", spans.alias("__spans"))
 
 
 def digests(documents: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
@@ -245,10 +244,10 @@ def digests(documents: DataFrame, id_column="doc_id", text_column="text") -> Dat
     rows = find(documents, id_column, text_column)
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
     return rows.select(
-        id_column,
+        F.col("__row")[id_column].alias(id_column),
         *[count(k).alias(f"n_{KINDS[k]}") for k in range(TERM)],
         F.sha2(written(F.col("__base")).cast("binary"), 256).alias("base_sha256"),
-        written(F.col("spans")).alias("spans"),
+        written(F.col("__spans")).alias("spans"),
     )
 
 
@@ -266,7 +265,8 @@ def sanitise(documents: DataFrame, id_column="doc_id", text_column="text") -> Da
         )
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    done = F.aggregate("spans", start, step)
+    done = F.aggregate("__spans", start, step)
     rest = F.substring(F.col("__text"), done["at"] + 1, F.length("__text"))
-    text = F.when(F.size("spans") == 0, F.col(text_column)).otherwise(F.concat(done["text"], rest))
-    return rows.select(*[text.alias(c) if c == text_column else F.col(c) for c in documents.columns])
+    own = F.col("__row")
+    text = F.when(F.size("__spans") == 0, own[text_column]).otherwise(F.concat(done["text"], rest))
+    return rows.select(*[text.alias(c) if c == text_column else own[c].alias(c) for c in documents.columns])
