@@ -39,12 +39,14 @@ OPEN_BINS = 16_384
 PIECES_PER_TASK = 20_000
 END_ID = 0
 # Distinct words in each of the two stores of a worker; the old one is dropped when the young one is full.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 600_000
 KEPT_LENGTH = 64
 #: Mark of a piece that ends a word.
 WORD_END = "</w>"
 # Latin letters that stay one letter when they are normalised and put in lower case.
-APART = re.compile("(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F])([.,])(?=[ \\n])").sub
+APART = re.compile(
+    "(?<=[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u017F])([!-/:-@\\[-`{-~]+)(?=[ \\n]|\\Z)"
+).sub
 
 
 class WordIds:
@@ -52,9 +54,9 @@ class WordIds:
 
     The tokenizer drops white space and never joins across it, so a text's ids
     are those of its words one after the other, and a word seen before is
-    looked up. A comma or full stop between a letter and a blank is a pre-token
-    of its own for the tokenizer, so it may stand apart as well, which leaves
-    far fewer different words.
+    looked up. Punctuation between a letter and a blank is a pre-token of its own
+    for the tokenizer, so it may stand apart as well, which leaves far fewer
+    different words.
 
     New words of letters only are encoded many at a time: each is one
     pre-token, and its last id is that of a piece that ends a word.
