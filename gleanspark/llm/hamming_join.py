@@ -15,8 +15,11 @@ sets. Only components are asked for, so a bucket need not give all its pairs:
 1. Copies (equal sets) are one node from the start.
 2. In some rounds every node is compared with its bucket's centre, the best one
    of those that are in another component yet; links contract components.
-3. What is then still apart in a bucket is compared pair by pair, unless sizes
-   or the whole signature exclude a link.
+3. Buckets that still hold several components are put together by their centre,
+   dealt into blocks of ``BLOCK`` nodes, and every pair of blocks is one task
+   group of bounded size that has the full sets: it compares all its pairs that
+   are apart, unless sizes or the whole signature exclude a link, and gives only
+   the links that join components.
 
 Step 3 leaves no candidate out, so no link is lost; steps 1 and 2 keep it small
 where a bucket is one large group of copies.
@@ -48,7 +51,9 @@ PER_LONG = 4
 SLOTS = 128
 # Probability that a pair at the asked similarity is beyond a signature distance.
 MISS = 1e-5
-ROUNDS = 3
+ROUNDS = 2
+# Nodes of a block in the last step.
+BLOCK = 256
 BROADCAST_ROWS = 1_000_000
 
 _M1, _M2, _M4 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
@@ -198,6 +203,53 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     )
 
 
+def _last_links(rows: DataFrame, known: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """(a, b): links between the components that meet in a bucket. ``rows``: key, node, component."""
+    keys = rows.groupBy("key").agg(
+        F.min("node").alias("centre"), F.min("component").alias("l"), F.max("component").alias("h")
+    )
+    keys = keys.where("l < h").select("key", "centre")
+    groups = materialize(rows.join(keys, "key").select("centre", "node", "component").distinct(), "open-groups")
+    sizes = groups.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    cells = groups.join(sizes, "centre").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cells = cells.select(
+        "centre", "node", "component", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    )
+    wanted = broadcast_if_small(groups.select("node").distinct(), BROADCAST_ROWS)
+    full = sets.join(wanted, "node", "left_semi").join(known.select("node", "signature"), "node")
+    least = SLOTS - thresholds(share)[1]
+
+    def compare(table: pa.Table) -> pa.Table:
+        own, first = table.column("own").to_pylist(), table.column("i")[0].as_py()
+        nodes, roots = table.column("node").to_pylist(), table.column("component").to_pylist()
+        shingles = [x.values.to_numpy() for x in table.column("shingles")]
+        signed = np.stack([x.values.to_numpy() for x in table.column("signature")])
+        slots = np.stack([(signed >> (LANE * k)) & ((1 << BITS) - 1) for k in range(PER_LONG)], axis=2)
+        slots = slots.reshape(len(nodes), -1).astype(np.uint16)
+        sizes = np.array([len(x) for x in shingles])
+        root = np.unique(roots, return_inverse=True)[1]
+        left = [k for k, o in enumerate(own) if o == first]
+        right = left if first == table.column("j")[0].as_py() else [k for k, o in enumerate(own) if o != first]
+        right = np.array(right, np.int64)
+        out = []
+        for a in left:
+            small, large = np.minimum(sizes[a], sizes[right]), np.maximum(sizes[a], sizes[right])
+            able = right[(root[right] != root[a]) & (100 * small >= share * large)]
+            able = able[(slots[able] == slots[a]).sum(axis=1) >= least]
+            for b in able.tolist():
+                if root[a] == root[b]:
+                    continue  # a link found here has joined them
+                shared = len(np.intersect1d(shingles[a], shingles[b], assume_unique=True))
+                if 100 * shared >= share * (sizes[a] + sizes[b] - shared):
+                    out.append((nodes[a], nodes[b]))
+                    root[root == root[b]] = root[a]
+        return pa.table([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    grid = ["centre", "i", "j"]
+    return cells.join(full, "node").groupBy(*grid).applyInArrow(compare, "a long, b long")
+
+
 def _contract(labels: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) after ``links`` between nodes."""
     of = lambda c: labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
@@ -251,19 +303,7 @@ def near_duplicates(
         links = materialize(_confirmed(best, sets, share), "links-found")
         labels = materialize(_contract(labels, links), "labels")
 
-    rows = labelled(members)
-    open_keys = rows.groupBy("key").agg(F.min("component").alias("l"), F.max("component").alias("h")).where("l < h").select("key")
-    rows = rows.join(open_keys, "key").join(known, "node")
-    rows = rows.select("key", F.struct("node", "component", "n", "signature").alias("r"))
-    x, y = rows.select("key", F.col("r").alias("x")), rows.select("key", F.col("r").alias("y"))
-    apart = (F.col("x.node") < F.col("y.node")) & (F.col("x.component") != F.col("y.component"))
-    pairs = (
-        x.join(y, "key")
-        .where(apart & _may_link("x", "y", share))
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    links = materialize(_confirmed(pairs, sets, share), "links-found")
+    links = _last_links(labelled(members), known, sets, share)
     labels = materialize(_contract(labels, links), "labels")
 
     own = nodes.select("set_key", "node").join(labels, "node", "left")
