@@ -285,7 +285,7 @@ DENSE = {
     "sims": (
         [],
         f"SELECT q.vec_id AS qid, c.vec_id AS vec_id, c.label AS label, round({DOT.format('q.embedding', 'c.embedding')}, 9) AS score "
-        "FROM embeddings q, embeddings c",
+        "FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0",
     ),
     "near5": (
         ["sims"],
@@ -301,13 +301,14 @@ DENSE = {
 
 @query("j10_nearest_global", sql("SELECT qid, rank, vec_id, score FROM near5", "near5", extra=DENSE))
 def j10(t: Tables):
-    asked = t.embeddings.select(F.col("vec_id").alias("qid"), "embedding")
+    asked, _ = dense_inputs(t)
     found = dense.nearest(asked, t.embeddings, 5)
     return found.select("qid", whole("rank"), "vec_id", "score")
 
 
 def dense_inputs(t: Tables):
-    asked = t.embeddings.select(F.col("vec_id").alias("qid"), "embedding")
+    """Every twentieth vector asks; all are searched."""
+    asked = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), "embedding")
     stored = t.embeddings.select(F.col("label").alias("document_id"), F.col("vec_id").alias("sentence_id"), "embedding")
     return asked, stored
 
@@ -321,6 +322,7 @@ def j11(t: Tables):
     return found.select("qid", whole("rank"), "sentence_id", "score")
 
 
+UNIT = "list_transform(q.embedding, lambda x: CAST(x AS DOUBLE) / sqrt(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))))"
 TWO_STAGE = {
     "docs": (
         [],
@@ -330,12 +332,12 @@ TWO_STAGE = {
     "stage1": (
         ["docs"],
         "SELECT * FROM (SELECT qid, document_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, document_id) AS rank FROM "
-        f"(SELECT q.vec_id AS qid, d.document_id, round({DOT.format('q.embedding', 'd.embedding')}, 9) AS score FROM embeddings q, docs d)) WHERE rank <= 5",
+        f"(SELECT q.vec_id AS qid, d.document_id, round({DOT.format(UNIT, 'd.embedding')}, 9) AS score FROM embeddings q, docs d WHERE q.vec_id % 20 = 0)) WHERE rank <= 5",
     ),
     "stage2": (
         ["stage1"],
         "SELECT * FROM (SELECT qid, document_id, sentence_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, sentence_id) AS rank FROM "
-        f"(SELECT s.qid, s.document_id, e.vec_id AS sentence_id, round({DOT.format('q.embedding', 'e.embedding')}, 9) AS score "
+        f"(SELECT s.qid, s.document_id, e.vec_id AS sentence_id, round({DOT.format('list_transform(q.embedding, lambda x: -x)', 'e.embedding')}, 9) AS score "
         "FROM stage1 s JOIN embeddings e ON e.label = s.document_id JOIN embeddings q ON q.vec_id = s.qid)) WHERE rank <= 20",
     ),
 }
@@ -348,7 +350,10 @@ def b11(t: Tables):
     means = parts.groupBy("label", "i").agg(F.avg(F.col("e").cast("double")).alias("m"))
     ordered = F.array_sort(F.collect_list(F.struct("i", "m")))
     articles = means.groupBy(F.col("label").alias("document_id")).agg(F.transform(ordered, lambda s: s["m"]).alias("embedding"))
-    found = plan.two_stage_dense(asked, articles, stored, asked)
+    # The two stages ask with different vectors, so that a mix-up would show.
+    prompts = asked.select("qid", dense.normalized().alias("embedding"))
+    questions = asked.select("qid", F.transform("embedding", lambda x: -x).alias("embedding"))
+    found = plan.two_stage_dense(prompts, articles, stored, questions)
     return found.select("qid", whole("rank"), "sentence_id", "score")
 
 

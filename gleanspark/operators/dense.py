@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanspark.functions.scores import dot
-from gleanspark.operators.selection import draw_position, top_k
+from gleanspark.operators.selection import top_k
 
-# Queries are held in every task as one matrix; more of them take further passes.
-QUERY_BLOCK = 20_000
-# Queries multiplied with a batch at a time.
-ROWS = 512
+# Queries and items of one block: a task multiplies one block of each.
+QUERY_BLOCK = 2_000
+ITEM_BLOCK = 20_000
 SCORE_DIGITS = 9
 
 
@@ -30,86 +27,30 @@ def _best_columns(sims: np.ndarray, k: int) -> np.ndarray:
     return chosen
 
 
-def _block_scorer(ids: np.ndarray, matrix: np.ndarray, k: int, allowed: dict | None):
-    """Best k items per query over one whole task, kept as its batches pass by.
-
-    ``allowed`` maps a group to the rows of ``matrix`` that may see its items;
-    without it every query sees every item.
-    """
+def _scored(k: int):
+    """k best items of one block for each query of another."""
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best_sims = np.full((len(ids), k), -np.inf)
-        best_keys = None
-
-        def merge(rows: np.ndarray, keys: np.ndarray, found: np.ndarray) -> None:
-            for start in range(0, len(rows), ROWS):
-                part = rows[start : start + ROWS]
-                sims = np.round(matrix[part] @ found.T, SCORE_DIGITS)
-                columns = _best_columns(sims, k)
-                sims = np.concatenate([best_sims[part], np.take_along_axis(sims, columns, axis=1)], axis=1)
-                held = np.concatenate([best_keys[part], keys[columns]], axis=1)
-                place = np.lexsort((held, -sims), axis=1)[:, :k]
-                best_sims[part] = np.take_along_axis(sims, place, axis=1)
-                best_keys[part] = np.take_along_axis(held, place, axis=1)
-
-        everyone = np.arange(len(ids))
-        for batch in batches:
-            if batch.empty:
-                continue
-            # Ascending keys, so that equal scores keep the lower one.
-            batch = batch.sort_values("item", kind="stable")
-            keys = batch["item"].to_numpy()
-            found = np.stack(batch["embedding"].to_numpy()).astype(np.float64)
-            if best_keys is None:
-                best_keys = np.zeros((len(ids), k), dtype=keys.dtype)
-            if allowed is None:
-                merge(everyone, keys, found)
-                continue
-            for group, places in batch.groupby("part", sort=False).indices.items():
-                if group in allowed:
-                    merge(allowed[group], keys[places], found[places])
-        if best_keys is not None:
-            row, column = np.nonzero(best_sims > -np.inf)
-            yield pd.DataFrame(
-                {"query": ids[row], "item": best_keys[row, column], "score": best_sims[row, column]}
-            )
+    def score(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        if asked.empty or stored.empty:
+            return pd.DataFrame({"query": [], "item": [], "score": []})
+        # Ascending keys, so that equal scores keep the lower one.
+        stored = stored.sort_values("item", kind="stable")
+        items, queries = stored["item"].to_numpy(), asked["query"].to_numpy()
+        matrix = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
+        sims = np.round(matrix @ np.stack(stored["embedding"].to_numpy()).astype(np.float64).T, SCORE_DIGITS)
+        columns = _best_columns(sims, k)
+        row = np.repeat(np.arange(len(queries)), columns.shape[1])
+        return pd.DataFrame(
+            {"query": queries[row], "item": items[columns.ravel()], "score": sims[row, columns.ravel()]}
+        )
 
     return score
 
 
-def _scan(
-    queries: DataFrame,
-    corpus: DataFrame,
-    k: int,
-    block: int,
-    allowed: DataFrame | None = None,
-) -> DataFrame:
-    """``(query, rank, item, score)`` for ``queries(query, embedding)``, ``corpus(item, embedding[, part])``.
-
-    One pass over the corpus per block of queries, without shuffling it.
-    """
-    spark = corpus.sparkSession
-    total = queries.count()
-    if total > block:
-        queries = draw_position(queries, "query", 0, "at").withColumn("block", F.floor(F.col("at") / block))
-    else:
-        queries = queries.withColumn("block", F.lit(0))
-    kinds = {**dict(corpus.dtypes), **dict(queries.dtypes)}
-    schema = f"query {kinds['query']}, item {kinds['item']}, score double"
-    found = spark.createDataFrame([], schema)
-    for number in range(-(-total // block)):
-        inside = queries.where(F.col("block") == number)
-        # At most `block` vectors, and the few groups each of them may see.
-        held = inside.select("query", "embedding").toPandas()
-        ids = held["query"].to_numpy()
-        matrix = np.stack(held["embedding"].to_numpy()).astype(np.float64)
-        groups = None
-        if allowed is not None:
-            place = pd.Series(np.arange(len(ids)), index=ids)
-            pairs = allowed.join(inside.select("query"), "query", "left_semi").toPandas()
-            groups = {g: place[part["query"]].to_numpy() for g, part in pairs.groupby("part")}
-        found = found.unionByName(corpus.mapInPandas(_block_scorer(ids, matrix, k, groups), schema))
-    return top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
+def _blocks(df: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
+    """``df`` dealt into blocks of about ``size`` rows by a hash of the key, and their number."""
+    number = max(1, -(-df.count() // size))
+    return df.withColumn("own", F.pmod(F.xxhash64(key), F.lit(number)).cast("int")), number
 
 
 def nearest(
@@ -119,16 +60,22 @@ def nearest(
     query_key: str = "qid",
     item_key: str = "vec_id",
     block: int = QUERY_BLOCK,
+    item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """``(query_key, rank, item_key, score)``: top-k by inner product over the whole corpus.
 
-    The corpus is never shuffled: each task multiplies its batches with the query
-    matrix and gives k rows per query. A query set beyond one block is cut into
-    blocks of bounded size, each with its own pass over the corpus.
+    Queries and items are dealt into blocks, and each pair of blocks is one group
+    of bounded size on the executors that hands on k rows per query. No vector
+    passes the driver.
     """
-    asked = queries.select(F.col(query_key).alias("query"), "embedding")
-    stored = corpus.select(F.col(item_key).alias("item"), "embedding")
-    best = _scan(asked, stored, k, block)
+    asked, n_asked = _blocks(queries.select(F.col(query_key).alias("query"), "embedding"), "query", block)
+    stored, n_stored = _blocks(corpus.select(F.col(item_key).alias("item"), "embedding"), "item", item_block)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumnRenamed("own", "qb").withColumn("ib", every(n_stored))
+    right = stored.withColumnRenamed("own", "ib").withColumn("qb", every(n_asked))
+    schema = f"query {dict(asked.dtypes)['query']}, item {dict(stored.dtypes)['item']}, score double"
+    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(_scored(k), schema)
+    best = top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
     return best.select(F.col("query").alias(query_key), "rank", F.col("item").alias(item_key), "score")
 
 
@@ -140,18 +87,18 @@ def nearest_within(
     query_key: str = "qid",
     document_key: str = "document_id",
     item_key: str = "sentence_id",
-    block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Top-k sentences per query among the documents ``allowed(query_key, document_key)``.
 
-    The same pass as :func:`nearest`, each query seeing the sentences of its own
-    few documents only. A document with very many sentences stays spread over
-    the tasks that read it.
+    Each sentence meets the queries that may see its document in a join, which
+    Spark splits where a document is hot, and is scored there by built-in functions.
     """
-    asked = queries.select(F.col(query_key).alias("query"), "embedding")
     pairs = allowed.select(F.col(query_key).alias("query"), F.col(document_key).alias("part")).distinct()
+    asked = queries.select(F.col(query_key).alias("query"), F.col("embedding").alias("asked"))
     stored = sentences.select(F.col(document_key).alias("part"), F.col(item_key).alias("item"), "embedding")
-    best = _scan(asked, stored, k, block, pairs)
+    score = F.round(dot("asked", "embedding"), SCORE_DIGITS)
+    found = stored.join(pairs.join(asked, "query"), "part").select("query", "item", score.alias("score"))
+    best = top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
     return best.select(F.col("query").alias(query_key), "rank", F.col("item").alias(item_key), "score")
 
 

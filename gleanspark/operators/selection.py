@@ -13,11 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanspark.operators.ordering import running_total
+from gleanspark.runtime import broadcast_if_small
 
 # Spark trims groups before the shuffle for limits up to this (its default threshold).
 GROUP_LIMIT = 1_000
-# A single global limit of this many narrow rows is safe to merge in one task.
-ONE_TASK_ROWS = 100_000
 SALTS = 64
 
 
@@ -55,7 +54,7 @@ def longest(df: DataFrame, text: str, key: str, n: int) -> DataFrame:
 def draw_key(key: Column | str, seed: int) -> Column:
     """A seeded order that depends on the row's key alone."""
     key = F.col(key) if isinstance(key, str) else key
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("\u0000"))))
 
 
 def _number(digest: Column) -> Column:
@@ -72,12 +71,25 @@ def draw_position(df: DataFrame, key: str, seed: int, out: str = "draw") -> Data
 
 
 def sample_exact(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows, the same ones on every run. ``key`` must be unique."""
-    if n > ONE_TASK_ROWS:
-        return draw_position(df, key, seed).where(F.col("draw") < n).drop("draw")
-    # Only the keys are merged; the wide rows stay where they are and are semi-joined.
-    chosen = df.select(key).orderBy(draw_key(key, seed), key).limit(n)
-    return df.join(chosen, key, "left_semi")
+    """Exactly ``min(n, rows)`` rows, the same ones on every run and at every size.
+
+    Keys are drawn, with as many places as they have rows; a null key is a key
+    like any other. The one key that straddles the end gives its rows in order
+    of a hash of all their columns. Rows stay where they are: only keys are
+    ordered, and joined back.
+    """
+    names = df.columns
+    keys = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__c"))
+    digest = draw_key("__key", seed)
+    placed = running_total(
+        keys.withColumn("__d", digest).withColumn("__n", _number(digest)), "__n", F.col("__c"), "__at", ["__d", "__key"]
+    )
+    chosen = placed.where(F.col("__at") < n).select("__key", "__c", F.least("__c", n - F.col("__at")).alias("__take"))
+    rows = df.join(broadcast_if_small(chosen), F.col(key).eqNullSafe(F.col("__key")))
+    whole = rows.where("__take = __c").select(*names)
+    part = rows.where("__take < __c").withColumn("__n", F.xxhash64(*names).cast("double"))
+    part = running_total(part, "__n", None, "__at").where("__at < __take").select(*names)
+    return whole.unionByName(part)
 
 
 def sample_per_group(df: DataFrame, group: str, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -90,13 +102,17 @@ def sample_share(df: DataFrame, key: str, share: float, seed: int = 42) -> DataF
 
 
 def split_by_draw(df: DataFrame, key: str, sizes: dict[str, int], seed: int = 42) -> DataFrame:
-    """Disjoint named parts cut from one seeded order, in the order given."""
-    placed = draw_position(df, key, seed)
+    """Disjoint named parts cut from one seeded order, in the order given. ``key`` must be unique and not null.
+
+    Only keys are ordered; the rows are joined with their places.
+    """
+    placed = draw_position(df.select(key), key, seed)
     label, start = F.lit(None).cast("string"), 0
     for name, size in sizes.items():
         here = (F.col("draw") >= start) & (F.col("draw") < start + size)
         label, start = F.when(here, name).otherwise(label), start + size
-    return placed.where(F.col("draw") < start).withColumn("part", label)
+    drawn = placed.where(F.col("draw") < start).withColumn("part", label)
+    return df.join(broadcast_if_small(drawn), key)
 
 
 def mark_sample(df: DataFrame, key: str, n: int, seed: int = 42, out: str = "sampled") -> DataFrame:

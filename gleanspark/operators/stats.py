@@ -3,11 +3,17 @@
 A resample mean depends only on how often each score value occurs. So scores
 are counted once in Spark and the resampling works on the counts, at a cost that
 does not grow with the rows.
+
+A resample is a multinomial draw over the counted values, made in two steps: how
+many rows fall into each block of values, then how many on each value of a
+block. Values are dealt into blocks by a hash, and every draw is keyed by seed,
+group, resample and block, so the result is the same on any partitioning, and
+more values only mean fuller blocks, each in a task of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -21,51 +27,32 @@ from gleanspark.runtime import materialize
 # Z for the tabulated confidence levels.
 Z_BY_LEVEL = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 
-# Up to this many (group, value) counts are held by every resampling task.
-HELD_VALUES = 50_000
-
-
-def _multinomial(counts: pd.DataFrame, groups: list[str], seed: int):
-    """Resample means of every group for each resample number."""
-    if groups:
-        parts = [(key, part) for key, part in counts.groupby(groups, sort=True, dropna=False)]
-    else:
-        parts = [((), counts)]
-    held = [
-        (key, part["v"].to_numpy(np.float64), part["c"].to_numpy(np.int64)) for key, part in parts
-    ]
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for number in batch["id"]:
-                # Keyed by the resample number: the same draw on any partitioning.
-                rng = np.random.Generator(np.random.Philox(key=[seed, int(number)]))
-                for key, values, sizes in held:
-                    n = sizes.sum()
-                    rows.append((*key, int(number), float(rng.multinomial(n, sizes / n) @ values / n)))
-            yield pd.DataFrame(rows, columns=[*groups, "b", "m"])
-
-    return draw
-
-
-def _poisson(groups: list[str], resamples: int, seed: int):
-    """Poisson weights for counts of many distinct values, summed per batch."""
-
-    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = batch.groupby(groups, sort=False, dropna=False) if groups else [((), batch)]
-            for key, part in parts:
-                total, weight = np.zeros(resamples), np.zeros(resamples)
-                for value, count, salt in zip(part["v"], part["c"], part["h"]):
-                    rng = np.random.Generator(np.random.Philox(key=[seed, int(salt) & (2**64 - 1)]))
-                    drawn = rng.poisson(count, resamples)
-                    total += drawn * value
-                    weight += drawn
-                frame = pd.DataFrame({"b": np.arange(resamples), "t": total, "w": weight})
-                for name, part_key in zip(groups, key):
-                    frame.insert(0, name, part_key)
-                yield frame[[*groups, "b", "t", "w"]]
+# Blocks that the values of a group are dealt into. Part of the draw: another number is another draw.
+VALUE_BLOCKS = 256
+
+
+def _draw(groups: list[str], resamples: int, seed: int):
+    """Sum of the values that each resample draws from one block."""
+
+    def draw(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("v")
+        values, counts = block["v"].to_numpy(np.float64), block["c"].to_numpy(np.int64)
+        own, group = int(block["block"].iloc[0]), int(block["g"].iloc[0])
+        totals = sorted((t["block"], t["n"]) for t in block["totals"].iloc[0])
+        place = [b for b, _ in totals].index(own)
+        sizes = np.array([n for _, n in totals])
+        rows, shares, inside = int(sizes.sum()), sizes / sizes.sum(), counts / counts.sum()
+        sums = np.empty(resamples)
+        for number in range(resamples):
+            # All blocks of a group make the same first draw, and each takes its own number from it.
+            first = np.random.Generator(np.random.Philox(key=[seed, group << 32 | number]))
+            taken = first.multinomial(rows, shares)[place]
+            second = np.random.Generator(np.random.Philox(key=[seed + ((own + 1) << 32), group << 32 | number]))
+            sums[number] = second.multinomial(taken, inside) @ values
+        found = pd.DataFrame({"b": np.arange(resamples), "block": own, "t": sums / rows})
+        for name in groups:
+            found[name] = block[name].iloc[0]
+        return found[[*groups, "b", "block", "t"]]
 
     return draw
 
@@ -84,27 +71,32 @@ def resample_means(
 ) -> DataFrame:
     """``(groups…, b, m)``: the mean of each bootstrap resample of ``counted(groups…, v, c)``."""
     groups = list(groups)
-    spark = counted.sparkSession
     kinds = dict(counted.dtypes)
     named = "".join(f"`{g}` {kinds[g]}, " for g in groups)
-    # Bounded: one row more than the limit is enough to know it is exceeded.
-    held = counted.limit(HELD_VALUES + 1).toPandas()
-    if len(held) <= HELD_VALUES:
-        held = held.sort_values([*groups, "v"]).reset_index(drop=True)
-        tasks = max(1, min(resamples // 250, spark.sparkContext.defaultParallelism))
-        numbers = spark.range(0, resamples, 1, tasks)
-        return numbers.mapInPandas(
-            _multinomial(held, groups, seed), f"{named}b bigint, m double"
-        )
-    salted = counted.withColumn("h", F.xxhash64(*groups, "v"))
-    summed = salted.mapInPandas(
-        _poisson(groups, resamples, seed), f"{named}b bigint, t double, w double"
+    # xxhash64 skips nulls: a null group and no group at all have the same number, which only shares a draw.
+    dealt = counted.select(
+        *groups, "v", "c",
+        F.pmod(F.xxhash64("v"), F.lit(VALUE_BLOCKS)).cast("int").alias("block"),
+        (F.pmod(F.xxhash64(F.lit("group"), *groups), F.lit(1 << 30))).alias("g"),
+    )
+    sizes = dealt.groupBy(*groups, "block").agg(F.sum("c").alias("n"))
+    # At most VALUE_BLOCKS entries a group.
+    totals = sizes.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(
+        F.collect_list(F.struct("block", "n")).alias("totals")
     )
+    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups] or [F.lit(True)]
+    # Without groups the right side is one row.
+    both = dealt.join(totals, same) if groups else dealt.crossJoin(F.broadcast(totals))
+    both = both.drop(*[f"__{g}" for g in groups])
+    drawn = both.groupBy(*groups, "block").applyInPandas(
+        _draw(groups, resamples, seed), f"{named}b bigint, block int, t double"
+    )
+    # At most VALUE_BLOCKS numbers, summed in one order so that the last digit is always the same.
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "t"))), lambda x: x["t"])
     return (
-        summed.groupBy(*groups, "b")
-        .agg(F.sum("t").alias("t"), F.sum("w").alias("w"))
-        .where(F.col("w") > 0)
-        .select(*groups, "b", (F.col("t") / F.col("w")).alias("m"))
+        drawn.groupBy(*groups, "b")
+        .agg(parts.alias("parts"))
+        .select(*groups, "b", F.aggregate("parts", F.lit(0.0), lambda acc, t: acc + t).alias("m"))
     )
 
 

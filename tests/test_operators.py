@@ -64,18 +64,26 @@ def test_keep_first_treats_nulls_as_equal(spark):
     assert sorted(r.i for r in selection.keep_first(frame, ["k"], ["i"]).collect()) == [1, 3]
 
 
-def test_sampling_does_not_depend_on_partitioning(spark, monkeypatch):
+def test_sampling_does_not_depend_on_partitioning(spark):
     frame = spark.range(1000).withColumnRenamed("id", "k")
     first = {r.k for r in selection.sample_exact(frame, "k", 50).collect()}
     assert len(first) == 50
     assert first == {r.k for r in selection.sample_exact(frame.repartition(13), "k", 50).collect()}
-    monkeypatch.setattr(selection, "ONE_TASK_ROWS", 10)
-    assert first == {r.k for r in selection.sample_exact(frame, "k", 50).collect()}
     assert selection.sample_exact(frame, "k", 5000).count() == 1000
     shares = selection.sample_share(frame, "k", 0.14).count()
     assert 90 < shares < 190
 
 
+def test_exact_sample_with_nulls_and_repeats(spark):
+    rows = [(None, 1), ("a", 2), ("a", 3), ("a", 3), ("b", 4), ("c", 5), (None, 6)]
+    frame = spark.createDataFrame(rows, "k string, v int")
+    for n in range(9):
+        got = sorted(map(repr, selection.sample_exact(frame, "k", n).collect()))
+        assert len(got) == min(n, len(rows))
+        again = selection.sample_exact(frame.repartition(5), "k", n).collect()
+        assert got == sorted(map(repr, again))
+
+
 def test_split_parts_are_disjoint_and_nested_draws_agree(spark):
     frame = spark.range(300).select(F.col("id").cast("string").alias("k"))
     small = selection.split_by_draw(frame, "k", {"monitor": 50, "train": 20})
@@ -303,7 +311,7 @@ def test_nearest_equals_numpy(spark, block):
     frame = spark.createDataFrame([(i, int(i % 5), v.tolist()) for i, v in enumerate(vectors)], "vec_id long, document_id int, embedding array<double>").repartition(5)
     asked = frame.select(F.col("vec_id").alias("qid"), "embedding").where("qid < 20")
     got = defaultdict(list)
-    for r in dense.nearest(asked, frame, 6, block=block).orderBy("qid", "rank").collect():
+    for r in dense.nearest(asked, frame, 6, block=block, item_block=2 * block).orderBy("qid", "rank").collect():
         got[r.qid].append(r.vec_id)
     sims = vectors @ vectors.T
     for q in range(20):
@@ -312,7 +320,7 @@ def test_nearest_equals_numpy(spark, block):
     allowed = spark.createDataFrame([(q, d) for q in range(19) for d in (q % 5, (q + 1) % 5)], "qid long, document_id int")
     stored = frame.withColumnRenamed("vec_id", "sentence_id")
     inside = defaultdict(list)
-    for r in dense.nearest_within(asked, allowed, stored, 4, block=block).orderBy("qid", "rank").collect():
+    for r in dense.nearest_within(asked, allowed, stored, 4).orderBy("qid", "rank").collect():
         inside[r.qid].append(r.sentence_id)
     for q in range(19):
         open_ = [i for i in range(60) if i % 5 in (q % 5, (q + 1) % 5)]
@@ -342,14 +350,18 @@ def test_bootstrap_is_the_same_on_any_partitioning(spark):
     assert a == stats.bootstrap_ci(frame.repartition(9), resamples=1000).first()
 
 
-def test_bootstrap_with_many_distinct_values(spark, monkeypatch):
-    values = np.random.default_rng(2).normal(3, 1, size=500)
-    held = stats.bootstrap_ci(score_frame(spark, values), resamples=2000).first()
-    monkeypatch.setattr(stats, "HELD_VALUES", 50)
-    spread = stats.bootstrap_ci(score_frame(spark, values).withColumn("g", F.lit("x")), groups=["g"], resamples=2000).first()
-    assert abs(held["ci_lower"] - spread["ci_lower"]) < 0.02 and abs(held["ci_upper"] - spread["ci_upper"]) < 0.02
-    hashed = stats.hashed_bootstrap_ci(score_frame(spark, values), resamples=1000).first()
-    assert abs(hashed["ci_lower"] - held["ci_lower"]) < 0.03
+def test_bootstrap_with_many_distinct_values(spark):
+    values = [((i * 37) % 1009) / 100 for i in range(1009)]
+    frame = score_frame(spark, values)
+    row = stats.bootstrap_ci(frame, resamples=2000).first()
+    again = stats.bootstrap_ci(frame.repartition(7), resamples=2000).first()
+    assert (row.ci_lower, row.ci_upper) == (again.ci_lower, again.ci_upper)
+    rng = np.random.default_rng(1)
+    means = rng.choice(values, (4000, len(values))).mean(axis=1)
+    assert row.ci_lower == pytest.approx(np.quantile(means, 0.025), abs=0.02)
+    assert row.ci_upper == pytest.approx(np.quantile(means, 0.975), abs=0.02)
+    hashed = stats.hashed_bootstrap_ci(frame, resamples=1000).first()
+    assert hashed.ci_lower == pytest.approx(row.ci_lower, abs=0.05)
 
 
 def test_random_ranking_interval_contains_the_baseline(spark):
