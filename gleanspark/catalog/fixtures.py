@@ -15,11 +15,11 @@ from gleanspark.functions.text import ENGLISH_STOPWORDS, words
 from gleanspark.operators.bm25 import Bm25Index, build_index
 from gleanspark.operators.corpus import explode_chunks
 from gleanspark.operators.joins import within
-from gleanspark.operators.selection import keep_first, sample_exact
+from gleanspark.operators.selection import keep_first, sample_share
 from gleanspark.runtime import use_all_cores
 from gleanspark.schemas import OPTION_COLUMNS
 
-DEV_ROWS = 100
+DEV_SHARE = 0.1
 
 
 class Tables:
@@ -143,9 +143,9 @@ class Tables:
 
     @cached_property
     def dev(self) -> DataFrame:
-        """A seeded sample of pool rows with distinct prompts."""
+        """A seeded share of the pool rows with distinct prompts."""
         unique = keep_first(self.pool, ["prompt"], ["doc_id"])
-        return sample_exact(unique, "doc_id", DEV_ROWS)
+        return sample_share(unique, "doc_id", DEV_SHARE)
 
     def logits(self, arm: int) -> DataFrame:
         base = (F.col("qid") * 7919 + F.col("option_no") * 104729 + arm * 1299709) % 1000
@@ -284,7 +284,7 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "dev": (
         ["pool"],
         "SELECT * FROM pool WHERE doc_id IN (SELECT min(doc_id) FROM pool GROUP BY prompt) "
-        f"ORDER BY md5('42|' || doc_id) LIMIT {DEV_ROWS}",
+        f"AND CAST(('0x' || substr(md5('42|' || doc_id), 1, 13)) AS BIGINT) < {DEV_SHARE} * CAST(16 AS DOUBLE) ** 13",
     ),
     "logits": (
         ["option_rows"],

@@ -116,6 +116,7 @@ def q9(t: Tables):
     return quality.contamination(t.gold, t.pool).select("source", "n_shared", rounded("share"))
 
 
-@query("q10_dev_has_no_repeats", sql("SELECT count(*) AS n_rows, count(DISTINCT prompt) AS n_distinct, count(*) - count(DISTINCT prompt) AS n_repeated FROM dev", "dev"))
+@query("q10_dev_has_no_repeats", sql("SELECT count(*) AS n_rows, count(DISTINCT prompt) AS n_distinct, count(*) - count(DISTINCT prompt) AS n_repeated FROM (SELECT prompt FROM dev UNION ALL SELECT prompt FROM pool)", "dev", "pool"))
 def q10(t: Tables):
-    return quality.repeated_values(t.dev, "prompt")
+    """The audit on rows that do repeat: the dev rows beside the pool they were drawn from."""
+    return quality.repeated_values(t.dev.select("prompt").unionByName(t.pool.select("prompt")), "prompt")

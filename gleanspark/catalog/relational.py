@@ -22,14 +22,14 @@ def count(name: str = "n_rows"):
 @query(
     "j1_attach_on_all_keys",
     sql(
-        f"SELECT l.doc_id, r.context FROM dev l LEFT JOIN (SELECT {KEY_LIST}, min(context) AS context FROM pool_all GROUP BY ALL) r ON {KEY_SQL}",
-        "dev",
+        f"SELECT l.doc_id, r.context FROM pool l LEFT JOIN (SELECT {KEY_LIST}, min(context) AS context FROM pool_all GROUP BY ALL) r ON {KEY_SQL}",
+        "pool",
         "pool_all",
     ),
 )
 def j1(t: Tables):
     source = t.pool_all.groupBy(*QUESTION_KEY).agg(F.min("context").alias("context"))
-    attached = joins.attach(t.dev.drop("context"), source, QUESTION_KEY, ["context"])
+    attached = joins.attach(t.pool.drop("context"), source, QUESTION_KEY, ["context"])
     return joins.require_attached(attached, "doc_id", "context").select("doc_id", "context")
 
 
@@ -226,7 +226,8 @@ def a2(t: Tables):
 )
 def a3(t: Tables):
     found = ordering.exact_quantiles(t.documents, "n_chars", [0.1, 0.5, 0.9])
-    return t.spark.createDataFrame([tuple(float(round(q, 6)) for q in found)], "p10 double, p50 double, p90 double")
+    at = lambda p: F.round(F.max(F.when(F.col("prob") == p, F.col("quantile"))), 6)
+    return found.agg(at(0.1).alias("p10"), at(0.5).alias("p50"), at(0.9).alias("p90"))
 
 
 @query("a4_value_counts", sql("SELECT source, answer, count(*) AS n_rows FROM pool_all GROUP BY ALL", "pool_all"))

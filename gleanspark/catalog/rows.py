@@ -78,41 +78,48 @@ def p5(t: Tables):
     return rows.select("qid", long("option_no"), Q.option_query("prompt", "option").alias("query"))
 
 
-CTX = {"ctx": (["option_rows"], "SELECT o.*, d.text AS context FROM option_rows o JOIN documents d ON d.doc_id = o.qid")}
+CTX = {
+    "ctx": (
+        ["option_rows"],
+        "SELECT o.*, d.doc_id, d.text AS context FROM option_rows o JOIN documents d ON d.doc_id % (SELECT max(item_id) + 1 FROM benchmark) = o.qid",
+    )
+}
 
 
 def with_context(t: Tables):
-    context = t.documents.select(F.col("doc_id").alias("qid"), F.col("text").alias("context"))
+    """Every document as the context of one question's options."""
+    last = F.broadcast(t.benchmark.agg((F.max("item_id") + 1).alias("n")))  # one row
+    context = t.documents.crossJoin(last).select((F.col("doc_id") % F.col("n")).alias("qid"), "doc_id", F.col("text").alias("context"))
     return t.option_rows.join(context, "qid")
 
 
-@query("p6_layout_pair", sql("SELECT qid, option_no, md5(context) AS first_md5, prompt || ' ' || option AS second FROM ctx", "ctx", extra=CTX))
+@query("p6_layout_pair", sql("SELECT doc_id, qid, option_no, md5(context) AS first_md5, prompt || ' ' || option AS second FROM ctx", "ctx", extra=CTX))
 def p6(t: Tables):
-    rows = with_context(t).select("qid", long("option_no"), *Q.layout_pair("context", "prompt", "option"))
-    return rows.select("qid", "option_no", digest("first", "first_md5"), "second")
+    rows = with_context(t).select("doc_id", "qid", long("option_no"), *Q.layout_pair("context", "prompt", "option"))
+    return rows.select("doc_id", "qid", "option_no", digest("first", "first_md5"), "second")
 
 
 @query(
     "p7_layout_inference",
-    sql("SELECT qid, option_no, md5(substr(context, 1, 1750) || ' #### ' || prompt) AS first_md5, option AS second FROM ctx", "ctx", extra=CTX),
+    sql("SELECT doc_id, qid, option_no, md5(substr(context, 1, 1750) || ' #### ' || prompt) AS first_md5, option AS second FROM ctx", "ctx", extra=CTX),
 )
 def p7(t: Tables):
-    rows = with_context(t).select("qid", long("option_no"), *Q.layout_inference("context", "prompt", "option"))
-    return rows.select("qid", "option_no", digest("first", "first_md5"), "second")
+    rows = with_context(t).select("doc_id", "qid", long("option_no"), *Q.layout_inference("context", "prompt", "option"))
+    return rows.select("doc_id", "qid", "option_no", digest("first", "first_md5"), "second")
 
 
 @query(
     "p8_layout_training",
     sql(
-        "SELECT qid, option_no, md5('[CLS] ' || context) AS first_md5, "
+        "SELECT doc_id, qid, option_no, md5('[CLS] ' || context) AS first_md5, "
         "' #### ' || prompt || ' [SEP] ' || option || ' [SEP]' AS second FROM ctx",
         "ctx",
         extra=CTX,
     ),
 )
 def p8(t: Tables):
-    rows = with_context(t).select("qid", long("option_no"), *Q.layout_training("context", "prompt", "option"))
-    return rows.select("qid", "option_no", digest("first", "first_md5"), "second")
+    rows = with_context(t).select("doc_id", "qid", long("option_no"), *Q.layout_training("context", "prompt", "option"))
+    return rows.select("doc_id", "qid", "option_no", digest("first", "first_md5"), "second")
 
 
 @query(

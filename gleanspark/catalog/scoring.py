@@ -312,7 +312,7 @@ def ensemble_arms(t: Tables):
     """``(arm, qid, score)`` of reader r0, every weight and the rank fusion."""
     mixed = readers.weighted_readers(t.both_logits, "r0", "r1", WEIGHTS)
     weights = readers.precision_rows(mixed, t.answers, 3, ["weight", "qid"])
-    named = weights.select(F.concat(F.lit("zavg_w"), F.col("weight").cast("string")).alias("arm"), "qid", "score")
+    named = weights.select(F.concat(F.lit("mix_"), F.col("weight").cast("string")).alias("arm"), "qid", "score")
     fused = readers.precision_rows(readers.fuse_readers(t.both_logits), t.answers).select(F.lit("rrf").alias("arm"), "qid", "score")
     return arm(t, "r0").unionByName(named).unionByName(fused)
 
@@ -321,7 +321,7 @@ ARMS = {
     "ens": (
         ["scores", "logits", "answers"],
         "SELECT 'r0' AS arm, 0 AS config_no, qid, score FROM scores WHERE arm = 'r0' UNION ALL "
-        "SELECT 'zavg_w' || CAST(weight AS VARCHAR), CASE weight WHEN 0.2 THEN 1 WHEN 0.35 THEN 2 ELSE 3 END, qid, score FROM (" + ap_sql(MIXED, "weight, qid") + ") UNION ALL "
+        "SELECT 'mix_' || CAST(weight AS VARCHAR), CASE weight WHEN 0.2 THEN 1 WHEN 0.35 THEN 2 ELSE 3 END, qid, score FROM (" + ap_sql(MIXED, "weight, qid") + ") UNION ALL "
         "SELECT 'rrf', 4, qid, score FROM (" + ap_sql(FUSED) + ")",
     ),
     "deltas": (["ens"], "SELECT e.arm, e.qid, e.score - b.score AS d FROM ens e JOIN ens b ON b.qid = e.qid AND b.arm = 'r0' WHERE e.arm <> 'r0'"),
@@ -338,7 +338,7 @@ ARMS = {
     sql("SELECT arm AS config, round(m, 9) AS mean FROM (SELECT arm, config_no, avg(score) AS m FROM ens GROUP BY ALL) ORDER BY round(m, 12) DESC, config_no LIMIT 1", "ens", extra=ARMS),
 )
 def e6(t: Tables):
-    order = ["r0", *[f"zavg_w{w}" for w in WEIGHTS], "rrf"]
+    order = ["r0", *[f"mix_{w}" for w in WEIGHTS], "rrf"]
     number = F.array_position(F.array(*[F.lit(a) for a in order]), F.col("arm"))
     report = ensemble_arms(t).groupBy(F.col("arm").alias("config"), number.alias("config_no")).agg(F.avg("score").alias("mean"))
     return readers.select_config(report).select("config", rounded("mean"))

@@ -103,18 +103,22 @@ def s9(t: Tables):
     )
 
 
-@query("s9_articles_by_letter", "SELECT lower(substr(text, 1, 1)) AS letter, count(*) AS n_rows FROM documents WHERE regexp_matches(lower(substr(text, 1, 1)), '^[a-z]$') GROUP BY 1")
+@query(
+    "s9_articles_by_letter",
+    "SELECT CASE WHEN regexp_matches(lower(substr(text, 1, 1)), '^[a-z]$') THEN lower(substr(text, 1, 1)) ELSE 'other' END AS letter, count(*) AS n_rows "
+    "FROM documents GROUP BY 1",
+)
 def s9_letters(t: Tables):
     path = scratch_path(t.spark, "letters")
     W.write_articles_by_letter(t.documents.select("doc_id", F.col("text").alias("title")), path)
     stored = t.spark.read.schema("doc_id long, title string, letter string").parquet(path)
-    return stored.where(F.col("letter") != "other").groupBy("letter").agg(count())
+    return stored.groupBy("letter").agg(count())
 
 
-@query("s10_csv_sink", sql(f"SELECT {PROFILE} FROM dev", "dev"))
+@query("s10_csv_sink", sql(f"SELECT {PROFILE} FROM pool", "pool"))
 def s10(t: Tables):
-    path = scratch_path(t.spark, "dev")
-    W.write_csv(t.dev.select(*QUESTION_KEY), path)
+    path = scratch_path(t.spark, "pool-csv")
+    W.write_csv(t.pool.select(*QUESTION_KEY), path)
     return profile(R.read_pool(t.spark, [path]))
 
 

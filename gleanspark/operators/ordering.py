@@ -71,8 +71,8 @@ def running_total(
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[float | None]:
-    """Exact, linearly interpolated quantiles of one numeric column.
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> DataFrame:
+    """``(prob, quantile)``: exact, linearly interpolated quantiles of one numeric column; null without a value.
 
     Equal values are counted first. A modest number of distinct values goes to
     the built-in ``percentile``; more are ranked by :func:`running_total`.
@@ -82,22 +82,24 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float]) -> list[f
         .groupBy(F.col(value).cast("double").alias("v"))
         .agg(F.count(F.lit(1)).alias("c"))
     )
-    size = counted.agg(F.count(F.lit(1)).alias("d"), F.sum("c").alias("n")).first()
-    if not size["n"]:
-        return [None for _ in probs]
-    if size["d"] <= PERCENTILE_VALUES:
-        found = counted.agg(F.percentile("v", F.array(*[F.lit(p) for p in probs]), F.col("c")).alias("q"))
-        return list(found.first()["q"])
-    placed = running_total(counted, "v", F.col("c"), "at")
-    spots = []
-    for i, p in enumerate(probs):
-        exact = p * (size["n"] - 1)
-        for name, spot in ((f"lo{i}", int(exact)), (f"hi{i}", min(int(exact) + 1, size["n"] - 1))):
-            here = (F.col("at") <= spot) & (F.col("at") + F.col("c") > spot)
-            spots.append(F.max(F.when(here, F.col("v"))).alias(name))
-    row = placed.agg(*spots).first()
-    result = []
-    for i, p in enumerate(probs):
-        part = p * (size["n"] - 1) % 1
-        result.append(row[f"lo{i}"] + (row[f"hi{i}"] - row[f"lo{i}"]) * part)
-    return result
+    asked = F.array(*[F.lit(float(p)) for p in probs])
+    if counted.limit(PERCENTILE_VALUES + 1).count() <= PERCENTILE_VALUES:
+        found = counted.agg(F.percentile("v", asked, F.col("c")).alias("q"))
+    else:
+        placed = running_total(counted, "v", F.col("c"), "at")
+        total = counted.agg(F.sum("c").alias("total"))
+        spots = placed.crossJoin(F.broadcast(total))  # one row
+        exact = [F.lit(float(p)) * (F.col("total") - 1) for p in probs]
+
+        def at(spot: Column) -> Column:
+            spot = F.least(spot, F.col("total") - 1)
+            return F.max(F.when((F.col("at") <= spot) & (F.col("at") + F.col("c") > spot), F.col("v")))
+
+        ends = [at(F.floor(e)).alias(f"lo{i}") for i, e in enumerate(exact)]
+        ends += [at(F.floor(e) + 1).alias(f"hi{i}") for i, e in enumerate(exact)]
+        row = spots.agg(F.max("total").alias("total"), *ends)
+        values = [F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (e - F.floor(e)) for i, e in enumerate(exact)]
+        found = row.select(F.array(*values).alias("q"))
+    q = F.coalesce("q", F.array_repeat(F.lit(None).cast("double"), len(probs)))
+    pairs = F.explode(F.arrays_zip(asked.alias("prob"), q.alias("quantile")))
+    return found.select(pairs.alias("x")).select(F.col("x.prob").alias("prob"), F.col("x.quantile").alias("quantile"))

@@ -42,14 +42,12 @@ def length_scorer(first: pd.Series, second: pd.Series) -> pd.Series:
     return second.str.len()
 
 
-def overlap_scorer(first: pd.Series, second: pd.Series) -> pd.Series:
-    """Share of the second segment's distinct words that the first one has."""
-    return pd.Series(
-        [
-            len(set(a.lower().split()) & set(b.lower().split())) / max(len(set(b.lower().split())), 1)
-            for a, b in zip(first, second)
-        ]
-    )
+def overlap_scores(pairs: DataFrame, keys: Sequence[str] = ("qid", "option_no")) -> DataFrame:
+    """``(keys…, logit)``: share of the second segment's distinct words that the first one has."""
+    words = lambda c: F.array_remove(F.array_distinct(F.split(F.lower(c), r"\s+")), "")
+    shared = F.size(F.array_intersect(words("first"), words("second")))
+    share = shared / F.greatest(F.size(words("second")), F.lit(1))
+    return pairs.select(*keys, F.coalesce(share, F.lit(0.0)).alias("logit"))
 
 
 def _sortable(logit: Column) -> Column:

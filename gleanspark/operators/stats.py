@@ -165,7 +165,7 @@ def bootstrap_ci(
     groups = list(groups)
     counted = materialize(count_values(scores, value, groups), "counts")
     if counted.isEmpty():
-        raise ValueError("cannot bootstrap an empty set of scores")
+        raise ValueError("there are no scores to resample: give at least one row with a score")
     bounds = interval(resample_means(counted, groups, resamples, seed), groups, ci)
     return _with_mean(counted, groups, bounds)
 
@@ -218,7 +218,7 @@ def paired_bootstrap(
 def detectable_effect(difference: Column | str, ci: float = 0.95) -> Column:
     """Smallest mean difference the rows could resolve: z · sd / √n, as an aggregate."""
     if ci not in Z_BY_LEVEL:
-        raise ValueError(f"no z value tabulated for ci={ci}")
+        raise ValueError(f"give ci as one of {sorted(Z_BY_LEVEL)}, not {ci}")
     difference = F.col(difference) if isinstance(difference, str) else difference
     return F.lit(Z_BY_LEVEL[ci]) * F.stddev_samp(difference) / F.sqrt(F.count(difference))
 

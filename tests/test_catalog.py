@@ -6,9 +6,10 @@ import pytest
 from check import connect, differences
 
 import __spark_entry__ as entry
+from gleanspark.catalog import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
-NAMES = sorted(entry.queries())
+NAMES = sorted(QUERIES)
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="test tables are not here")
 
 
