@@ -149,9 +149,8 @@ def j6(t: Tables):
 @query("b4_saved_index", view("SELECT qid, rank, chunk_id, round(score, 6) AS score FROM s_ranked WHERE rank <= 5", "s_ranked"))
 def b4(t: Tables):
     path = scratch_path(t.spark, "index")
-    table = "bm25_" + path.rsplit("-", 1)[1]
-    save_index(t.index, path, table, buckets=8)
-    index = load_index(t.spark, path, table)
+    save_index(t.index, path, folders=16)
+    index = load_index(t.spark, path)
     found = search(index, support.question_queries(t.questions), 5)
     return found.select("qid", whole("rank"), "chunk_id", rounded("score"))
 

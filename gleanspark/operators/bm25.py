@@ -1,18 +1,21 @@
 """BM25 over chunks as joins and aggregations.
 
-The index is three tables: postings ``(chunk_id, term, tf, dl)``, document
-frequencies ``(term, df)`` and one row of corpus totals. Postings are laid out
-by chunk, so everything known about one chunk sits in one partition: term
-counts, score sums and a first top-k cut need no further shuffle, and a term in
-a third of all chunks is spread like any other. Only k rows per query and
-partition travel to the final top-k.
+Building an index reads and tokenizes the chunks once and writes a row per
+chunk with its terms and their counts; document frequencies and corpus totals
+come from that. A search deals those rows by chunk, so everything known about a
+chunk sits in one partition: score sums and a first top-k cut need no further
+shuffle, and a term in a third of all chunks is spread like any other. Only k
+rows per query and partition travel to the final top-k.
+
+A saved index lies in folders by a hash of the term. A search reads only the
+folders of its terms and sums its matches by query and chunk.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.functions.text import ENGLISH_STOPWORDS, tokens
@@ -39,37 +42,47 @@ class Bm25Index:
     terms: DataFrame
     totals: DataFrame
     parameters: Bm25Parameters
-    stored: bool = False
+    # Folders of a saved index; none for one that lies by chunk.
+    folders: int | None = None
+
+
+def with_term_counts(rows: DataFrame, found: str) -> DataFrame:
+    """``rows`` with ``x``: a struct ``(term, tf)`` for each distinct token of the sorted array ``found``.
+
+    Runs of equal tokens; no shuffle, one pass over the tokens.
+    """
+    starts = F.filter(
+        F.transform(found, lambda t, i: F.when((i == 0) | (t != F.get(found, i - 1)), i)), lambda i: i.isNotNull()
+    )
+    count = lambda at, j: F.coalesce(F.get("starts", j + 1), F.size(found)) - at
+    runs = F.transform(
+        "starts",
+        lambda at, j: F.struct(F.get(found, at).alias("term"), count(at, j).cast("long").alias("tf")),
+    )
+    # The starts are a column of their own: inside the lambda they would be worked out again for each token.
+    return rows.withColumn("starts", starts).withColumn("x", F.explode(runs)).drop("starts")
 
 
 def build_index(
     chunks: DataFrame, parameters: Bm25Parameters | None = None, text: str = "text"
 ) -> Bm25Index:
-    """Describe the index of ``chunks(chunk_id, text)``. Nothing runs until it is used or saved."""
+    """The index of ``chunks(chunk_id, text)``, written to the shared folder in one pass over the chunks."""
     parameters = parameters or Bm25Parameters()
-    tokenized = (
-        chunks.select("chunk_id", text)
-        .repartition("chunk_id")
-        .select("chunk_id", tokens(text, parameters.stopwords).alias("tokens"))
-        .select("chunk_id", "tokens", F.size("tokens").cast("long").alias("dl"))
-    )
-    # The outer form keeps the optimizer from tokenizing once more below the
-    # shuffle just to drop chunks without tokens.
-    postings = (
-        tokenized.select("chunk_id", "dl", F.explode_outer("tokens").alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("chunk_id", "dl", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-        .select("chunk_id", "term", "tf", "dl")
-    )
-    # Counted where the chunks are read: only partial counts per term are shuffled.
-    once = chunks.select(F.explode_outer(F.array_distinct(tokens(text, parameters.stopwords))).alias("term"))
-    terms = once.where(F.col("term").isNotNull()).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    sizes = chunks.select(F.size(tokens(text, parameters.stopwords)).cast("long").alias("dl"))
-    totals = sizes.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_dl"))
+    found = F.sort_array(tokens(text, parameters.stopwords))
+    rows = chunks.select("chunk_id", found.alias("t")).select("chunk_id", F.size("t").cast("long").alias("dl"), "t")
+    # The sorted tokens are a column of their own, so that their runs do not tokenize again.
+    rows = materialize(rows, "chunk-tokens")
+    by_chunk = with_term_counts(rows.repartition("chunk_id"), "t")
+    postings = by_chunk.select("chunk_id", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), "dl")
+    terms = rows.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    totals = rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_dl"))
     return Bm25Index(postings, terms, totals, parameters)
 
 
+def _folder(folders: int) -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int")
+
+
 def query_terms(
     queries: DataFrame, parameters: Bm25Parameters, keys: list[str], query: str = "query"
 ) -> DataFrame:
@@ -94,13 +107,18 @@ def score_chunks(
     known = index.terms.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
     weighed = wanted.join(known, "term").select(*keys, "term", (F.col("qtf") * idf).alias("weight"))
 
+    postings = index.postings
+    if index.folders:
+        # At most as many numbers as there are folders.
+        asked = known.select(_folder(index.folders).alias("folder")).distinct().collect()
+        postings = postings.where(F.col("folder").isin([r["folder"] for r in asked])).drop("folder")
     if small:
         # No larger than the counted query terms.
-        matched = index.postings.join(F.broadcast(weighed), "term")
+        matched = postings.join(F.broadcast(weighed), "term")
     else:
         # Too many to hold everywhere: shuffle by term, hot terms in pieces, and
         # bring the matches back to their chunk.
-        postings = index.postings if index.stored else materialize(index.postings, "postings")
+        postings = postings if index.folders else materialize(postings, "postings")
         left, right = spread_hot_keys(postings, materialize(weighed, "weights"), ["term"])
         matched = left.join(right, ["term", "salt"]).drop("salt").repartition("chunk_id")
     avg_dl = F.lit(float(totals["avg_dl"] or 0.0))
@@ -127,25 +145,21 @@ def search(
     return top_k(scored, keys, order, k).select(*keys, "rank", "chunk_id", "score")
 
 
-def save_index(index: Bm25Index, path: str, table: str, buckets: int = 200) -> None:
-    """Write the index; postings become a bucketed table so later searches skip the shuffle.
+def save_index(index: Bm25Index, path: str, folders: int = 200) -> None:
+    """Write the index: postings in ``folders`` folders by a hash of the term, sorted by term.
 
-    Each bucket holds a share of the chunks, sorted by term, so the row groups
-    of terms a search does not ask for are skipped.
+    A folder has several files, dealt by chunk, so that a term in very many chunks does not make one task.
     """
-    spark = index.postings.sparkSession
+    placed = index.postings.withColumn("folder", _folder(folders))
+    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
     (
-        index.postings.repartition(buckets, "chunk_id")
+        placed.repartition("folder", spread)
+        .sortWithinPartitions("folder", "term")
         .write.mode("overwrite")
-        .bucketBy(buckets, "chunk_id")
-        .sortBy("term")
-        .option("path", f"{path}/postings")
-        .saveAsTable(table)
-    )
-    stored = spark.table(table)
-    stored.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(
-        f"{path}/terms"
+        .partitionBy("folder")
+        .parquet(f"{path}/postings")
     )
+    index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     p = index.parameters
     index.totals.select(
         "n_chunks",
@@ -154,25 +168,20 @@ def save_index(index: Bm25Index, path: str, table: str, buckets: int = 200) -> N
         F.lit(p.b).alias("b"),
         F.lit(p.query_tf).alias("query_tf"),
         F.array(*[F.lit(w) for w in p.stopwords]).cast("array<string>").alias("stopwords"),
-        F.lit(buckets).alias("buckets"),
+        F.lit(folders).alias("folders"),
     ).write.mode("overwrite").parquet(f"{path}/totals")
 
 
-def load_index(spark: SparkSession, path: str, table: str) -> Bm25Index:
-    """Open a saved index, declaring its bucketed table where the session does not know it."""
+def load_index(spark: SparkSession, path: str) -> Bm25Index:
+    """Open a saved index."""
     totals = spark.read.parquet(f"{path}/totals")
     row = totals.first()
-    if not spark.catalog.tableExists(table):
-        spark.sql(
-            f"CREATE TABLE {table} (chunk_id BIGINT, term STRING, tf BIGINT, dl BIGINT) "
-            f"USING parquet CLUSTERED BY (chunk_id) SORTED BY (term) INTO {row['buckets']} BUCKETS "
-            f"LOCATION '{path}/postings'"
-        )
     parameters = Bm25Parameters(row["k1"], row["b"], list(row["stopwords"]), row["query_tf"])
+    schema = "chunk_id long, term string, tf long, dl long, folder int"
     return Bm25Index(
-        spark.table(table),
+        spark.read.schema(schema).parquet(f"{path}/postings"),
         spark.read.parquet(f"{path}/terms"),
         totals.select("n_chunks", "avg_dl"),
         parameters,
-        stored=True,
+        folders=row["folders"],
     )

@@ -243,16 +243,15 @@ def test_search_with_too_many_query_terms_to_broadcast(spark, bm25_data, monkeyp
     check_search(search(build_index(frame), asked, 5), chunks, queries, 5)
 
 
-def test_saved_index_gives_the_same_and_needs_no_shuffle_of_postings(spark, bm25_data, tmp_path):
+def test_saved_index_gives_the_same_and_reads_its_folders_only(spark, bm25_data, tmp_path):
     chunks, queries, frame, asked = bm25_data
-    save_index(build_index(frame), str(tmp_path / "index"), "bm25_test", 4)
-    spark.sql("DROP TABLE bm25_test")
-    index = load_index(spark, str(tmp_path / "index"), "bm25_test")
-    found = search(index, asked, 5)
-    check_search(found, chunks, queries, 5)
-    plan = found._jdf.queryExecution().executedPlan().toString()
-    assert "hashpartitioning(chunk_id" not in plan and "hashpartitioning(qid" in plan
-    assert "WindowGroupLimit" in plan
+    save_index(build_index(frame), str(tmp_path / "index"), 16)
+    index = load_index(spark, str(tmp_path / "index"))
+    check_search(search(index, asked, 5), chunks, queries, 5)
+    one = search(index, asked.limit(1), 5)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [folder" in plan
+    assert "hashpartitioning(qid" in plan and "WindowGroupLimit" in plan
 
 
 def test_a_term_in_most_chunks_does_not_shuffle_by_term(spark, bm25_data):
