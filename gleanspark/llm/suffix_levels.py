@@ -49,7 +49,8 @@ SPAN = 100
 GRAM = 40
 #: Records a task holds before it hands its levels on.
 HELD_RECORDS = 2_000_000
-BROADCAST_DOCS = 1_000_000
+# Rows with an array each.
+BROADCAST_DOCS = 300_000
 NO_ID = 2**63 - 1
 RECORD = "k long, b long, doc long, pack long, settled boolean"
 
