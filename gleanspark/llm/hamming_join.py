@@ -211,6 +211,7 @@ def _last_links(rows: DataFrame, known: DataFrame, sets: DataFrame, share: int)
     keys = keys.where("l < h").select("key", "centre")
     groups = materialize(rows.join(keys, "key").select("centre", "node", "component").distinct(), "open-groups")
     sizes = groups.groupBy("centre").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    sizes = broadcast_if_small(materialize(sizes, "group-sizes"), BROADCAST_ROWS)
     cells = groups.join(sizes, "centre").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select(

@@ -87,8 +87,8 @@ class WordIds:
 
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of words that are not in the young store; they are put there, but for the very long ones."""
-        found = {w: self.old[w] for w in words & self.old.keys()}
-        rest = words - found.keys()
+        found = {w: self.old[w] for w in words if w in self.old}
+        rest = [w for w in words if w not in found]
         letters = [w for w in rest if w.isalpha()]
         others = [w for w in rest if not w.isalpha()]
         for group, encode in ((letters, self._encode_letters), (others, self._encode)):
@@ -96,15 +96,20 @@ class WordIds:
                 part = group[at : at + 5_000]
                 found.update(zip(part, encode(part)))
         if len(self.young) + len(found) > KEPT_WORDS:
-            self.old, self.young = self.young, {}
+            self.old, self.young = self.young, {}  # the caller still holds the old one
         self.young.update((w, b) for w, b in found.items() if len(w) <= KEPT_LENGTH)
         return found
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [APART(r" \1", x or "").replace("\n", " ").split(" ") for x in texts]
         words = set().union(*split) if split else set()
-        lookup = {w: self.young[w] for w in words & self.young.keys()}
-        lookup |= self._learn(words - lookup.keys())
+        fresh = {w for w in words if w not in self.young}
+        before = self.young
+        found = self._learn(fresh) if fresh else {}
+        lookup = self.young
+        if lookup is not before or len(found) > 0 and max(map(len, found)) > KEPT_LENGTH:
+            # The stores have changed places, or some words are too long to keep.
+            lookup = {w: before[w] for w in words - fresh} | found
         return [b"".join(map(lookup.__getitem__, x)) for x in split]
 
 
