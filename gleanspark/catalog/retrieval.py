@@ -264,17 +264,33 @@ def b9_arms(t: Tables):
     return plan.dual_index_arms(t.questions, halves(t))
 
 
+POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
+
+
+def hashed_means_sql(source: str, key: str, value: str, groups: str = "") -> str:
+    """Resample means of the hash-seeded bootstrap: ``(groups, b, m)``."""
+    weight = " + ".join(f"CASE WHEN u >= CAST({p} AS DOUBLE) THEN 1 ELSE 0 END" for p in POISSON)
+    by = f"{groups}, " if groups else ""
+    return (
+        f"SELECT {by}b, sum(w * {value}) / sum(w) AS m FROM (SELECT *, {weight} AS w FROM (SELECT {by}{value}, b, "
+        f"CAST('0x' || substr(md5('0|' || b || '|' || {key}), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u "
+        f"FROM {source}, unnest(range(0, 200)) r(b))) GROUP BY {by}b HAVING sum(w) > 0"
+    )
+
+
 @query(
     "m12_arms_against_baseline",
     view(
-        "SELECT arm, count(*) AS n, round(avg(score - base), 9) AS mean FROM arms JOIN (SELECT qid, score AS base FROM arms WHERE arm = 'a') USING (qid) "
-        "WHERE arm <> 'a' GROUP BY arm",
+        "SELECT arm, n, round(mean, 9) AS mean, round(ci_lower, 9) AS ci_lower, round(ci_upper, 9) AS ci_upper, ci_lower > 0 OR ci_upper < 0 AS resolved FROM ("
+        "WITH d AS MATERIALIZED (SELECT arm, qid, score - base AS d FROM arms JOIN (SELECT qid, score AS base FROM arms WHERE arm = 'a') USING (qid) WHERE arm <> 'a') "
+        "SELECT * FROM (SELECT arm, count(*) AS n, avg(d) AS mean FROM d GROUP BY arm) JOIN (SELECT arm, quantile_cont(m, 0.025) AS ci_lower, "
+        f"quantile_cont(m, 0.975) AS ci_upper FROM ({hashed_means_sql('d', 'qid', 'd', 'arm')}) GROUP BY arm) USING (arm))",
         "arms",
     ),
 )
 def m12(t: Tables):
     report = stats.compare_arms(plan.dual_index_arms(t.questions, halves(t)), "a", hashed=True, resamples=200)
-    return report.select("arm", "n", rounded("mean", 9))
+    return report.select("arm", "n", *[rounded(c, 9) for c in ("mean", "ci_lower", "ci_upper")], "resolved")
 
 
 # --- dense ---------------------------------------------------------------------------------
@@ -500,19 +516,31 @@ def b18(t: Tables):
     return support.alignment(sample, plan.attach_context(sample, t.index, t.chunks))
 
 
-COMPARE_COLUMNS = ["n", "baseline_mean", "variant_mean", "delta_mean", "rows_changed", "mde"]
+ROLES = ("baseline", "variant", "delta")
+INTERVALS = [f"{role}_{end}" for role in ROLES for end in ("ci_lower", "ci_upper")]
+COMPARE_COLUMNS = ["baseline_mean", "variant_mean", "delta_mean", *INTERVALS, "rows_changed", "mde"]
 
 
-def compared(report):
-    return report.select("n", *[rounded(c, 9) for c in COMPARE_COLUMNS[1:]])
+def compared(report, *more: str):
+    return report.select("n", *[rounded(c, 9) for c in [*COMPARE_COLUMNS, *more]], "resolved")
 
 
 def compare_sql(a: str, b: str) -> str:
-    """Point values of a paired comparison of ``(qid, score)`` relations."""
+    """A paired comparison of ``(qid, score)`` relations with its intervals from the hashed bootstrap."""
+    ends = ", ".join(
+        f"max(CASE WHEN role = '{role}' THEN {end} END) AS {role}_{end}" for role in ROLES for end in ("ci_lower", "ci_upper")
+    )
+    rounds = ", ".join(f"round({c}, 9) AS {c}" for c in COMPARE_COLUMNS)
     return (
-        "SELECT count(*) AS n, round(avg(a.score), 9) AS baseline_mean, round(avg(b.score), 9) AS variant_mean, round(avg(b.score - a.score), 9) AS delta_mean, "
-        "round(avg(CASE WHEN a.score <> b.score THEN CAST(1 AS DOUBLE) ELSE 0 END), 9) AS rows_changed, "
-        f"round(CAST(1.96 AS DOUBLE) * stddev_samp(b.score - a.score) / sqrt(count(*)), 9) AS mde FROM {a} a JOIN {b} b USING (qid)"
+        f"SELECT n, {rounds}, delta_ci_lower > 0 OR delta_ci_upper < 0 AS resolved FROM ("
+        f"WITH j AS MATERIALIZED (SELECT qid, a.score AS a, b.score AS b FROM {a} a JOIN {b} b USING (qid)), "
+        "long AS (SELECT qid, role, CASE role WHEN 'baseline' THEN a WHEN 'variant' THEN b ELSE b - a END AS x FROM j, "
+        "(VALUES ('baseline'), ('variant'), ('delta')) r(role)), "
+        f"q AS (SELECT {ends} FROM (SELECT role, quantile_cont(m, 0.025) AS ci_lower, quantile_cont(m, 0.975) AS ci_upper "
+        f"FROM ({hashed_means_sql('long', 'qid', 'x', 'role')}) GROUP BY role)), "
+        "p AS (SELECT count(*) AS n, avg(a) AS baseline_mean, avg(b) AS variant_mean, avg(b - a) AS delta_mean, "
+        "avg(CASE WHEN a <> b THEN CAST(1 AS DOUBLE) ELSE 0 END) AS rows_changed, "
+        "CAST(1.96 AS DOUBLE) * stddev_samp(b - a) / sqrt(count(*)) AS mde FROM j) SELECT * FROM p, q)"
     )
 
 
@@ -544,7 +572,7 @@ def b20(t: Tables):
         t.chunks.agg(F.count(F.lit(1)).alias("n_chunks")).withColumn("arm", F.lit("full"))
     )
     report = plan.coverage_growth(half.unionByName(full), sizes, hashed=True, resamples=200)
-    return report.select("n", *[rounded(c, 9) for c in [*COMPARE_COLUMNS[1:], "growth"]])
+    return compared(report, "growth")
 
 
 @query("b21_per_option_vs_pooled", view(compare_sql(FULL_HIT, f"(SELECT qid, {recall_sql('hit_rank', 5)} AS score FROM prompt_hits)"), "hit_ranks", "prompt_hits"))

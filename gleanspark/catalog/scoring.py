@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.catalog.fixtures import Tables, sql
 from gleanspark.catalog.registry import query
-from gleanspark.catalog.retrieval import CONTEXT_HIT, compare_sql, compared, hit_sql
+from gleanspark.catalog.retrieval import CONTEXT_HIT, compare_sql, compared, hashed_means_sql, hit_sql
 from gleanspark.catalog.retrieval import VIEWS as RETRIEVAL
 from gleanspark.functions import scores as S
 from gleanspark.functions.questions import layout_pair, options_array, pooled_query
@@ -75,20 +75,6 @@ def m4(t: Tables):
     return stats.bootstrap_ci(scored(t), "score", ["arm"])
 
 
-POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582, 0.99991676, 0.99998975]
-
-
-def hashed_means_sql(source: str, key: str, value: str, groups: str = "") -> str:
-    """Resample means of the hash-seeded bootstrap: ``(groups, b, m)``."""
-    weight = " + ".join(f"CASE WHEN u >= CAST({p} AS DOUBLE) THEN 1 ELSE 0 END" for p in POISSON)
-    by = f"{groups}, " if groups else ""
-    return (
-        f"SELECT {by}b, sum(w * {value}) / sum(w) AS m FROM (SELECT *, {weight} AS w FROM (SELECT {by}{value}, b, "
-        f"CAST('0x' || substr(md5('0|' || b || '|' || {key}), 1, 8) AS BIGINT) / CAST(4294967296 AS DOUBLE) AS u "
-        f"FROM {source}, unnest(range(0, 200)) r(b))) GROUP BY {by}b HAVING sum(w) > 0"
-    )
-
-
 @query(
     "m4_hashed_bootstrap",
     sql(
@@ -173,7 +159,8 @@ def m10(t: Tables):
 @query(
     "m13_attribution",
     sql(
-        "SELECT n, baseline_mean AS own_mean, variant_mean AS ceiling_mean, delta_mean AS loss, rows_changed AS disagreement, mde FROM ("
+        "SELECT n, baseline_mean AS own_mean, variant_mean AS ceiling_mean, delta_mean AS loss, delta_ci_lower AS loss_lower, delta_ci_upper AS loss_upper, "
+        "rows_changed AS disagreement, mde, resolved FROM ("
         + compare_sql(ARM.format("r0"), ARM.format("r1"))
         + ")",
         "scores",
@@ -181,7 +168,8 @@ def m10(t: Tables):
 )
 def m13(t: Tables):
     report = attribution.reader_loss(arm(t, "r0"), arm(t, "r1"), hashed=True, resamples=200)
-    return report.select("n", *[rounded(c) for c in ("own_mean", "ceiling_mean", "loss", "disagreement", "mde")])
+    columns = ("own_mean", "ceiling_mean", "loss", "loss_lower", "loss_upper", "disagreement", "mde")
+    return report.select("n", *[rounded(c) for c in columns], "resolved")
 
 
 FAILURES = (
