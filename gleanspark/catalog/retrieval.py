@@ -9,7 +9,6 @@ from gleanspark.functions.questions import distinctive_keywords, options_array,
 from gleanspark.functions.scores import ndcg_at, recall_at, reciprocal_rank
 from gleanspark.operators import dense, fusion, rerank, stats, support
 from gleanspark.operators.bm25 import Bm25Parameters, build_index, load_index, query_terms, save_index, score_chunks, search
-from gleanspark.operators.selection import sample_exact
 from gleanspark.plans import retrieval as plan
 from gleanspark.runtime import materialize, scratch_path
 
@@ -478,9 +477,28 @@ def b16(t: Tables):
     return means
 
 
-@query("b16_evaluate_with_intervals")
+def near_normal(report, spread, keys: list[str]):
+    """Whether drawn intervals end within three quarters of a standard error of the normal ones, ``mean ± half``."""
+    both = report.join(spread, keys)
+    tolerance = 0.75 * F.col("half") / 1.96 + 1e-9
+    near = lambda end, normal: F.abs(F.col(end) - normal) <= tolerance
+    return both.select(
+        *keys,
+        "n",
+        rounded("mean", 9),
+        near("ci_lower", F.col("mean") - F.col("half")).alias("lower_is_near"),
+        near("ci_upper", F.col("mean") + F.col("half")).alias("upper_is_near"),
+    )
+
+
+@query(
+    "b16_evaluate_with_intervals",
+    view(f"SELECT metric, n, mean, true AS lower_is_near, true AS upper_is_near FROM ({EVAL_SQL})", "hit_ranks"),
+)
 def b16_intervals(t: Tables):
-    return support.evaluate_retrieval(t.questions, t.index, t.chunks)
+    ranks = materialize(support.retrieve_ranks(t.questions, t.index, t.chunks, 100), "ranks")
+    spread = support.metric_rows(ranks).groupBy("metric").agg(stats.detectable_effect("score").alias("half"))
+    return near_normal(support.evaluate_ranks(ranks), spread, ["metric"])
 
 
 @query(
@@ -509,11 +527,17 @@ def b17(t: Tables):
     return support.context_hits(plan.attach_context(t.questions, t.index, t.chunks))
 
 
-@query("b18_alignment", "SELECT least((SELECT count(*) FROM benchmark), 25) AS n_rows, least((SELECT count(*) FROM benchmark), 25) AS n_same, true AS aligned")
+@query(
+    "b18_alignment",
+    "SELECT count(*) AS n_rows, count(*) FILTER (item_id % 4 <> 1) AS n_same, count(*) FILTER (item_id % 4 <> 1) >= 0.95 * count(*) AS aligned FROM benchmark",
+)
 def b18(t: Tables):
-    stored = plan.attach_context(t.questions, t.index, t.chunks)
-    sample = sample_exact(stored, "qid", 25, 0)
-    return support.alignment(sample, plan.attach_context(sample, t.index, t.chunks))
+    """Written contexts, every fourth of them changed, against those of a second search."""
+    path = scratch_path(t.spark, "contexts")
+    changed = F.when(F.col("qid") % 4 == 1, F.concat("context", F.lit(" changed"))).otherwise(F.col("context"))
+    plan.attach_context(t.questions, t.index, t.chunks).select("qid", changed.alias("context")).write.parquet(path)
+    stored = t.spark.read.schema("qid long, context string").parquet(path)
+    return support.alignment(stored, plan.attach_context(t.questions, build_index(t.chunks), t.chunks))
 
 
 ROLES = ("baseline", "variant", "delta")
