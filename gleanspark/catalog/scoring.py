@@ -9,8 +9,12 @@ from gleanspark.catalog.retrieval import VIEWS as RETRIEVAL
 from gleanspark.functions import scores as S
 from gleanspark.functions.questions import layout_pair, options_array, pooled_query
 from gleanspark.operators import readers, rerank, selection, stats, support
-from gleanspark.plans import attribution
+from gleanspark.operators.bm25 import build_index
+from gleanspark.plans import attribution, inference
 from gleanspark.plans import retrieval as plan
+from gleanspark.runtime import materialize, scratch_path
+from gleanspark.sources import readers as R
+from gleanspark.sources import writers as W
 
 
 def rounded(name: str, digits: int = 9):
@@ -416,3 +420,39 @@ def w9(t: Tables):
     keyed = F.transform("options", lambda o, i: F.struct(F.when(support_hit(o, "wanted"), 0).otherwise(1).alias("by"), i.alias("i"), o.alias("o")))
     joined = F.array_join(F.transform(F.array_sort(keyed), lambda s: s["o"]), " ")
     return rows.select("qid", F.md5(joined).alias("joined_md5"))
+
+
+def distinct_words(text: str) -> str:
+    return f"list_distinct(list_filter(string_split_regex(lower({text}), '\\s+'), lambda w: w <> ''))"
+
+
+INFERENCE = {
+    **RETRIEVAL,
+    "fused_context": (
+        ["fused", "questions"],
+        "SELECT q.qid, coalesce(string_agg(f.text, ' ' ORDER BY f.rank), '') AS context FROM questions q LEFT JOIN fused f ON f.qid = q.qid AND f.rank <= 5 GROUP BY q.qid",
+    ),
+    "option_scores": (
+        ["fused_context", "option_rows"],
+        "SELECT qid, option_no, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(b), 1) AS logit FROM (SELECT o.qid, o.option_no, "
+        f"{distinct_words("substr(c.context, 1, 1750) || ' #### ' || o.prompt")} AS a, {distinct_words('o.option')} AS b "
+        "FROM option_rows o JOIN fused_context c USING (qid))",
+    ),
+}
+
+
+@query(
+    "inference_submission",
+    sql(
+        "SELECT qid AS id, array_to_string(list(chr(65 + CAST(option_no AS INTEGER)) ORDER BY logit DESC, option_no)[1:3], ' ') AS prediction FROM option_scores GROUP BY qid",
+        "option_scores",
+        extra=INFERENCE,
+    ),
+)
+def inference_submission(t: Tables):
+    """The whole chain: two indexes, fused contexts, reader scores, option order, checked and written submission."""
+    legs = [(build_index(t.half(i)), t.half(i)) for i in (0, 1)]
+    made = inference.infer(t.questions, legs).select(F.col("qid").alias("id"), "prediction")
+    path = scratch_path(t.spark, "inference")
+    W.write_submission(materialize(made, "predictions"), t.answers.select(F.col("qid").alias("id")), path)
+    return R.read_csv(t.spark, path, made.schema)
