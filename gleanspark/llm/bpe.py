@@ -163,12 +163,18 @@ class Coder:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
+@lru_cache(maxsize=2)
+def coder_of(path: str, patterns: tuple[str, str, str]) -> Coder:
+    """One coder for all tasks that a Python worker runs."""
+    return Coder(path, patterns)
+
+
 def encode(documents: DataFrame, path: str, pattern: str, id_column="doc_id", text_column="text") -> DataFrame:
     """(id, ids array<int>) of every row."""
     own = split_patterns(pattern)
 
     def make():
-        coder = Coder(path, own)
+        coder = coder_of(path, own)
         return lambda keys, texts: [keys, [coder.encode(x) for x in texts.to_pylist()]]
 
     kind = documents.schema[id_column].dataType.simpleString()
@@ -194,7 +200,7 @@ def digests(documents: DataFrame, path: str, pattern: str, id_column="doc_id", t
     own = split_patterns(pattern)
 
     def make():
-        coder = Coder(path, own)
+        coder = coder_of(path, own)
         decimal = [str(i) for i in range(len(coder.tokens))]
 
         def step(keys, texts):

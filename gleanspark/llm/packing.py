@@ -23,6 +23,7 @@ import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -113,6 +114,12 @@ class WordIds:
         return [b"".join(map(lookup.__getitem__, x)) for x in split]
 
 
+@lru_cache(maxsize=2)
+def word_ids(path: str) -> WordIds:
+    """One store for all tasks that a Python worker runs."""
+    return WordIds(path)
+
+
 def pieces(
     documents: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID,
     id_column="doc_id", text_column="text", with_ids: bool = False,
@@ -126,7 +133,7 @@ def pieces(
     end = end_id.to_bytes(4, "little")
 
     def make():
-        coder, context, seen = WordIds(path), TaskContext.get(), 0
+        coder, context, seen = word_ids(path), TaskContext.get(), 0
         first = context.partitionId() << 40 if context else 0
 
         def step(keys, texts):
