@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,12 +42,31 @@ def checkpoint_root(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="gleanspark-")
+        atexit.register(shutil.rmtree, root, True)
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
 
 
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/gleanspark-{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_root(spark)}/gleanspark-{name}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession) -> int:
+    """Delete the folders this process has written so far; call it when their results have been written.
+
+    DataFrames that still read them cannot be used afterwards. Gives the number of folders.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    gone = 0
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        gone += bool(path.getFileSystem(conf).delete(path, True))
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
