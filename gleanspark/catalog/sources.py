@@ -154,8 +154,8 @@ def s13(t: Tables):
 
 @query(
     "s14_experiment_log",
-    "SELECT 'mean length of ' || source AS config, CAST(count(*) AS VARCHAR) AS n, '' AS hypothesis, '' AS git_sha FROM documents GROUP BY source "
-    "UNION ALL SELECT 'languages', CAST(count(DISTINCT lang) AS VARCHAR), 'four, with \"quotes\"', '' FROM documents",
+    "SELECT 'mean length of ' || source AS config, CAST(count(*) AS VARCHAR) AS n, '' AS hypothesis, '' AS git_sha, true AS is_dated FROM documents GROUP BY source "
+    "UNION ALL SELECT 'languages', CAST(count(DISTINCT lang) AS VARCHAR), 'four, with \"quotes\"', '', true FROM documents",
 )
 def s14(t: Tables):
     path = scratch_path(t.spark, "log")
@@ -163,7 +163,8 @@ def s14(t: Tables):
     logs.append_log(per_source.select(F.concat(F.lit("mean length of "), "source").alias("config"), "n"), path)
     langs = t.documents.agg(F.count_distinct("lang").alias("n"))
     logs.append_log(langs.withColumns({"config": F.lit("languages"), "hypothesis": F.lit('four, with "quotes"')}), path)
-    return logs.read_log(t.spark, path).select("config", "n", "hypothesis", "git_sha")
+    dated = F.col("date").rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$")
+    return logs.read_log(t.spark, path).select("config", "n", "hypothesis", "git_sha", dated.alias("is_dated"))
 
 
 @query(

@@ -111,7 +111,9 @@ def hashed_resample_means(
     """Poisson bootstrap whose weights come from hashing ``seed|resample|key``.
 
     Built-in functions only, and any engine with md5 can repeat it. Partial sums
-    keep the shuffle at one row per resample and task.
+    keep the shuffle at one row per resample and task. An approximation: no row
+    is drawn more than eight times, which happens once in a million draws. For
+    checks; :func:`resample_means` is the method for large tables.
     """
     numbered = scores.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("b").cast("string"), F.col(key).cast("string")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.schemas import EXPERIMENT_LOG, LOG_FIELDS, OUTCOME_LOG
@@ -13,17 +13,17 @@ INTERVAL_PATTERN = r"^([\d.]+)\s*\[([\d.]+),([\d.]+)\]"
 
 
 def log_rows(rows: DataFrame) -> DataFrame:
-    """The fixed log columns as text; what is not given is ''."""
+    """The fixed log columns as text; what is not given is '', and the date is today's."""
     unknown = set(rows.columns) - set(LOG_FIELDS)
     if unknown:
         raise ValueError(f"unknown log fields {sorted(unknown)}")
     given = set(rows.columns)
-    return rows.select(
-        *[
-            (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in given else F.lit("")).alias(c)
-            for c in LOG_FIELDS
-        ]
-    )
+
+    def field(name: str) -> Column:
+        default = F.date_format(F.current_date(), "yyyy-MM-dd") if name == "date" else F.lit("")
+        return F.coalesce(F.col(name).cast("string"), default) if name in given else default
+
+    return rows.select(*[field(c).alias(c) for c in LOG_FIELDS])
 
 
 def append_log(rows: DataFrame, path: str) -> None:
