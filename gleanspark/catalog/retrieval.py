@@ -154,6 +154,21 @@ def b4(t: Tables):
     return found.select("qid", whole("rank"), "chunk_id", rounded("score"))
 
 
+PROMPT_ONLY = {
+    **VIEWS,
+    "prompt_queries": (["questions"], "SELECT qid, prompt AS query FROM questions"),
+    **bm25_sql("pq", "chunks", "prompt_queries", "qid", 100),
+}
+
+
+@query("query_fn_prompt_only", sql("SELECT qid, rank, chunk_id, round(score, 6) AS score FROM pq_ranked WHERE rank <= 5", "pq_ranked", extra=PROMPT_ONLY))
+def query_fn_prompt_only(t: Tables):
+    """Another query builder: the prompt without its options."""
+    asked = support.question_queries(t.questions, lambda prompt, options: prompt)
+    found = search(t.index, asked, 5)
+    return found.select("qid", whole("rank"), "chunk_id", rounded("score"))
+
+
 @query(
     "b1_query_terms_once",
     view("SELECT qid, count(*) AS n_terms, sum(CASE WHEN qtf > 1 THEN 1 ELSE 0 END)::BIGINT AS n_repeated FROM s_qt GROUP BY qid", "s_qt"),
