@@ -7,10 +7,10 @@ c: the node c of the Cartesian tree of the hashes, with its subtree's span.
 Only nodes that span ``length`` positions matter, about two in ``length``, so a
 few records stand for all the stretches of a text.
 
-Stretches of two texts that share a least hash have windows with one key. Each
-record is paired with the first of its key and with the one before it, in order
-of ids, never with all; a task pairs its own records first and hands on one of
-each key, so a passage in a third of all texts leaves one record per task.
+Stretches of two texts that share a least hash have windows with one key. At
+first each record is paired with the first of its key and with the one before
+it, in order of ids; a task pairs its own records first and hands on one of each
+key, so a passage in a third of all texts leaves one record per task.
 
 The windows of a pair of texts are joined by intervals: overlapping windows make
 an island, and an island needs ``AGREE`` of the ``HASHES`` functions. Islands
@@ -18,7 +18,17 @@ are verified on the shingles themselves: the longest stretch whose similarity
 with the earlier text is ``share`` percent or more is a repeated passage, then
 the longest on either side of it, and so on.
 
-The later text's passage is reported; the first one's is not.
+Passages found so far settle the windows that lie inside them. The windows that
+stay open, of keys with more than two records, meet all the others: those with
+equal contents are one, and one that has its contents from an earlier document
+is a repeat as it is. The distinct contents of a key meet in a grid of blocks of
+``BLOCK``, where the shingles themselves are compared; no pair is left out, and
+only what adds to the passages of a window leaves the grid. Behind the ends of
+a passage already found, more must be as dense as a passage to be looked at.
+
+The later text's passage is reported; the first one's is not. All passages are
+covered; the documents named with them are those it was first found in, which
+need not be all that hold it.
 
 Defined results: null and short texts have no passages. Rows that share an id
 are one document and never repeat each other; rows with a null id take no part.
@@ -37,7 +47,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.llm.arrow import map_columns, slices
 from gleanspark.llm.hamming_join import ordered_shingles
-from gleanspark.llm.suffix_levels import window_argmin
+from gleanspark.llm.suffix_levels import _INVERSE, _power, window_argmin
 from gleanspark.runtime import broadcast_if_small, materialize
 
 SHINGLE = 5
@@ -47,6 +57,10 @@ HASHES = 4
 AGREE = 2
 HELD_RECORDS = 2_000_000
 BROADCAST_ROWS = 2_000_000
+#: Distinct contents of a key in one block of the grid.
+BLOCK = 1024
+# Rows with an array each.
+BROADCAST_DOCS = 300_000
 
 _SEEDS = np.random.default_rng(23).integers(0, 2**64, HASHES, dtype=np.uint64)
 
@@ -87,22 +101,28 @@ def compact_windows(values: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     return c, left, right - 1
 
 
-PAIR = "key long, doc long, c int, l int, r int, f int, pdoc long, pl int, pr int"
+PAIR = "key long, doc long, c int, l int, r int, f int, pdoc long, pl int, pr int, n int"
 _NAMES = ["key", "doc", "c", "l", "r", "f"]
 _TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
+_PAIR_NAMES = [*_NAMES, "pdoc", "pl", "pr", "n"]
+_PAIR_TYPES = [*_TYPES, pa.int64(), pa.int32(), pa.int32(), pa.int32()]
 
 
-def _window_records(ids: list[int], texts: list[str | None], shingle: int, length: int) -> list[np.ndarray]:
+def _window_records(ids: list[int], texts: list[str | None], shingle: int, length: int, contents=False) -> list[np.ndarray]:
+    """key, doc, c, l, r, f; and a hash of the window's shingles, if asked for."""
     sequences = [ordered_shingles(t, shingle) for t in texts]
     keep = [i for i, s in enumerate(sequences) if len(s) >= length]
     if not keep:
-        return [np.zeros(0, np.int64)] * 6
+        return [np.zeros(0, np.int64)] * (6 + contents)
     gap = np.zeros(1, np.uint64)
     flat = np.concatenate([x for i in keep for x in (sequences[i], gap)])
     lengths = np.array([len(sequences[i]) + 1 for i in keep])
     starts = np.cumsum(lengths) - lengths
     docs = np.array([ids[i] for i in keep], np.int64)
     between = starts + lengths - 1
+    if contents:
+        powers, inverse = (np.cumprod(np.full(len(flat), x), dtype=np.uint64) for x in (_power(1), np.uint64(_INVERSE)))
+        sums = np.concatenate([gap, np.cumsum(_mix(flat, _SEEDS[0]) * powers, dtype=np.uint64)])
     out = []
     for f, seed in enumerate(_SEEDS):
         values = np.maximum(_mix(flat, seed), np.uint64(1))
@@ -111,6 +131,8 @@ def _window_records(ids: list[int], texts: list[str | None], shingle: int, lengt
         of = np.searchsorted(starts, c, side="right") - 1
         key = _mix(values[c], np.uint64(f + 1)).view(np.int64)
         out.append([key, docs[of], c - starts[of], left - starts[of], right - starts[of], np.full(len(c), f)])
+        if contents:
+            out[-1].append(_mix((sums[right + 1] - sums[left]) * inverse[left], _SEEDS[1]).view(np.int64))
     return [np.concatenate(x) for x in zip(*out)]
 
 
@@ -120,7 +142,7 @@ def _paired(columns, first, before, fresh=None) -> list[np.ndarray]:
     one = at[doc[first[at]] != doc[at]]
     two = at[(doc[before[at]] != doc[at]) & (doc[before[at]] != doc[first[at]])]
     at, partner = np.concatenate([one, two]), np.concatenate([first[one], before[two]])
-    return [x[at] for x in columns] + [doc[partner], columns[3][partner], columns[4][partner]]
+    return [x[at] for x in columns] + [doc[partner], columns[3][partner], columns[4][partner], np.ones(len(at), np.int32)]
 
 
 def _partners(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +162,7 @@ def _batches(columns: list[np.ndarray], names: list[str], types: list[pa.DataTyp
 
 
 def _with_pairs(documents: DataFrame, shingle: int, length: int) -> DataFrame:
-    """Records: pairs found inside a task, and one unpaired record of each key that the task has."""
+    """Records: pairs found inside a task, and one unpaired record of each key that the task has, with their number."""
 
     def settle(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         columns = [np.concatenate(x) for x in zip(*held)]
@@ -149,11 +171,12 @@ def _with_pairs(documents: DataFrame, shingle: int, length: int) -> DataFrame:
         first, before = _partners(columns[0], columns[1])
         yield from _batches(_paired(columns, first, before), names, types)
         head = first == np.arange(len(first))
-        none = [pa.nulls(int(head.sum()), t) for t in types[6:]]
-        rows = pa.table([*(pa.array(x[head], t) for x, t in zip(columns, types)), *none], names=names)
+        none = [pa.nulls(int(head.sum()), t) for t in types[6:9]]
+        n = np.diff(np.append(np.flatnonzero(head), len(head)))
+        rows = pa.table([*(pa.array(x[head], t) for x, t in zip(columns, types)), *none, pa.array(n, types[9])], names=names)
         yield from rows.to_batches(max_chunksize=100_000)
 
-    names, types = [*_NAMES, "pdoc", "pl", "pr"], [*_TYPES, pa.int64(), pa.int32(), pa.int32()]
+    names, types = _PAIR_NAMES, _PAIR_TYPES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -184,7 +207,7 @@ def _met(records: DataFrame) -> DataFrame:
                 columns = [np.concatenate([a, b]) for a, b in zip(carried, columns)]
             first, before = _partners(columns[0], columns[1])
             fresh = np.arange(len(columns[0])) >= held  # the carried records have been paired already
-            yield from _batches(_paired(columns, first, before, fresh), [*_NAMES, "pdoc", "pl", "pr"], [*_TYPES, pa.int64(), pa.int32(), pa.int32()])
+            yield from _batches(_paired(columns, first, before, fresh), _PAIR_NAMES, _PAIR_TYPES)
             last = len(columns[0]) - 1
             keep = sorted({int(first[last]), last})
             carried = [x[keep] for x in columns]
@@ -213,9 +236,10 @@ def islands(pairs: DataFrame, agree: int = AGREE) -> DataFrame:
 def verified(text: np.ndarray, other: np.ndarray, length: int, share: int) -> list[tuple[int, int]]:
     """(start, end) of the longest stretches of ``text``, at least ``length`` long, whose shingles have a
     similarity of ``share`` percent with those of ``other``'s stretch; end exclusive, in order."""
-    where = {int(h): i for i, h in reversed(list(enumerate(other.tolist())))}
-    at = np.fromiter((where.get(h, -1) for h in text.tolist()), np.int64, len(text))
-    hit = at >= 0
+    known, where = np.unique(other, return_index=True)
+    found = np.minimum(np.searchsorted(known, text), len(known) - 1)
+    hit = known[found] == text
+    at = np.where(hit, where[found], -1)
 
     def similar(start: int, end: int) -> bool:
         places = at[start:end][hit[start:end]]
@@ -269,6 +293,172 @@ def _longest(hit: np.ndarray, ratio: float, length: int) -> tuple[int, int] | No
     return start + int(inside[0]), start + int(inside[-1]) + 1
 
 
+PASSAGE = "doc long, pdoc long, start long, end long"
+
+
+def _range_shingles(rows: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """(doc, lo, hi, shingles): the hashes of the shingles of each range asked for; a text is read once."""
+    asked = asked.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
+    asked = broadcast_if_small(materialize(asked, "asked-ranges"), BROADCAST_DOCS)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                for doc, text, ranges in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "ranges"))):
+                    known = (ordered_shingles(text, shingle) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    for at in range(0, len(ranges), 1_000):
+                        los, his = ([x[c] for x in ranges[at : at + 1_000]] for c in ("lo", "hi"))
+                        out = [known[lo : hi + 1] for lo, hi in zip(los, his)]
+                        offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
+                        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out)))
+                        arrays = [pa.array([doc] * len(los), pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), lists]
+                        yield pa.RecordBatch.from_arrays(arrays, names=["doc", "lo", "hi", "shingles"])
+
+    found = rows.join(asked, "doc").select("doc", "text", "ranges").mapInArrow(run, "doc long, lo int, hi int, shingles array<int>")
+    return materialize(found, "range-shingles")
+
+
+def _open_records(rows: DataFrame, done: DataFrame, shingle: int, length: int) -> DataFrame:
+    """All windows, and whether they are open: not inside one of the spans ``done``."""
+    rows = rows.join(done, "doc", "left").select("doc", "text", "starts", "ends")
+
+    def make():
+        def step(docs, texts, starts, ends):
+            ids = np.arange(len(docs))
+            key, at, _, left, right, _, content = _window_records(ids, texts.to_pylist(), shingle, length, True)
+            is_open = np.ones(len(key), bool)
+            order = np.argsort(at, kind="stable")
+            edges = np.searchsorted(at[order], np.arange(len(docs) + 1))
+            for i, (a, b) in enumerate(zip(starts, ends)):
+                own = order[edges[i] : edges[i + 1]]
+                if a.is_valid and len(own):
+                    a, b = a.values.to_numpy(), b.values.to_numpy()
+                    span = np.searchsorted(a, left[own], side="right") - 1
+                    is_open[own] = (span < 0) | (b[span] < right[own] + shingle)
+            return [key, docs.to_numpy()[at], left, right, content, is_open]
+
+        return step
+
+    schema = "key long, doc long, lo int, hi int, content long, open boolean"
+    return map_columns(rows, rows.columns, schema, make)
+
+
+def _grid_passages(table: pa.Table, length: int, share: int, shingle: int) -> list[tuple[int, int, int, int]]:
+    """Passages of the open windows of one cell that are in windows of earlier documents of the other block."""
+    own, first, second = (table.column(c).to_numpy() for c in ("own", "i", "j"))
+    docs, los, is_open = (table.column(c).to_numpy() for c in ("doc", "lo", "open"))
+    texts = [x.values.to_numpy() for x in table.column("shingles")]
+    cell = first[0] == second[0]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    edges = np.append(0, np.cumsum(sizes))
+    codes = np.unique(np.concatenate(texts), return_inverse=True)[1].astype(np.int32)
+    # A stretch of ``verified`` has a part of one to two lengths with its share of hits; so at most so many of some ``length`` miss.
+    misses = int((1 - 2 * share / (100 + share)) * (2 * length - 1))
+
+    def dense(hit: np.ndarray, done: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether a part between ``ends`` holds a stretch of ``length`` with enough hits that is not all done."""
+        if len(hit) < length:
+            return np.zeros(len(ends) - 1, bool)
+        sums, old = (np.append(0, np.cumsum(x, dtype=np.int32)) for x in (hit, done))
+        enough = (sums[length:] - sums[:-length] >= length - misses) & (old[length:] - old[:-length] < length)
+        good = np.append(0, np.cumsum(enough, dtype=np.int32))
+        return good[np.maximum(ends[1:] - length + 1, ends[:-1])] > good[ends[:-1]]
+
+    # Shingles that another document of the cell has.
+    of = np.repeat(np.unique(docs, return_inverse=True)[1], sizes)
+    low, high = np.full(int(codes.max()) + 1, len(docs)), np.full(int(codes.max()) + 1, -1)
+    np.minimum.at(low, codes, of)
+    np.maximum.at(high, codes, of)
+    done = np.zeros(len(codes), bool)
+    for k, (a, b) in enumerate(zip(table.column("starts"), table.column("ends"))):
+        if is_open[k] and a.is_valid:
+            own_part = done[edges[k] : edges[k + 1]]
+            for start, end in zip(a.values.to_numpy() - los[k], b.values.to_numpy() - los[k] - shingle + 1):
+                own_part[max(start, 0) : max(end, 0)] = True
+    mine = np.flatnonzero(is_open & dense((low < high)[codes], done, edges))
+    if not len(mine):
+        return []
+    parts = np.split(codes, edges[1:-1])
+    flat = np.concatenate([parts[k] for k in mine])
+    ends = np.append(0, np.cumsum(sizes[mine]))
+    mark = np.zeros(len(low), bool)
+    settled = np.concatenate([done[edges[k] : edges[k + 1]] for k in mine])
+    covered = {k: settled[a:b] for k, a, b in zip(mine, ends[:-1], ends[1:])}
+    out = []
+    for other in np.argsort(docs, kind="stable"):
+        mark[parts[other]] = True
+        hits = dense(mark[flat], settled, ends)
+        mark[parts[other]] = False
+        for k in mine[hits]:
+            if docs[other] >= docs[k] or not (cell or own[other] != own[k]) or covered[k].all():
+                continue
+            for a, b in verified(texts[k], texts[other], length, share):
+                if not covered[k][a:b].all():
+                    covered[k][a:b] = True
+                    out.append((docs[k], docs[other], los[k] + a, los[k] + b + shingle - 1))
+    return out
+
+
+def _open_passages(rows: DataFrame, found: DataFrame, hot: DataFrame, shingle: int, length: int, share: int) -> DataFrame:
+    """The passages of windows outside those ``found``: all distinct contents of a ``hot`` key meet."""
+    hot = broadcast_if_small(materialize(hot, "keys-of-several"), BROADCAST_ROWS)
+    done = materialize(spans(found).select("doc", "starts", "ends"), "settled-spans")
+    done = broadcast_if_small(done, BROADCAST_DOCS)
+    records = materialize(_open_records(rows, done, shingle, length).join(hot, "key", "left_semi"), "windows-of-several")
+    wanted = broadcast_if_small(materialize(records.where("open").select("key").distinct(), "open-keys"), BROADCAST_ROWS)
+    records = records.join(wanted, "key", "left_semi")
+    # Of each content the first document, with all places that it has there.
+    places = records.groupBy("key", "content", "doc").agg(F.collect_set(F.struct("lo", "hi", "open")).alias("places"))
+    heads = places.groupBy("key", "content").agg(F.min_by(F.struct("doc", "places"), "doc").alias("x"))
+    heads = materialize(heads.select("key", "content", "x.doc", F.explode("x.places").alias("p")).select("key", "content", "doc", "p.*"), "contents")
+    # Equal contents: the whole window is a repeat.
+    first = heads.select("key", "content", F.col("doc").alias("pdoc")).distinct()
+    equal = records.where("open").join(first, ["key", "content"]).where("pdoc < doc")
+    start, end = F.col("lo").cast("long"), (F.col("hi") + shingle).cast("long")
+    equal = equal.select("doc", "pdoc", start.alias("start"), end.alias("end")).distinct()
+    sizes = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("any and n > 1")
+    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    cells = heads.join(broadcast_if_small(materialize(sizes, "open-sizes"), BROADCAST_ROWS), "key")
+    cells = cells.withColumn("own", F.pmod("content", F.col("blocks")).cast("int"))
+    cells = materialize(cells, "open-contents")
+    shingles = _range_shingles(rows, cells.select("doc", "lo", "hi"), shingle).dropDuplicates(["doc", "lo", "hi"])
+    full = cells.join(shingles, ["doc", "lo", "hi"]).join(done, "doc", "left")
+    full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    grid = ["key", "i", "j"]
+    full = full.select(
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "lo", "open", "shingles", "starts", "ends"
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def compared(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            out = []
+            for a, b in zip(starts[:-1], starts[1:]):
+                if b - a > 1:
+                    out += _grid_passages(table.slice(a, b - a).combine_chunks(), length, share, shingle)
+            if out:
+                arrays = [pa.array(np.array(x, np.int64)) for x in zip(*out)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc", "pdoc", "start", "end"])
+
+        def edges(table: pa.Table) -> np.ndarray:
+            columns = [table.column(c).to_numpy() for c in grid]
+            return np.flatnonzero(np.concatenate([[True], np.any([x[1:] != x[:-1] for x in columns], axis=0)]))
+
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            if not table.num_rows:
+                continue
+            table = pa.concat_tables([held, table]) if held is not None else table
+            starts = edges(table)
+            yield from compared(table, starts)
+            held = table.slice(starts[-1])
+        if held is not None:
+            yield from compared(held, np.array([0, held.num_rows]))
+
+    met = full.repartition(*grid).sortWithinPartitions(*grid).mapInArrow(run, PASSAGE)
+    return equal.unionByName(met)
+
+
 def repeated_passages(
     documents: DataFrame, shingle: int = SHINGLE, words: int = WORDS, share: int = SHARE,
     id_column="doc_id", text_column="text",
@@ -285,25 +475,7 @@ def repeated_passages(
     asked = found.select("doc", "lo", "hi").unionByName(
         found.select(F.col("pdoc").alias("doc"), F.col("plo").alias("lo"), F.col("phi").alias("hi"))
     )
-    asked = broadcast_if_small(materialize(asked.distinct(), "asked-ranges"), BROADCAST_ROWS)
-
-    def ranges():
-        def step(docs, texts, los, his):
-            out = []
-            known, last = None, None
-            for text, lo, hi in zip(texts.to_pylist(), los.to_pylist(), his.to_pylist()):
-                if text is not last:
-                    known, last = ordered_shingles(text, shingle), text
-                out.append((known[lo : hi + 1] >> np.uint64(32)).astype(np.uint32).view(np.int32))
-            flat = np.concatenate(out) if out else np.zeros(0, np.int32)
-            offsets = np.cumsum([0, *map(len, out)]).astype(np.int32)
-            return [docs, los, his, pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))]
-
-        return step
-
-    columns = ["doc", "text", "lo", "hi"]
-    shingles = map_columns(rows.join(asked, "doc"), columns, "doc long, lo int, hi int, shingles array<int>", ranges)
-    shingles = materialize(shingles, "range-shingles")
+    shingles = _range_shingles(rows, asked, shingle)
     theirs = shingles.select(
         F.col("doc").alias("pdoc"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), F.col("shingles").alias("theirs")
     )
@@ -322,7 +494,9 @@ def repeated_passages(
                     yield pa.RecordBatch.from_arrays(arrays, names=["doc", "pdoc", "start", "end"])
 
     both = both.select("doc", "pdoc", "lo", "shingles", "theirs")
-    return both.mapInArrow(check, "doc long, pdoc long, start long, end long")
+    first = materialize(both.mapInArrow(check, PASSAGE), "first-passages")
+    hot = records.where("pdoc is null").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").select("key")
+    return first.unionByName(_open_passages(rows, first, hot, shingle, length, share))
 
 
 def spans(passages: DataFrame) -> DataFrame:

@@ -132,6 +132,33 @@ def test_passages_are_similar(spark, texts):
         assert len(words) >= 50 and r.pdoc < r.doc and len(mine & every) >= 0.8 * len(mine)
 
 
+def test_passages_of_a_family(spark):
+    """One template, other words changed in each text: under 80 percent and without a run of 50 words, but for some pairs."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfghklmnprst") for _ in range(7))
+    template = [word() for _ in range(60)]
+
+    def variant():
+        words = list(template)
+        for third in range(4):
+            words[third * 15 + rng.randrange(2, 13)] = word()
+        return words
+
+    family = [variant() for _ in range(90)]
+    near = list(family[20])
+    near[30] = word()
+    for later, words in ((60, family[10]), (80, family[10]), (70, near), (85, near)):
+        family[later] = list(words)
+    rows = [(k, " ".join([word() for _ in range(30)] + x + [word() for _ in range(30)])) for k, x in enumerate(family)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r.doc: (r.starts, r.ends) for r in passages.spans(passages.repeated_passages(table)).collect()}
+    sets = [{tuple(x[i : i + 5]) for i in range(56)} for x in family]
+    want = {k for k in range(90) if any(100 * len(sets[k] & sets[j]) >= 80 * len(sets[k] | sets[j]) for j in range(k))}
+    assert want == {60, 70, 80, 85} and want <= got.keys()
+    for k in (60, 80, 85):
+        assert got[k][0][0] <= 30 and got[k][1][-1] >= 90
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     values = rng.integers(1, 40, 300).astype(np.uint64)
