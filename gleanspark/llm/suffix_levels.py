@@ -26,10 +26,10 @@ others, and nothing is capped.
 Hashes have 64 bits each; the anchor and the block hash together have 128.
 
 Defined results: a null text counts as empty. Texts under ``SPAN`` bytes have no
-such string. Identical rows are one document, each answered alike. Rows that
-share an id are one document: what is found in one is removed in all of them, as
-far as they reach; null ids count as one id behind all others. An empty table
-gives no rows; other columns do not matter.
+such string. A document is an id with a text: identical rows are one document,
+each answered alike; different texts of one id are documents of their own, in
+order of a 63-bit digest of the text. Rows with a null id come behind all others,
+each text a document. An empty table gives no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -52,7 +52,9 @@ HELD_RECORDS = 2_000_000
 # Rows with an array each.
 BROADCAST_DOCS = 300_000
 NO_ID = 2**63 - 1
-RECORD = "k long, b long, doc long, pack long, settled boolean"
+RECORD = "k long, b long, doc long, dig long, pack long, settled boolean"
+
+RECORD_NAMES = ["k", "b", "doc", "dig", "pack", "settled"]
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -149,26 +151,38 @@ def pack(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     return lo << 8 | (hi - lo)
 
 
+def _later(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Where ``a`` comes behind ``b``, column by column."""
+    behind, equal = np.zeros(len(a[0]), bool), np.ones(len(a[0]), bool)
+    for x, y in zip(a, b):
+        behind |= equal & (x > y)
+        equal &= x == y
+    return behind
+
+
 class Levels:
     """Sorted arrays of records, each at least twice as long as the next; a record is
-    (key, k, b, doc, pack), and of records with one key the levels hold the earliest."""
+    (key, k, b, doc, places …), and of records with one key the levels hold the earliest."""
 
     def __init__(self):
         self.levels: list[list[np.ndarray]] = []
+        self.columns = 4
 
     def __len__(self) -> int:
         return sum(len(x[0]) for x in self.levels)
 
-    def add(self, k, b, doc, place) -> list[np.ndarray]:
-        """Index a batch; gives (k, b, doc, pack) of the records that are later than another one."""
+    def add(self, k, b, doc, *places) -> list[np.ndarray]:
+        """Index a batch; gives (k, b, doc, places …) of the records that are later than another one.
+        Records come in order of the document and then of ``places``, column by column."""
+        self.columns = 3 + len(places)
         key = _mix(k.view(np.uint64) * np.uint64(_BASE) + b.view(np.uint64))
-        order = np.lexsort((place, doc, key))
-        batch = [x[order] for x in (key, k, b, doc, place)]
+        order = np.lexsort((*places[::-1], doc, key))
+        batch = [x[order] for x in (key, k, b, doc, *places)]
         settled = []
         if len(key):
             head = np.concatenate([[True], batch[0][1:] != batch[0][:-1]])
             of = np.maximum.accumulate(np.where(head, np.arange(len(head)), 0))
-            later = (batch[3] != batch[3][of]) | (batch[4] != batch[4][of])
+            later = _later(batch[3:], [x[of] for x in batch[3:]])
             settled.append([x[later] for x in batch[1:]])
             batch = [x[head] for x in batch]
         for level in self.levels:
@@ -177,8 +191,8 @@ class Levels:
             at = np.minimum(np.searchsorted(level[0], batch[0]), len(level[0]) - 1)
             met = level[0][at] == batch[0]
             old, new = at[met], [x[met] for x in batch]
-            newer = (new[3] > level[3][old]) | ((new[3] == level[3][old]) & (new[4] > level[4][old]))
-            older = (new[3] < level[3][old]) | ((new[3] == level[3][old]) & (new[4] < level[4][old]))
+            held = [x[old] for x in level[3:]]
+            newer, older = _later(new[3:], held), _later(held, new[3:])
             settled.append([x[newer] for x in new[1:]])
             settled.append([x[old[older]] for x in level[1:]])
             for column, x in zip(level, new):
@@ -190,28 +204,32 @@ class Levels:
             small, large = self.levels.pop(), self.levels.pop()
             at = np.searchsorted(large[0], small[0])
             self.levels.append([np.insert(x, at, y) for x, y in zip(large, small)])
-        return [np.concatenate(x) for x in zip(*settled)] if settled else [np.zeros(0, np.int64)] * 4
+        return [np.concatenate(x) for x in zip(*settled)] if settled else [np.zeros(0, np.int64)] * self.columns
 
     def drain(self) -> list[np.ndarray]:
-        """(k, b, doc, pack) of all records; the levels are empty then."""
-        found = [np.concatenate(x) for x in zip(*self.levels)][1:] if self.levels else [np.zeros(0, np.int64)] * 4
+        """(k, b, doc, places …) of all records; the levels are empty then."""
+        found = [np.concatenate(x) for x in zip(*self.levels)][1:] if self.levels else [np.zeros(0, np.int64)] * self.columns
         self.levels = []
         return found
 
 
 def _records(columns: list[np.ndarray], settled: bool) -> Iterator[pa.RecordBatch]:
-    k, b, doc, place = columns
+    k, b, doc, dig, place = columns if len(columns) == 5 else [np.zeros(0, np.int64)] * 5
     if settled and len(k):
         # Nothing is asked of them any more: they are spread by their place.
-        k = _mix(doc.view(np.uint64) * np.uint64(_BASE) + place.view(np.uint64)).view(np.int64)
+        k = _mix((doc ^ dig).view(np.uint64) * np.uint64(_BASE) + place.view(np.uint64)).view(np.int64)
     for at in range(0, len(k), 100_000):
-        part = [x[at : at + 100_000] for x in (k, b, doc, place)]
+        part = [x[at : at + 100_000] for x in (k, b, doc, dig, place)]
         flags = np.full(len(part[0]), settled)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*part, flags)], names=["k", "b", "doc", "pack", "settled"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*part, flags)], names=RECORD_NAMES)
 
 
-def _ids(column) -> np.ndarray:
-    return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+def _named(documents: DataFrame) -> DataFrame:
+    """``documents`` with ``doc`` and ``dig``, which name a document: id and digest of the text, null ids last."""
+    digest = F.xxhash64(F.coalesce("text", F.lit("")))
+    # Negative with an id and not without, so that the largest id is none.
+    digest = F.when(F.col("doc_id").isNull(), digest.bitwiseAND(F.lit(2**63 - 1))).otherwise(digest.bitwiseOR(F.lit(-(2**63))))
+    return documents.withColumns({"doc": F.coalesce("doc_id", F.lit(NO_ID)), "dig": digest})
 
 
 def _bytes(column) -> list[bytes]:
@@ -234,22 +252,22 @@ def _indexed(rows: DataFrame, make_records) -> DataFrame:
 
 
 class _Reader:
-    """Settles records that come in order of (k, b, doc, pack); ``ask`` also gives the first
+    """Settles records that come in order of (k, b, doc, dig, pack); ``ask`` also gives the first
     record of each b where a k has several. What is carried on to the next batch is one record."""
 
     def __init__(self, ask: bool):
         self.ask = ask
-        self.carried = None  # k, b, doc, pack of the last head
+        self.carried = None  # k, b, doc, dig, pack of the last head
         self.waiting = False  # it is the only head of its k so far
 
-    def read(self, k, b, doc, place):
-        """(doc, pack) settled, and (doc, pack) asked for."""
+    def read(self, k, b, doc, dig, place):
+        """(doc, dig, pack) settled, and (doc, dig, pack) asked for."""
         if self.carried is not None:
-            k, b, doc, place = (np.concatenate([[c], x]) for c, x in zip(self.carried, (k, b, doc, place)))
+            k, b, doc, dig, place = (np.concatenate([[c], x]) for c, x in zip(self.carried, (k, b, doc, dig, place)))
         new_k = np.concatenate([[True], k[1:] != k[:-1]])
         head = new_k | np.concatenate([[True], b[1:] != b[:-1]])
         of = np.maximum.accumulate(np.where(head, np.arange(len(k)), 0))
-        later = (doc != doc[of]) | (place != place[of])
+        later = (doc != doc[of]) | (dig != dig[of]) | (place != place[of])
         heads = np.flatnonzero(head)
         run = np.cumsum(new_k)[heads] - 1
         counts = np.bincount(run)
@@ -259,71 +277,72 @@ class _Reader:
         known = self.carried is not None and not self.waiting
         asked = heads[several][1 if known else 0 :] if self.ask else heads[:0]
         self.waiting = not several[-1]
-        self.carried = [int(x[heads[-1]]) for x in (k, b, doc, place)]
-        return (doc[later], place[later]), (doc[asked], place[asked])
+        self.carried = [int(x[heads[-1]]) for x in (k, b, doc, dig, place)]
+        return tuple(x[later] for x in (doc, dig, place)), tuple(x[asked] for x in (doc, dig, place))
 
 
 def _met(records: DataFrame, ask: bool) -> DataFrame:
-    """(asked boolean, doc, pack): settled records, and the ones asked for."""
+    """(asked boolean, doc, dig, pack): settled records, and the ones asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(ask)
         for batch in batches:
             flags = batch.column("settled").to_numpy(zero_copy_only=False)
-            k, b, doc, place = (batch.column(c).to_numpy() for c in ("k", "b", "doc", "pack"))
-            found = [(doc[flags], place[flags], False)]
+            k, b, doc, dig, place = (batch.column(c).to_numpy() for c in RECORD_NAMES[:5])
+            found = [(doc[flags], dig[flags], place[flags], False)]
             if not flags.all():
-                later, asked = reader.read(*(x[~flags] for x in (k, b, doc, place)))
+                later, asked = reader.read(*(x[~flags] for x in (k, b, doc, dig, place)))
                 found += [(*later, False), (*asked, True)]
-            for d, p, is_asked in found:
+            for d, g, p, is_asked in found:
                 if len(d):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(d), is_asked)), pa.array(d), pa.array(p)], names=["asked", "doc", "pack"]
+                        [pa.array(np.full(len(d), is_asked)), pa.array(d), pa.array(g), pa.array(p)],
+                        names=["asked", "doc", "dig", "pack"],
                     )
 
-    ordered = records.repartition("k").sortWithinPartitions("k", "b", "doc", "pack")
-    return ordered.mapInArrow(run, "asked boolean, doc long, pack long")
+    ordered = records.repartition("k").sortWithinPartitions("k", "b", "doc", "dig", "pack")
+    return ordered.mapInArrow(run, "asked boolean, doc long, dig long, pack long")
 
 
 def repeated(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """(doc, starts array<long>, ends array<long>): merged byte spans to remove, of documents that have some.
+    """(doc, dig, starts array<long>, ends array<long>): merged byte spans to remove, of documents that have some.
 
     ``documents``: doc_id long, text string.
     """
+    documents = _named(documents).select("doc", "dig", "text")
+
+    def names_of(batch):
+        return (batch.column(c).to_numpy() for c in ("doc", "dig"))
 
     def block_records(batch):
-        ids = _ids(batch.column("doc_id"))
+        ids, digests = names_of(batch)
         document, lo, hi, _, grams, block = Bytes(_bytes(batch.column("text"))).blocks(span, gram)
-        return grams.view(np.int64), block.view(np.int64), ids[document], pack(lo, hi)
+        return grams.view(np.int64), block.view(np.int64), ids[document], digests[document], pack(lo, hi)
 
-    first = materialize(_met(_indexed(documents.select("doc_id", "text"), block_records), True), "blocks")
-    asked = first.where("asked").groupBy("doc").agg(F.collect_set("pack").alias("packs"))
+    first = materialize(_met(_indexed(documents, block_records), True), "blocks")
+    asked = first.where("asked").groupBy("doc", "dig").agg(F.collect_set("pack").alias("packs"))
     asked = broadcast_if_small(materialize(asked, "asked-blocks"), BROADCAST_DOCS)
-    key = F.coalesce("doc_id", F.lit(NO_ID))
-    again = documents.select(key.alias("doc"), "text").join(asked, "doc").select("doc", "text", "packs")
+    again = documents.join(asked, ["doc", "dig"]).select("doc", "dig", "text", "packs")
 
     def string_records(batch):
-        ids, texts = _ids(batch.column("doc")), _bytes(batch.column("text"))
+        (ids, digests), texts = names_of(batch), _bytes(batch.column("text"))
         body = Bytes(texts)
         document, lo, n = [], [], []
         for i, packs in enumerate(batch.column("packs").to_pylist()):
             for x in packs:
-                # Rows that share an id may be shorter than the one that was asked for.
-                count = min((x & 255) + 1, len(texts[i]) - span - (x >> 8) + 1)
-                if count > 0:
-                    document.append(i)
-                    lo.append(x >> 8)
-                    n.append(count)
+                document.append(i)
+                lo.append(x >> 8)
+                n.append((x & 255) + 1)
         n = np.array(n, np.int64)
         document = np.repeat(np.array(document, np.int64), n)
         within = np.arange(len(document)) - np.repeat(np.cumsum(n) - n, n)
         start = np.repeat(np.array(lo, np.int64), n) + within
         at = start + body.starts[document]
-        return body.hashes(at, at + span).view(np.int64), np.zeros(len(at), np.int64), ids[document], pack(start, start)
+        return body.hashes(at, at + span).view(np.int64), np.zeros(len(at), np.int64), ids[document], digests[document], pack(start, start)
 
     second = _met(_indexed(again, string_records), False)
-    spans = first.where("not asked").select("doc", "pack").unionByName(second.select("doc", "pack"))
-    grouped = spans.groupBy("doc").agg(F.sort_array(F.collect_list("pack")).alias("packs"))
+    spans = first.where("not asked").select("doc", "dig", "pack").unionByName(second.select("doc", "dig", "pack"))
+    grouped = spans.groupBy("doc", "dig").agg(F.sort_array(F.collect_list("pack")).alias("packs"))
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -337,11 +356,11 @@ def repeated(documents: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFr
                     ends.append(end[np.concatenate([np.flatnonzero(fresh)[1:] - 1, [len(x) - 1]])])
                 long_list = pa.list_(pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc"), pa.array(starts, long_list), pa.array(ends, long_list)],
-                    names=["doc", "starts", "ends"],
+                    [part.column("doc"), part.column("dig"), pa.array(starts, long_list), pa.array(ends, long_list)],
+                    names=["doc", "dig", "starts", "ends"],
                 )
 
-    return grouped.mapInArrow(merge, "doc long, starts array<long>, ends array<long>")
+    return grouped.mapInArrow(merge, "doc long, dig long, starts array<long>, ends array<long>")
 
 
 def dedup(
@@ -350,7 +369,7 @@ def dedup(
     """Per row: n_bytes, n_removed, n_spans, kept_sha256, and the bytes that are left, if asked for."""
     documents = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     spans = broadcast_if_small(materialize(repeated(documents, span), "repeated-spans"), BROADCAST_DOCS)
-    rows = documents.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(spans, "doc", "left")
+    rows = _named(documents).join(spans, ["doc", "dig"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -360,10 +379,8 @@ def dedup(
                 for text, starts, ends in zip(*columns):
                     data, at, kept, n = (text or "").encode(), 0, [], 0
                     for start, end in zip(starts or (), ends or ()):
-                        if start >= len(data):
-                            break
                         kept.append(data[at:start])
-                        at, n = min(end, len(data)), n + 1
+                        at, n = end, n + 1
                     kept.append(data[at:])
                     left = b"".join(kept)
                     row = (len(data), len(data) - len(left), n, hashlib.sha256(left).hexdigest(), left)

@@ -281,6 +281,23 @@ def test_repeated_strings(spark):
     assert got == repeats(rows, 100)
 
 
+def test_strings_of_rows_that_share_an_id(spark):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, other = text(150), text(150)
+    known = [(1, line + text(200)), (2**63 - 1, text(300))]
+    # Without an id: a repeat, a text with nothing repeated, equal strings at equal places, and a copy.
+    none = [line + text(100), text(400), other + text(200), other + text(200), text(120)]
+    shared = [(5, text(160) + line), (5, text(400))]
+    rows = known + shared + [(None, x) for x in [*none, none[0]]]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r.doc_id, r.n_bytes, r.kept.decode()) for r in suffix_levels.dedup(table, with_bytes=True).collect()}
+    left = {x for key, n, x in got if key is None}
+    assert got > {(k, len(t), t) for k, t in (*known, shared[1])} and (5, 310, shared[0][1][:160]) in got
+    assert {none[0][150:], none[1], none[4]} < left and len(left) == 5
+    assert sorted(len(x) for x in left) == sorted([100, 400, 200, 350, 120])
+
+
 def test_levels():
     levels = suffix_levels.Levels()
     rng = np.random.default_rng(3)
