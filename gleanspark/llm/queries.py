@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleanspark.llm import search_queries  # noqa: F401  registers its queries
 from gleanspark.llm import bpe, hamming_join, language, line_rules, nra, packing, passages, quality_crf, sanitise, suffix_levels
 from gleanspark.llm.registry import ORACLES, QUERIES, query, table
 
