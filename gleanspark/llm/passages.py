@@ -1,34 +1,39 @@
 """Near-duplicate passages by compact windows.
 
-Positions of a text are its word shingles. For a hash function, every stretch of
-``length`` positions or more has a least hash, and all stretches with their
-least hash at position c are those inside one window [l, r] around c that hold
-c: the node c of the Cartesian tree of the hashes, with its subtree's span.
-Only nodes that span ``length`` positions matter, about two in ``length``, so a
-few records stand for all the stretches of a text.
-
-Stretches of two texts that share a least hash have windows with one key. At
-first each record is paired with the first of its key and with the one before
-it, in order of ids; a task pairs its own records first and hands on one of each
-key, so a passage in a third of all texts leaves one record per task.
-
-The windows of a pair of texts are joined by intervals: overlapping windows make
-an island, and an island needs ``AGREE`` of the ``HASHES`` functions. Islands
-are verified on the shingles themselves: the longest stretch whose similarity
-with the earlier text is ``share`` percent or more is a repeated passage, then
-the longest on either side of it, and so on.
-
-Passages found so far settle the windows that lie inside them. The windows that
-stay open, of keys with more than two records, meet all the others: those with
-equal contents are one, and one that has its contents from an earlier document
-is a repeat as it is. The distinct contents of a key meet in a grid of blocks of
-``BLOCK``, where the shingles themselves are compared; no pair is left out, and
-only what adds to the passages of a window leaves the grid. Behind the ends of
-a passage already found, more must be as dense as a passage to be looked at.
-
-The later text's passage is reported; the first one's is not. All passages are
-covered; the documents named with them are those it was first found in, which
-need not be all that hold it.
+Positions of a text are its words; from each one starts a *token* of ``TOKEN``
+words. For a hash function, every stretch of ``length`` tokens or more has a
+least hash, and all stretches with their least hash at position c are those
+inside one window [l, r] around c that hold c: the node c of the Cartesian tree
+of the hashes, with its subtree's span. Only nodes that span ``length`` tokens
+matter, a few in a hundred words, so a few records stand for all the stretches
+of a text. Of nodes with one token inside each other the outermost is kept.
+
+Stretches of two texts with a common least hash have windows with one key, and
+the anchors c say how the texts lie on each other. Two passages of 50 words with
+one word changed share 35 of 51 tokens; all ``HASHES`` functions miss them with
+probability (16/51) ** 8, under 1e-4. Longer passages of a similarity of 80 percent
+share more. Tokens are longer than the shingles that decide, so that a common
+line or phrase is no key for all the texts that have it.
+
+Windows of a pair of texts with like offsets make an island, which is verified on
+five-word shingles along the offset: a stretch whose first and last shingle are
+matched, with n of them here, m there and h matched, is a repeat if 100 h >=
+share (n + m - h). All words of such stretches are reported (``aligned``).
+
+A task first pairs each record with the first of its key and the one before it
+among its own texts, and verifies these at once. Records whose anchor lies in
+a passage are settled: they stay sources for others, but do not travel by
+their key, so a passage in a third of all texts leaves a few records per task. Across
+tasks the others are paired by key in the same way. Windows that are still open
+meet all records of their key, settled ones too, in a grid of blocks of ``BLOCK``; no pair
+is left out. A window is open until its anchor lies in a passage; what a passage
+leaves over of it is found through the anchors there.
+
+Equal texts are one from the start; copies are repeats as a whole.
+
+The later text's passage is reported; the first one's is not. The documents named
+with passages are those they were first found in, which need not be all that
+hold them.
 
 Defined results: null and short texts have no passages. Rows that share an id
 are one document and never repeat each other; rows with a null id take no part.
@@ -42,25 +47,30 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanspark.llm.arrow import map_columns, slices
-from gleanspark.llm.hamming_join import ordered_shingles
-from gleanspark.llm.suffix_levels import _INVERSE, _power, window_argmin
+from gleanspark.llm.arrow import slices
+from gleanspark.llm.suffix_levels import gram_hashes, window_argmin
 from gleanspark.runtime import broadcast_if_small, materialize
 
+TOKEN = 8
 SHINGLE = 5
 WORDS = 50
 SHARE = 80
-HASHES = 4
-AGREE = 2
-HELD_RECORDS = 2_000_000
-BROADCAST_ROWS = 2_000_000
-#: Distinct contents of a key in one block of the grid.
-BLOCK = 1024
-# Rows with an array each.
-BROADCAST_DOCS = 300_000
+HASHES = 8
+#: Words of the texts that a task holds at a time.
+HELD_WORDS = 1_500_000
+#: Offsets of one island differ from one window to the next by this many words at most.
+BAND = 24
+#: Records of a key in one block of the grid.
+BLOCK = 512
+#: Ends of ranges to be read are multiples of this many words.
+STEP = 32
+# A side with an array per row is broadcast up to so many array elements, others up to so many rows.
+BROADCAST_VALUES = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 _SEEDS = np.random.default_rng(23).integers(0, 2**64, HASHES, dtype=np.uint64)
 
@@ -85,7 +95,7 @@ def compact_windows(values: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     if not len(c):
         return empty, empty, empty
     gaps = np.flatnonzero(values == 0)
-    longest = int(np.diff(np.concatenate([[-1], gaps, [len(values)]])).max())
+    longest = int(np.diff(np.concatenate([[-1], gaps, [len(values)]])).max()) - 1
     tables = [values]
     while 2 ** len(tables) <= longest:
         step = 2 ** (len(tables) - 1)
@@ -101,52 +111,119 @@ def compact_windows(values: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     return c, left, right - 1
 
 
-PAIR = "key long, doc long, c int, l int, r int, f int, pdoc long, pl int, pr int, n int"
-_NAMES = ["key", "doc", "c", "l", "r", "f"]
-_TYPES = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32()]
-_PAIR_NAMES = [*_NAMES, "pdoc", "pl", "pr", "n"]
-_PAIR_TYPES = [*_TYPES, pa.int64(), pa.int32(), pa.int32(), pa.int32()]
-
-
-def _window_records(ids: list[int], texts: list[str | None], shingle: int, length: int, contents=False) -> list[np.ndarray]:
-    """key, doc, c, l, r, f; and a hash of the window's shingles, if asked for."""
-    sequences = [ordered_shingles(t, shingle) for t in texts]
-    keep = [i for i, s in enumerate(sequences) if len(s) >= length]
-    if not keep:
-        return [np.zeros(0, np.int64)] * (6 + contents)
-    gap = np.zeros(1, np.uint64)
-    flat = np.concatenate([x for i in keep for x in (sequences[i], gap)])
-    lengths = np.array([len(sequences[i]) + 1 for i in keep])
-    starts = np.cumsum(lengths) - lengths
-    docs = np.array([ids[i] for i in keep], np.int64)
-    between = starts + lengths - 1
-    if contents:
-        powers, inverse = (np.cumprod(np.full(len(flat), x), dtype=np.uint64) for x in (_power(1), np.uint64(_INVERSE)))
-        sums = np.concatenate([gap, np.cumsum(_mix(flat, _SEEDS[0]) * powers, dtype=np.uint64)])
-    out = []
-    for f, seed in enumerate(_SEEDS):
-        values = np.maximum(_mix(flat, seed), np.uint64(1))
-        values[between] = 0
-        c, left, right = compact_windows(values, length)
-        of = np.searchsorted(starts, c, side="right") - 1
-        key = _mix(values[c], np.uint64(f + 1)).view(np.int64)
-        out.append([key, docs[of], c - starts[of], left - starts[of], right - starts[of], np.full(len(c), f)])
-        if contents:
-            out[-1].append(_mix((sums[right + 1] - sums[left]) * inverse[left], _SEEDS[1]).view(np.int64))
-    return [np.concatenate(x) for x in zip(*out)]
-
-
-def _paired(columns, first, before, fresh=None) -> list[np.ndarray]:
-    """Rows of the ``fresh`` records with their partners, where these belong to another document."""
-    doc, at = columns[1], np.arange(len(columns[1])) if fresh is None else np.flatnonzero(fresh)
-    one = at[doc[first[at]] != doc[at]]
-    two = at[(doc[before[at]] != doc[at]) & (doc[before[at]] != doc[first[at]])]
-    at, partner = np.concatenate([one, two]), np.concatenate([first[one], before[two]])
-    return [x[at] for x in columns] + [doc[partner], columns[3][partner], columns[4][partner], np.ones(len(at), np.int32)]
+def _words(text: str) -> np.ndarray:
+    """Hashes of the words; A-Z in lower case."""
+    words = text.encode().lower().split()  # bytes split at ASCII white space only
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def shingles_of(text: str) -> np.ndarray:
+    return (_grams(_words(text), SHINGLE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _grams(words: np.ndarray, size: int) -> np.ndarray:
+    return gram_hashes(words, size) if len(words) >= size else np.zeros(0, np.uint64)
+
+
+class Texts:
+    """Texts of several documents: their words in one run, the windows of all functions, and the five-word shingles."""
+
+    def __init__(self, docs: list[int], words: list[np.ndarray]):
+        self.docs = np.array(docs, np.int64)
+        sizes = np.array([len(w) for w in words], np.int64)
+        self.ends = np.cumsum(sizes)
+        self.starts = self.ends - sizes
+        flat = np.concatenate(words)
+        self.tokens = _grams(flat, TOKEN)
+        self.shingles = (_grams(flat, SHINGLE) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        between = (self.ends[:, None] - np.arange(1, TOKEN)[None, :]).reshape(-1)
+        self.between = between[between < len(self.tokens)]
+
+    def records(self, length: int) -> dict[str, np.ndarray]:
+        """key, at (number of the text), c, lo, hi: the windows of all functions, places in words of their text."""
+        found = []
+        for f, seed in enumerate(_SEEDS):
+            values = np.maximum((_mix(self.tokens, seed) >> np.uint64(32)).astype(np.uint32), np.uint32(1))
+            values[self.between] = 0
+            c, left, right = compact_windows(values, length)
+            top = (left == 0) | (values[left - 1] != values[c])
+            c, left, right = c[top], left[top], right[top]
+            at = np.searchsorted(self.starts, c, side="right") - 1
+            base = self.starts[at]
+            found.append((_mix(self.tokens[c], np.uint64(f + 1)).view(np.int64), at, c - base, left - base, right - base))
+        return dict(zip(("key", "at", "c", "lo", "hi"), map(np.concatenate, zip(*found))))
+
+    def part(self, at: int, lo: int, hi: int) -> np.ndarray:
+        """Shingles that start at the words lo … hi of a text, as far as it goes."""
+        start = self.starts[at]
+        return self.shingles[start + lo : min(start + hi, self.ends[at] - SHINGLE) + 1]
+
+
+def aligned(mine: np.ndarray, theirs: np.ndarray, low: int, high: int, length: int, share: int) -> list[tuple[int, int]]:
+    """(start, end) of what is repeated in ``mine``: all stretches of ``length`` shingles or more, from a matched one
+    to a matched one, whose similarity with the stretch between the matches is ``share`` percent or more. A shingle
+    matches the equal one of ``theirs`` that lies nearest to an offset between ``low`` and ``high``; end exclusive."""
+    if len(mine) < length or not len(theirs):
+        return []
+    order = np.argsort(theirs, kind="stable")
+    # Values in the high bits, places below: the matches nearest to the wanted place are neighbours of its own code.
+    width = np.int64(1) << np.int64(max(len(mine), len(theirs), 1)).item().bit_length()
+    codes = theirs[order].astype(np.int64) * width + order
+    place = np.arange(len(mine))
+    wanted = np.clip(place + (low + high) // 2, 0, len(theirs) - 1)
+    asked = mine.astype(np.int64) * width + wanted
+    after = np.searchsorted(codes, asked)
+    best, distance = np.zeros(len(mine), np.int64), np.full(len(mine), 2 * width)
+    for near in (np.maximum(after - 1, 0), np.minimum(after, len(codes) - 1)):
+        gap = np.where(theirs[order[near]] == mine, np.abs(order[near] - wanted), 2 * width)
+        best, distance = np.where(gap < distance, order[near], best), np.minimum(gap, distance)
+    offset = best - place
+    hit = np.flatnonzero((distance < 2 * width) & (offset >= low - BAND) & (offset <= high + BAND))
+    if not len(hit):
+        return []
+    other, count = best[hit], np.arange(len(hit))
+    ends = (100 + share) * (count + 1) - share * (hit + other + 2)
+    lows = np.minimum.accumulate((100 + share) * count - share * (hit + other))
+    # For each end the first start that is close enough; what lies between is repeated.
+    first = np.searchsorted(-lows, -ends, side="left")
+    good = (first <= count) & (hit - hit[np.minimum(first, count)] + 1 >= length)
+    starts, stops = hit[first[good]], hit[good] + 1
+    order = np.argsort(starts, kind="stable")
+    found: list[tuple[int, int]] = []
+    for a, b in zip(starts[order].tolist(), stops[order].tolist()):
+        if found and a <= found[-1][1]:
+            found[-1] = found[-1][0], max(b, found[-1][1])
+        else:
+            found.append((a, b))
+    return found
+
+
+class Spans:
+    """Passages found in numbered texts, merged."""
+
+    def __init__(self):
+        self.held: dict[int, list[tuple[int, int]]] = {}
+
+    def add(self, at: int, start: int, end: int) -> None:
+        spans = self.held.setdefault(at, [])
+        out = [s for s in spans if s[1] < start or s[0] > end]
+        for s in spans:
+            if not (s[1] < start or s[0] > end):
+                start, end = min(start, s[0]), max(end, s[1])
+        self.held[at] = [*out, (start, end)]
+
+    def inside(self, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each [start, end) lies in a passage of its text; ``at`` in order."""
+        held = np.zeros(len(at), bool)
+        for k, spans in self.held.items():
+            a, b = np.searchsorted(at, k, side="left"), np.searchsorted(at, k, side="right")
+            for s, e in spans:
+                held[a:b] |= (start[a:b] >= s) & (end[a:b] <= e)
+        return held
 
 
 def _partners(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of sorted records: the first of the key, and the last one of an earlier document (else itself)."""
+    """Of records in order of key and document: the first of the key, and the last one of an earlier document (else itself)."""
     at = np.arange(len(key))
     new_key = np.concatenate([[True], key[1:] != key[:-1]])
     first = np.maximum.accumulate(np.where(new_key, at, 0))
@@ -155,157 +232,161 @@ def _partners(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return first, np.where(run > first, run - 1, at)
 
 
-def _batches(columns: list[np.ndarray], names: list[str], types: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
-    for at in range(0, len(columns[0]), 100_000):
-        arrays = [pa.array(x[at : at + 100_000], t) for x, t in zip(columns, types)]
-        yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-
-def _with_pairs(documents: DataFrame, shingle: int, length: int) -> DataFrame:
-    """Records: pairs found inside a task, and one unpaired record of each key that the task has, with their number."""
-
-    def settle(held: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        columns = [np.concatenate(x) for x in zip(*held)]
-        order = np.lexsort((columns[2], columns[1], columns[0]))
-        columns = [x[order] for x in columns]
-        first, before = _partners(columns[0], columns[1])
-        yield from _batches(_paired(columns, first, before), names, types)
-        head = first == np.arange(len(first))
-        none = [pa.nulls(int(head.sum()), t) for t in types[6:9]]
-        n = np.diff(np.append(np.flatnonzero(head), len(head)))
-        rows = pa.table([*(pa.array(x[head], t) for x, t in zip(columns, types)), *none, pa.array(n, types[9])], names=names)
-        yield from rows.to_batches(max_chunksize=100_000)
-
-    names, types = _PAIR_NAMES, _PAIR_TYPES
+def _pairs(doc: np.ndarray, first: np.ndarray, before: np.ndarray, fresh: np.ndarray | None = None):
+    """(record, partner) for the ``fresh`` records whose partners belong to another document."""
+    at = np.arange(len(doc)) if fresh is None else np.flatnonzero(fresh)
+    one = at[doc[first[at]] != doc[at]]
+    two = at[(doc[before[at]] != doc[at]) & (doc[before[at]] != doc[first[at]])]
+    return np.concatenate([one, two]), np.concatenate([first[one], before[two]])
+
+
+#: kind 0: a record that is still to meet others, 1: a settled one, 2: a passage (lo, hi: its words; pdoc: where it was found),
+#: 3: a pair of windows.
+RECORD = "kind int, key long, doc long, c int, lo int, hi int, pdoc long, pc int, plo int, phi int"
+_NAMES = [x.split()[0] for x in RECORD.split(", ")]
+_TYPES = [pa.int64() if x.endswith("long") else pa.int32() for x in RECORD.split(", ")]
+OPEN, SETTLED, PASSAGE, PAIR = range(4)
+
+
+def _batches(kind: int, columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    total = len(columns["doc"])
+    for at in range(0, total, 50_000):
+        n = min(50_000, total - at)
+        arrays = [pa.array(np.full(n, kind), pa.int32())]
+        for name, kind_of in zip(_NAMES[1:], _TYPES[1:]):
+            x = columns.get(name)
+            arrays.append(pa.nulls(n, kind_of) if x is None else pa.array(np.asarray(x[at : at + n]), kind_of))
+        yield pa.RecordBatch.from_arrays(arrays, names=_NAMES)
+
+
+def _settled_inside(texts: Texts, length: int, share: int) -> Iterator[pa.RecordBatch]:
+    """Passages within some texts, and their records, settled or not."""
+    rows = texts.records(length)
+    order = np.lexsort((rows["c"], texts.docs[rows["at"]], rows["key"]))
+    rows = {k: x[order] for k, x in rows.items()}
+    docs = texts.docs[rows["at"]]
+    first, before = _partners(rows["key"], docs)
+    a, b = _pairs(docs, first, before)
+    spans, out = Spans(), []
+    if len(a):
+        offset = rows["c"][b] - rows["c"][a]
+        order = np.lexsort((offset, rows["at"][b], rows["at"][a]))
+        a, b, offset = a[order], b[order], offset[order]
+        mine, theirs = rows["at"][a], rows["at"][b]
+        new = np.flatnonzero((np.diff(mine) != 0) | (np.diff(theirs) != 0) | (np.diff(offset) > BAND)) + 1
+        for s, e in zip(np.append(0, new).tolist(), np.append(new, len(a)).tolist()):
+            x, y, at, other = a[s:e], b[s:e], int(mine[s]), int(theirs[s])
+            lo, plo = int(rows["lo"][x].min()), int(rows["lo"][y].min())
+            one = texts.part(at, lo, int(rows["hi"][x].max()) + TOKEN - SHINGLE)
+            two = texts.part(other, plo, int(rows["hi"][y].max()) + TOKEN - SHINGLE)
+            for p, q in aligned(one, two, int(offset[s]) + lo - plo, int(offset[e - 1]) + lo - plo, length + TOKEN - SHINGLE, share):
+                spans.add(at, lo + p, lo + q + SHINGLE - 1)
+                out.append((texts.docs[at], texts.docs[other], lo + p, lo + q + SHINGLE - 1))
+    if out:
+        doc, pdoc, lo, hi = (np.array(x, np.int64) for x in zip(*out))
+        yield from _batches(PASSAGE, {"doc": doc, "pdoc": pdoc, "lo": lo, "hi": hi})
+    order = np.argsort(rows["at"], kind="stable")
+    done = np.zeros(len(order), bool)
+    done[order] = spans.inside(rows["at"][order], rows["c"][order], rows["c"][order] + TOKEN)
+    done &= first != np.arange(len(first))  # the first of a key stays for the other tasks
+    for kind, some in ((OPEN, ~done), (SETTLED, done)):
+        yield from _batches(kind, {"doc": docs[some]} | {k: rows[k][some] for k in ("key", "c", "lo", "hi")})
+
+
+def _records(heads: DataFrame, words: int, share: int) -> DataFrame:
+    length = words - TOKEN + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        docs, held, size = [], [], 0
         for batch in batches:
-            for part in slices(batch, 2_000_000):
-                ids, texts = (part.column(c).to_pylist() for c in ("doc", "text"))
-                held.append(_window_records(ids, texts, shingle, length))
-                size += len(held[-1][0])
-                if size > HELD_RECORDS:
-                    yield from settle(held)
-                    held, size = [], 0
+            for part in slices(batch):
+                for doc, text in zip(*(part.column(c).to_pylist() for c in ("doc", "text"))):
+                    found = _words(text)
+                    if len(found) < words:
+                        continue
+                    docs.append(doc)
+                    held.append(found)
+                    size += len(found)
+                    if size >= HELD_WORDS:
+                        yield from _settled_inside(Texts(docs, held), length, share)
+                        docs, held, size = [], [], 0
         if size:
-            yield from settle(held)
+            yield from _settled_inside(Texts(docs, held), length, share)
 
-    return documents.mapInArrow(run, PAIR)
+    return heads.select("doc", "text").mapInArrow(run, RECORD)
 
 
 def _met(records: DataFrame) -> DataFrame:
-    """Pairs across tasks: records come in order of key and document; the first and the last record are carried on."""
+    """Open records in order of key and document, and their pairs; records whose key no other document has are left out.
+
+    The records of the key's first document and the last record are carried on from batch to batch; all that is not an
+    open record passes through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried: list[np.ndarray] | None = None
+        carried, alone = None, True  # alone: the carried key has had one document so far
         for batch in batches:
-            columns = [batch.column(c).to_numpy() for c in _NAMES]
+            kinds = batch.column("kind").to_numpy()
+            rest = np.flatnonzero(kinds != OPEN)
+            if len(rest):
+                yield batch.take(pa.array(rest))
+            batch = batch.take(pa.array(np.flatnonzero(kinds == OPEN)))
+            if not batch.num_rows:
+                continue
+            rows = {c: batch.column(c).to_numpy() for c in ("key", "doc", "c", "lo", "hi")}
             held = 0
             if carried is not None:
-                held = len(carried[0])
-                columns = [np.concatenate([a, b]) for a, b in zip(carried, columns)]
-            first, before = _partners(columns[0], columns[1])
-            fresh = np.arange(len(columns[0])) >= held  # the carried records have been paired already
-            yield from _batches(_paired(columns, first, before, fresh), _PAIR_NAMES, _PAIR_TYPES)
-            last = len(columns[0]) - 1
-            keep = sorted({int(first[last]), last})
-            carried = [x[keep] for x in columns]
-
-    return records.repartition("key").sortWithinPartitions("key", "doc", "c").mapInArrow(run, PAIR)
-
-
-def islands(pairs: DataFrame, agree: int = AGREE) -> DataFrame:
-    """(doc, pdoc, lo, hi, plo, phi): overlapping windows of a pair of documents, of enough hash functions."""
-    pairs = pairs.select("doc", "pdoc", "l", "r", "pl", "pr", "f")
-    order = Window.partitionBy("doc", "pdoc").orderBy("l", "r")
-    reach = F.max("r").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = pairs.withColumn("fresh", F.when(F.col("l") <= reach, 0).otherwise(1))
+                held = len(carried["key"])
+                rows = {c: np.concatenate([carried[c], rows[c]]) for c in rows}
+            fresh = np.arange(len(rows["key"])) >= held  # the carried records have been paired already
+            first, before = _partners(rows["key"], rows["doc"])
+            a, b = _pairs(rows["doc"], first, before, fresh)
+            pairs = {k: rows[k][a] for k in ("key", "doc", "c", "lo", "hi")} | {f"p{k}": rows[k][b] for k in ("doc", "c", "lo", "hi")}
+            yield from _batches(PAIR, pairs)
+            # A record of a document behind the first one, and that first one once it has company.
+            later = rows["doc"] != rows["doc"][first]
+            company = np.zeros(len(later), bool)
+            np.logical_or.at(company, first, later)
+            keep = fresh & (later | company[first])
+            if held and company[0] and alone:
+                keep[:held] |= ~later[:held] & (first[:held] == 0)
+            yield from _batches(OPEN, {k: x[keep] for k, x in rows.items()})
+            last = len(fresh) - 1
+            # A first record of this batch has been written if its key has company by now.
+            start = int(first[last])
+            alone = not company[start] and (alone if start == 0 and held else True)
+            at = np.union1d(np.flatnonzero((first == start) & ~later), [last])
+            carried = {k: x[at] for k, x in rows.items()}
+
+    by_key = F.xxhash64("key", F.when(F.col("kind") != OPEN, F.col("doc")))
+    return records.withColumn("way", by_key).repartition("way").drop("way").sortWithinPartitions("key", "doc", "c").mapInArrow(run, RECORD)
+
+
+def islands(pairs: DataFrame) -> DataFrame:
+    """(doc, pdoc, lo, hi, plo, phi, low, high): windows of a pair of documents whose offsets follow each other closely."""
+    rows = pairs.select("doc", "pdoc", "lo", "hi", "plo", "phi", (F.col("pc") - F.col("c")).alias("offset"))
+    order = Window.partitionBy("doc", "pdoc").orderBy("offset")
+    rows = rows.withColumn("fresh", F.when(F.col("offset") - F.lag("offset").over(order) <= BAND, 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return (
-        rows.groupBy("doc", "pdoc", "island")
-        .agg(
-            F.min("l").alias("lo"), F.max("r").alias("hi"), F.min("pl").alias("plo"), F.max("pr").alias("phi"),
-            F.bit_or(F.expr("shiftleft(1, f)")).alias("functions"),
-        )
-        .where(F.bit_count("functions") >= agree)
-        .drop("island", "functions")
-    )
-
-
-def verified(text: np.ndarray, other: np.ndarray, length: int, share: int) -> list[tuple[int, int]]:
-    """(start, end) of the longest stretches of ``text``, at least ``length`` long, whose shingles have a
-    similarity of ``share`` percent with those of ``other``'s stretch; end exclusive, in order."""
-    known, where = np.unique(other, return_index=True)
-    found = np.minimum(np.searchsorted(known, text), len(known) - 1)
-    hit = known[found] == text
-    at = np.where(hit, where[found], -1)
-
-    def similar(start: int, end: int) -> bool:
-        places = at[start:end][hit[start:end]]
-        mine = set(text[start:end].tolist())
-        middle = int(np.median(places))
-        # The other stretch: all the matches, or as much around the middle one as this stretch is long.
-        tries = ((places.min(), places.max() + 1), (max(0, middle - (end - start) // 2), middle + (end - start) // 2 + 1))
-        for lo, hi in tries:
-            theirs = set(other[lo:hi].tolist())
-            shared = len(mine & theirs)
-            if 100 * shared >= share * (len(mine) + len(theirs) - shared):
-                return True
-        return False
-
-    def best(a: int, b: int) -> tuple[int, int] | None:
-        # With k of m shingles shared, k / (2 m - k) >= share means k / m >= 2 share / (100 + share).
-        least = 2 * share / (100 + share)
-        for ratio in (least, (1 + least) / 2):
-            got = _longest(hit[a:b], ratio, length)
-            if got and similar(a + got[0], a + got[1]):
-                return a + got[0], a + got[1]
-        # Else what is repeated word for word.
-        follows = hit[a : b - 1] & hit[a + 1 : b] & (at[a + 1 : b] == at[a : b - 1] + 1)
-        got = _longest(follows, 1.0, length - 1)
-        return (a + got[0], a + got[1] + 1) if got else None
-
-    found, waiting = [], [(0, len(text))]
-    while waiting:
-        a, b = waiting.pop()
-        got = best(a, b) if b - a >= length else None
-        if got:
-            found.append(got)
-            waiting += [(a, got[0]), (got[1], b)]
-    return sorted(found)
-
-
-def _longest(hit: np.ndarray, ratio: float, length: int) -> tuple[int, int] | None:
-    """The longest stretch that begins and ends with a hit and has ``ratio`` of hits."""
-    if len(hit) < length:
-        return None
-    sums = np.concatenate([[0.0], np.cumsum(hit - ratio)])
-    # For each end, the first start with a sum not above the end's: starts are prefix minima of the sums.
-    lows = np.minimum.accumulate(sums)
-    starts = np.searchsorted(-lows, -(sums + 1e-9), side="left")
-    sizes = np.arange(len(sums)) - starts
-    end = int(np.argmax(sizes))
-    start = int(starts[end])
-    inside = np.flatnonzero(hit[start:end])
-    if not len(inside) or inside[-1] + 1 - inside[0] < length:
-        return None
-    return start + int(inside[0]), start + int(inside[-1]) + 1
-
-
-PASSAGE = "doc long, pdoc long, start long, end long"
-
-
-def _range_shingles(rows: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
-    """(doc, lo, hi, shingles): the hashes of the shingles of each range asked for; a text is read once."""
+    down = lambda c: (F.floor(F.min(c) / STEP) * STEP).cast("int").alias(c)
+    up = lambda c: (F.floor((F.max(c) + TOKEN - SHINGLE) / STEP) * STEP + STEP - 1).cast("int").alias(c)
+    return rows.groupBy("doc", "pdoc", "island").agg(
+        down("lo"), up("hi"), down("plo"), up("phi"), F.min("offset").alias("low"), F.max("offset").alias("high")
+    ).drop("island")
+
+
+def _range_shingles(heads: DataFrame, asked: DataFrame) -> DataFrame:
+    """(doc, lo, hi, shingles): the shingles of each range asked for, ends inclusive; a text is read once."""
     asked = asked.groupBy("doc").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))
-    asked = broadcast_if_small(materialize(asked, "asked-ranges"), BROADCAST_DOCS)
+    asked = materialize(asked, "asked-ranges")
+    values = asked.agg(F.sum(F.size("ranges"))).first()[0] or 0
+    asked = F.broadcast(asked) if values <= BROADCAST_VALUES else asked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
                 for doc, text, ranges in zip(*(part.column(c).to_pylist() for c in ("doc", "text", "ranges"))):
-                    known = (ordered_shingles(text, shingle) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    known = shingles_of(text)
                     for at in range(0, len(ranges), 1_000):
                         los, his = ([x[c] for x in ranges[at : at + 1_000]] for c in ("lo", "hi"))
                         out = [known[lo : hi + 1] for lo, hi in zip(los, his)]
@@ -314,119 +395,107 @@ def _range_shingles(rows: DataFrame, asked: DataFrame, shingle: int) -> DataFram
                         arrays = [pa.array([doc] * len(los), pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32()), lists]
                         yield pa.RecordBatch.from_arrays(arrays, names=["doc", "lo", "hi", "shingles"])
 
-    found = rows.join(asked, "doc").select("doc", "text", "ranges").mapInArrow(run, "doc long, lo int, hi int, shingles array<int>")
-    return materialize(found, "range-shingles")
+    rows = heads.join(asked, "doc").select("doc", "text", "ranges")
+    return materialize(rows.mapInArrow(run, "doc long, lo int, hi int, shingles array<int>"), "range-shingles")
 
 
-def _open_records(rows: DataFrame, done: DataFrame, shingle: int, length: int) -> DataFrame:
-    """All windows, and whether they are open: not inside one of the spans ``done``."""
-    rows = rows.join(done, "doc", "left").select("doc", "text", "starts", "ends")
+FOUND = "doc long, pdoc long, start long, end long"
 
-    def make():
-        def step(docs, texts, starts, ends):
-            ids = np.arange(len(docs))
-            key, at, _, left, right, _, content = _window_records(ids, texts.to_pylist(), shingle, length, True)
-            is_open = np.ones(len(key), bool)
-            order = np.argsort(at, kind="stable")
-            edges = np.searchsorted(at[order], np.arange(len(docs) + 1))
-            for i, (a, b) in enumerate(zip(starts, ends)):
-                own = order[edges[i] : edges[i + 1]]
-                if a.is_valid and len(own):
-                    a, b = a.values.to_numpy(), b.values.to_numpy()
-                    span = np.searchsorted(a, left[own], side="right") - 1
-                    is_open[own] = (span < 0) | (b[span] < right[own] + shingle)
-            return [key, docs.to_numpy()[at], left, right, content, is_open]
 
-        return step
+def _verified(heads: DataFrame, found: DataFrame, length: int, share: int) -> DataFrame:
+    """The passages of islands."""
+    asked = found.select("doc", "lo", "hi").unionByName(
+        found.select(F.col("pdoc").alias("doc"), F.col("plo").alias("lo"), F.col("phi").alias("hi"))
+    )
+    shingles = _range_shingles(heads, asked)
+    theirs = shingles.select(
+        F.col("doc").alias("pdoc"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), F.col("shingles").alias("theirs")
+    )
+    both = found.join(shingles, ["doc", "lo", "hi"]).join(theirs, ["pdoc", "plo", "phi"])
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                columns = [part.column(c).to_pylist() for c in ("doc", "pdoc", "lo", "plo", "low", "high")]
+                out = []
+                for doc, pdoc, lo, plo, low, high, mine, other in zip(*columns, part.column("mine"), part.column("theirs")):
+                    shift = lo - plo
+                    for a, b in aligned(mine.values.to_numpy(), other.values.to_numpy(), low + shift, high + shift, length, share):
+                        out.append((doc, pdoc, lo + a, lo + b + SHINGLE - 1))
+                if out:
+                    arrays = [pa.array(x, pa.int64()) for x in zip(*out)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["doc", "pdoc", "start", "end"])
 
-    schema = "key long, doc long, lo int, hi int, content long, open boolean"
-    return map_columns(rows, rows.columns, schema, make)
+    both = both.select("doc", "pdoc", "lo", "plo", "low", "high", F.col("shingles").alias("mine"), "theirs")
+    return both.mapInArrow(check, FOUND)
 
 
-def _grid_passages(table: pa.Table, length: int, share: int, shingle: int) -> list[tuple[int, int, int, int]]:
-    """Passages of the open windows of one cell that are in windows of earlier documents of the other block."""
+def _grid_passages(table: pa.Table, length: int, share: int) -> list[tuple[int, int, int, int]]:
+    """Passages of the open windows of one cell that windows of earlier documents of the other block have."""
     own, first, second = (table.column(c).to_numpy() for c in ("own", "i", "j"))
-    docs, los, is_open = (table.column(c).to_numpy() for c in ("doc", "lo", "open"))
+    docs, los, anchors, is_open = (table.column(c).to_numpy() for c in ("doc", "lo", "c", "open"))
     texts = [x.values.to_numpy() for x in table.column("shingles")]
     cell = first[0] == second[0]
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    edges = np.append(0, np.cumsum(sizes))
-    codes = np.unique(np.concatenate(texts), return_inverse=True)[1].astype(np.int32)
-    # A stretch of ``verified`` has a part of one to two lengths with its share of hits; so at most so many of some ``length`` miss.
-    misses = int((1 - 2 * share / (100 + share)) * (2 * length - 1))
-
-    def dense(hit: np.ndarray, done: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Whether a part between ``ends`` holds a stretch of ``length`` with enough hits that is not all done."""
-        if len(hit) < length:
-            return np.zeros(len(ends) - 1, bool)
-        sums, old = (np.append(0, np.cumsum(x, dtype=np.int32)) for x in (hit, done))
-        enough = (sums[length:] - sums[:-length] >= length - misses) & (old[length:] - old[:-length] < length)
-        good = np.append(0, np.cumsum(enough, dtype=np.int32))
-        return good[np.maximum(ends[1:] - length + 1, ends[:-1])] > good[ends[:-1]]
-
-    # Shingles that another document of the cell has.
-    of = np.repeat(np.unique(docs, return_inverse=True)[1], sizes)
-    low, high = np.full(int(codes.max()) + 1, len(docs)), np.full(int(codes.max()) + 1, -1)
-    np.minimum.at(low, codes, of)
-    np.maximum.at(high, codes, of)
-    done = np.zeros(len(codes), bool)
-    for k, (a, b) in enumerate(zip(table.column("starts"), table.column("ends"))):
-        if is_open[k] and a.is_valid:
-            own_part = done[edges[k] : edges[k + 1]]
-            for start, end in zip(a.values.to_numpy() - los[k], b.values.to_numpy() - los[k] - shingle + 1):
-                own_part[max(start, 0) : max(end, 0)] = True
-    mine = np.flatnonzero(is_open & dense((low < high)[codes], done, edges))
+    mine = np.flatnonzero(is_open & (docs > docs.min()) & np.array([len(x) >= length for x in texts]))
     if not len(mine):
         return []
-    parts = np.split(codes, edges[1:-1])
+    codes = np.unique(np.concatenate(texts), return_inverse=True)[1]
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    parts = np.split(codes, np.cumsum(sizes)[:-1])
     flat = np.concatenate([parts[k] for k in mine])
     ends = np.append(0, np.cumsum(sizes[mine]))
-    mark = np.zeros(len(low), bool)
-    settled = np.concatenate([done[edges[k] : edges[k + 1]] for k in mine])
-    covered = {k: settled[a:b] for k, a, b in zip(mine, ends[:-1], ends[1:])}
-    out = []
+    mark = np.zeros(int(codes.max()) + 1, bool)
+    # A repeated stretch has a part of one to two lengths with its share of hits; so at most so many of some ``length`` miss.
+    misses = int((1 - 2 * share / (100 + share)) * (2 * length - 1))
+    waiting = np.ones(len(mine), bool)
+    out, seen = [], set()
     for other in np.argsort(docs, kind="stable"):
+        content = own[other], anchors[other] - los[other], parts[other].tobytes()
+        able = waiting & (docs[mine] > docs[other]) & (cell | (own[mine] != own[other]))
+        if not able.any() or content in seen:
+            continue
         mark[parts[other]] = True
-        hits = dense(mark[flat], settled, ends)
+        sums = np.append(0, np.cumsum(mark[flat], dtype=np.int32))
         mark[parts[other]] = False
-        for k in mine[hits]:
-            if docs[other] >= docs[k] or not (cell or own[other] != own[k]) or covered[k].all():
-                continue
-            for a, b in verified(texts[k], texts[other], length, share):
-                if not covered[k][a:b].all():
-                    covered[k][a:b] = True
-                    out.append((docs[k], docs[other], los[k] + a, los[k] + b + shingle - 1))
+        good = np.append(0, np.cumsum(sums[length:] - sums[:-length] >= length - misses, dtype=np.int32))
+        hits = good[np.maximum(ends[1:] - length + 1, ends[:-1])] > good[ends[:-1]]
+        seen.add(content)
+        for at in np.flatnonzero(able & hits):
+            k = mine[at]
+            offset = int((anchors[other] - los[other]) - (anchors[k] - los[k]))
+            for a, b in aligned(texts[k], texts[other], offset, offset, length, share):
+                out.append((docs[k], docs[other], los[k] + a, los[k] + b + SHINGLE - 1))
+                if los[k] + a <= anchors[k] and anchors[k] + TOKEN <= los[k] + b + SHINGLE - 1:
+                    waiting[at] = False
     return out
 
 
-def _open_passages(rows: DataFrame, found: DataFrame, hot: DataFrame, shingle: int, length: int, share: int) -> DataFrame:
-    """The passages of windows outside those ``found``: all distinct contents of a ``hot`` key meet."""
-    hot = broadcast_if_small(materialize(hot, "keys-of-several"), BROADCAST_ROWS)
+def _open_passages(heads: DataFrame, met: DataFrame, found: DataFrame, length: int, share: int) -> DataFrame:
+    """The passages of windows whose anchors are in none ``found``: they meet all records of their key."""
     done = materialize(spans(found).select("doc", "starts", "ends"), "settled-spans")
-    done = broadcast_if_small(done, BROADCAST_DOCS)
-    records = materialize(_open_records(rows, done, shingle, length).join(hot, "key", "left_semi"), "windows-of-several")
-    wanted = broadcast_if_small(materialize(records.where("open").select("key").distinct(), "open-keys"), BROADCAST_ROWS)
-    records = records.join(wanted, "key", "left_semi")
-    # Of each content the first document, with all places that it has there.
-    places = records.groupBy("key", "content", "doc").agg(F.collect_set(F.struct("lo", "hi", "open")).alias("places"))
-    heads = places.groupBy("key", "content").agg(F.min_by(F.struct("doc", "places"), "doc").alias("x"))
-    heads = materialize(heads.select("key", "content", "x.doc", F.explode("x.places").alias("p")).select("key", "content", "doc", "p.*"), "contents")
-    # Equal contents: the whole window is a repeat.
-    first = heads.select("key", "content", F.col("doc").alias("pdoc")).distinct()
-    equal = records.where("open").join(first, ["key", "content"]).where("pdoc < doc")
-    start, end = F.col("lo").cast("long"), (F.col("hi") + shingle).cast("long")
-    equal = equal.select("doc", "pdoc", start.alias("start"), end.alias("end")).distinct()
-    sizes = heads.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.max("open").alias("any")).where("any and n > 1")
-    sizes = sizes.select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    cells = heads.join(broadcast_if_small(materialize(sizes, "open-sizes"), BROADCAST_ROWS), "key")
-    cells = cells.withColumn("own", F.pmod("content", F.col("blocks")).cast("int"))
-    cells = materialize(cells, "open-contents")
-    shingles = _range_shingles(rows, cells.select("doc", "lo", "hi"), shingle).dropDuplicates(["doc", "lo", "hi"])
-    full = cells.join(shingles, ["doc", "lo", "hi"]).join(done, "doc", "left")
+    values = done.agg(F.sum(2 * F.size("starts"))).first()[0] or 0
+    done = F.broadcast(done) if values <= BROADCAST_VALUES else done
+    records = met.where(F.col("kind") <= SETTLED).select("key", "doc", "c", "lo", "hi", "kind")
+    inside = F.exists(F.arrays_zip("starts", "ends"), lambda x: (x["starts"] <= F.col("c")) & (x["ends"] >= F.col("c") + TOKEN))
+    open_ = (F.col("kind") == OPEN) & ~F.coalesce(inside, F.lit(False))
+    records = records.join(done, "doc", "left").select("key", "doc", "c", "lo", "hi", open_.alias("open"))
+    records = materialize(records, "windows-met")
+    # Two documents of a key have been compared.
+    keys = records.groupBy("key").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"), F.max(F.when(F.col("open"), F.col("doc"))).alias("last")
+    )
+    keys = keys.where("n > 2 and last > least").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    keys = broadcast_if_small(materialize(keys, "open-keys"), BROADCAST_ROWS)
+    cells = records.join(keys, "key")
+    cells = cells.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
+    down, up = F.floor(F.col("lo") / STEP) * STEP, F.floor((F.col("hi") + TOKEN - SHINGLE) / STEP) * STEP + STEP - 1
+    cells = materialize(cells.withColumns({"lo": down.cast("int"), "hi": up.cast("int")}), "open-cells")
+    shingles = _range_shingles(heads, cells.select("doc", "lo", "hi"))
+    full = cells.join(shingles, ["doc", "lo", "hi"])
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     grid = ["key", "i", "j"]
     full = full.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "lo", "open", "shingles", "starts", "ends"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "c", "lo", "open", "shingles"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -434,7 +503,7 @@ def _open_passages(rows: DataFrame, found: DataFrame, hot: DataFrame, shingle: i
             out = []
             for a, b in zip(starts[:-1], starts[1:]):
                 if b - a > 1:
-                    out += _grid_passages(table.slice(a, b - a).combine_chunks(), length, share, shingle)
+                    out += _grid_passages(table.slice(a, b - a).combine_chunks(), length, share)
             if out:
                 arrays = [pa.array(np.array(x, np.int64)) for x in zip(*out)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc", "pdoc", "start", "end"])
@@ -455,48 +524,35 @@ def _open_passages(rows: DataFrame, found: DataFrame, hot: DataFrame, shingle: i
         if held is not None:
             yield from compared(held, np.array([0, held.num_rows]))
 
-    met = full.repartition(*grid).sortWithinPartitions(*grid).mapInArrow(run, PASSAGE)
-    return equal.unionByName(met)
+    return full.repartition(*grid).sortWithinPartitions(*grid).mapInArrow(run, FOUND)
 
 
 def repeated_passages(
-    documents: DataFrame, shingle: int = SHINGLE, words: int = WORDS, share: int = SHARE,
-    id_column="doc_id", text_column="text",
+    documents: DataFrame, words: int = WORDS, share: int = SHARE, id_column="doc_id", text_column="text",
 ) -> DataFrame:
     """(doc, pdoc, start, end): passages of ``words`` words or more, in words from 0, end exclusive,
     that are near duplicates of a passage of the earlier document ``pdoc``."""
-    length = words - shingle + 1
+    length = words - SHINGLE + 1
     rows = documents.select(F.col(id_column).cast("long").alias("doc"), F.col(text_column).alias("text"))
     rows = rows.where("doc is not null and text is not null")
-    records = materialize(_with_pairs(rows, shingle, length), "window-records")
-    inside = records.where("pdoc is not null")
-    across = _met(records.where("pdoc is null").select(*_NAMES))
-    found = materialize(islands(inside.unionByName(across)), "islands")
-    asked = found.select("doc", "lo", "hi").unionByName(
-        found.select(F.col("pdoc").alias("doc"), F.col("plo").alias("lo"), F.col("phi").alias("hi"))
-    )
-    shingles = _range_shingles(rows, asked, shingle)
-    theirs = shingles.select(
-        F.col("doc").alias("pdoc"), F.col("lo").alias("plo"), F.col("hi").alias("phi"), F.col("shingles").alias("theirs")
-    )
-    both = found.join(shingles, ["doc", "lo", "hi"]).join(theirs, ["pdoc", "plo", "phi"])
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                docs, pdocs, los = (part.column(c).to_pylist() for c in ("doc", "pdoc", "lo"))
-                out = []
-                for i, (mine, other) in enumerate(zip(part.column("shingles"), part.column("theirs"))):
-                    for a, b in verified(mine.values.to_numpy(), other.values.to_numpy(), length, share):
-                        out.append((docs[i], pdocs[i], los[i] + a, los[i] + b + shingle - 1))
-                if out:
-                    arrays = [pa.array(x, pa.int64()) for x in zip(*out)]
-                    yield pa.RecordBatch.from_arrays(arrays, names=["doc", "pdoc", "start", "end"])
-
-    both = both.select("doc", "pdoc", "lo", "shingles", "theirs")
-    first = materialize(both.mapInArrow(check, PASSAGE), "first-passages")
-    hot = records.where("pdoc is null").groupBy("key").agg(F.sum("n").alias("n")).where("n > 2").select("key")
-    return first.unionByName(_open_passages(rows, first, hot, shingle, length, share))
+    # Of equal texts the first is looked at; the others are repeats as a whole.
+    same = F.unhex(F.md5(F.col("text").cast("binary")))
+    count = F.size(F.array_remove(F.split("text", "[\\x20\\x09-\\x0D]+"), "")).cast("long")
+    firsts = rows.groupBy(same.alias("same")).agg(F.min("doc").alias("pdoc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = broadcast_if_small(materialize(firsts.select("same", "pdoc"), "equal-texts"), BROADCAST_ROWS)
+    copies = rows.join(firsts, same == F.col("same")).where("doc > pdoc").withColumn("size", count).where(F.col("size") >= words)
+    copies = copies.select("same", "doc", "pdoc", F.lit(0).cast("long").alias("start"), F.col("size").alias("end"))
+    copies = materialize(copies, "copies")
+    gone = broadcast_if_small(copies.select("same", F.col("doc").alias("d")).distinct(), BROADCAST_ROWS)
+    heads = rows.join(gone, (same == F.col("same")) & (F.col("doc") == F.col("d")), "left_anti")
+    copies = copies.drop("same")
+
+    met = materialize(_met(_records(heads, words, share)), "windows")
+    near = met.where(F.col("kind") == PASSAGE).select("doc", "pdoc", F.col("lo").cast("long").alias("start"), F.col("hi").cast("long").alias("end"))
+    across = materialize(islands(met.where(F.col("kind") == PAIR)), "islands")
+    across = materialize(_verified(heads, across, length, share), "passages-across")
+    found = near.unionByName(across)
+    return copies.unionByName(found).unionByName(_open_passages(heads, met, found, length, share))
 
 
 def spans(passages: DataFrame) -> DataFrame:
