@@ -48,7 +48,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanspark.llm.arrow import slices
@@ -66,6 +66,8 @@ HELD_WORDS = 1_500_000
 BAND = 24
 #: Records of a key in one block of the grid.
 BLOCK = 512
+#: Words of a document that make one family of the windows first found there.
+REGION = 64
 #: Ends of ranges to be read are multiples of this many words.
 STEP = 32
 # A side with an array per row is broadcast up to so many array elements, others up to so many rows.
@@ -240,9 +242,27 @@ def _pairs(doc: np.ndarray, first: np.ndarray, before: np.ndarray, fresh: np.nda
     return np.concatenate([one, two]), np.concatenate([first[one], before[two]])
 
 
-#: kind 0: a record that is still to meet others, 1: a settled one, 2: a passage (lo, hi: its words; pdoc: where it was found),
-#: 3: a pair of windows.
-RECORD = "kind int, key long, doc long, c int, lo int, hi int, pdoc long, pc int, plo int, phi int"
+#: Words around an anchor that a record keeps of its window; longer passages have other anchors.
+REACH = 1_000
+# A record's place in one long: its anchor, and how far the window goes to the left and to the right of it.
+_SIDE = 10
+
+
+def _packed(rows: dict[str, np.ndarray]) -> np.ndarray:
+    c, left, right = (rows[x].astype(np.int64) for x in ("c", "lo", "hi"))
+    return (c << 2 * _SIDE) | (np.minimum(c - left, REACH) << _SIDE) | np.minimum(right - c, REACH)
+
+
+def _unpacked(pack: Column) -> tuple[Column, Column, Column]:
+    """Anchor, first and last word of a window."""
+    c, side = F.shiftright(pack, 2 * _SIDE), (1 << _SIDE) - 1
+    left, right = F.shiftright(pack, _SIDE).bitwiseAND(side), pack.bitwiseAND(side)
+    return c.cast("int"), (c - left).cast("int"), (c + right).cast("int")
+
+
+#: kind 0: a record that is still to meet others, 1: a settled one, 2: a passage (pack: its first word in the upper half
+#: and the end of its words in the lower; pdoc: where it was found), 3: a pair of records.
+RECORD = "kind int, key long, doc long, pack long, pdoc long, ppack long"
 _NAMES = [x.split()[0] for x in RECORD.split(", ")]
 _TYPES = [pa.int64() if x.endswith("long") else pa.int32() for x in RECORD.split(", ")]
 OPEN, SETTLED, PASSAGE, PAIR = range(4)
@@ -284,13 +304,14 @@ def _settled_inside(texts: Texts, length: int, share: int) -> Iterator[pa.Record
                 out.append((texts.docs[at], texts.docs[other], lo + p, lo + q + SHINGLE - 1))
     if out:
         doc, pdoc, lo, hi = (np.array(x, np.int64) for x in zip(*out))
-        yield from _batches(PASSAGE, {"doc": doc, "pdoc": pdoc, "lo": lo, "hi": hi})
+        yield from _batches(PASSAGE, {"doc": doc, "pdoc": pdoc, "pack": (lo << 32) | hi})
     order = np.argsort(rows["at"], kind="stable")
     done = np.zeros(len(order), bool)
     done[order] = spans.inside(rows["at"][order], rows["c"][order], rows["c"][order] + TOKEN)
     done &= first != np.arange(len(first))  # the first of a key stays for the other tasks
+    pack = _packed(rows)
     for kind, some in ((OPEN, ~done), (SETTLED, done)):
-        yield from _batches(kind, {"doc": docs[some]} | {k: rows[k][some] for k in ("key", "c", "lo", "hi")})
+        yield from _batches(kind, {"doc": docs[some], "key": rows["key"][some], "pack": pack[some]})
 
 
 def _records(heads: DataFrame, words: int, share: int) -> DataFrame:
@@ -333,7 +354,7 @@ def _met(records: DataFrame) -> DataFrame:
             batch = batch.take(pa.array(np.flatnonzero(kinds == OPEN)))
             if not batch.num_rows:
                 continue
-            rows = {c: batch.column(c).to_numpy() for c in ("key", "doc", "c", "lo", "hi")}
+            rows = {c: batch.column(c).to_numpy() for c in ("key", "doc", "pack")}
             held = 0
             if carried is not None:
                 held = len(carried["key"])
@@ -341,7 +362,7 @@ def _met(records: DataFrame) -> DataFrame:
             fresh = np.arange(len(rows["key"])) >= held  # the carried records have been paired already
             first, before = _partners(rows["key"], rows["doc"])
             a, b = _pairs(rows["doc"], first, before, fresh)
-            pairs = {k: rows[k][a] for k in ("key", "doc", "c", "lo", "hi")} | {f"p{k}": rows[k][b] for k in ("doc", "c", "lo", "hi")}
+            pairs = {k: rows[k][a] for k in ("doc", "pack")} | {f"p{k}": rows[k][b] for k in ("doc", "pack")}
             yield from _batches(PAIR, pairs)
             # A record of a document behind the first one, and that first one once it has company.
             later = rows["doc"] != rows["doc"][first]
@@ -359,12 +380,13 @@ def _met(records: DataFrame) -> DataFrame:
             carried = {k: x[at] for k, x in rows.items()}
 
     by_key = F.xxhash64("key", F.when(F.col("kind") != OPEN, F.col("doc")))
-    return records.withColumn("way", by_key).repartition("way").drop("way").sortWithinPartitions("key", "doc", "c").mapInArrow(run, RECORD)
+    return records.repartition(by_key).sortWithinPartitions("key", "doc", "pack").mapInArrow(run, RECORD)
 
 
 def islands(pairs: DataFrame) -> DataFrame:
     """(doc, pdoc, lo, hi, plo, phi, low, high): windows of a pair of documents whose offsets follow each other closely."""
-    rows = pairs.select("doc", "pdoc", "lo", "hi", "plo", "phi", (F.col("pc") - F.col("c")).alias("offset"))
+    (c, lo, hi), (pc, plo, phi) = _unpacked(F.col("pack")), _unpacked(F.col("ppack"))
+    rows = pairs.select("doc", "pdoc", lo.alias("lo"), hi.alias("hi"), plo.alias("plo"), phi.alias("phi"), (pc - c).alias("offset"))
     order = Window.partitionBy("doc", "pdoc").orderBy("offset")
     rows = rows.withColumn("fresh", F.when(F.col("offset") - F.lag("offset").over(order) <= BAND, 0).otherwise(1))
     rows = rows.withColumn("island", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
@@ -433,7 +455,8 @@ def _verified(heads: DataFrame, found: DataFrame, length: int, share: int) -> Da
 def _grid_passages(table: pa.Table, length: int, share: int) -> list[tuple[int, int, int, int]]:
     """Passages of the open windows of one cell that windows of earlier documents of the other block have."""
     own, first, second = (table.column(c).to_numpy() for c in ("own", "i", "j"))
-    docs, los, anchors, is_open = (table.column(c).to_numpy() for c in ("doc", "lo", "c", "open"))
+    docs, los, is_open, shifts = (table.column(c).to_numpy() for c in ("doc", "lo", "open", "shift"))
+    open_from, open_to = (table.column(c).fill_null(0).to_numpy() for c in ("open_from", "open_to"))
     texts = [x.values.to_numpy() for x in table.column("shingles")]
     cell = first[0] == second[0]
     mine = np.flatnonzero(is_open & (docs > docs.min()) & np.array([len(x) >= length for x in texts]))
@@ -442,61 +465,96 @@ def _grid_passages(table: pa.Table, length: int, share: int) -> list[tuple[int,
     codes = np.unique(np.concatenate(texts), return_inverse=True)[1]
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     parts = np.split(codes, np.cumsum(sizes)[:-1])
-    flat = np.concatenate([parts[k] for k in mine])
-    ends = np.append(0, np.cumsum(sizes[mine]))
     mark = np.zeros(int(codes.max()) + 1, bool)
     # A repeated stretch has a part of one to two lengths with its share of hits; so at most so many of some ``length`` miss.
     misses = int((1 - 2 * share / (100 + share)) * (2 * length - 1))
+
+    def dense(flat: np.ndarray, ends: np.ndarray, least: int) -> np.ndarray:
+        """Whether a text between ``ends`` has a stretch of ``length`` with so many marked shingles."""
+        sums = np.append(0, np.cumsum(mark[flat], dtype=np.int32))
+        good = np.append(0, np.cumsum(sums[length:] - sums[:-length] >= least, dtype=np.int32))
+        return good[np.maximum(ends[1:] - length + 1, ends[:-1])] > good[ends[:-1]]
+
+    # Only shingles that another text of the cell has can be repeated.
+    of = np.repeat(np.unique(docs, return_inverse=True)[1], sizes)
+    low, high = np.full(len(mark), len(docs)), np.full(len(mark), -1)
+    np.minimum.at(low, codes, of)
+    np.maximum.at(high, codes, of)
+    mark[:] = low < high
+    mine = mine[dense(np.concatenate([parts[k] for k in mine]), np.append(0, np.cumsum(sizes[mine])), length - misses)]
+    mark[:] = False
+    if not len(mine):
+        return []
+    flat = np.concatenate([parts[k] for k in mine])
+    ends = np.append(0, np.cumsum(sizes[mine]))
     waiting = np.ones(len(mine), bool)
     out, seen = [], set()
     for other in np.argsort(docs, kind="stable"):
-        content = own[other], anchors[other] - los[other], parts[other].tobytes()
         able = waiting & (docs[mine] > docs[other]) & (cell | (own[mine] != own[other]))
+        content = own[other], shifts[other] - los[other], parts[other].tobytes()
         if not able.any() or content in seen:
             continue
+        seen.add(content)
         mark[parts[other]] = True
-        sums = np.append(0, np.cumsum(mark[flat], dtype=np.int32))
+        hits = dense(flat, ends, length - misses)
         mark[parts[other]] = False
-        good = np.append(0, np.cumsum(sums[length:] - sums[:-length] >= length - misses, dtype=np.int32))
-        hits = good[np.maximum(ends[1:] - length + 1, ends[:-1])] > good[ends[:-1]]
-        seen.add(content)
         for at in np.flatnonzero(able & hits):
             k = mine[at]
-            offset = int((anchors[other] - los[other]) - (anchors[k] - los[k]))
-            for a, b in aligned(texts[k], texts[other], offset, offset, length, share):
-                out.append((docs[k], docs[other], los[k] + a, los[k] + b + SHINGLE - 1))
-                if los[k] + a <= anchors[k] and anchors[k] + TOKEN <= los[k] + b + SHINGLE - 1:
+            offset = int((shifts[other] - los[other]) - (shifts[k] - los[k]))
+            for a, b in aligned(texts[k], texts[other], offset - BAND, offset + BAND, length, share):
+                a, b = los[k] + a, los[k] + b + SHINGLE - 1
+                out.append((docs[k], docs[other], a, b))
+                if a <= open_from[k] and open_to[k] + TOKEN <= b:
                     waiting[at] = False
     return out
 
 
 def _open_passages(heads: DataFrame, met: DataFrame, found: DataFrame, length: int, share: int) -> DataFrame:
-    """The passages of windows whose anchors are in none ``found``: they meet all records of their key."""
+    """The passages of windows whose anchors are in none ``found``: they meet all records of their key.
+
+    The keys of one common passage have mostly the same first document, and places in it that lie close together:
+    windows meet by this document and ``REGION`` words of it, so that documents meet once and not for each key.
+    """
     done = materialize(spans(found).select("doc", "starts", "ends"), "settled-spans")
     values = done.agg(F.sum(2 * F.size("starts"))).first()[0] or 0
     done = F.broadcast(done) if values <= BROADCAST_VALUES else done
-    records = met.where(F.col("kind") <= SETTLED).select("key", "doc", "c", "lo", "hi", "kind")
+    c, lo, hi = _unpacked(F.col("pack"))
+    records = met.where(F.col("kind") <= SETTLED).select("key", "doc", "kind", c.alias("c"), lo.alias("lo"), hi.alias("hi"))
     inside = F.exists(F.arrays_zip("starts", "ends"), lambda x: (x["starts"] <= F.col("c")) & (x["ends"] >= F.col("c") + TOKEN))
     open_ = (F.col("kind") == OPEN) & ~F.coalesce(inside, F.lit(False))
     records = records.join(done, "doc", "left").select("key", "doc", "c", "lo", "hi", open_.alias("open"))
     records = materialize(records, "windows-met")
     # Two documents of a key have been compared.
     keys = records.groupBy("key").agg(
-        F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"), F.max(F.when(F.col("open"), F.col("doc"))).alias("last")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "c")).alias("first"), F.max(F.when(F.col("open"), F.col("doc"))).alias("last")
+    )
+    keys = keys.where("n > 2 and last > first.doc").select(
+        "key", F.col("first.doc").alias("family"), F.floor(F.col("first.c") / REGION).cast("int").alias("region"), F.col("first.c").alias("fc")
     )
-    keys = keys.where("n > 2 and last > least").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     keys = broadcast_if_small(materialize(keys, "open-keys"), BROADCAST_ROWS)
-    cells = records.join(keys, "key")
-    cells = cells.withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    down, up = F.floor(F.col("lo") / STEP) * STEP, F.floor((F.col("hi") + TOKEN - SHINGLE) / STEP) * STEP + STEP - 1
-    cells = materialize(cells.withColumns({"lo": down.cast("int"), "hi": up.cast("int")}), "open-cells")
+    wide = 2 * length
+    rows = records.join(keys, "key").withColumns(
+        {"lo": F.greatest("lo", F.col("c") - wide), "hi": F.least("hi", F.col("c") + wide), "shift": F.col("c") - F.col("fc")}
+    )
+    # Places of a document that lie on the first one alike are one.
+    family = ["family", "region", "doc", F.floor(F.col("shift") / REGION).alias("part")]
+    down, up = F.floor(F.min("lo") / STEP) * STEP, F.floor((F.max("hi") + TOKEN - SHINGLE) / STEP) * STEP + STEP - 1
+    rows = rows.groupBy(*family).agg(
+        F.min("c").alias("c"), F.min_by("shift", "c").alias("shift"), F.min(F.when(F.col("open"), F.col("c"))).alias("open_from"),
+        F.max(F.when(F.col("open"), F.col("c"))).alias("open_to"), down.cast("int").alias("lo"), up.cast("int").alias("hi"),
+    )
+    rows = materialize(rows.withColumn("open", F.col("open_from").isNotNull()), "families")
+    sizes = rows.groupBy("family", "region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.bool_or("open").alias("any"))
+    sizes = broadcast_if_small(materialize(sizes.where("any").drop("any"), "family-sizes"), BROADCAST_ROWS)
+    cells = rows.join(sizes, ["family", "region"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     shingles = _range_shingles(heads, cells.select("doc", "lo", "hi"))
     full = cells.join(shingles, ["doc", "lo", "hi"])
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grid = ["key", "i", "j"]
+    grid = ["family", "region", "i", "j"]
     full = full.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc", "c", "lo", "open", "shingles"
-    )
+        "family", "region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "own", "doc", "c", "shift", "lo", "open", "open_from", "open_to", "shingles",
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def compared(table: pa.Table, starts: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -548,7 +606,9 @@ def repeated_passages(
     copies = copies.drop("same")
 
     met = materialize(_met(_records(heads, words, share)), "windows")
-    near = met.where(F.col("kind") == PASSAGE).select("doc", "pdoc", F.col("lo").cast("long").alias("start"), F.col("hi").cast("long").alias("end"))
+    near = met.where(F.col("kind") == PASSAGE).select(
+        "doc", "pdoc", F.shiftright("pack", 32).alias("start"), F.col("pack").bitwiseAND((1 << 32) - 1).alias("end")
+    )
     across = materialize(islands(met.where(F.col("kind") == PAIR)), "islands")
     across = materialize(_verified(heads, across, length, share), "passages-across")
     found = near.unionByName(across)
