@@ -2,25 +2,27 @@
 
 Base figures of a text come from its words and lines. The method then counts,
 for each host, in how many documents a normalised line stands. Lines above the
-limits are boilerplate and are removed; a document that loses most of its words
+limit are boilerplate and are removed; a document that loses most of its words
 with them, or keeps too few, is rejected.
 
-Copies of one document must not make its own lines boilerplate. A document is
-therefore known, for each of its lines, by the smallest and by the largest
-digest among its *other* lines: copies and near copies agree on these, pages
-that share a line and nothing else do not. A line's documents are counted as
-distinct values, the larger of the two counts, which must exceed
-``MAX_DOCUMENTS`` and ``MIN_SPREAD`` of the rows that hold the line.
+Copies of one document must not make its own lines boilerplate. Lines that more
+than ``MAX_DOCUMENTS`` rows of the host have are frequent; a document is known by
+a digest of the rest, its lines that are not. A frequent line is boilerplate if
+more than ``MAX_DOCUMENTS`` different rests stand beside it. Copies of one text have one
+rest, however many they are, and pages that share all of their navigation have as
+many as there are pages. Copies with other edits in each have different
+rests: of these a line counts as often as there are edited texts.
 
-Lines are first counted per host with partial sums, and only those above the
-limit are looked at again. Their list is joined as a broadcast when it was
-counted to be small, and by a shuffle otherwise.
+Lines are first counted per host with partial sums. The frequent ones are joined as
+a broadcast when they were counted to be few, and by a shuffle otherwise; each
+row then sums up its rest before anything is shuffled.
 
 Defined results: a null text has no words and fails the base rules, as does an
 empty one. A null host is a host of its own. Every row is answered by itself;
 identical rows (same id, host and text) get the same answer, and a line counts
-once in a row however often it stands there. An empty table gives no rows;
-other columns do not matter, whatever their names.
+once in a row however often it stands there. Lines of digits only have no words
+and are never boilerplate. An empty table gives no rows; other columns do not
+matter, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,8 +34,6 @@ from gleanspark.runtime import broadcast_if_small, materialize
 
 #: Distinct documents of a host that may share a line.
 MAX_DOCUMENTS = 30
-#: Share of the rows with a line that must be distinct documents.
-MIN_SPREAD = 0.5
 #: A document must keep this share of its words, and so many words.
 MIN_SHARE_LEFT = 0.3
 MIN_WORDS_LEFT = 10
@@ -53,9 +53,14 @@ def lines_of(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, with runs of white space and digits as one blank."""
-    return F.trim(F.regexp_replace(F.lower(line), f"[{SPACE}0-9]+", " "))
+def normalised(text: Column) -> Column:
+    """Lower case, with runs of white space and digits as one blank; line ends stay."""
+    return F.regexp_replace(F.lower(text), "[\\x20\\x09\\x0B-\\x0D0-9]+", " ")
+
+
+def line_hash(line: Column) -> Column:
+    """Of a line of a normalised text."""
+    return F.xxhash64(F.trim(line))
 
 
 def with_figures(rows: DataFrame, text: str) -> DataFrame:
@@ -105,60 +110,51 @@ def _key(id_column: str, text_column: str, host_column: str) -> Column:
 
 
 def line_rows(documents: DataFrame, id_column="doc_id", text_column="text", host_column="source") -> DataFrame:
-    """Per row and distinct normalised line: key, host, line digest, its words ``n``, the words ``total``
-    of all of the row's distinct lines, and the smallest and the largest digest of the other lines."""
-    line = lambda x: F.struct(F.unhex(F.md5(x.cast("binary"))).alias("line"), F.size(words_of(x)).alias("n"))
+    """Per row and distinct normalised line with words: key, host, the hash of the line, its words ``n``, and the words
+    ``total`` of all of the row's distinct lines."""
+    lines = F.transform(F.split(normalised(F.coalesce(F.col(text_column), F.lit(""))), "\n"), F.trim)
+    words = lambda x: F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit(""))) + 1
+    line = lambda x: F.struct(F.xxhash64(x).alias("line"), words(x).alias("n"))
     rows = documents.select(
         _key(id_column, text_column, host_column).alias("key"),
         F.col(host_column).alias("host"),
-        # Sorted by digest.
-        F.sort_array(
-            F.array_distinct(
-                F.transform(lines_of(F.coalesce(F.col(text_column), F.lit(""))), lambda x: line(normalised(x)))
-            )
-        ).alias("lines"),
+        F.transform(F.array_distinct(F.array_remove(lines, "")), line).alias("lines"),
     )
     total = F.aggregate("lines", F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
-    rows = rows.select("key", "host", total.alias("total"), "lines", F.posexplode("lines").alias("at", "x"))
-    end = lambda i: F.get("lines", i)["line"]
-    first, last = F.col("at") == 0, F.col("at") == F.size("lines") - 1
-    return rows.select(
-        "key", "host", "total", F.col("x.line").alias("line"), F.col("x.n").alias("n"),
-        F.when(first, end(F.lit(1))).otherwise(end(F.lit(0))).alias("low"),
-        F.when(last, end(F.size("lines") - 2)).otherwise(end(F.size("lines") - 1)).alias("high"),
-    )
+    return rows.select("key", "host", total.alias("total"), F.explode("lines").alias("x")).select("key", "host", "total", "x.*")
 
 
 def boilerplate_in_rows(
-    documents: DataFrame, id_column="doc_id", text_column="text", host_column="source",
-    max_documents: int = MAX_DOCUMENTS, min_spread: float = MIN_SPREAD,
+    documents: DataFrame, id_column="doc_id", text_column="text", host_column="source", max_documents: int = MAX_DOCUMENTS,
 ) -> DataFrame:
-    """Per row key with boilerplate: the digests of those lines, their words ``n``, and ``total``."""
+    """Per row key with boilerplate: the hashes of those lines, their words ``n``, and ``total``."""
     rows = line_rows(documents, id_column, text_column, host_column)
-    counted = (
-        rows.groupBy("host", "line")
-        .agg(F.count(F.lit(1)).alias("c"))
-        .where(F.col("c") > max_documents)
-        .select(F.col("host").alias("h"), F.col("line").alias("l"))
-    )
+    counted = rows.groupBy("host", "line").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > max_documents)
+    counted = counted.select(F.col("host").alias("h"), F.col("line").alias("l"))
     frequent = broadcast_if_small(materialize(counted, "frequent-lines"), BROADCAST_LINES)
     same = F.col("host").eqNullSafe(F.col("h")) & (F.col("line") == F.col("l"))
-    found = materialize(rows.join(frequent, same).drop("h", "l"), "lines-found")
-    spread = found.groupBy("host", "line").agg(
-        F.countDistinct("low").alias("lows"), F.countDistinct("high").alias("highs"), F.count(F.lit(1)).alias("c")
-    )
-    documents_with = F.greatest("lows", "highs")
-    bad = spread.where((documents_with > max_documents) & (documents_with >= min_spread * F.col("c"))).select(
-        F.col("host").alias("h"), F.col("line").alias("l")
+    often = F.col("l").isNotNull()
+    # The mean of the hashes stays the same where identical rows are put together; short of 44 bits no sum overflows.
+    rest = F.expr("sum(if(l is null, shiftright(line, 20), null)) div count(if(l is null, 1, null))")
+    found = (
+        rows.join(frequent, same, "left")
+        .groupBy("key", "host")
+        .agg(
+            F.max("total").alias("total"),
+            F.coalesce(rest, F.lit(0).cast("long")).alias("rest"),
+            F.collect_set(F.when(often, F.struct("line", "n"))).alias("lines"),
+        )
+        .where(F.size("lines") > 0)
     )
+    found = materialize(found, "lines-found").select("key", "host", "total", "rest", F.explode("lines").alias("x"))
+    found = found.select("key", "host", "total", "rest", "x.*")
+    beside = found.groupBy("host", "line").agg(F.countDistinct("rest").alias("documents"))
+    bad = beside.where(F.col("documents") > max_documents).select(F.col("host").alias("h"), F.col("line").alias("l"))
     bad = broadcast_if_small(materialize(bad, "boilerplate-lines"), BROADCAST_LINES)
-    # Identical rows share a key and are put together before their lines are summed.
     return (
         found.join(bad, same)
-        .groupBy("key", "line")
-        .agg(F.max("n").alias("n"), F.max("total").alias("total"))
         .groupBy("key")
-        .agg(F.collect_set("line").alias("lines"), F.sum("n").alias("n"), F.max("total").alias("total"))
+        .agg(F.collect_set("line").alias("lines"), F.sum("n").cast("long").alias("n"), F.max("total").alias("total"))
     )
 
 
@@ -203,9 +199,7 @@ def clean(documents: DataFrame, id_column="doc_id", text_column="text", host_col
     names = documents.columns
     rows = documents.select(F.struct(*names).alias("__row"), key.alias("__key")).join(changed, "__key", "left")
     rows = rows.where(F.coalesce("kept", F.lit(True)))
-    is_bad = lambda x: x.rlike(f"[^{SPACE}]") & F.array_contains(
-        "__lines", F.unhex(F.md5(normalised(x).cast("binary")))
-    )
+    is_bad = lambda x: F.array_contains("__lines", line_hash(normalised(x)))
     text = F.col("__row")[text_column]
     left = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~is_bad(x)), "\n")
     text = F.when(F.col("__lines").isNull(), text).otherwise(left)

@@ -2,123 +2,142 @@
 
 Candidates are dealt into blocks, and queries too; each pair of blocks is one
 task group of bounded size. In a block every dimension is a list of the
-candidates sorted by that component. A query reads the lists from the end that
-its sign makes best, a stretch of each list at a time. What it has read gives
-every candidate a lower bound (unread components count as the list's worst
-value) and an upper bound (unread components count as the value last read).
-Reading stops when no candidate outside the k best lower bounds can qualify.
-The candidates that are left then get their final scores, and ties go to the
-smaller id. Only k rows a query and block leave the task.
-
-All queries of a block read together, so a stretch costs a few matrix products.
-Sums stay below 2**53 for components up to 2**22 and 500 dimensions and are
-exact; larger components take whole-number arithmetic instead.
+candidates sorted by that component. A query reads the lists in order, from the
+end that its sign makes best, ``STEP`` entries of each and then twice as many each time. Every
+entry is read once and added to its candidate's sum. What has been read gives a candidate a
+lower bound (unread components count as the list's worst value) and an upper
+bound (unread components count as the value last read). Reading stops when no
+candidate outside the k best lower bounds can qualify, or when so few are left that
+their final scores settle the rest. Ties go to the smaller id. Only k rows a query and
+block leave the task.
+
+Components are doubles times the factor, rounded down. Scores are exact: sums of
+doubles while they stay below 2 ** 53, whole numbers of any size beyond that. A
+score that does not fit into a long is given as the nearest long, and ranked by its value
+as a double.
 
 Defined results: vectors that are null, or hold a null or non-finite component,
-take no part. Vectors meet only vectors of the same length. Identical rows count
-once; a row with the query's own id is never its candidate. A null id takes no
-part. Fewer than k candidates give all of them; no queries or no rows, no rows.
+take no part. Vectors meet only vectors of the same length. Identical rows are
+candidates as often as they stand in the table and ask once as a query; a row
+with the query's own id is never its candidate. A null id takes no part. Fewer
+than k candidates give all of them; no queries or no rows, no rows.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanspark.runtime import materialize
+
+FACTOR = 256
 #: Candidates and queries of one block.
 BLOCK_ROWS = 8_192
 BLOCK_QUERIES = 1_024
-# Parts of each list that have been read when bounds are compared.
-STRETCHES = (0.5, 0.75, 0.9, 1.0)
+#: Entries of each list that are read before bounds are compared for the first time.
+STEP = 256
 EXACT = 2**53
+LONGS = -(2**63), 2**63 - 1
 
 
-def quantized(vectors: DataFrame, factor: int = 256, id_column="vec_id", vector_column="embedding") -> DataFrame:
-    """(id, v array<long>): each component times ``factor``, rounded down; bad vectors are left out."""
+def usable(vectors: DataFrame, id_column="vec_id", vector_column="embedding") -> DataFrame:
+    """(vec_id, v array<double>, times): the rows that take part, identical ones once with their number."""
     double = F.transform(vector_column, lambda x: x.cast("double"))
-    whole = F.transform("v", lambda x: F.floor(x * factor))
-    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**52 / factor))
-    return (
-        vectors.select(F.col(id_column).alias("vec_id"), double.alias("v"))
-        .where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
-        .select("vec_id", whole.alias("v"))
-    )
-
-
-def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int):
-    """(query position, row position, score) of each query's k best rows of this block, by sorted access."""
-    n, dims = rows.shape
-    largest = max(1, np.abs(queries).max(initial=0)) * max(1, np.abs(rows).max(initial=0)) * max(1, dims)
-    if largest >= EXACT or not dims:
-        return _exhaustive(queries, query_ids, rows, row_ids, k)
-    rows = rows.astype(np.float64)
-    queries = queries.astype(np.float64)
-    order = np.argsort(rows, axis=0, kind="stable")
-    # place[c, d]: how many entries of list d come before candidate c, from the small end.
-    place = np.empty((n, dims), np.int32)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(n, dtype=np.int32)[:, None], (n, dims)), axis=0)
-    ordered = np.take_along_axis(rows, order, axis=0)
-    up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    own = query_ids[:, None] == row_ids[None, :]
-    active = np.arange(len(queries))
-    found_q, found_c, found_s = [], [], []
-    for share in STRETCHES:
-        depth = min(n, max(k + 1, int(np.ceil(n * share))))
-        from_top, from_low = place >= n - depth, place < depth
-        # Values last read, and the worst value of each list, for either reading end.
-        top_edge, low_edge = ordered[n - depth], ordered[depth - 1]
-        p, q = up[active], down[active]
-        seen = p @ np.where(from_top, rows, 0).T + q @ np.where(from_low, rows, 0).T
-        high = seen + p @ np.where(from_top, 0, top_edge).T + q @ np.where(from_low, 0, low_edge).T
-        low = seen + p @ np.where(from_top, 0, ordered[0]).T + q @ np.where(from_low, 0, ordered[-1]).T
-        low[own[active]], high[own[active]] = -np.inf, -np.inf
-        last = depth == n
-        if n > k:
-            bar = np.partition(low, n - k, axis=1)[:, n - k]
-        else:
-            bar = np.full(len(active), -np.inf)
-        able = (high >= bar[:, None]) & (high > -np.inf)
-        few = able.sum(axis=1)
-        # Stop where few enough candidates can still qualify; they get their final scores.
-        stop = (few <= 4 * k) | last
-        at, c = np.nonzero(able[stop])
-        who = active[stop][at]
-        found_q.append(who)
-        found_c.append(c)
-        found_s.append((queries[who] * rows[c]).sum(axis=1) if len(who) else np.zeros(0))
-        active = active[~stop]
-        if not len(active):
-            break
-    return _keep(np.concatenate(found_q), np.concatenate(found_c), np.concatenate(found_s), row_ids, k)
-
-
-def _exhaustive(queries, query_ids, rows, row_ids, k):
-    scores = queries.astype(np.int64) @ rows.astype(np.int64).T
-    q, c = np.nonzero(query_ids[:, None] != row_ids[None, :])
-    return _keep(q, c, scores[q, c], row_ids, k)
-
-
-def _keep(q, c, s, row_ids, k):
-    order = np.lexsort((row_ids[c], -s, q))
-    q, c, s = q[order], c[order], s[order]
-    firsts = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, int)
-    rank = np.arange(len(q)) - np.repeat(firsts, np.diff(np.concatenate([firsts, [len(q)]])))
-    return q[rank < k], c[rank < k], s[rank < k]
-
-
-def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    ids = table.column("vec_id").to_numpy().astype(np.int64)
-    flat = table.column("v").combine_chunks()
-    flat = flat.chunk(0) if isinstance(flat, pa.ChunkedArray) else flat
-    values = flat.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    return ids, values.reshape(len(ids), len(values) // max(1, len(ids)))
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    rows = vectors.select(F.col(id_column).cast("long").alias("vec_id"), double.alias("v"))
+    rows = rows.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & finite)
+    return rows.groupBy("vec_id", "v").agg(F.count(F.lit(1)).alias("times"))
+
+
+class Lists:
+    """The candidates of a block, by component: their order and values from the largest on."""
+
+    def __init__(self, rows: np.ndarray):
+        self.rows = rows
+        self.order = np.argsort(-rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(rows, self.order, axis=0)
+        self.read = 0
+
+    def best(self, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row, score) of the rows that may be among the k best, without those marked as ``own``."""
+        n, dims = self.rows.shape
+        ahead = query >= 0
+        order = np.where(ahead, self.order, self.order[::-1])
+        gains = np.where(ahead, self.values, self.values[::-1]) * query  # falls along each list
+        total = np.zeros(n)
+        seen = np.zeros((n, dims), bool)
+        columns = np.arange(dims)
+        depth = 0
+        while True:
+            before, depth = depth, min(n, depth * 2 if depth else max(STEP, k + 1))
+            part = order[before:depth]
+            total += np.bincount(part.reshape(-1), gains[before:depth].reshape(-1), n)
+            seen[part, columns] = True
+            self.read += part.size
+            if depth == n:
+                able = ~own
+                break
+            # A lower bound adds the lists' last values for what is unread, an upper bound the values last read.
+            unread = ~seen
+            low = total + unread @ gains[-1]
+            high = total + unread @ gains[depth - 1]
+            low[own], high[own] = -np.inf, -np.inf
+            bar = np.partition(low, n - k)[n - k]
+            able = (high >= bar) & ~own
+            if able.sum() <= 4 * k:
+                break
+        found = np.flatnonzero(able)
+        return found, (self.rows[found] * query).sum(axis=1)
+
+
+def _whole(rows: np.ndarray) -> np.ndarray:
+    """Components as whole numbers of any size."""
+    return np.array([[math.floor(x * FACTOR) if abs(x) < 2.0**52 else int(x) * FACTOR for x in r] for r in rows.tolist()], object)
+
+
+def block_top(queries, query_ids, rows, row_ids, times, k: int) -> tuple[list[tuple[int, int, int, float]], int]:
+    """(query id, id, score, score as a double) of each query's k best rows of this block, and the entries read."""
+    with np.errstate(over="ignore"):
+        fast = [np.floor(x * FACTOR) for x in (queries, rows)]
+    largest = np.prod([max(1.0, np.abs(x).max(initial=0)) for x in fast]) * max(1, rows.shape[1])
+    out: list[tuple[int, int, int, float]] = []
+    if largest < EXACT and rows.shape[1]:
+        lists = Lists(fast[1])
+        answers = (lists.best(q, row_ids == i, k) for q, i in zip(fast[0], query_ids))
+    else:
+        lists, whole = None, _whole(rows)
+        others = (np.flatnonzero(row_ids != i) for i in query_ids)
+        answers = ((c, (whole[c] * q).sum(axis=1)) for c, q in zip(others, _whole(queries)))
+    for query, (found, scores) in zip(query_ids.tolist(), answers):
+        ranked = sorted(zip((-scores).tolist(), row_ids[found].tolist(), times[found].tolist()))
+        left = k
+        for score, row, n in ranked:
+            score = -int(score)
+            out += [(query, row, min(max(score, LONGS[0]), LONGS[1]), _double(score))] * min(n, left)
+            left -= min(n, left)
+            if not left:
+                break
+    return out, lists.read if lists else 0
+
+
+def _double(score: int) -> float:
+    try:
+        return float(score)
+    except OverflowError:
+        return math.copysign(math.inf, score)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return column.combine_chunks().flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
 def search(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best rows. ``rows``: vec_id long, v array<long>."""
-    rows = rows.dropDuplicates(["vec_id", "v"])
+    """query_id, rank, vec_id, score: each query's k best rows. ``rows``: as ``usable`` gives them."""
+    rows = materialize(rows, "vectors")
     queries = rows.where(is_query)
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     query_blocks = max(1, -(-queries.count() // BLOCK_QUERIES))
@@ -129,20 +148,22 @@ def search(rows: DataFrame, is_query, k: int = 5) -> DataFrame:
     right = queries.withColumns({"length": F.size("v"), "query_block": deal(query_blocks)}).withColumn("block", every(blocks))
 
     def best(candidates: pa.Table, asked: pa.Table) -> pa.Table:
-        names = ["query_id", "vec_id", "score"]
-        if not candidates.num_rows or not asked.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names=names)
-        row_ids, matrix = _matrix(candidates)
-        query_ids, questions = _matrix(asked)
-        q, c, s = block_top(questions, query_ids, matrix, row_ids, k)
-        return pa.table([query_ids[q], row_ids[c], s.astype(np.int64)], names=names)
+        found = []
+        if candidates.num_rows and asked.num_rows:
+            ids = [x.column("vec_id").to_numpy().astype(np.int64) for x in (asked, candidates)]
+            vectors = [_matrix(x.column("v")) for x in (asked, candidates)]
+            times = candidates.column("times").to_numpy()
+            found, _ = block_top(vectors[0], ids[0], vectors[1], ids[1], times, k)
+        columns = list(zip(*found)) or [[], [], [], []]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64()]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, kinds)], names=["query_id", "vec_id", "score", "value"])
 
     found = (
         left.groupBy(*grid)
         .cogroup(right.groupBy(*grid))
-        .applyInArrow(best, "query_id long, vec_id long, score long")
+        .applyInArrow(best, "query_id long, vec_id long, score long, value double")
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("value"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= k)

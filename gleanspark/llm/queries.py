@@ -45,14 +45,14 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = """
 WITH e AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS HUGEINT)) AS v
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), p AS (
   SELECT q.vec_id AS query_id, c.vec_id,
          CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
-  FROM e q JOIN e c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+  FROM (SELECT DISTINCT vec_id, v FROM e WHERE vec_id % 50 = 0) q JOIN e c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
 ), r AS (
   SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p
 )
@@ -62,7 +62,7 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 
 @query("op9_no_random_access_topk", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = nra.quantized(table(spark, sf_dir, "embeddings"))
+    rows = nra.usable(table(spark, sf_dir, "embeddings"))
     return nra.search(rows, F.col("vec_id") % 50 == 0, 5)
 
 
@@ -87,21 +87,20 @@ WITH d AS (
          coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN rep USING (r)
 ), lined AS (
-  SELECT DISTINCT r, coalesce(source, chr(2)) AS host, md5(l) AS line,
-         len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS n
+  SELECT DISTINCT r, coalesce(source, chr(2)) AS host, l AS line, len(string_split(l, ' ')) AS n
   FROM (SELECT r, source, trim(regexp_replace(lower(l0), '[\x20\x09-\x0D0-9]+', ' ', 'g')) AS l
         FROM (SELECT r, source, unnest(lines) AS l0 FROM w))
+  WHERE l <> ''
+), often AS (
+  SELECT host, line FROM lined GROUP BY ALL HAVING count(*) > 30
+), rest AS (
+  SELECT r, md5(coalesce(string_agg(CASE WHEN o.line IS NULL THEN l.line END, chr(10) ORDER BY l.line), '')) AS rest,
+         sum(n) AS total
+  FROM lined l LEFT JOIN often o USING (host, line) GROUP BY r
 ), ends AS (
-  SELECT *, sum(n) OVER (PARTITION BY r) AS total,
-         min(line) OVER a AS lo, max(line) OVER a AS hi,
-         lead(line) OVER (PARTITION BY r ORDER BY line) AS nxt, lag(line) OVER (PARTITION BY r ORDER BY line) AS prv
-  FROM lined WINDOW a AS (PARTITION BY r)
+  SELECT r, host, line, n, rest, total FROM lined JOIN often USING (host, line) JOIN rest USING (r)
 ), spread AS (
-  SELECT host, line FROM (
-    SELECT host, line, count(*) AS c,
-           greatest(count(DISTINCT CASE WHEN line = lo THEN nxt ELSE lo END),
-                    count(DISTINCT CASE WHEN line = hi THEN prv ELSE hi END)) AS k
-    FROM ends GROUP BY ALL) WHERE k > 30 AND k >= 0.5 * c
+  SELECT host, line FROM ends GROUP BY ALL HAVING count(DISTINCT rest) > 30
 ), gone AS (
   SELECT r, sum(n) AS n, max(total) AS total FROM ends JOIN spread USING (host, line) GROUP BY r
 )

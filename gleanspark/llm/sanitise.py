@@ -1,9 +1,9 @@
 """Personal data by patterns, and terms that give it away, in DataFrame functions only.
 
 Patterns find e-mail addresses, IP addresses, card and phone numbers: the
-protected entities. The corpus then tells how much a term says about an entity.
-With N texts, df texts that hold the entity or the term, and c texts in which
-the term stands near the entity,
+protected entities. The corpus then tells
+how much a term says about an entity. With N distinct texts, df texts that hold
+the entity or the term, and c texts that hold both,
 
     PMI(term, entity) = log(N * c / (df(term) * df(entity)))
     IC(entity)        = log(N / df(entity))
@@ -12,10 +12,11 @@ and the term discloses the share PMI / IC of the entity's information. Terms at
 ``DISCLOSURE`` or above are generalised wherever they stand in a text that
 holds the entity: a reader who has the term would know who is meant.
 
-A share needs evidence: the term must stand near the entity in ``MIN_CONTEXTS``
-texts at least, whose surroundings differ. Surroundings are told apart by the
-first and the last other term in alphabetical order; copies and near copies of
-one text agree on these, so a copied passage is no evidence.
+A share needs evidence: term and entity must stand together in ``MIN_CONTEXTS``
+different contexts. A context is the text without the lines that hold the entity
+(the whole text if nothing else is left): a copied page, signed by the
+same line or not, is one context. Terms of the whole text are looked at, on
+any line and at any distance.
 
 Positions are found by marking each match with two control characters and
 summing the lengths of the parts between them; those two characters stand for a
@@ -42,14 +43,10 @@ TERM = len(KINDS) - 1
 
 #: Share of an entity's information that a term may disclose.
 DISCLOSURE = 0.8
-#: Texts with different surroundings in which a term must stand near an entity.
+#: Different contexts in which a term must stand with an entity.
 MIN_CONTEXTS = 3
-#: Share of the texts with both that must have different surroundings.
-MIN_SPREAD = 0.5
-#: Code points on each side of an entity that are near it.
-NEAR = 80
 MIN_TERM = 3
-BROADCAST_PAIRS = 200_000
+BROADCAST_PAIRS = 1_000_000
 
 # The patterns of the base kinds, with possessive groups and look-behinds, which match
 # the same text and take time in proportion to its length: no match can begin inside a
@@ -140,44 +137,43 @@ def terms_in(text: Column) -> Column:
 
 
 def _entities(spotted: DataFrame) -> DataFrame:
-    """(tkey, entity, near): each protected value of a text with the terms around it."""
+    """(tkey, entity, context): each protected value of a text, and a digest of the lines that do not hold it."""
     rows = spotted.select("tkey", "text", F.explode("spans").alias("s"))
-    start, end = F.col("s.start"), F.col("s.end")
-    left_from = F.greatest(F.lit(0), start - NEAR)
-    left = F.substring("text", left_from + 1, start - left_from)
-    right = F.substring("text", end + 1, F.lit(NEAR))
-    # The words cut off at either end are left out, and so is what lies on other lines.
-    left = F.when(left_from > 0, F.regexp_replace(left, r"^\S+", "")).otherwise(left)
-    right = F.when(end + NEAR < F.length("text"), F.regexp_replace(right, r"\S+$", "")).otherwise(right)
-    near = F.concat(F.substring_index(left, "\n", -1), F.lit(" "), F.substring_index(right, "\n", 1))
-    value = F.lower(F.substring(F.col("text"), start + 1, end - start))
-    entity = F.concat_ws(":", F.col("s.kind").cast("string"), value)
-    return rows.select("tkey", entity.alias("entity"), F.sort_array(terms_in(near)).alias("near"))
-
-
-def disclosing_terms(documents: DataFrame, spotted: DataFrame, text_column="text") -> DataFrame:
-    """(entity, term, disclosure) at or above the threshold."""
-    entities = _entities(spotted).dropDuplicates(["tkey", "entity", "near"])
-    rows = entities.select("tkey", "entity", "near", F.posexplode("near").alias("at", "term"))
-    last = F.size("near") - 1
-    rows = rows.select(
-        "tkey", "entity", "term",
-        F.when(F.col("at") == 0, F.get("near", F.lit(1))).otherwise(F.get("near", F.lit(0))).alias("low"),
-        F.when(F.col("at") == last, F.get("near", last - 1)).otherwise(F.get("near", last)).alias("high"),
-    )
+    value = F.lower(F.substring(F.col("text"), F.col("s.start") + 1, F.col("s.end") - F.col("s.start")))
+    entity = F.xxhash64("s.kind", value)
+    rows = rows.select("tkey", "text", value.alias("value"), entity.alias("entity")).dropDuplicates(["tkey", "entity"])
+    others = F.filter(F.split("text", "\n"), lambda x: ~F.contains(F.lower(x), F.col("value")))
+    rest = F.array_join(others, "\n")
+    return rows.select("tkey", "entity", F.xxhash64(F.when(rest.rlike(r"\S"), rest).otherwise(F.col("text"))).alias("context"))
+
+
+def _hashed_terms(text: Column) -> Column:
+    return F.transform(terms_in(text), lambda x: F.xxhash64(x))
+
+
+def disclosing_terms(documents: DataFrame, spotted: DataFrame, entities: DataFrame, text_column="text") -> DataFrame:
+    """(entity, term, disclosure) at or above the threshold; entities and terms by their hashes."""
+    held = entities.groupBy("entity").agg(
+        F.count(F.lit(1)).alias("df_entity"), F.countDistinct("context").alias("contexts")
+    )
+    held = materialize(held.where(F.col("contexts") >= MIN_CONTEXTS).select("entity", "df_entity"), "entities-often")
+    able = entities.join(broadcast_if_small(held.select("entity"), BROADCAST_PAIRS), "entity")
+    terms = spotted.select("tkey", _hashed_terms(F.col("text")).alias("terms"))
+    rows = able.join(terms, "tkey").select("entity", "context", F.explode("terms").alias("term"))
+    # Texts of one context are counted together before contexts are.
     both = (
-        rows.groupBy("entity", "term")
-        .agg(F.countDistinct("tkey").alias("c"), F.countDistinct("low").alias("lows"), F.countDistinct("high").alias("highs"))
-        .withColumn("contexts", F.greatest("lows", "highs"))
-        .where((F.col("contexts") >= MIN_CONTEXTS) & (F.col("contexts") >= MIN_SPREAD * F.col("c")))
+        rows.groupBy("entity", "term", "context")
+        .agg(F.count(F.lit(1)).alias("n"))
+        .groupBy("entity", "term")
+        .agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("contexts"))
+        .where(F.col("contexts") >= MIN_CONTEXTS)
         .select("entity", "term", "c")
     )
-    held = entities.groupBy("entity").agg(F.countDistinct("tkey").alias("df_entity"))
-    # A term stands in as many texts at least as it stands near entities in. Pairs that would
-    # stay under the threshold with that few have no need of a count over the corpus.
-    around = rows.groupBy("term").agg(F.countDistinct("tkey").alias("df_term"))
+    # A term stands in as many texts at least as it stands with this entity in. Pairs that would
+    # stay under the threshold with the texts that hold any entity have no need of a count over the corpus.
+    around = terms.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df_term"))
     texts = documents.select(F.col(text_column).alias("text")).where("text is not null")
-    total = texts.agg(F.count(F.lit(1)).alias("n"))
+    total = texts.agg(F.countDistinct(F.xxhash64("text")).alias("n"))
     pmi = F.log(F.col("n") * F.col("c") / (F.col("df_term") * F.col("df_entity")))
     information = F.log(F.col("n") / F.col("df_entity"))
 
@@ -191,11 +187,11 @@ def disclosing_terms(documents: DataFrame, spotted: DataFrame, text_column="text
         )
 
     both = shares(both.join(around, "term").join(held, "entity")).select("entity", "term", "c", "df_entity")
-    both = materialize(both, "near-entities")
-    terms = broadcast_if_small(both.select("term").distinct(), BROADCAST_PAIRS)
+    both = materialize(both, "with-entities")
+    wanted = broadcast_if_small(both.select("term").distinct(), BROADCAST_PAIRS)
     df_term = (
-        texts.select(F.xxhash64("text").alias("t"), F.explode(terms_in(F.col("text"))).alias("term"))
-        .join(terms, "term")
+        texts.select(F.xxhash64("text").alias("t"), F.explode(_hashed_terms(F.col("text"))).alias("term"))
+        .join(wanted, "term")
         .groupBy("term")
         .agg(F.countDistinct("t").alias("df_term"))
     )
@@ -215,20 +211,21 @@ def find(documents: DataFrame, id_column="doc_id", text_column="text", keep: lis
         .dropDuplicates(["tkey"])
     )
     spotted = materialize(spotted, "texts-with-entities")
-    pairs = materialize(disclosing_terms(documents, spotted, text_column), "disclosing-terms")
+    entities = materialize(_entities(spotted), "entities")
+    pairs = materialize(disclosing_terms(documents, spotted, entities, text_column), "disclosing-terms")
     given = (
-        _entities(spotted)
-        .select("tkey", "entity")
-        .distinct()
+        entities.select("tkey", "entity")
         .join(broadcast_if_small(pairs.select("entity", "term"), BROADCAST_PAIRS), "entity")
         .groupBy("tkey")
         .agg(F.collect_set("term").alias("__terms"))
     )
+    given = materialize(given, "terms-given")
+    values = given.agg(F.sum(F.size("__terms"))).first()[0] or 0
     rows = documents.select(
         F.struct(*columns).alias("__row"), full.alias("__text"), tkey.alias("tkey"), base_spans(full).alias("__base"),
     )
-    rows = rows.join(broadcast_if_small(materialize(given, "terms-given"), BROADCAST_PAIRS), "tkey", "left")
-    wanted = lambda m: F.array_contains("__terms", F.lower(m))
+    rows = rows.join(F.broadcast(given) if values <= BROADCAST_PAIRS else given, "tkey", "left")
+    wanted = lambda m: F.array_contains("__terms", F.xxhash64(F.lower(m)))
     own = F.when(F.col("__terms").isNotNull(), _places(F.col("__text"), r"\p{L}+", TERM, wanted))
     rows = rows.withColumn("__own", F.coalesce(own, F.array().cast(SPAN)))
     # A term inside an entity needs no span of its own.
@@ -240,7 +237,7 @@ def find(documents: DataFrame, id_column="doc_id", text_column="text", keep: lis
 
 
 def digests(documents: DataFrame, id_column="doc_id", text_column="text") -> DataFrame:
-    """Counts of each base kind, a digest of the base spans and all spans as text."""
+    """Counts of each base kind, a digest of the base spans, all spans as text and their number."""
     rows = find(documents, id_column, text_column)
     count = lambda k: F.size(F.filter("__base", lambda s: s["kind"] == k)).cast("long")
     return rows.select(
@@ -248,6 +245,7 @@ def digests(documents: DataFrame, id_column="doc_id", text_column="text") -> Dat
         *[count(k).alias(f"n_{KINDS[k]}") for k in range(TERM)],
         F.sha2(written(F.col("__base")).cast("binary"), 256).alias("base_sha256"),
         written(F.col("__spans")).alias("spans"),
+        F.size("__spans").cast("long").alias("n_spans"),
     )
 
 
