@@ -128,7 +128,7 @@ def _double(score: int) -> float:
     try:
         return float(score)
     except OverflowError:
-        return math.copysign(math.inf, score)
+        return math.inf if score > 0 else -math.inf
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:

@@ -140,11 +140,17 @@ def test_search(spark):
         (50, []), (100, [1.0]),
     ]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit(1))
-    got = nra.search(nra.quantized(table), F.col("vec_id") % 50 == 0, 2).collect()
+    got = nra.search(nra.usable(table), F.col("vec_id") % 50 == 0, 2).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [
         (0, 1, 1, 32768), (0, 2, 2, 32768), (50, 1, 9, 0), (100, 1, 8, 65536),
     ]
-    assert nra.search(nra.quantized(table.limit(0)), F.lit(True)).count() == 0
+    assert nra.search(nra.usable(table.limit(0)), F.lit(True)).count() == 0
+
+
+def test_search_of_large_components(spark):
+    table = spark.createDataFrame([(0, [1.0, 1.0]), (1, [1e14, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    got = nra.search(nra.usable(table), F.col("vec_id") == 0, 3).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in got) == [(1, 1, 65536 * 10**14), (2, 2, 131072), (3, 2, 131072)]
 
 
 def test_language(documents, nothing):

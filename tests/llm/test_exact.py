@@ -2,11 +2,13 @@
 
 import base64
 import hashlib
+import math
 import os
 import random
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import corpus_pipeline
 import numpy as np
@@ -14,7 +16,7 @@ import public_tokenizers
 import pytest
 from check import connect, differences
 
-from gleanspark.llm import bpe, hamming_join, language, nra, packing, passages, quality_crf, queries, sanitise
+from gleanspark.llm import bpe, hamming_join, language, line_rules, nra, packing, passages, quality_crf, queries, sanitise
 from gleanspark.llm import suffix_levels
 from gleanspark.llm.components import components
 
@@ -41,7 +43,7 @@ def test_sql(spark, name):
 
 
 def test_each_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
 
 
 def test_quality_on_held_out_labels(spark):
@@ -159,6 +161,62 @@ def test_passages_of_a_family(spark):
         assert got[k][0][0] <= 30 and got[k][1][-1] >= 90
 
 
+def _passage_shapes(rng):
+    """Texts, and of the later ones the kind and the words that repeat an earlier text with one word changed in 50 or 60."""
+    word = lambda: "".join(rng.choice("bcdfghklmnprst") for _ in range(7))
+    words = lambda n: [word() for _ in range(n)]
+
+    def edited(passage, at=None):
+        passage = list(passage)
+        passage[rng.randrange(3, len(passage) - 3) if at is None else at] = word()
+        return passage
+
+    rows, want = [], {}
+    for _ in range(60):  # apart in the earlier text, next to each other in the later one
+        a, b = words(60), words(60)
+        rows.append(words(30) + a + words(200) + b + words(30))
+        want[len(rows)] = (30, 150)
+        rows.append(words(30) + edited(a) + edited(b) + words(30))
+    for _ in range(400):  # the shortest passage, changed in its middle
+        a = words(50)
+        rows.append(words(30) + a + words(30))
+        want[len(rows)] = (40, 90)
+        rows.append(words(40) + edited(a, 25) + words(40))
+    return [" ".join(x) for x in rows], want
+
+
+def test_edited_passages(spark):
+    rows, want = _passage_shapes(random.Random(5))
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(4)
+    got = {r.doc: (r.starts, r.ends) for r in passages.spans(passages.repeated_passages(table)).collect()}
+    assert set(got) <= set(want)
+    shares = []
+    for key, (a, b) in want.items():
+        covered = {w for s, e in zip(*got.get(key, ([], []))) for w in range(s, e)}
+        shares.append(len(covered & set(range(a, b))) / (b - a))
+        assert len(covered - set(range(a, b))) == 0
+    assert np.mean(shares) > 0.99
+
+
+def test_alignment():
+    """All stretches that begin and end with a match and are similar enough, against every stretch."""
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        mine = rng.permutation(1000)[:60].astype(np.int32)
+        theirs = np.concatenate([rng.integers(1000, 2000, rng.integers(0, 9)), mine[rng.integers(0, 9) :]]).astype(np.int32)
+        theirs[rng.random(len(theirs)) < 0.08] += 5000
+        at = {v: k for k, v in enumerate(theirs.tolist())}
+        hits = [(k, at[v]) for k, v in enumerate(mine.tolist()) if v in at]
+        want = set()
+        for p, (i, j) in enumerate(hits):
+            for q in range(p, len(hits)):
+                k, m = hits[q]
+                if k - i + 1 >= 20 and 100 * (q - p + 1) >= 80 * (k - i + 1 + m - j + 1 - (q - p + 1)):
+                    want |= set(range(i, k + 1))
+        got = {x for a, b in passages.aligned(mine, theirs, -9, 9, 20, 80) for x in range(a, b)}
+        assert got == want
+
+
 def test_compact_windows():
     rng = np.random.default_rng(2)
     values = rng.integers(1, 40, 300).astype(np.uint64)
@@ -232,6 +290,78 @@ def test_terms_that_disclose(spark):
     assert clean[len(rows) - 2] == "[TERM]! said [EMAIL]" and clean[len(rows) - 1] == rows[-1]
 
 
+def test_terms_on_other_lines(spark):
+    """The name stands above the address, or far from it, and its neighbours are the same each time."""
+    rng = random.Random(6)
+    noise = lambda n: " ".join("".join(rng.choice("bcdfgklmnprst") for _ in range(6)) for _ in range(n))
+    rows = [f"{noise(20)}\nJane Moonwalker, Acme, jane@x.example" for _ in range(25)]
+    rows += [f"Igor Blacksmith\n{noise(40)}\nigor@y.example" for _ in range(25)]
+    rows += [noise(25) for _ in range(950)]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [x.split(":") for x in r.spans.split(",") if x] for r in sanitise.digests(table).collect()}
+    terms = lambda k: {rows[k][int(a) : int(b)].lower() for kind, a, b in got[k] if kind == "term"}
+    for k in range(1000):
+        wanted = {"jane", "moonwalker", "acme"} if k < 25 else {"igor", "blacksmith"} if k < 50 else set()
+        assert terms(k) == wanted
+
+
+def test_disclosure_against_brute_force(spark):
+    rng = random.Random(7)
+    names = [f"name{chr(97 + k)}" for k in range(8)]
+    rows = []
+    for k in range(300):
+        person = rng.randrange(8)
+        text = [f"plain{rng.choice('abcdef')}{rng.choice('uvwxyz')}" for _ in range(12)]
+        if k % 3 == 0:
+            text.append(f"\n{names[person] if rng.random() < 0.9 else names[0]} p{person}@x.example\n")
+        if rng.random() < 0.05:
+            text.append(rng.choice(names))
+        rows.append(" ".join(text))
+    rows += rows[:40]
+    table = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    texts = sorted(set(rows))
+    held = {t: set(x for x in re.split(r"[^a-z]+", t.lower()) if len(x) >= 3) for t in texts}
+    entities = {t: set(re.findall(PATTERNS["email"].replace("(", "(?:"), t.lower())) for t in texts}
+    pairs = defaultdict(lambda: [0, set()])
+    for t in texts:
+        for e in entities[t]:
+            rest = "\n".join(x for x in t.split("\n") if e not in x.lower())
+            for w in held[t]:
+                pairs[e, w][0] += 1
+                pairs[e, w][1].add(rest if rest.strip() else t)
+    want = set()
+    for (e, w), (c, contexts) in pairs.items():
+        n, df_e, df_w = len(texts), sum(e in x for x in entities.values()), sum(w in x for x in held.values())
+        share = math.log(n * c / (df_w * df_e)) / math.log(n / df_e)
+        assert abs(share - sanitise.DISCLOSURE) > 1e-9
+        if len(contexts) >= sanitise.MIN_CONTEXTS and share >= sanitise.DISCLOSURE:
+            want.add((e, w))
+    got = {r.doc_id: r.spans for r in sanitise.digests(table).collect()}
+    assert len(want) > 3
+    for k, t in enumerate(rows):
+        mine = {t[int(a) : int(b)].lower() for kind, a, b in (x.split(":") for x in got[k].split(",") if x) if kind == "term"}
+        addresses = [m.span() for m in re.finditer(PATTERNS["email"], t)]
+        outside = lambda w: any(not any(a <= m.start() < b for a, b in addresses) for m in re.finditer(rf"\b{w}\b", t))
+        assert mine == {w for e in entities[t] for x, w in want if x == e and re.search(rf"(?<![a-z]){w}(?![a-z])", t) and outside(w)}
+
+
+def test_boilerplate_beside_other_lines(spark):
+    """Twelve lines that all pages of a host share go, two own lines stay; lines of a copied text are no boilerplate."""
+    rng = random.Random(8)
+    line = lambda n=6: " ".join("".join(rng.choice("bcdfgklmnprst") for _ in range(5)) for _ in range(n))
+    shared, copy = [line() for _ in range(12)], "\n".join(line() for _ in range(9))
+    rows = [("\n".join(rng.sample(shared, 12) + [line(12), line(30)]), "h") for _ in range(400)]
+    rows += [(copy, "h")] * 300 + [("\n".join(shared), "h")] * 50 + [("\n".join([*shared, line(20)]), "other")] * 20
+    table = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in line_rules.judge(table).collect()}
+    assert {(got[k].n_boilerplate, got[k].kept) for k in range(400)} == {(72, True)}
+    assert {(got[k].n_boilerplate, got[k].kept) for k in range(400, 700)} == {(0, True)}
+    assert {(got[k].n_boilerplate, got[k].kept) for k in range(700, 750)} == {(72, False)}
+    assert {(got[k].n_boilerplate, got[k].kept) for k in range(750, 770)} == {(0, True)}
+    left = {r.doc_id: r.text for r in line_rules.clean(table).collect()}
+    assert left[0] == "\n".join(rows[0][0].split("\n")[12:]) and left[400] == copy and 700 not in left
+
+
 def test_byte_bpe_is_the_library(spark, texts):
     import tiktoken
 
@@ -418,16 +548,27 @@ def test_components(spark):
 
 def test_search_against_brute_force():
     rng = np.random.default_rng(9)
-    for n, dims in ((3, 4), (60, 1), (400, 6), (700, 24)):
-        rows = rng.integers(-300, 300, (n, dims))
+    for n, dims, size in ((3, 4, 2.0), (60, 1, 2.0), (400, 6, 2.0), (700, 24, 2.0), (40, 3, 1e14), (40, 3, 1e200)):
+        rows = rng.uniform(-size, size, (n, dims))
         rows[n // 2 :] = rows[: n - n // 2]  # ties
-        ids = rng.permutation(n) * 7
-        asked = rng.choice(n, 5)
-        q, c, s = nra.block_top(rows[asked], ids[asked], rows, ids, 5)
-        for at, i in enumerate(asked):
-            scores = rows @ rows[i]
-            order = [j for j in np.lexsort((ids, -scores)) if ids[j] != ids[i]][:5]
-            assert [(ids[j], scores[j]) for j in order] == [(ids[j], int(v)) for j, v in zip(c[q == at], s[q == at])]
+        ids, times = rng.permutation(n) * 7, rng.integers(1, 3, n)
+        asked = rng.choice(n, min(n, 5), replace=False)
+        got, _ = nra.block_top(rows[asked], ids[asked], rows, ids, times, 5)
+        whole = [[math.floor(Fraction(x) * 256) for x in r] for r in rows]
+        for i in asked:
+            every = [(-sum(a * b for a, b in zip(whole[j], whole[i])), ids[j]) for j in range(n) if j != i for _ in range(times[j])]
+            want = [(d, min(max(-s, nra.LONGS[0]), nra.LONGS[1])) for s, d in sorted(every)[:5]]
+            assert [(d, s) for q, d, s, _ in got if q == ids[i]] == want
+
+
+def test_lists_are_read_in_order():
+    """Where the best rows stand out, reading stops long before the lists end."""
+    rng = np.random.default_rng(4)
+    rows = rng.uniform(0, 1, (6_000, 8)) ** 40
+    rows[:10] = 1 + np.arange(10)[:, None] / 10
+    lists = nra.Lists(np.floor(rows * 256))
+    found, _ = lists.best(np.ones(8), np.zeros(6_000, bool), 5)
+    assert {9, 8, 7, 6, 5} <= set(found.tolist()) and lists.read == nra.STEP * 8
 
 
 def test_pipeline_stages(spark, texts):
