@@ -1,19 +1,25 @@
-"""BM25 over chunks as joins and aggregations.
+"""BM25 over chunks as joins and aggregations, with bounds for blocks of chunks.
 
 Building an index reads and tokenizes the chunks once and writes a row per
-chunk with its terms and their counts; document frequencies and corpus totals
-come from that. A search deals those rows by chunk, so everything known about a
-chunk sits in one partition: score sums and a first top-k cut need no further
-shuffle, and a term in a third of all chunks is spread like any other. Only k
-rows per query and partition travel to the final top-k.
-
-A saved index lies in folders by a hash of the term. A search reads only the
-folders of its terms and sums its matches by query and chunk.
+chunk with its terms; document frequencies and corpus totals come from that.
+
+``BLOCK_CHUNKS`` neighbouring chunk ids are a block, and for each block and term
+the index knows the largest count and the shortest chunk: together more than
+any chunk of the block can gain from the term. A search sums up these bounds by
+query and block first. The blocks with the highest bounds are scored, which
+gives every query a k-th score to beat, and of the others only those blocks whose
+bound reaches it. All other chunks are never scored; results are exact, ties
+included. The bounds hold for any average length, so indexes of several batches
+of chunks are put together by adding what they count (``merge_indexes``).
+
+A saved index has its postings in folders by a hash of the block and its bounds in folders by a
+hash of the term, and a search reads the folders it needs.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,9 +27,15 @@ from pyspark.sql import functions as F
 from gleanspark.functions.text import ENGLISH_STOPWORDS, tokens
 from gleanspark.operators.selection import top_k
 from gleanspark.operators.skew import spread_hot_keys
-from gleanspark.runtime import fits, materialize
+from gleanspark.runtime import broadcast_if_small, fits, materialize
 
 SCORE_DIGITS = 9
+#: Neighbouring chunk ids that share their bounds.
+BLOCK_CHUNKS = 64
+#: Blocks that are scored for each query before others are compared with the k-th score.
+SEED_BLOCKS = 4
+# Sums are compared with bounds up to this share, since their order of summation differs.
+SLACK = 1e-9
 
 
 @dataclass(frozen=True)
@@ -38,12 +50,30 @@ class Bm25Parameters:
 
 @dataclass(frozen=True)
 class Bm25Index:
+    """``postings(chunk_id, term, tf, dl)``, ``terms(term, df)`` and ``totals(n_chunks, total_dl, avg_dl)``."""
+
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
     parameters: Bm25Parameters
-    # Folders of a saved index; none for one that lies by chunk.
+    # Folders of a saved index; none for one that lies by block.
     folders: int | None = None
+    saved_bounds: DataFrame | None = None
+
+    @cached_property
+    def bounds(self) -> DataFrame:
+        """``(block, term, tf, dl)``: the largest count of the term and the least length in a block of chunks."""
+        if self.saved_bounds is not None:
+            return self.saved_bounds
+        return materialize(block_bounds(self.postings.withColumn("block", block_of("chunk_id"))), "block-bounds")
+
+
+def block_of(chunk_id: str) -> Column:
+    return F.floor(F.col(chunk_id) / BLOCK_CHUNKS).cast("long")
+
+
+def block_bounds(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("block", "term").agg(F.max("tf").alias("tf"), F.min("dl").alias("dl"))
 
 
 def with_term_counts(rows: DataFrame, found: str) -> DataFrame:
@@ -72,15 +102,48 @@ def build_index(
     rows = chunks.select("chunk_id", found.alias("t")).select("chunk_id", F.size("t").cast("long").alias("dl"), "t")
     # The sorted tokens are a column of their own, so that their runs do not tokenize again.
     rows = materialize(rows, "chunk-tokens")
-    by_chunk = with_term_counts(rows.repartition("chunk_id"), "t")
-    postings = by_chunk.select("chunk_id", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), "dl")
+    by_block = with_term_counts(rows.repartition(block_of("chunk_id")), "t")
+    postings = by_block.select("chunk_id", F.col("x.term").alias("term"), F.col("x.tf").alias("tf"), "dl")
     terms = rows.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    totals = rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("dl").alias("avg_dl"))
+    totals = _totals(rows.agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("dl").alias("total_dl")))
     return Bm25Index(postings, terms, totals, parameters)
 
 
-def _folder(folders: int) -> Column:
-    return F.pmod(F.xxhash64("term"), F.lit(folders)).cast("int")
+def _totals(counted: DataFrame) -> DataFrame:
+    return counted.select("n_chunks", "total_dl", (F.col("total_dl") / F.col("n_chunks")).alias("avg_dl"))
+
+
+def merge_indexes(*indexes: Bm25Index) -> Bm25Index:
+    """One index of the chunks of several, which share no chunk: postings side by side, counts added up."""
+    first, *others = indexes
+    if any(i.parameters != first.parameters for i in others):
+        raise ValueError("indexes of different parameters count different terms")
+
+    def united(part) -> DataFrame:
+        found = part(first)
+        for other in others:
+            found = found.unionByName(part(other))
+        return found
+
+    terms = united(lambda i: i.terms).groupBy("term").agg(F.sum("df").alias("df"))
+    counted = united(lambda i: i.totals.select("n_chunks", "total_dl"))
+    counted = counted.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("total_dl").alias("total_dl"))
+    postings = united(lambda i: i.postings.select("chunk_id", "term", "tf", "dl"))
+    bounds = block_bounds(united(lambda i: i.bounds.select("block", "term", "tf", "dl")))
+    return Bm25Index(postings, terms, _totals(counted), first.parameters, saved_bounds=bounds)
+
+
+def _folder(folders: int, key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")
+
+
+def _in_folders(rows: DataFrame, folders: int | None, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` of the folders that ``wanted`` keys lie in."""
+    if not folders:
+        return rows
+    # At most as many numbers as there are folders.
+    asked = wanted.select(_folder(folders, key).alias("folder")).distinct().collect()
+    return rows.where(F.col("folder").isin([r["folder"] for r in asked])).drop("folder")
 
 
 def query_terms(
@@ -92,39 +155,80 @@ def query_terms(
     return counted if parameters.query_tf else counted.withColumn("qtf", F.lit(1))
 
 
-def score_chunks(
-    index: Bm25Index, queries: DataFrame, keys: list[str] | None = None, query: str = "query"
-) -> DataFrame:
-    """``(keys…, chunk_id, score)`` of every chunk that shares a term with the query."""
-    keys = keys or ["qid"]
-    p = index.parameters
-    totals = index.totals.first()
-    wanted = query_terms(queries, p, keys, query)
-    n = F.lit(float(totals["n_chunks"]))
+def _weighed(index: Bm25Index, queries: DataFrame, keys: list[str], query: str) -> tuple[DataFrame, bool]:
+    """``(keys…, term, weight)`` of the query terms that the index knows, and whether they are few enough to broadcast."""
+    wanted = query_terms(queries, index.parameters, keys, query)
+    n = F.lit(float(index.totals.first()["n_chunks"]))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     small = fits(wanted)
     vocabulary = wanted.select("term").distinct()
     known = index.terms.join(F.broadcast(vocabulary) if small else vocabulary, "term", "left_semi")
     weighed = wanted.join(known, "term").select(*keys, "term", (F.col("qtf") * idf).alias("weight"))
+    return materialize(weighed, "weights"), small
+
 
-    postings = index.postings
-    if index.folders:
-        # At most as many numbers as there are folders.
-        asked = known.select(_folder(index.folders).alias("folder")).distinct().collect()
-        postings = postings.where(F.col("folder").isin([r["folder"] for r in asked])).drop("folder")
+def _gain(index: Bm25Index) -> Column:
+    """What a term of this weight, with ``tf`` of ``dl`` tokens, adds to a score."""
+    p = index.parameters
+    avg_dl = F.lit(float(index.totals.first()["avg_dl"] or 0.0))
+    norm = p.k1 * (1 - p.b + p.b * F.col("dl") / avg_dl)
+    return F.col("weight") * F.col("tf") / (F.col("tf") + norm)
+
+
+def _by_term(rows: DataFrame, weighed: DataFrame, small: bool) -> DataFrame:
+    """``rows`` with the queries of their term."""
     if small:
         # No larger than the counted query terms.
-        matched = postings.join(F.broadcast(weighed), "term")
-    else:
-        # Too many to hold everywhere: shuffle by term, hot terms in pieces, and
-        # bring the matches back to their chunk.
-        postings = postings if index.folders else materialize(postings, "postings")
-        left, right = spread_hot_keys(postings, materialize(weighed, "weights"), ["term"])
-        matched = left.join(right, ["term", "salt"]).drop("salt").repartition("chunk_id")
-    avg_dl = F.lit(float(totals["avg_dl"] or 0.0))
-    norm = p.k1 * (1 - p.b + p.b * F.col("dl") / avg_dl)
-    part = F.col("weight") * F.col("tf") / (F.col("tf") + norm)
-    return matched.groupBy(*keys, "chunk_id").agg(F.sum(part).alias("score"))
+        return rows.join(F.broadcast(weighed), "term")
+    # Too many to hold everywhere: shuffle by term, hot terms in pieces.
+    left, right = spread_hot_keys(rows, weighed, ["term"])
+    return left.join(right, ["term", "salt"]).drop("salt")
+
+
+def score_chunks(
+    index: Bm25Index, queries: DataFrame, keys: list[str] | None = None, query: str = "query"
+) -> DataFrame:
+    """``(keys…, chunk_id, score)`` of every chunk that shares a term with the query."""
+    keys = keys or ["qid"]
+    weighed, small = _weighed(index, queries, keys, query)
+    postings = index.postings.select("chunk_id", "term", "tf", "dl")
+    postings = postings if small else materialize(postings, "postings")
+    return _by_term(postings, weighed, small).groupBy(*keys, "chunk_id").agg(F.sum(_gain(index)).alias("score"))
+
+
+def _score_blocks(index: Bm25Index, picked: DataFrame, weighed: DataFrame, keys: list[str]) -> DataFrame:
+    """``(keys…, chunk_id, score)`` of the chunks of the blocks that were picked for a query."""
+    wanted = broadcast_if_small(picked.select(*keys, "block").join(weighed, keys))
+    postings = _in_folders(index.postings, index.folders, "block", picked)
+    if "block" not in postings.columns:
+        postings = postings.withColumn("block", block_of("chunk_id"))
+    matched = postings.join(wanted, ["block", "term"])
+    return matched.groupBy(*keys, "chunk_id").agg(F.sum(_gain(index)).alias("score"))
+
+
+def candidates(
+    index: Bm25Index, queries: DataFrame, k: int, keys: list[str] | None = None, query: str = "query"
+) -> DataFrame:
+    """``(keys…, chunk_id, score)`` of the chunks that had to be scored: the best ``k`` of every query are among them."""
+    keys = keys or ["qid"]
+    weighed, small = _weighed(index, queries, keys, query)
+    bounds = _in_folders(index.bounds, index.folders, "term", weighed)
+    tops = _by_term(bounds, weighed, small).groupBy(*keys, "block").agg(F.sum(_gain(index)).alias("bound"))
+    tops = materialize(tops, "query-blocks")
+    seeds = top_k(tops, keys, [F.desc("bound"), F.col("block")], SEED_BLOCKS + -(-k // BLOCK_CHUNKS), "__seed")
+    seeds = materialize(seeds.select(*keys, "block"), "seed-blocks")
+    first = top_k(_score_blocks(index, seeds, weighed, keys), keys, _order(), k)
+    first = materialize(first.select(*keys, "chunk_id", "score"), "seed-chunks")
+    bars = first.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("score").alias("__bar")).where(F.col("__n") == k)
+    bars = broadcast_if_small(bars.select(*keys, "__bar"))
+    able = F.col("bound") * (1 + SLACK) + SLACK >= F.coalesce("__bar", F.lit(0.0))
+    rest = tops.join(bars, keys, "left").where(able).select(*keys, "block")
+    rest = materialize(rest.join(broadcast_if_small(seeds), [*keys, "block"], "left_anti"), "blocks-left")
+    return first.unionByName(_score_blocks(index, rest, weighed, keys))
+
+
+def _order() -> list[Column]:
+    return [F.round("score", SCORE_DIGITS).desc(), F.col("chunk_id")]
 
 
 def search(
@@ -140,29 +244,37 @@ def search(
     ordered by ``chunk_id``.
     """
     keys = keys or ["qid"]
-    scored = score_chunks(index, queries, keys, query)
-    order = [F.round("score", SCORE_DIGITS).desc(), F.col("chunk_id")]
-    return top_k(scored, keys, order, k).select(*keys, "rank", "chunk_id", "score")
+    return top_k(candidates(index, queries, k, keys, query), keys, _order(), k).select(*keys, "rank", "chunk_id", "score")
 
 
 def save_index(index: Bm25Index, path: str, folders: int = 200) -> None:
-    """Write the index: postings in ``folders`` folders by a hash of the term, sorted by term.
+    """Write the index: postings in ``folders`` folders by a hash of the block, bounds by a hash of the term.
 
-    A folder has several files, dealt by chunk, so that a term in very many chunks does not make one task.
+    A folder of bounds has several files, dealt by block, so that a term in very many blocks does not make one task.
     """
-    placed = index.postings.withColumn("folder", _folder(folders))
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(8))
+    placed = index.postings.select("chunk_id", "term", "tf", "dl", block_of("chunk_id").alias("block"))
+    placed = placed.withColumn("folder", _folder(folders, "block"))
     (
-        placed.repartition("folder", spread)
-        .sortWithinPartitions("folder", "term")
+        placed.repartition("folder")
+        .sortWithinPartitions("folder", "block", "term")
         .write.mode("overwrite")
         .partitionBy("folder")
         .parquet(f"{path}/postings")
     )
+    spread = F.pmod(F.xxhash64("block"), F.lit(8))
+    (
+        index.bounds.withColumn("folder", _folder(folders, "term"))
+        .repartition("folder", spread)
+        .sortWithinPartitions("folder", "term")
+        .write.mode("overwrite")
+        .partitionBy("folder")
+        .parquet(f"{path}/bounds")
+    )
     index.terms.write.mode("overwrite").parquet(f"{path}/terms")
     p = index.parameters
     index.totals.select(
         "n_chunks",
+        "total_dl",
         "avg_dl",
         F.lit(p.k1).alias("k1"),
         F.lit(p.b).alias("b"),
@@ -177,11 +289,13 @@ def load_index(spark: SparkSession, path: str) -> Bm25Index:
     totals = spark.read.parquet(f"{path}/totals")
     row = totals.first()
     parameters = Bm25Parameters(row["k1"], row["b"], list(row["stopwords"]), row["query_tf"])
-    schema = "chunk_id long, term string, tf long, dl long, folder int"
+    schema = "chunk_id long, term string, tf long, dl long, block long, folder int"
+    bounds = "block long, term string, tf long, dl long, folder int"
     return Bm25Index(
         spark.read.schema(schema).parquet(f"{path}/postings"),
         spark.read.parquet(f"{path}/terms"),
-        totals.select("n_chunks", "avg_dl"),
+        totals.select("n_chunks", "total_dl", "avg_dl"),
         parameters,
         folders=row["folders"],
+        saved_bounds=spark.read.schema(bounds).parquet(f"{path}/bounds"),
     )

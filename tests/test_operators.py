@@ -8,8 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanspark.operators import corpus, dense, fusion, joins, neardup, ordering, readers, rerank, selection, skew, stats, support, tiers
-from gleanspark.operators.bm25 import Bm25Parameters, build_index, load_index, save_index, search
+from gleanspark.operators import bm25, corpus, dense, fusion, joins, neardup, ordering, readers, rerank, selection, skew, stats, support, tiers
+from gleanspark.operators.bm25 import Bm25Parameters, build_index, load_index, merge_indexes, save_index, search
 from test_functions import python_shingles
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda sigma".split()
@@ -246,8 +246,7 @@ def test_search_equals_a_plain_loop(spark, bm25_data):
 
 
 def test_search_with_too_many_query_terms_to_broadcast(spark, bm25_data, monkeypatch):
-    from gleanspark.operators import bm25
-
+    
     chunks, queries, frame, asked = bm25_data
     monkeypatch.setattr(bm25, "fits", lambda df: False)
     monkeypatch.setattr(skew, "ROWS_PER_SPLIT", 10)
@@ -272,6 +271,40 @@ def test_a_term_in_most_chunks_does_not_shuffle_by_term(spark, bm25_data):
     assert "hashpartitioning(term" not in scoring
 
 
+def test_blocks_under_the_kth_score_are_not_scored(spark, monkeypatch):
+    """A skewed corpus, one word of every query in all chunks: a fifth of the pairs are scored at most."""
+    rng = random.Random(3)
+    chunks = []
+    for k in range(3000):
+        topic = k // 60
+        words = ["common"] * rng.randrange(1, 4) + [f"topic{topic}word{rng.randrange(12)}" for _ in range(20)]
+        chunks.append((k, " ".join(words + [f"rare{rng.randrange(400)}" for _ in range(5)])))
+    queries = [(q, f"common topic{3 * q}word1 topic{3 * q}word2 rare{q}") for q in range(12)] + [(12, "common")]
+    index = build_index(spark.createDataFrame(chunks, "chunk_id long, text string"))
+    asked = spark.createDataFrame(queries[:12], "qid long, query string")
+    every, scored = bm25.score_chunks(index, asked).count(), bm25.candidates(index, asked, 5).count()
+    assert every > 12 * 2900 and scored <= every / 5
+    check_search(search(index, spark.createDataFrame(queries, "qid long, query string"), 5), chunks, queries, 5)
+
+
+def test_equal_scores_across_blocks(spark):
+    chunks = [(k, "same text here" if k % 50 == 7 else "other words again") for k in range(1000, 2000)]
+    queries = [(0, "same text"), (1, "same"), (2, "again words")]
+    frame = spark.createDataFrame(chunks, "chunk_id long, text string")
+    check_search(search(build_index(frame), spark.createDataFrame(queries, "qid long, query string"), 9), chunks, queries, 9)
+
+
+def test_merged_indexes_equal_one_of_all_chunks(spark, bm25_data, tmp_path):
+    chunks, queries, frame, asked = bm25_data
+    halves = [build_index(frame.where(F.col("chunk_id") % 2 == k)) for k in (0, 1)]
+    save_index(halves[0], str(tmp_path / "half"), 4)
+    both = merge_indexes(load_index(spark, str(tmp_path / "half")), halves[1])
+    check_search(search(both, asked, 5), chunks, queries, 5)
+    whole = build_index(frame)
+    assert whole.totals.collect() == both.totals.collect()
+    assert whole.terms.exceptAll(both.terms.select("term", "df")).isEmpty()
+
+
 # --- fusion and reranking ------------------------------------------------------------------
 
 
