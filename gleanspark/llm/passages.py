@@ -10,8 +10,8 @@ of a text. Of nodes with one token inside each other the outermost is kept.
 
 Stretches of two texts with a common least hash have windows with one key, and
 the anchors c say how the texts lie on each other. Two passages of 50 words with
-one word changed share 35 of 51 tokens; all ``HASHES`` functions miss them with
-probability (16/51) ** 8, under 1e-4. Longer passages of a similarity of 80 percent
+one word changed share 37 of 51 tokens; all ``HASHES`` functions miss them with
+probability (14/51) ** 7, about 1e-4. Longer passages of a similarity of 80 percent
 share more. Tokens are longer than the shingles that decide, so that a common
 line or phrase is no key for all the texts that have it.
 
@@ -24,10 +24,17 @@ A task first pairs each record with the first of its key and the one before it
 among its own texts, and verifies these at once. Records whose anchor lies in
 a passage are settled: they stay sources for others, but do not travel by
 their key, so a passage in a third of all texts leaves a few records per task. Across
-tasks the others are paired by key in the same way. Windows that are still open
-meet all records of their key, settled ones too, in a grid of blocks of ``BLOCK``; no pair
-is left out. A window is open until its anchor lies in a passage; what a passage
-leaves over of it is found through the anchors there.
+tasks the others are paired by key in the same way. A window is open until its
+anchor lies in a passage; what a passage leaves over of it is found through the
+anchors there.
+
+Open windows meet all records of their key, settled ones too. Most have nothing in
+common but a phrase that is too short, the same one with the first document of
+their key; two of them that share a passage share more than that. So each is compared
+with this first document, and meets the others by the words where the common
+stretch ends: half of the ``EDGE`` words lie on the other side, or begin a few words behind, on
+either side, and again where the stretch goes on behind a changed word. What
+shares such an edge meets in a grid of blocks of ``BLOCK``.
 
 Equal texts are one from the start; copies are repeats as a whole.
 
@@ -55,16 +62,18 @@ from gleanspark.llm.arrow import slices
 from gleanspark.llm.suffix_levels import gram_hashes, window_argmin
 from gleanspark.runtime import broadcast_if_small, materialize
 
-TOKEN = 8
+TOKEN = 7
 SHINGLE = 5
 WORDS = 50
 SHARE = 80
-HASHES = 8
+HASHES = 7
 #: Words of the texts that a task holds at a time.
 HELD_WORDS = 1_500_000
 #: Offsets of one island differ from one window to the next by this many words at most.
 BAND = 24
-#: Records of a key in one block of the grid.
+#: Words of an edge, where the stretch that a window shares with the first of its family ends.
+EDGE = 8
+#: Records of an edge in one block of the grid.
 BLOCK = 512
 #: Words of a document that make one family of the windows first found there.
 REGION = 64
@@ -83,7 +92,7 @@ def _mix(x: np.ndarray, seed: np.uint64) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def compact_windows(values: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def compact_windows(values: np.ndarray, length: int, reach: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(c, l, r) of the Cartesian tree's nodes that span ``length`` positions or more.
 
     Zeros in ``values`` stand between texts, and no window crosses them. The leftmost of equal
@@ -93,11 +102,14 @@ def compact_windows(values: np.ndarray, length: int) -> tuple[np.ndarray, np.nda
     if len(values) < length:
         return empty, empty, empty
     least = window_argmin(values, length)
-    c = np.unique(least[values[least] > 0]).astype(np.int64)
+    picked = np.zeros(len(values), bool)
+    picked[least] = True
+    c = np.flatnonzero(picked & (values > 0))
     if not len(c):
         return empty, empty, empty
     gaps = np.flatnonzero(values == 0)
     longest = int(np.diff(np.concatenate([[-1], gaps, [len(values)]])).max()) - 1
+    longest = min(longest, reach or longest)
     tables = [values]
     while 2 ** len(tables) <= longest:
         step = 2 ** (len(tables) - 1)
@@ -147,7 +159,7 @@ class Texts:
         for f, seed in enumerate(_SEEDS):
             values = np.maximum((_mix(self.tokens, seed) >> np.uint64(32)).astype(np.uint32), np.uint32(1))
             values[self.between] = 0
-            c, left, right = compact_windows(values, length)
+            c, left, right = compact_windows(values, length, REACH)
             top = (left == 0) | (values[left - 1] != values[c])
             c, left, right = c[top], left[top], right[top]
             at = np.searchsorted(self.starts, c, side="right") - 1
@@ -214,6 +226,9 @@ class Spans:
                 start, end = min(start, s[0]), max(end, s[1])
         self.held[at] = [*out, (start, end)]
 
+    def holds(self, at: int, start: int, end: int) -> bool:
+        return any(s <= start and end <= e for s, e in self.held.get(at, ()))
+
     def inside(self, at: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Whether each [start, end) lies in a passage of its text; ``at`` in order."""
         held = np.zeros(len(at), bool)
@@ -488,7 +503,7 @@ def _grid_passages(table: pa.Table, length: int, share: int) -> list[tuple[int,
     flat = np.concatenate([parts[k] for k in mine])
     ends = np.append(0, np.cumsum(sizes[mine]))
     waiting = np.ones(len(mine), bool)
-    out, seen = [], set()
+    out, seen, spans_of = [], set(), Spans()
     for other in np.argsort(docs, kind="stable"):
         able = waiting & (docs[mine] > docs[other]) & (cell | (own[mine] != own[other]))
         content = own[other], shifts[other] - los[other], parts[other].tobytes()
@@ -503,12 +518,67 @@ def _grid_passages(table: pa.Table, length: int, share: int) -> list[tuple[int,
             offset = int((shifts[other] - los[other]) - (shifts[k] - los[k]))
             for a, b in aligned(texts[k], texts[other], offset - BAND, offset + BAND, length, share):
                 a, b = los[k] + a, los[k] + b + SHINGLE - 1
-                out.append((docs[k], docs[other], a, b))
+                if not spans_of.holds(at, a, b):
+                    spans_of.add(at, a, b)
+                    out.append((docs[k], docs[other], a, b))
                 if a <= open_from[k] and open_to[k] + TOKEN <= b:
                     waiting[at] = False
     return out
 
 
+def _stretch_edges(mine: np.ndarray, theirs: np.ndarray, at: int, offset: int) -> list[tuple[int, int]]:
+    """(side, place) of the edges of the stretch around ``at`` that is equal in both texts, ``offset`` apart."""
+    found = []
+    for side in (1, -1):
+        # Seen from the anchor outwards; on the left both texts are turned round.
+        a, b = (mine[at:], theirs[at + offset :]) if side > 0 else (mine[at::-1], theirs[at + offset :: -1] if at + offset >= 0 else theirs[:0])
+        start = 0
+        for turn in range(2):
+            n = min(len(a) - start, len(b) - start)
+            differ = np.flatnonzero(a[start : start + n] != b[start : start + n]) if n > 0 else np.zeros(0, np.int64)
+            end = start + (int(differ[0]) if len(differ) else max(n, 0))
+            # The edge itself, and the words behind the first one that differs.
+            found += [(side, at + side * end), (2 * side, at + side * (end + EDGE))]
+            if turn or not len(differ):
+                break
+            # Where the stretch goes on: the next EDGE shingles that are equal.
+            equal = np.convolve(a[end : start + n] == b[end : start + n], np.ones(EDGE), "valid") if start + n - end >= EDGE else np.zeros(0)
+            again = np.flatnonzero(equal == EDGE)
+            if not len(again):
+                break
+            start = end + int(again[0])
+    return found
+
+
+def _edges(rows: DataFrame) -> DataFrame:
+    """(edge, doc, place, lo, hi, open, open_from, open_to): the edges of the windows of each family."""
+    names = ["family", "region", "doc", "c", "shift", "lo", "hi", "open", "open_from", "open_to", "flo"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                out = []
+                columns = [part.column(x).to_pylist() for x in names]
+                for *row, mine, other in zip(*columns, part.column("shingles"), part.column("theirs")):
+                    family, region, doc, c, shift, lo, hi, is_open, open_from, open_to, flo = row
+                    mine, other = mine.values.to_numpy(), other.values.to_numpy()
+                    if not 0 <= c - lo < len(mine):
+                        continue
+                    for side, place in _stretch_edges(mine, other, c - lo, lo - shift - flo):
+                        low = place if side > 0 else place - EDGE + SHINGLE
+                        if 0 <= low <= len(mine) - (EDGE - SHINGLE + 1):
+                            words = mine[low : low + EDGE - SHINGLE + 1].tobytes()
+                            edge = xxhash.xxh3_64_intdigest(f"{family} {region} {side} ".encode() + words)
+                            out.append((edge - 2**63, doc, lo + low, lo, hi, is_open, open_from, open_to))
+                if out:
+                    types = [pa.int64(), pa.int64(), *[pa.int32()] * 3, pa.bool_(), pa.int32(), pa.int32()]
+                    arrays = [pa.array(x, t) for x, t in zip(zip(*out), types)]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["edge", "doc", "place", "lo", "hi", "open", "open_from", "open_to"])
+
+    schema = "edge long, doc long, place int, lo int, hi int, open boolean, open_from int, open_to int"
+    return rows.select(*names, "shingles", "theirs").mapInArrow(run, schema)
+
+
 def _open_passages(heads: DataFrame, met: DataFrame, found: DataFrame, length: int, share: int) -> DataFrame:
     """The passages of windows whose anchors are in none ``found``: they meet all records of their key.
 
@@ -544,16 +614,26 @@ def _open_passages(heads: DataFrame, met: DataFrame, found: DataFrame, length: i
         F.max(F.when(F.col("open"), F.col("c"))).alias("open_to"), down.cast("int").alias("lo"), up.cast("int").alias("hi"),
     )
     rows = materialize(rows.withColumn("open", F.col("open_from").isNotNull()), "families")
-    sizes = rows.groupBy("family", "region").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.bool_or("open").alias("any"))
-    sizes = broadcast_if_small(materialize(sizes.where("any").drop("any"), "family-sizes"), BROADCAST_ROWS)
-    cells = rows.join(sizes, ["family", "region"]).withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
-    shingles = _range_shingles(heads, cells.select("doc", "lo", "hi"))
+    shingles = _range_shingles(heads, rows.select("doc", "lo", "hi"))
+    full = rows.join(shingles, ["doc", "lo", "hi"])
+    firsts = full.where("doc = family and part = 0").select("family", "region", F.col("lo").alias("flo"), F.col("shingles").alias("theirs"))
+    firsts = materialize(firsts.dropDuplicates(["family", "region"]), "family-firsts")
+    values = firsts.agg(F.sum(F.size("theirs"))).first()[0] or 0
+    firsts = F.broadcast(firsts) if values <= BROADCAST_VALUES else firsts
+    edges = _edges(full.where("doc <> family").join(firsts, ["family", "region"]))
+    edges = materialize(edges, "edges")
+    sizes = edges.groupBy("edge").agg(
+        F.count(F.lit(1)).alias("n"), F.min("doc").alias("least"), F.max(F.when(F.col("open"), F.col("doc"))).alias("last")
+    )
+    sizes = sizes.where("n > 1 and last > least").select("edge", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = broadcast_if_small(materialize(sizes, "edge-sizes"), BROADCAST_ROWS)
+    cells = edges.join(sizes, "edge").withColumn("own", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int"))
     full = cells.join(shingles, ["doc", "lo", "hi"])
     full = full.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    grid = ["family", "region", "i", "j"]
+    grid = ["edge", "i", "j"]
     full = full.select(
-        "family", "region", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
-        "own", "doc", "c", "shift", "lo", "open", "open_from", "open_to", "shingles",
+        "edge", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+        "own", "doc", F.col("place").alias("shift"), "lo", "open", "open_from", "open_to", "shingles",
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
