@@ -4,7 +4,7 @@ Candidates are dealt into blocks, and queries too; each pair of blocks is one
 task group of bounded size. In a block every dimension is a list of the
 candidates sorted by that component. A query reads the lists in order, from the
 end that its sign makes best, ``STEP`` entries of each and then twice as many each time. Every
-entry is read once and added to its candidate's sum. What has been read gives a candidate a
+entry is read once and added to its candidate's sum, for all queries of a block together. What has been read gives a candidate a
 lower bound (unread components count as the list's worst value) and an upper
 bound (unread components count as the value last read). Reading stops when no
 candidate outside the k best lower bounds can qualify, or when so few are left that
@@ -38,8 +38,9 @@ FACTOR = 256
 #: Candidates and queries of one block.
 BLOCK_ROWS = 8_192
 BLOCK_QUERIES = 1_024
+QUERIES_AT_ONCE = 256
 #: Entries of each list that are read before bounds are compared for the first time.
-STEP = 256
+STEP = 512
 EXACT = 2**53
 LONGS = -(2**63), 2**63 - 1
 
@@ -54,44 +55,47 @@ def usable(vectors: DataFrame, id_column="vec_id", vector_column="embedding") ->
 
 
 class Lists:
-    """The candidates of a block, by component: their order and values from the largest on."""
+    """The candidates of a block, by component: values from the largest on, and each candidate's place in each list."""
 
     def __init__(self, rows: np.ndarray):
         self.rows = rows
-        self.order = np.argsort(-rows, axis=0, kind="stable")
-        self.values = np.take_along_axis(rows, self.order, axis=0)
+        order = np.argsort(-rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(rows, order, axis=0)
+        self.place = np.empty(rows.shape, np.int32)
+        np.put_along_axis(self.place, order, np.arange(len(rows), dtype=np.int32)[:, None], axis=0)
         self.read = 0
 
-    def best(self, query: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(row, score) of the rows that may be among the k best, without those marked as ``own``."""
-        n, dims = self.rows.shape
-        ahead = query >= 0
-        order = np.where(ahead, self.order, self.order[::-1])
-        gains = np.where(ahead, self.values, self.values[::-1]) * query  # falls along each list
-        total = np.zeros(n)
-        seen = np.zeros((n, dims), bool)
-        columns = np.arange(dims)
-        depth = 0
-        while True:
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Per query (row, score) of the rows that may be among the k best, without those marked as its ``own``."""
+        (n, dims), place = self.rows.shape, self.place
+        back = n - 1 - place
+        # Where a query's component is negative its list is read from the small end.
+        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
+        total = np.zeros((len(queries), n))
+        answers: list = [None] * len(queries)
+        active, depth = np.arange(len(queries)), 0
+
+        def added(front: np.ndarray, rear: np.ndarray, top, low) -> np.ndarray:
+            """Sums of ``top`` where ``front`` holds and of ``low`` where ``rear`` does, for the queries that still read."""
+            return up[active] @ np.where(front, top, 0).T + down[active] @ np.where(rear, low, 0).T
+
+        while len(active):
             before, depth = depth, min(n, depth * 2 if depth else max(STEP, k + 1))
-            part = order[before:depth]
-            total += np.bincount(part.reshape(-1), gains[before:depth].reshape(-1), n)
-            seen[part, columns] = True
-            self.read += part.size
-            if depth == n:
-                able = ~own
-                break
+            total[active] += added((place >= before) & (place < depth), (back >= before) & (back < depth), self.rows, self.rows)
+            self.read += len(active) * dims * (depth - before)
             # A lower bound adds the lists' last values for what is unread, an upper bound the values last read.
-            unread = ~seen
-            low = total + unread @ gains[-1]
-            high = total + unread @ gains[depth - 1]
-            low[own], high[own] = -np.inf, -np.inf
-            bar = np.partition(low, n - k)[n - k]
-            able = (high >= bar) & ~own
-            if able.sum() <= 4 * k:
-                break
-        found = np.flatnonzero(able)
-        return found, (self.rows[found] * query).sum(axis=1)
+            front, rear = place >= depth, back >= depth
+            low = total[active] + added(front, rear, self.values[-1], self.values[0])
+            high = total[active] + added(front, rear, self.values[depth - 1], self.values[n - depth])
+            low[own[active]], high[own[active]] = -np.inf, -np.inf
+            bar = np.partition(low, n - k, axis=1)[:, [n - k]] if n > k else -np.inf
+            able = (high >= bar) & (high > -np.inf)
+            done = (able.sum(axis=1) <= 4 * k) | (depth == n)
+            for at in np.flatnonzero(done):
+                found = np.flatnonzero(able[at])
+                answers[active[at]] = found, (self.rows[found] * queries[active[at]]).sum(axis=1)
+            active = active[~done]
+        return answers
 
 
 def _whole(rows: np.ndarray) -> np.ndarray:
@@ -107,7 +111,8 @@ def block_top(queries, query_ids, rows, row_ids, times, k: int) -> tuple[list[tu
     out: list[tuple[int, int, int, float]] = []
     if largest < EXACT and rows.shape[1]:
         lists = Lists(fast[1])
-        answers = (lists.best(q, row_ids == i, k) for q, i in zip(fast[0], query_ids))
+        starts = range(0, len(query_ids), QUERIES_AT_ONCE)
+        answers = (x for a in starts for x in lists.best(*_some(fast[0], query_ids, row_ids, a), k))
     else:
         lists, whole = None, _whole(rows)
         others = (np.flatnonzero(row_ids != i) for i in query_ids)
@@ -124,6 +129,12 @@ def block_top(queries, query_ids, rows, row_ids, times, k: int) -> tuple[list[tu
     return out, lists.read if lists else 0
 
 
+def _some(queries, query_ids, row_ids, start: int):
+    """Some of the queries, and which rows are their own."""
+    part = slice(start, start + QUERIES_AT_ONCE)
+    return queries[part], query_ids[part][:, None] == row_ids[None, :]
+
+
 def _double(score: int) -> float:
     try:
         return float(score)

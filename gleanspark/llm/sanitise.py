@@ -46,6 +46,8 @@ DISCLOSURE = 0.8
 #: Different contexts in which a term must stand with an entity.
 MIN_CONTEXTS = 3
 MIN_TERM = 3
+# The part of the texts that common words are told by: one in so many.
+PARTS = 8
 BROADCAST_PAIRS = 1_000_000
 
 # The patterns of the base kinds, with possessive groups and look-behinds, which match
@@ -187,15 +189,20 @@ def disclosing_terms(documents: DataFrame, spotted: DataFrame, entities: DataFra
         )
 
     both = shares(both.join(around, "term").join(held, "entity")).select("entity", "term", "c", "df_entity")
+
+    def counted(some: DataFrame, pairs: DataFrame) -> DataFrame:
+        wanted = broadcast_if_small(pairs.select("term").distinct(), BROADCAST_PAIRS)
+        found = some.select("t", F.explode(_hashed_terms(F.col("text"))).alias("term")).join(wanted, "term")
+        return found.groupBy("term").agg(F.countDistinct("t").alias("df_term"))
+
+    # Common words go by a count of one part in ``PARTS`` of the texts, which they exceed already; those that are left are
+    # counted in all texts.
     both = materialize(both, "with-entities")
-    wanted = broadcast_if_small(both.select("term").distinct(), BROADCAST_PAIRS)
-    df_term = (
-        texts.select(F.xxhash64("text").alias("t"), F.explode(_hashed_terms(F.col("text"))).alias("term"))
-        .join(wanted, "term")
-        .groupBy("term")
-        .agg(F.countDistinct("t").alias("df_term"))
-    )
-    return shares(both.join(df_term, "term")).select("entity", "term", "disclosure")
+    texts = texts.withColumn("t", F.xxhash64("text"))
+    at_least = counted(texts.where(F.pmod("t", F.lit(PARTS)) == 0), both)
+    rest = both.join(at_least, "term", "left").withColumn("df_term", F.greatest(F.coalesce("df_term", F.lit(0)), "c"))
+    rest = materialize(shares(rest).select("entity", "term", "c", "df_entity"), "rare-with-entities")
+    return shares(rest.join(counted(texts, rest), "term")).select("entity", "term", "disclosure")
 
 
 def find(documents: DataFrame, id_column="doc_id", text_column="text", keep: list[str] | None = None) -> DataFrame:

@@ -567,7 +567,7 @@ def test_lists_are_read_in_order():
     rows = rng.uniform(0, 1, (6_000, 8)) ** 40
     rows[:10] = 1 + np.arange(10)[:, None] / 10
     lists = nra.Lists(np.floor(rows * 256))
-    found, _ = lists.best(np.ones(8), np.zeros(6_000, bool), 5)
+    [(found, _)] = lists.best(np.ones((1, 8)), np.zeros((1, 6_000), bool), 5)
     assert {9, 8, 7, 6, 5} <= set(found.tolist()) and lists.read == nra.STEP * 8
 
 
