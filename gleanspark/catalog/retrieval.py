@@ -292,6 +292,54 @@ def hashed_means_sql(source: str, key: str, value: str, groups: str = "") -> str
     )
 
 
+def _horner_sql(coefficients, x: str) -> str:
+    total = f"CAST({coefficients[0]!r} AS DOUBLE)"
+    for c in coefficients[1:]:
+        total = f"({total} * {x} + {c!r})"
+    return total
+
+
+def binomial_sql(n: str, share: str, u: str) -> str:
+    """Binomial quantile: summed up for small means, else normal with a term for skewness; the rarer side is drawn."""
+    q, v = f"least({share}, 1 - {share})", f"CASE WHEN {share} > 0.5 THEN 1 - {u} ELSE {u} END"
+    state = "{{'j': CAST({} AS DOUBLE), 'k': CAST(0 AS DOUBLE), 'p': {}, 'c': {}}}"
+    step = "a.p * (n - x.j) / (x.j + 1) * (q / (1 - q))"
+    start = "exp(n * ln(1 - q))"
+    exact = (
+        f"list_reduce(list_transform(range(0, {stats.EXACT_STEPS}), lambda j: {state.format('j', 'CAST(0 AS DOUBLE)', 'CAST(0 AS DOUBLE)')}), "
+        f"lambda a, x: {{'j': x.j, 'k': a.k + CASE WHEN v > a.c THEN 1 ELSE 0 END, 'p': {step}, 'c': a.c + {step}}}, {state.format('-1', start, start)}).k"
+    )
+    t, r = "sqrt(-2 * ln(least(v, 1 - v)))", "(v - 0.5)"
+    outer = f"{_horner_sql(stats.NORMAL_C, t)} / {_horner_sql((*stats.NORMAL_D, 1.0), t)}"
+    inner = f"{r} * {_horner_sql(stats.NORMAL_A, f'({r} * {r})')} / {_horner_sql((*stats.NORMAL_B, 1.0), f'({r} * {r})')}"
+    z = f"CASE WHEN least(v, 1 - v) < {stats.NORMAL_TAIL} THEN CASE WHEN v < 0.5 THEN {outer} ELSE -({outer}) END ELSE {inner} END"
+    wide = "floor(n * q + sqrt(n * q * (1 - q)) * z + (1 - 2 * q) * (z * z - 1) / 6 + 0.5)"
+    return (
+        f"(SELECT CASE WHEN share > 0.5 THEN n - k ELSE k END FROM (SELECT n, share, greatest(0, least(n, CASE WHEN n * q <= {stats.EXACT_MEAN} THEN {exact} ELSE {wide} END)) AS k "
+        f"FROM (SELECT *, {z} AS z FROM (SELECT CAST({n} AS DOUBLE) AS n, {share} AS share, {q} AS q, {v} AS v))))"
+    )
+
+
+def drawn_intervals_sql(source: str, value: str, group: str, resamples: int = 10_000, seed: int = 0) -> str:
+    """``(group, n, mean, ci_lower, ci_upper)`` of the multinomial bootstrap, a binomial draw for one value after another."""
+    digest = f"md5('{seed}|' || b || '|' || i)"
+    u = f"((CAST('0x' || substr({digest}, 1, 13) AS BIGINT) + 0.5) / CAST(4503599627370496 AS DOUBLE))"
+    return (
+        f"WITH RECURSIVE counted AS MATERIALIZED (SELECT {group}, v, c, row_number() OVER (PARTITION BY {group} ORDER BY v) - 1 AS i, "
+        f"sum(c) OVER (PARTITION BY {group} ORDER BY v DESC) AS behind FROM (SELECT {group}, {value} AS v, count(*) AS c FROM {source} GROUP BY ALL)), "
+        f"sized AS MATERIALIZED (SELECT {group}, sum(c) AS n, sum(v * c) / sum(c) AS mean FROM counted GROUP BY {group}), "
+        f"chain AS (SELECT {group}, b, -1::BIGINT AS i, CAST(n AS DOUBLE) AS rows_left, CAST(0 AS DOUBLE) AS t FROM sized, unnest(range(0, {resamples})) r(b) "
+        f"UNION ALL SELECT {group}, b, i, rows_left - k, t + v * k FROM (SELECT s.{group}, s.b, c.i, s.rows_left, s.t, c.v, "
+        f"{binomial_sql('s.rows_left', 'CAST(c.c AS DOUBLE) / c.behind', u.replace('|| b ||', '|| s.b ||').replace('|| i)', '|| c.i)'))} AS k "
+        f"FROM chain s JOIN counted c ON c.{group} = s.{group} AND c.i = s.i + 1)) "
+        f"SELECT {group}, CAST(any_value(n) AS BIGINT) AS n, any_value(mean) AS mean, quantile_cont(t / n, 0.025) AS ci_lower, quantile_cont(t / n, 0.975) AS ci_upper "
+        f"FROM (SELECT {group}, b, max_by(t, i) AS t FROM chain GROUP BY {group}, b) JOIN sized USING ({group}) GROUP BY {group}"
+    )
+
+
+ENDS = "round(mean, 9) AS mean, round(ci_lower, 9) AS ci_lower, round(ci_upper, 9) AS ci_upper"
+
+
 @query(
     "m12_arms_against_baseline",
     view(
@@ -485,6 +533,15 @@ EVAL_SQL = (
 )
 
 
+METRIC_ROWS = " UNION ALL ".join(
+    [f"SELECT qid, 'recall@{k}' AS metric, {recall_sql('hit_rank', k)} AS score FROM hit_ranks" for k in (1, 5, 10, 20, 50, 100)]
+    + [
+        "SELECT qid, 'MRR', CASE WHEN hit_rank > 0 THEN CAST(1 AS DOUBLE) / hit_rank ELSE 0 END FROM hit_ranks",
+        "SELECT qid, 'nDCG@10', CASE WHEN hit_rank BETWEEN 1 AND 10 THEN CAST(1 AS DOUBLE) / log2(hit_rank + 1) ELSE 0 END FROM hit_ranks",
+    ]
+)
+
+
 @query("b16_evaluate_retrieval", view(EVAL_SQL, "hit_ranks"))
 def b16(t: Tables):
     ranks = support.retrieve_ranks(t.questions, t.index, t.chunks, 100)
@@ -492,28 +549,17 @@ def b16(t: Tables):
     return means
 
 
-def near_normal(report, spread, keys: list[str]):
-    """Whether drawn intervals end within three quarters of a standard error of the normal ones, ``mean ± half``."""
-    both = report.join(spread, keys)
-    tolerance = 0.75 * F.col("half") / 1.96 + 1e-9
-    near = lambda end, normal: F.abs(F.col(end) - normal) <= tolerance
-    return both.select(
-        *keys,
-        "n",
-        rounded("mean", 9),
-        near("ci_lower", F.col("mean") - F.col("half")).alias("lower_is_near"),
-        near("ci_upper", F.col("mean") + F.col("half")).alias("upper_is_near"),
-    )
+def with_ends(report, *keys: str):
+    return report.select(*keys, "n", *[rounded(c, 9) for c in ("mean", "ci_lower", "ci_upper")])
 
 
 @query(
     "b16_evaluate_with_intervals",
-    view(f"SELECT metric, n, mean, true AS lower_is_near, true AS upper_is_near FROM ({EVAL_SQL})", "hit_ranks"),
+    view(f"SELECT metric, n, {ENDS} FROM ({drawn_intervals_sql(f'({METRIC_ROWS})', 'score', 'metric')})", "hit_ranks"),
 )
 def b16_intervals(t: Tables):
-    ranks = materialize(support.retrieve_ranks(t.questions, t.index, t.chunks, 100), "ranks")
-    spread = support.metric_rows(ranks).groupBy("metric").agg(stats.detectable_effect("score").alias("half"))
-    return near_normal(support.evaluate_ranks(ranks), spread, ["metric"])
+    ranks = support.retrieve_ranks(t.questions, t.index, t.chunks, 100)
+    return with_ends(support.evaluate_ranks(ranks), "metric")
 
 
 @query(

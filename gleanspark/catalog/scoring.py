@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.catalog.fixtures import Tables, sql
 from gleanspark.catalog.registry import query
-from gleanspark.catalog.retrieval import CONTEXT_HIT, compare_sql, compared, hashed_means_sql, hit_sql, near_normal
+from gleanspark.catalog.retrieval import CONTEXT_HIT, ENDS, compare_sql, compared, drawn_intervals_sql, hashed_means_sql, hit_sql, with_ends
 from gleanspark.catalog.retrieval import VIEWS as RETRIEVAL
 from gleanspark.functions import scores as S
 from gleanspark.functions.questions import layout_pair, options_array, pooled_query
@@ -76,13 +76,10 @@ def m3(t: Tables):
 
 @query(
     "m4_bootstrap_ci",
-    sql("SELECT arm, count(*) AS n, round(avg(score), 9) AS mean, true AS lower_is_near, true AS upper_is_near FROM scores GROUP BY arm", "scores"),
+    sql(f"SELECT arm, n, {ENDS} FROM ({drawn_intervals_sql('scores', 'score', 'arm')})", "scores"),
 )
 def m4(t: Tables):
-    """The drawn interval, held against the normal one."""
-    rows = scored(t)
-    spread = rows.groupBy("arm").agg(stats.detectable_effect("score").alias("half"))
-    return near_normal(stats.bootstrap_ci(rows, "score", ["arm"]), spread, ["arm"])
+    return with_ends(stats.bootstrap_ci(scored(t), "score", ["arm"]), "arm")
 
 
 @query(
@@ -115,15 +112,15 @@ def a15(t: Tables):
 DIFF = "(SELECT a.qid, b.score - a.score AS d FROM scores a JOIN scores b USING (qid) WHERE a.arm = 'r0' AND b.arm = 'r1')"
 
 
+ALL_PAIRS = f"(SELECT 'all' AS pair, d FROM {DIFF})"
+
+
 @query(
     "m5_paired_bootstrap",
-    sql(f"SELECT 'all' AS pair, count(*) AS n, round(avg(d), 9) AS mean, true AS lower_is_near, true AS upper_is_near FROM {DIFF}", "scores"),
+    sql(f"SELECT n, {ENDS} FROM ({drawn_intervals_sql(ALL_PAIRS, 'd', 'pair')})", "scores"),
 )
 def m5(t: Tables):
-    pairs = stats.paired(arm(t, "r0"), arm(t, "r1"))
-    spread = pairs.agg(stats.detectable_effect("difference").alias("half")).withColumn("pair", F.lit("all"))
-    report = stats.paired_bootstrap(arm(t, "r0"), arm(t, "r1")).withColumn("pair", F.lit("all"))
-    return near_normal(report, spread, ["pair"])
+    return with_ends(stats.paired_bootstrap(arm(t, "r0"), arm(t, "r1")))
 
 
 @query(

@@ -8,12 +8,15 @@ The answer is the one a nested loop would give. The work is an equi-join:
 * two texts that reach the threshold share several leading shingles, so the
   shared ones are counted and pairs with too few are dropped;
 * the join key also holds a size class, since sizes of matching texts are close;
+* a shared leading shingle says how much two texts can still have in common
+  behind it (positions), and a parity bit set of all shingles how much they differ at
+  least; pairs that cannot reach the threshold leave the join before anything is shuffled;
 * every pair left is checked on the full shingle sets.
 
-A boilerplate family could still pair every copy-with-a-twist with every other.
-The question is only whether *any* reference is close enough, so where a shingle
-belongs to very many references the candidates meet a few of them first. The
-ones settled there leave, and the rest meet all references: nothing is capped.
+The question is only whether *any* reference is close enough. Candidates first meet a
+few references of each leading shingle; the ones
+settled there leave, and the rest meet all references: nothing is capped. Both
+folded sides and the first answers are written, no more.
 """
 
 from __future__ import annotations
@@ -26,13 +29,12 @@ from pyspark.sql.window import Window
 
 from gleanspark.functions.text import collapse, shingles
 from gleanspark.operators.selection import top_k
-from gleanspark.operators.skew import spread_hot_keys
 from gleanspark.runtime import broadcast_if_small, materialize
 
-# A shingle with more references than this calls for the first round.
-CROWD = 200
 # References per shingle and size class that candidates meet in the first round.
 FIRST_ROUND = 8
+# Longs of a parity bit set.
+WORDS = 4
 # Extra leading shingles, as a share of the text's, that buy the same number of
 # shared ones every pair must show.
 EXTRA = 0.05
@@ -51,11 +53,43 @@ def text_id(flat: Column | str) -> Column:
 
 
 def _folded(texts: DataFrame, column: str, n: int) -> DataFrame:
-    """Distinct collapsed texts ``(tid, flat, grams, size)``; grams are hashed shingles."""
+    """Distinct collapsed texts ``(tid, flat, grams, size, bits)``; grams are hashed shingles."""
     flat = texts.where(F.col(column).isNotNull()).select(collapse(column).alias("flat"))
     distinct = flat.groupBy(text_id("flat").alias("tid")).agg(F.first("flat").alias("flat"))
     hashed = distinct.withColumn("grams", F.transform(shingles("flat", n), lambda g: F.xxhash64(g)))
-    return hashed.withColumn("size", F.size("grams"))
+    return hashed.withColumns({"size": F.size("grams"), "bits": _parity("grams")})
+
+
+def _parity(grams: str) -> Column:
+    """``WORDS`` longs; every shingle turns one bit over, so two sets differ in as many shingles at least as in bits."""
+
+    def turned(acc: Column, gram: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), gram.bitwiseAND(63).cast("int"))
+        word = F.shiftright(gram, 6).bitwiseAND(WORDS - 1)
+        return F.struct(*[F.when(word == w, acc[f"w{w}"].bitwiseXOR(bit)).otherwise(acc[f"w{w}"]).alias(f"w{w}") for w in range(WORDS)])
+
+    start = F.struct(*[F.lit(0).cast("long").alias(f"w{w}") for w in range(WORDS)])
+    return F.aggregate(grams, start, turned)
+
+
+def _differing(a: str, b: str) -> Column:
+    """Shingles that only one of two sets has, at least."""
+    bits = [F.bit_count(F.col(a)[f"w{w}"].bitwiseXOR(F.col(b)[f"w{w}"])) for w in range(WORDS)]
+    return sum(bits[1:], bits[0])
+
+
+def _wanted(threshold: float) -> Column:
+    """Shared shingles that the threshold asks for."""
+    return F.ceil(threshold / (1 + threshold) * (F.col("size") + F.col("rsize")) - 1e-6)
+
+
+def _able(threshold: float) -> Column:
+    """Sizes, places of the shared shingle and bit sets allow the threshold; ``r…`` are the reference's."""
+    both, wanted = F.col("size") + F.col("rsize"), _wanted(threshold)
+    sizes = F.least("size", "rsize") >= threshold * F.greatest("size", "rsize") - 1e-9
+    # At best all leading shingles up to this one are shared, and all of the shorter rest.
+    places = F.least("place", "rplace") + F.least(F.col("size") - F.col("place"), F.col("rsize") - F.col("rplace")) >= wanted
+    return sizes & places & (_differing("bits", "rbits") <= both - 2 * wanted)
 
 
 def _demanded(size: Column) -> Column:
@@ -74,8 +108,8 @@ def _size_class(size: Column, threshold: float) -> Column:
 
 
 def _prefixes(cand: DataFrame, refs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Leading shingles ``(tid, size, gram, class)`` of candidates and of references."""
-    ref_grams = refs.select("tid", "size", F.explode("grams").alias("gram"))
+    """Leading shingles ``(tid, size, bits, gram, place, class)`` of candidates and of references; places from 1."""
+    ref_grams = refs.select("tid", "size", "bits", F.explode("grams").alias("gram"))
     common = broadcast_if_small(ref_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
     rarest = Window.partitionBy("tid").orderBy("df", "gram")
 
@@ -83,38 +117,46 @@ def _prefixes(cand: DataFrame, refs: DataFrame, threshold: float) -> tuple[DataF
         return (
             rows.withColumn("place", F.row_number().over(rarest) + unseen)
             .where(F.col("place") <= _leading(F.col("size"), threshold))
-            .select("tid", "size", "gram", _size_class(F.col("size"), threshold).alias("class"))
+            .select("tid", "size", "bits", "gram", "place", _size_class(F.col("size"), threshold).alias("class"))
         )
 
     right = leading(ref_grams.join(common, "gram"), F.lit(0))
     # Shingles no reference has are the rarest of all: they fill the front of a
     # candidate's order, and a text with enough of them never enters the join.
-    grams = cand.select("tid", "size", F.explode("grams").alias("gram"))
+    grams = cand.select("tid", "size", "bits", F.explode("grams").alias("gram"))
     seen = F.count(F.lit(1)).over(Window.partitionBy("tid"))
     left = leading(grams.join(common, "gram").withColumn("seen", seen), F.col("size") - F.col("seen"))
     near = F.array(*[F.col("class") + d for d in (-1, 0, 1)])
     return left, right.withColumn("class", F.explode(near))
 
 
-def _matches(
-    left: DataFrame, right: DataFrame, cand: DataFrame, refs: DataFrame, threshold: float, n: int
-) -> DataFrame:
-    """Pairs ``(tid, rid)`` at or above the threshold."""
-    right = right.select(F.col("tid").alias("rid"), "gram", "class", F.col("size").alias("rsize"))
-    left, right = spread_hot_keys(left, right, ["gram", "class"])
-    close = F.least("size", "rsize") >= threshold * F.greatest("size", "rsize") - 1e-9
-    pairs = (
-        left.join(right, ["gram", "class", "salt"])
-        .where(close)
-        .groupBy("tid", "rid", F.least("size", "rsize").alias("least"))
-        .agg(F.count(F.lit(1)).alias("shared"))
-        .where(F.col("shared") >= _demanded(F.col("least")))
+def possible_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """Pairs ``(tid, rid)`` that have to be compared in full."""
+    right = right.select(
+        F.col("tid").alias("rid"), "gram", "class", F.col("size").alias("rsize"), F.col("place").alias("rplace"), F.col("bits").alias("rbits")
+    )
+    return (
+        left.join(right, ["gram", "class"])
+        .where(_able(threshold))
+        .groupBy("tid", "rid", "size", "rsize")
+        .agg(F.count(F.lit(1)).alias("shared"), F.max("place").alias("place"), F.max("rplace").alias("rplace"))
+        .where(F.col("shared") >= _demanded(F.least("size", "rsize")))
+        # Both orders are one, so what else is shared lies behind the last shared place of either text.
+        .where(F.col("shared") + F.least(F.col("size") - F.col("place"), F.col("rsize") - F.col("rplace")) >= _wanted(threshold))
         .select("tid", "rid")
     )
-    texts = refs.select(F.col("tid").alias("rid"), F.col("flat").alias("rflat"))
+
+
+def _matches(pairs: DataFrame, cand: DataFrame, refs: DataFrame, threshold: float, n: int) -> DataFrame:
+    """The pairs at or above the threshold."""
+    texts = refs.select(F.col("tid").alias("rid"), F.col("flat").alias("rflat"), F.col("grams").alias("rgrams"), F.col("size").alias("rsize"))
+    shared = F.size(F.array_intersect("grams", "rgrams"))
+    # The hashed shingles first; only what they let through is compared by its letters.
+    close = shared >= threshold * (F.col("size") + F.col("rsize") - shared) - 1e-6
     return (
-        pairs.join(cand.select("tid", "flat"), "tid")
+        pairs.join(cand.select("tid", "flat", "grams", "size"), "tid")
         .join(texts, "rid")
+        .where(close)
         .where(jaccard("flat", "rflat", n) >= threshold)
         .select("tid", "rid")
     )
@@ -126,23 +168,17 @@ def near_duplicate_keys(
     column: str = "prompt",
     threshold: float = 0.8,
     n: int = 5,
-    crowd: int = CROWD,
 ) -> DataFrame:
     """Collapsed-text keys ``tid`` of the candidates that have a close reference."""
     cand = materialize(_folded(candidates, column, n), "candidates")
     refs = materialize(_folded(references, column, n), "references")
     left, right = _prefixes(cand, refs, threshold)
-    left, right = materialize(left, "left"), materialize(right, "right")
-    per_gram = right.groupBy("gram", "class").agg(F.count(F.lit(1)).alias("n"))
-    if per_gram.where(F.col("n") > crowd).isEmpty():
-        found = _matches(left, right, cand, refs, threshold, n).select("tid").distinct()
-        return materialize(found, "near")
     few = top_k(right, ["gram", "class"], [F.col("tid")], FIRST_ROUND, "r").drop("r")
-    first = _matches(left, few, cand, refs, threshold, n).select("tid").distinct()
-    settled = materialize(first, "settled")
-    rest = materialize(left.join(settled, "tid", "left_anti"), "rest")
-    second = _matches(rest, right, cand, refs, threshold, n).select("tid").distinct()
-    return settled.unionByName(materialize(second, "near"))
+    first = _matches(possible_pairs(left, few, threshold), cand, refs, threshold, n)
+    settled = materialize(first.select("tid").distinct(), "settled")
+    rest = left.join(broadcast_if_small(settled), "tid", "left_anti")
+    second = _matches(possible_pairs(rest, right, threshold), cand, refs, threshold, n)
+    return settled.unionByName(second.select("tid").distinct())
 
 
 def mark_near_duplicates(

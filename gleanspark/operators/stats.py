@@ -4,15 +4,19 @@ A resample mean depends only on how often each score value occurs. So scores
 are counted once in Spark and the resampling works on the counts, at a cost that
 does not grow with the rows.
 
-A resample is a multinomial draw over the counted values, made in two steps: how
-many rows fall into each block of values, then how many on each value of a
-block. Values are dealt into blocks by a hash, and every draw is keyed by seed,
-group, resample and block, so the result is the same on any partitioning, and
-more values only mean fuller blocks, each in a task of its own.
+A resample is a multinomial draw over the counted values, split up one binomial
+draw after another: of the rows that are left, how many fall on the next value, given its
+share of what is left. Each draw is a quantile of the binomial distribution at a
+number that md5 makes of seed, resample and place in the order of values, so a resample
+is a function of these alone: the same on any partitioning, and in any engine
+with md5 (``binomial_quantile``). Where a group has more than ``VALUE_BLOCKS`` values they are dealt
+into as many blocks by a hash; rows are first drawn for the blocks and then, in a
+task of each block, for its values.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -27,31 +31,103 @@ from gleanspark.runtime import materialize
 # Z for the tabulated confidence levels.
 Z_BY_LEVEL = {0.90: 1.645, 0.95: 1.96, 0.99: 2.576}
 
-# Blocks that the values of a group are dealt into. Part of the draw: another number is another draw.
+# Values of a group that are drawn one by one; with more of them, blocks of values.
 VALUE_BLOCKS = 256
+# Resamples that one task draws at a time.
+CHUNK = 1_000
+# Up to this mean the binomial quantile is summed up, beyond it the normal one with a term for skewness is taken.
+EXACT_MEAN, EXACT_STEPS = 30, 100
+# Coefficients of a rational approximation to the normal quantile (relative error under 1.2e-9).
+NORMAL_A = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+NORMAL_B = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01)
+NORMAL_C = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+NORMAL_D = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00)
+NORMAL_TAIL = 0.02425
+
+
+def _horner(coefficients: Sequence[float], x: np.ndarray) -> np.ndarray:
+    total = np.zeros_like(x)
+    for c in coefficients:
+        total = total * x + c
+    return total
+
+
+def normal_quantile(u: np.ndarray) -> np.ndarray:
+    tail = np.minimum(u, 1 - u) < NORMAL_TAIL
+    t = np.sqrt(-2 * np.log(np.minimum(u, 1 - u)))
+    outer = _horner(NORMAL_C, t) / _horner((*NORMAL_D, 1.0), t)
+    q = u - 0.5
+    inner = q * _horner(NORMAL_A, q * q) / _horner((*NORMAL_B, 1.0), q * q)
+    return np.where(tail, np.where(q < 0, outer, -outer), inner)
+
+
+def binomial_quantile(n: np.ndarray, share: float, u: np.ndarray) -> np.ndarray:
+    """How many of ``n`` fall on something of this share, at the point ``u`` of the distribution."""
+    if share > 0.5:
+        return n - binomial_quantile(n, 1 - share, 1 - u)
+    n = n.astype(np.float64)
+    mean, few = n * share, n * share <= EXACT_MEAN
+    odds = share / (1 - share)
+    # Summed up: how many k have a distribution function below u.
+    with np.errstate(under="ignore"):
+        part = np.exp(n * np.log(1 - share))
+    total, exact = part.copy(), np.zeros_like(n)
+    for k in range(EXACT_STEPS if few.any() else 0):
+        exact += u > total
+        part = part * (n - k) / (k + 1) * odds
+        total = total + part
+    z = normal_quantile(u)
+    wide = np.floor(mean + np.sqrt(mean * (1 - share)) * z + (1 - 2 * share) * (z * z - 1) / 6 + 0.5)
+    return np.clip(np.where(few, exact, wide), 0, n).astype(np.int64)
+
+
+def uniform(seed: int, resample: int, node: str) -> float:
+    digest = hashlib.md5(f"{seed}|{resample}|{node}".encode()).hexdigest()
+    return (int(digest[:13], 16) + 0.5) / 2.0**52
+
+
+def _split(rows: np.ndarray, counts: np.ndarray, resamples: np.ndarray, seed: int, name) -> np.ndarray:
+    """How many of each resample's ``rows`` fall on each of the counted things, in their order."""
+    left, drawn = counts.sum(), np.zeros((len(counts), len(rows)), np.int64)
+    for at, count in enumerate(counts):
+        u = np.array([uniform(seed, b, name(at)) for b in resamples.tolist()])
+        drawn[at] = binomial_quantile(rows, count / left, u)
+        rows, left = rows - drawn[at], left - count
+    return drawn
+
+
+def _draw(groups: list[str], seed: int):
+    """Of a group's blocks and some resamples: the sum over single values, and the rows of each other block."""
+
+    def draw(blocks: pd.DataFrame) -> pd.DataFrame:
+        blocks = blocks.sort_values("block")
+        first = int(blocks["chunk"].iloc[0]) * CHUNK
+        numbers = np.arange(first, first + int(blocks["size"].iloc[0]))
+        counts = blocks["c"].to_numpy(np.int64)
+        names = blocks["block"].to_numpy()
+        taken = _split(np.full(len(numbers), counts.sum()), counts, numbers, seed, lambda i: str(names[i]))
+        single = blocks["v"].notna().to_numpy()
+        parts = [pd.DataFrame({"b": numbers, "block": -1, "m": 0, "t": blocks["v"].to_numpy(np.float64)[single] @ taken[single]})]
+        for at in np.flatnonzero(~single):
+            parts.append(pd.DataFrame({"b": numbers, "block": names[at], "m": taken[at], "t": 0.0}))
+        found = pd.concat(parts)
+        for name in groups:
+            found[name] = blocks[name].iloc[0]
+        return found[[*groups, "b", "block", "m", "t"]]
+
+    return draw
+
 
+def _draw_inside(groups: list[str], seed: int):
+    """Sum of the values that each resample draws from a block of several."""
 
-def _draw(groups: list[str], resamples: int, seed: int):
-    """Sum of the values that each resample draws from one block."""
-
-    def draw(block: pd.DataFrame) -> pd.DataFrame:
-        block = block.sort_values("v")
-        values, counts = block["v"].to_numpy(np.float64), block["c"].to_numpy(np.int64)
-        own, group = int(block["block"].iloc[0]), int(block["g"].iloc[0])
-        totals = sorted((t["block"], t["n"]) for t in block["totals"].iloc[0])
-        place = [b for b, _ in totals].index(own)
-        sizes = np.array([n for _, n in totals])
-        rows, shares, inside = int(sizes.sum()), sizes / sizes.sum(), counts / counts.sum()
-        sums = np.empty(resamples)
-        for number in range(resamples):
-            # All blocks of a group make the same first draw, and each takes its own number from it.
-            first = np.random.Generator(np.random.Philox(key=[seed, group << 32 | number]))
-            taken = first.multinomial(rows, shares)[place]
-            second = np.random.Generator(np.random.Philox(key=[seed + ((own + 1) << 32), group << 32 | number]))
-            sums[number] = second.multinomial(taken, inside) @ values
-        found = pd.DataFrame({"b": np.arange(resamples), "block": own, "t": sums / rows})
+    def draw(values: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        values, rows = values.sort_values("v"), rows.sort_values("b")
+        block = values["block"].iloc[0] if len(values) else 0
+        taken = _split(rows["m"].to_numpy(np.int64), values["c"].to_numpy(np.int64), rows["b"].to_numpy(), seed, lambda i: f"{block}.{i}")
+        found = pd.DataFrame({"b": rows["b"].to_numpy(), "block": block, "t": values["v"].to_numpy(np.float64) @ taken})
         for name in groups:
-            found[name] = block[name].iloc[0]
+            found[name] = values[name].iloc[0]
         return found[[*groups, "b", "block", "t"]]
 
     return draw
@@ -73,31 +149,34 @@ def resample_means(
     groups = list(groups)
     kinds = dict(counted.dtypes)
     named = "".join(f"`{g}` {kinds[g]}, " for g in groups)
-    # xxhash64 skips nulls: a null group and no group at all have the same number, which only shares a draw.
-    dealt = counted.select(
-        *groups, "v", "c",
-        F.pmod(F.xxhash64("v"), F.lit(VALUE_BLOCKS)).cast("int").alias("block"),
-        (F.pmod(F.xxhash64(F.lit("group"), *groups), F.lit(1 << 30))).alias("g"),
-    )
-    sizes = dealt.groupBy(*groups, "block").agg(F.sum("c").alias("n"))
-    # At most VALUE_BLOCKS entries a group.
-    totals = sizes.groupBy(*[F.col(g).alias(f"__{g}") for g in groups]).agg(
-        F.collect_list(F.struct("block", "n")).alias("totals")
-    )
-    same = [F.col(g).eqNullSafe(F.col(f"__{g}")) for g in groups] or [F.lit(True)]
-    # Without groups the right side is one row.
-    both = dealt.join(totals, same) if groups else dealt.crossJoin(F.broadcast(totals))
-    both = both.drop(*[f"__{g}" for g in groups])
-    drawn = both.groupBy(*groups, "block").applyInPandas(
-        _draw(groups, resamples, seed), f"{named}b bigint, block int, t double"
-    )
-    # At most VALUE_BLOCKS numbers, summed in one order so that the last digit is always the same.
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "t"))), lambda x: x["t"])
-    return (
-        drawn.groupBy(*groups, "b")
-        .agg(parts.alias("parts"))
-        .select(*groups, "b", F.aggregate("parts", F.lit(0.0), lambda acc, t: acc + t).alias("m"))
+    marked = [F.coalesce(F.col(g).cast("string"), F.lit("\u0000")) for g in groups]
+    counted = counted.withColumn("__g", F.md5(F.concat_ws("\u0001", F.lit(""), *marked)))
+    sizes = counted.groupBy("__g").agg(F.count(F.lit(1)).alias("n"))
+    several = materialize(counted.join(sizes, "__g"), "values")
+    # At most VALUE_BLOCKS rows a group.
+    few = several.where(F.col("n") <= VALUE_BLOCKS)
+    few = few.withColumn("block", F.row_number().over(Window.partitionBy("__g").orderBy("v")) - 1)
+    many = several.where(F.col("n") > VALUE_BLOCKS).withColumn("block", F.pmod(F.xxhash64("v"), F.lit(VALUE_BLOCKS)).cast("int"))
+    dealt = few.unionByName(many).drop("n")
+    single = F.when(F.count(F.lit(1)) == 1, F.min("v"))
+    chunks = F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // CHUNK) - 1)))
+    blocks = dealt.groupBy(*groups, "__g", "block").agg(F.sum("c").alias("c"), single.alias("v")).withColumn("chunk", chunks)
+    blocks = blocks.withColumn("size", F.least(F.lit(CHUNK), resamples - CHUNK * F.col("chunk")))
+    drawn = blocks.groupBy("__g", "chunk").applyInPandas(_draw(groups + ["__g"], seed), f"{named}__g string, b bigint, block int, m bigint, t double")
+    if several.where(F.col("n") > VALUE_BLOCKS).isEmpty():
+        total = counted.groupBy("__g").agg(F.sum("c").alias("n"))
+        return drawn.join(total, "__g").select(*groups, "b", (F.col("t") / F.col("n")).alias("m"))
+    drawn = materialize(drawn, "drawn")
+    inside = many.select(*groups, "__g", "block", "v", "c").groupBy("__g", "block")
+    inside = inside.cogroup(drawn.where("block >= 0").groupBy("__g", "block")).applyInPandas(
+        _draw_inside(groups + ["__g"], seed), f"{named}__g string, b bigint, block int, t double"
     )
+    # A block of one value has no rows to draw inside; sums are made in one order so that the last digit is always the same.
+    parts = drawn.where("block = -1").select(*groups, "__g", "b", "block", "t").unionByName(inside)
+    parts = parts.groupBy(*groups, "__g", "b").agg(F.array_sort(F.collect_list(F.struct("block", "t"))).alias("parts"))
+    total = counted.groupBy("__g").agg(F.sum("c").alias("n"))
+    summed = F.aggregate(F.transform("parts", lambda x: x["t"]), F.lit(0.0), lambda acc, t: acc + t)
+    return parts.join(total, "__g").select(*groups, "b", (summed / F.col("n")).alias("m"))
 
 
 def hashed_resample_means(

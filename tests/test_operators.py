@@ -154,20 +154,36 @@ def near_fixture(seed):
     return candidates, refs
 
 
-@pytest.mark.parametrize("crowd", [200, 1])
+@pytest.mark.parametrize("first", [1, 8])
 @pytest.mark.parametrize("threshold", [0.8, 0.5])
-def test_near_duplicates_equal_the_nested_loop(spark, monkeypatch, crowd, threshold):
-    monkeypatch.setattr(neardup, "FIRST_ROUND", 2)
+def test_near_duplicates_equal_the_nested_loop(spark, monkeypatch, first, threshold):
+    monkeypatch.setattr(neardup, "FIRST_ROUND", first)
     candidates, refs = near_fixture(7)
     cand = spark.createDataFrame(candidates, "i long, prompt string").repartition(5)
     ref = spark.createDataFrame(refs, "i long, prompt string")
-    keys = neardup.near_duplicate_keys(cand, ref, "prompt", threshold, 5, crowd)
+    keys = neardup.near_duplicate_keys(cand, ref, "prompt", threshold, 5)
     from gleanspark.functions.text import collapse
 
     keyed = cand.withColumn("tid", neardup.text_id(collapse("prompt"))).join(keys, "tid", "left_semi")
     assert {r.i for r in keyed.collect()} == brute_near(candidates, refs, threshold)
 
 
+def test_alike_but_not_close_texts_are_hardly_compared(spark):
+    """One template with other letters at its end: under 80 percent, so filters leave few pairs of a quadratic number."""
+    rng = random.Random(4)
+    letters = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    template = letters(150)
+    texts = [(k, template + letters(26)) for k in range(1500)]
+    close = [(1500 + k, texts[k][1][:-2] + "zz") for k in range(5)]
+    frame = spark.createDataFrame(texts, "i long, prompt string")
+    asked = spark.createDataFrame(close + [(9000 + k, template + letters(26)) for k in range(1500)], "i long, prompt string")
+    cand, refs = neardup._folded(asked, "prompt", 5), neardup._folded(frame, "prompt", 5)
+    pairs = neardup.possible_pairs(*neardup._prefixes(cand.cache(), refs.cache(), 0.8), 0.8)
+    assert 5 <= pairs.count() < 20 * 1500
+    marked = {r.i for r in neardup.mark_near_duplicates(asked, frame).collect() if r.near_duplicate}
+    assert marked == {1500 + k for k in range(5)}
+
+
 def test_near_duplicate_flags_do_not_multiply_rows(spark):
     candidates, refs = near_fixture(3)
     cand = spark.createDataFrame(candidates, "i long, prompt string")
@@ -413,6 +429,18 @@ def test_bootstrap_with_many_distinct_values(spark):
     assert hashed.ci_lower == pytest.approx(row.ci_lower, abs=0.05)
 
 
+def test_binomial_quantile_is_that_of_the_distribution():
+    u = np.random.default_rng(2).uniform(size=300)
+    for n, share in ((1, 0.3), (40, 0.02), (40, 0.97), (60, 0.5), (900, 0.01), (5000, 0.4), (5000, 0.9)):
+        got = stats.binomial_quantile(np.full(300, n), share, u)
+        logs = [math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(share) + (n - k) * math.log(1 - share) for k in range(n + 1)]
+        below = np.cumsum(np.exp(logs))
+        want = np.searchsorted(below, u)
+        slack = 1 if n * min(share, 1 - share) > stats.EXACT_MEAN else 0
+        assert np.abs(got - want).max() <= slack and (got != want).mean() < 0.05
+    assert stats.binomial_quantile(np.array([7]), 1.0, np.array([0.4])).tolist() == [7]
+
+
 def test_random_ranking_interval_contains_the_baseline(spark):
     rng = random.Random(42)
     scores = []
