@@ -1,4 +1,9 @@
-"""Exact nearest neighbours over supplied embeddings."""
+"""Exact nearest neighbours over supplied embeddings.
+
+Items lie in blocks of like vector length. The product with a query is at most the
+product of both lengths, so once a query has its k-th score from the block of the longest vectors,
+blocks whose bound stays under it are not read for this query. Where all vectors are equally long every block is read.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions.scores import dot
 from gleanspark.operators.selection import top_k
+from gleanspark.runtime import broadcast_if_small, materialize
 
 # Queries and items of one block: a task multiplies one block of each.
 QUERY_BLOCK = 2_000
@@ -47,10 +53,45 @@ def _scored(k: int):
     return score
 
 
-def _blocks(df: DataFrame, key: str, size: int) -> tuple[DataFrame, int]:
-    """``df`` dealt into blocks of about ``size`` rows by a hash of the key, and their number."""
-    number = max(1, -(-df.count() // size))
-    return df.withColumn("own", F.pmod(F.xxhash64(key), F.lit(number)).cast("int")), number
+def _length() -> Column:
+    return F.sqrt(dot("embedding", "embedding"))
+
+
+def _placed(items: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """``items`` with ``length`` and ``block``, and ``(block, n, bound)``: blocks of about ``size`` items of like
+    length; 0 has the longest. Equally long items are dealt by a hash of their key."""
+    items = materialize(items.withColumn("length", _length()), "items")
+    number = max(1, -(-items.count() // size))
+    cuts = F.percentile_approx("length", [1 - k / number for k in range(1, number)], 10_000) if number > 1 else F.array().cast("array<double>")
+    # One row of at most as many numbers as there are blocks.
+    classed = items.crossJoin(F.broadcast(items.agg(cuts.alias("cuts"))))
+    classed = classed.withColumn("class", F.size(F.filter("cuts", lambda x: x > F.col("length")))).drop("cuts")
+    parts = classed.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("parts"))
+    placed = classed.join(F.broadcast(parts), "class")  # a row per class
+    placed = placed.withColumn("block", F.struct("class", F.pmod(F.xxhash64("item"), F.col("parts")).cast("int").alias("part")))
+    placed = placed.drop("class", "parts")
+    return placed, materialize(placed.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.max("length").alias("bound")), "item-blocks")
+
+
+def _searched(asks: DataFrame, placed: DataFrame, k: int, size: int, kinds: str) -> DataFrame:
+    """``(query, item, score)``: k best items of each block for the queries that ask for it, ``(query, embedding, block)``."""
+    groups = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("groups"))
+    groups = broadcast_if_small(materialize(groups, "query-groups"))
+    left = asks.join(groups, "block").withColumn("g", F.pmod(F.xxhash64("query"), F.col("groups")).cast("int")).drop("groups")
+    right = placed.drop("length").join(groups, "block").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
+    return left.groupBy("block", "g").cogroup(right.groupBy("block", "g")).applyInPandas(_scored(k), kinds)
+
+
+def open_blocks(asked: DataFrame, first: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """``(query, embedding, block)``: blocks behind the first that a query's k-th score does not rule out."""
+    bars = first.groupBy("query").agg(F.count(F.lit(1)).alias("__n"), F.min("score").alias("bar")).where(F.col("__n") == k)
+    bars = broadcast_if_small(bars.select("query", "bar"))
+    listed = F.broadcast(blocks.agg(F.sort_array(F.collect_list(F.struct("block", "bound"))).alias("blocks")))  # one row
+    rows = asked.withColumn("length", _length()).join(bars, "query", "left").crossJoin(listed)
+    slack = 10.0**-SCORE_DIGITS
+    able = lambda x: F.col("bar").isNull() | (F.col("length") * x["bound"] * (1 + 1e-12) + slack >= F.col("bar"))
+    later = F.slice("blocks", 2, F.greatest(F.size("blocks"), F.lit(1)))
+    return rows.select("query", "embedding", F.explode(F.filter(later, able)).alias("x")).select("query", "embedding", "x.block")
 
 
 def nearest(
@@ -64,17 +105,17 @@ def nearest(
 ) -> DataFrame:
     """``(query_key, rank, item_key, score)``: top-k by inner product over the whole corpus.
 
-    Queries and items are dealt into blocks, and each pair of blocks is one group
-    of bounded size on the executors that hands on k rows per query. No vector
-    passes the driver.
+    Each query meets the block of the longest items, and then the blocks that may
+    hold better ones. A block and the queries that ask for it are groups of bounded size on the
+    executors that hand on k rows per query. No vector passes the driver.
     """
-    asked, n_asked = _blocks(queries.select(F.col(query_key).alias("query"), "embedding"), "query", block)
-    stored, n_stored = _blocks(corpus.select(F.col(item_key).alias("item"), "embedding"), "item", item_block)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = asked.withColumnRenamed("own", "qb").withColumn("ib", every(n_stored))
-    right = stored.withColumnRenamed("own", "ib").withColumn("qb", every(n_asked))
-    schema = f"query {dict(asked.dtypes)['query']}, item {dict(stored.dtypes)['item']}, score double"
-    found = left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInPandas(_scored(k), schema)
+    asked = queries.select(F.col(query_key).alias("query"), "embedding")
+    placed, blocks = _placed(corpus.select(F.col(item_key).alias("item"), "embedding"), item_block)
+    kinds = f"query {dict(asked.dtypes)['query']}, item {dict(placed.dtypes)['item']}, score double"
+    head = F.broadcast(blocks.agg(F.min("block").alias("block")))  # one row
+    first = materialize(_searched(asked.crossJoin(head).where("block is not null"), placed, k, block, kinds), "first-block")
+    asks = materialize(open_blocks(asked, first, blocks, k), "open-blocks")
+    found = first.unionByName(_searched(asks, placed, k, block, kinds))
     best = top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
     return best.select(F.col("query").alias(query_key), "rank", F.col("item").alias(item_key), "score")
 
