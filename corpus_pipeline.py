@@ -43,18 +43,29 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 50 words or more that an earlier document has go from the later ones."""
+    """Passages of 50 words or more that an earlier document has go from the later ones.
+
+    All rows stay. Null texts, texts under 50 words and rows with a null id stay as they are; rows that share an id are
+    one document, lose the same words and never repeat each other; a copy of an earlier document loses all its words.
+    """
     found = passages.spans(passages.repeated_passages(docs))
     return _measured(passages.without_passages(docs, found))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data and the terms that disclose it are replaced by their kinds."""
+    """Personal data and the terms that disclose it are replaced by their kinds.
+
+    All rows stay. A null text stays null, a text without personal data as it is; equal texts are treated alike whatever
+    their ids, and count once in the statistics.
+    """
     return _measured(sanitise.sanitise(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its place in a sequence of 2048 tokens."""
+    """Every piece of every document with its place in a sequence of 2048 tokens.
+
+    Every row is a document of its own, with a null id or a repeated one too; a null or empty text is one token.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
