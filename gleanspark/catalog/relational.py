@@ -317,10 +317,8 @@ def w1(t: Tables):
     "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) AS rank FROM conversations",
 )
 def w2(t: Tables):
-    from pyspark.sql.window import Window
-
-    within = Window.partitionBy("conv_id").orderBy(F.length("text").desc(), "turn")
-    return t.read("conversations").select("conv_id", "turn", F.row_number().over(within).cast("long").alias("rank"))
+    ranked = selection.rank_within(t.read("conversations"), ["conv_id"], [F.length("text").desc(), F.col("turn")])
+    return ranked.select("conv_id", "turn", F.col("rank").cast("long").alias("rank"))
 
 
 @query("w3_keep_first", "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text")

@@ -478,11 +478,13 @@ def b12(t: Tables):
 @query(
     "b13_oracle_context",
     view(
-        "SELECT h.qid, coalesce(md5(c.text), md5('')) AS context_md5, h.hit_rank > 0 AS oracle_available FROM hit_ranks h LEFT JOIN s_ranked r ON r.qid = h.qid AND r.rank = h.hit_rank "
-        "LEFT JOIN chunks c ON c.chunk_id = r.chunk_id",
-        "hit_ranks",
+        "SELECT q.qid, md5(coalesce(x.text, '')) AS context_md5, x.text IS NOT NULL AS oracle_available FROM questions q LEFT JOIN ("
+        "SELECT r.qid, min_by(c.text, r.rank) AS text FROM s_ranked r JOIN chunks c USING (chunk_id) JOIN wanted w ON w.qid = r.qid "
+        f"WHERE {hit_sql('c.text')} GROUP BY r.qid) x USING (qid)",
         "s_ranked",
         "chunks",
+        "wanted",
+        "questions",
     ),
 )
 def b13(t: Tables):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanspark.functions.text import title_prefixed, window_count, windows
 from gleanspark.operators.ordering import running_total
+from gleanspark.operators.selection import first_rows
 
 MAX_CHUNK_WORDS = 200
 
@@ -60,7 +61,7 @@ def slice_by_article_count(rows: DataFrame, n_articles: int, order: str = "para_
     Late repeats of a kept title behind that row are left out as well.
     """
     first = rows.groupBy("title").agg(F.min(order).alias("__first"))
-    cut = first.orderBy("__first").limit(n_articles + 1).agg(
+    cut = first_rows(first, ["__first"], n_articles + 1).agg(
         F.max("__first").alias("last"), F.count(F.lit(1)).alias("n")
     ).first()
     if cut["n"] <= n_articles:

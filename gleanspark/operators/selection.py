@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gleanspark.operators.ordering import running_total
-from gleanspark.runtime import broadcast_if_small
+from gleanspark.runtime import broadcast_if_small, materialize
 
 # Spark trims groups before the shuffle for limits up to this (its default threshold).
 GROUP_LIMIT = 1_000
 SALTS = 64
+# Rows of a prefix that one task merges; more are cut by ranges.
+ONE_TASK = 100_000
 
 
 def top_k(
@@ -42,13 +44,35 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
     return top_k(df, keys, order, 1, "__first").drop("__first")
 
 
+def rank_within(df: DataFrame, group: Sequence[str], order: Sequence[Column], rank: str = "rank") -> DataFrame:
+    """Every row with its place in its group, from 1."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
+
+
 def first_rows(df: DataFrame, order: Sequence[Column | str], n: int) -> DataFrame:
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows in a total order, for any n.
+
+    Up to ``ONE_TASK`` rows are merged by one task, as Spark does it. More are
+    dealt into ranges of the order, written in order with their number in the range, and ranges are
+    counted: a row's place is the number of rows in the ranges before plus its own, so no task has more than its range.
+    """
+    if n <= ONE_TASK:
+        return df.orderBy(*order).limit(n)
+    names = df.columns
+    ranged = df.repartitionByRange(df.sparkSession.sparkContext.defaultParallelism * 4, *order).sortWithinPartitions(*order)
+    # The id has the partition in its upper bits and counts the partition's rows below.
+    ranged = materialize(ranged.withColumn("__id", F.monotonically_increasing_id()), "ranges")
+    part, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))  # a row per range
+    placed = ranged.withColumn("__part", part).join(F.broadcast(starts), "__part")
+    return placed.where(F.col("__start") + at < n).select(*names)
 
 
 def longest(df: DataFrame, text: str, key: str, n: int) -> DataFrame:
     """The n rows with the longest text."""
-    return df.orderBy(F.length(text).desc(), F.col(key)).limit(n)
+    return first_rows(df, [F.length(text).desc(), F.col(key)], n)
 
 
 def draw_key(key: Column | str, seed: int) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gleanspark.operators import stats
 
@@ -17,14 +18,13 @@ def failure_table(reader: DataFrame, retrieval: DataFrame, key: str = "qid") ->
     counted = both.groupBy("reader_correct").agg(
         F.count_if(F.col("gold_retrieved") == 0).alias("n_missing"),
         F.count_if(F.col("gold_retrieved") == 1).alias("n_found"),
+        F.count(F.lit(1)).alias("__n"),
     )
-    total = both.count()
+    # A window over the counts, which are a row for each value of reader_correct.
+    total = F.sum("__n").over(Window.partitionBy(F.lit(0)))
     return counted.withColumns(
-        {
-            "pct_missing": 100.0 * F.col("n_missing") / F.lit(max(total, 1)),
-            "pct_found": 100.0 * F.col("n_found") / F.lit(max(total, 1)),
-        }
-    )
+        {"pct_missing": 100.0 * F.col("n_missing") / total, "pct_found": 100.0 * F.col("n_found") / total}
+    ).drop("__n")
 
 
 def oracle_gap(actual: DataFrame, oracle: DataFrame, key: str = "qid") -> DataFrame:

@@ -193,6 +193,19 @@ def test_near_duplicate_flags_do_not_multiply_rows(spark):
     assert {r.i for r in rows if r.near_duplicate} == brute_near(candidates, refs)
 
 
+def test_a_long_prefix_is_cut_by_ranges(spark, monkeypatch):
+    frame = spark.range(40_000).select(F.col("id"), (F.col("id") * 7919 % 40_009 % 500).alias("k"), F.lit("x").alias("other")).repartition(6)
+    want = {r.id for r in selection.first_rows(frame, ["k", "id"], 25_000).collect()}
+    monkeypatch.setattr(selection, "ONE_TASK", 100)
+    got = selection.first_rows(frame, ["k", "id"], 25_000)
+    assert got.columns == frame.columns
+    rows = [r.id for r in got.collect()]
+    assert len(rows) == 25_000 and set(rows) == want
+    assert selection.first_rows(frame, ["k", "id"], 90_000).count() == 40_000
+    texts = frame.select("id", F.repeat(F.lit("a"), F.col("k").cast("int")).alias("text"))
+    assert {r.id for r in selection.longest(texts, "text", "id", 101).collect()} == {r.id for r in texts.orderBy(F.length("text").desc(), "id").limit(101).collect()}
+
+
 def test_spread_hot_keys_keeps_the_join_whole(spark):
     left = spark.range(1000).select(F.when(F.col("id") < 700, 0).otherwise(F.col("id") % 9).alias("k"), F.col("id").alias("l"))
     right = spark.range(40).select((F.col("id") % 8).alias("k"), F.col("id").alias("r"))
