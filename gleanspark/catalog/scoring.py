@@ -453,3 +453,58 @@ def inference_submission(t: Tables):
     path = scratch_path(t.spark, "inference")
     W.write_submission(materialize(made, "predictions"), t.answers.select(F.col("qid").alias("id")), path)
     return R.read_csv(t.spark, path, made.schema)
+
+
+SWEEP = {
+    **RETRIEVAL,
+    "sweep_logits": (
+        ["contexts", "option_rows"],
+        "SELECT chars, qid, option_no, CAST(len(list_intersect(a, b)) AS DOUBLE) / greatest(len(b), 1) AS logit FROM (SELECT CAST(s.chars AS BIGINT) AS chars, o.qid, o.option_no, "
+        f"{distinct_words("substr(c.context, 1, s.chars) || ' #### ' || o.prompt")} AS a, {distinct_words('o.option')} AS b "
+        "FROM option_rows o JOIN contexts c USING (qid), unnest([250, 1000, 1750, 4000]) s(chars) WHERE o.option IS NOT NULL)",
+    ),
+}
+SWEEP["sweep_scores"] = (["sweep_logits", "answers"], f"SELECT chars, qid, score FROM ({ap_sql('sweep_logits', 'chars, qid')})")
+SIZES = (1750, 250, 1000, 4000)
+
+
+def swept(t: Tables):
+    return inference.context_sweep(plan.attach_context(t.questions, t.index, t.chunks), SIZES)
+
+
+@query("sweep_context_scores", sql("SELECT chars, qid, round(score, 9) AS score FROM sweep_scores", "sweep_scores", extra=SWEEP))
+def sweep_scores(t: Tables):
+    return swept(t).select("chars", "qid", rounded("score", 9))
+
+
+AGAINST = "(SELECT chars, qid, score - base AS d FROM sweep_scores JOIN (SELECT qid, score AS base FROM sweep_scores WHERE chars = 1750) USING (qid) WHERE chars <> 1750)"
+
+
+@query(
+    "sweep_context_report",
+    sql(
+        f"SELECT chars, a.n, round(a.mean, 9) AS mean, round(a.ci_lower, 9) AS ci_lower, round(a.ci_upper, 9) AS ci_upper, round(b.mean, 9) AS delta, "
+        "round(b.ci_lower, 9) AS delta_lower, round(b.ci_upper, 9) AS delta_upper, b.ci_lower > 0 OR b.ci_upper < 0 AS resolved "
+        f"FROM ({drawn_intervals_sql('sweep_scores', 'score', 'chars')}) a LEFT JOIN ({drawn_intervals_sql(AGAINST, 'd', 'chars')}) b USING (chars)",
+        "sweep_scores",
+        extra=SWEEP,
+    ),
+)
+def sweep_report(t: Tables):
+    report = inference.sweep_report(swept(t), 1750)
+    ends = ("mean", "ci_lower", "ci_upper", "delta", "delta_lower", "delta_upper")
+    return report.select("chars", "n", *[rounded(c, 9) for c in ends], "resolved")
+
+
+@query(
+    "sweep_context_lengths",
+    sql(
+        "SELECT p AS prob, round(q, 6) AS quantile FROM (SELECT quantile_cont(CAST(length(context) AS DOUBLE), [0.5, 0.9]) AS qs FROM contexts), "
+        "unnest([CAST(0.5 AS DOUBLE), CAST(0.9 AS DOUBLE)]) WITH ORDINALITY u(p, i), unnest(qs) WITH ORDINALITY v(q, j) WHERE i = j",
+        "contexts",
+        extra=RETRIEVAL,
+    ),
+)
+def sweep_lengths(t: Tables):
+    found = inference.context_lengths(plan.attach_context(t.questions, t.index, t.chunks))
+    return found.select(F.col("prob").cast("double").alias("prob"), rounded("quantile"))

@@ -627,3 +627,16 @@ def test_scratch_folders_can_be_released(spark):
     assert os.path.isdir(path)
     assert runtime.release_scratch(spark) >= 2
     assert not os.path.isdir(path) and runtime.release_scratch(spark) == 0
+
+
+def test_context_sweep_pairs_clip_sizes(spark):
+    from gleanspark.plans import inference
+
+    rows = [(q, "which word", "x " * 150 + f"word{q}", "none", f"word{q}", "other", None, "last", "B") for q in range(40)]
+    frame = spark.createDataFrame(rows, "qid long, prompt string, context string, A string, B string, C string, D string, E string, answer string")
+    scores = inference.context_sweep(frame, (50, 400))
+    got = {(r.chars, r.score) for r in scores.collect()}
+    assert got == {(50, 0.5), (400, 1.0)} and scores.count() == 80
+    report = {r.chars: r for r in inference.sweep_report(scores, 50, resamples=50).collect()}
+    assert report[400].delta == 0.5 and report[400].resolved and report[50].delta is None and report[50].mean == 0.5
+    assert {r.quantile for r in inference.context_lengths(frame).collect()} <= {305.0, 306.0}
