@@ -21,7 +21,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gleanspark.functions.text import ENGLISH_STOPWORDS, tokens
@@ -60,6 +60,11 @@ class Bm25Index:
     folders: int | None = None
     saved_bounds: DataFrame | None = None
 
+    @cached_property
+    def counted(self) -> Row:
+        """The one row of ``totals``."""
+        return self.totals.first()
+
     @cached_property
     def bounds(self) -> DataFrame:
         """``(block, term, tf, dl)``: the largest count of the term and the least length in a block of chunks."""
@@ -158,7 +163,7 @@ def query_terms(
 def _weighed(index: Bm25Index, queries: DataFrame, keys: list[str], query: str) -> tuple[DataFrame, bool]:
     """``(keys…, term, weight)`` of the query terms that the index knows, and whether they are few enough to broadcast."""
     wanted = query_terms(queries, index.parameters, keys, query)
-    n = F.lit(float(index.totals.first()["n_chunks"]))
+    n = F.lit(float(index.counted["n_chunks"]))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     small = fits(wanted)
     vocabulary = wanted.select("term").distinct()
@@ -170,7 +175,7 @@ def _weighed(index: Bm25Index, queries: DataFrame, keys: list[str], query: str)
 def _gain(index: Bm25Index) -> Column:
     """What a term of this weight, with ``tf`` of ``dl`` tokens, adds to a score."""
     p = index.parameters
-    avg_dl = F.lit(float(index.totals.first()["avg_dl"] or 0.0))
+    avg_dl = F.lit(float(index.counted["avg_dl"] or 0.0))
     norm = p.k1 * (1 - p.b + p.b * F.col("dl") / avg_dl)
     return F.col("weight") * F.col("tf") / (F.col("tf") + norm)
 

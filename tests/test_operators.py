@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -287,9 +288,13 @@ def test_saved_index_gives_the_same_and_reads_its_folders_only(spark, bm25_data,
     save_index(build_index(frame), str(tmp_path / "index"), 16)
     index = load_index(spark, str(tmp_path / "index"))
     check_search(search(index, asked, 5), chunks, queries, 5)
-    one = search(index, asked.limit(1), 5)
-    plan = one._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [folder" in plan
+    plan_of = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    weighed, _ = bm25._weighed(index, asked.limit(1), ["qid"], "query")
+    picked = weighed.select("qid").distinct().withColumn("block", F.lit(0).cast("long"))
+    pruned = re.compile(r"PartitionFilters: \[[^\]]*folder")
+    assert pruned.search(plan_of(bm25._score_blocks(index, picked, weighed, ["qid"])))
+    assert pruned.search(plan_of(bm25._in_folders(index.bounds, index.folders, "term", weighed)))
+    plan = plan_of(search(index, asked, 5))
     assert "hashpartitioning(qid" in plan and "WindowGroupLimit" in plan
 
 
