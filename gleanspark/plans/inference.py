@@ -52,8 +52,11 @@ def context_sweep(
     null are not scored, and a question without any has no row.
     """
     pairs = option_rows(questions, (key, "prompt", "context")).where(F.col("option").isNotNull())
-    arms = F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("chars"), F.struct(*layout_inference("context", "prompt", "option", n)).alias("p")) for n in sizes]))
-    pairs = pairs.select(key, "option_no", arms.alias("x")).select("x.chars", key, "option_no", "x.p.first", "x.p.second")
+    clipped = [
+        F.struct(F.lit(n).cast("long").alias("chars"), *layout_inference("context", "prompt", "option", n)) for n in sizes
+    ]
+    pairs = pairs.select(key, "option_no", F.explode(F.array(*clipped)).alias("x"))
+    pairs = pairs.select("x.chars", key, "option_no", "x.first", "x.second")
     return precision_rows(scorer(pairs, ("chars", key, "option_no")), questions, best, ["chars", key], key)
 
 
@@ -66,7 +69,8 @@ def sweep_report(scores: DataFrame, base: int = CLIP_SIZES[0], key: str = "qid",
     paired = stats.compare_arms(arms, str(base), key, **options).select(
         "arm", F.col("mean").alias("delta"), F.col("ci_lower").alias("delta_lower"), F.col("ci_upper").alias("delta_upper"), "resolved"
     )
-    return alone.join(paired, "arm", "left").select(F.col("arm").cast("long").alias("chars"), "n", "mean", "ci_lower", "ci_upper", "delta", "delta_lower", "delta_upper", "resolved")
+    columns = ("n", "mean", "ci_lower", "ci_upper", "delta", "delta_lower", "delta_upper", "resolved")
+    return alone.join(paired, "arm", "left").select(F.col("arm").cast("long").alias("chars"), *columns)
 
 
 def context_lengths(questions: DataFrame, probs: Sequence[float] = (0.5, 0.9)) -> DataFrame:
