@@ -167,6 +167,12 @@ def s14(t: Tables):
     return logs.read_log(t.spark, path).select("config", "n", "hypothesis", "git_sha", dated.alias("is_dated"))
 
 
+def shifted(name: str, digits: int):
+    """A count over a power of ten as text, with all its digits."""
+    n, power = F.col(name), 10**digits
+    return F.concat(F.floor(n / power).cast("string"), F.lit("."), F.lpad((n % power).cast("string"), digits, "0"))
+
+
 @query(
     "s15_harvest_summaries",
     "SELECT source, 'best_map3' AS field, CAST(count(*) AS DOUBLE) / 1000 AS mean, CAST(count(*) AS DOUBLE) / 10000 AS ci_lower, CAST(count(*) AS DOUBLE) / 100 AS ci_upper FROM documents GROUP BY source "
@@ -176,14 +182,11 @@ def s15(t: Tables):
     path = scratch_path(t.spark, "summaries")
     n = t.documents.groupBy("source").agg(count("n"))
 
-    def fraction(digits: int):
-        return F.concat(F.lit("0."), F.lpad(F.col("n").cast("string"), digits, "0"))
-
     lines = n.select(
         "source",
         F.explode(
             F.array(
-                F.concat(F.lit("best_map3: "), fraction(3), F.lit(" ["), fraction(4), F.lit(","), (F.col("n") / 100).cast("string"), F.lit("]")),
+                F.concat(F.lit("best_map3: "), shifted("n", 3), F.lit(" ["), shifted("n", 4), F.lit(","), (F.col("n") / 100).cast("string"), F.lit("]")),
                 F.concat(F.lit("rows: total: "), F.col("n").cast("string")),
                 F.lit("no colon here"),
             )
@@ -231,7 +234,7 @@ OUTCOMES = (
 def outcomes(t: Tables):
     path = scratch_path(t.spark, "outcomes")
     n = t.documents.groupBy("source").agg(count("n"))
-    number = F.concat(F.lit("~0."), F.lpad(F.col("n").cast("string"), 4, "0"), F.lit(" (range 0.1-0.9)"))
+    number = F.concat(F.lit("~"), shifted("n", 4), F.lit(" (range 0.1-0.9)"))
     rows = n.select(
         F.lit("2020-01-01").alias("date"),
         F.lit("sha").alias("git_sha"),

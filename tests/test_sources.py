@@ -1,8 +1,11 @@
 """Files: round trips, limits, logs and rejected submissions."""
 
+import duckdb
 import pytest
+from check import differences
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from gleanspark.runtime import checkpoint_root
 from gleanspark.schemas import CHUNKS, LOG_FIELDS, QUESTION_KEY, QUESTIONS
 from gleanspark.sources import logs, readers, writers
@@ -73,3 +76,14 @@ def test_submission_is_checked_before_it_is_written(spark, tmp_path):
 
 def test_scratch_folder_follows_the_session(spark):
     assert checkpoint_root(spark) == checkpoint_root(spark)
+
+
+@pytest.mark.parametrize("name", ["s15_harvest_summaries", "e9_prediction_calibration"])
+def test_counts_beyond_their_digits(spark, tmp_path, name):
+    """A source with more rows than the written fraction has places."""
+    rows = spark.range(25_641).select(F.col("id").alias("doc_id"), F.lit("web").alias("source"))
+    rows = rows.unionByName(spark.range(7).select((F.col("id") + 50_000).alias("doc_id"), F.lit("news").alias("source")))
+    rows.coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    assert differences(entry.queries()[name](spark, str(tmp_path)), con, entry.oracle_sql()[name]) == []
