@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleanspark.operators import bm25, corpus, dense, fusion, joins, neardup, ordering, readers, rerank, selection, skew, stats, support, tiers
+from gleanspark import runtime
+from gleanspark.operators import bm25, bm25_scan, corpus, dense, fusion, joins, neardup, ordering, readers, rerank, selection, skew, stats, support, tiers
 from gleanspark.operators.bm25 import Bm25Parameters, build_index, load_index, merge_indexes, save_index, search
 from test_functions import python_shingles
 
@@ -328,6 +329,32 @@ def test_equal_scores_across_blocks(spark):
     check_search(search(build_index(frame), spark.createDataFrame(queries, "qid long, query string"), 9), chunks, queries, 9)
 
 
+def test_few_query_terms_are_scanned_in_place(spark, bm25_data, monkeypatch):
+    """Pieces of few chunks, ties included; besides the token rows nothing is written."""
+    chunks, queries, frame, asked = bm25_data
+    chunks = chunks + [(100 + i, text) for i, text in chunks[:20]]
+    frame = spark.createDataFrame(chunks, "chunk_id long, text string").repartition(3)
+    monkeypatch.setattr(bm25_scan, "CELLS", 50)
+    monkeypatch.setattr(bm25_scan, "GAINS", 40)
+    before = len(runtime._made)
+    found = search(build_index(frame), asked, 3)
+    check_search(found, chunks, queries, 3)
+    assert [re.search("gleanspark-(.*)-", path)[1] for path in runtime._made[before:]] == ["chunk-tokens"]
+    check_search(search(build_index(frame), asked, 500), chunks, queries, 500)
+    check_search(search(build_index(frame.limit(0)), asked, 3), [], [], 3)
+    two = asked.withColumn("part", F.when(F.col("qid") > 2, "x"))
+    assert search(build_index(frame), two, 3, ["part", "qid"]).drop("part").exceptAll(found).isEmpty()
+
+
+def test_more_query_terms_than_a_scan_takes(spark, bm25_data, monkeypatch):
+    chunks, queries, frame, asked = bm25_data
+    monkeypatch.setattr(bm25_scan, "MOST_TERMS", 2)
+    check_search(search(build_index(frame), asked, 5), chunks, queries, 5)
+    monkeypatch.setattr(bm25, "fits", lambda df: False)
+    monkeypatch.setattr(skew, "ROWS_PER_SPLIT", 10)
+    check_search(search(build_index(frame), asked, 5), chunks, queries, 5)
+
+
 def test_merged_indexes_equal_one_of_all_chunks(spark, bm25_data, tmp_path):
     chunks, queries, frame, asked = bm25_data
     halves = [build_index(frame.where(F.col("chunk_id") % 2 == k)) for k in (0, 1)]
