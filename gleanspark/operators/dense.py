@@ -7,6 +7,8 @@ blocks whose bound stays under it are not read for this query. Where all vectors
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -19,6 +21,8 @@ from gleanspark.runtime import broadcast_if_small, materialize
 # Queries and items of one block: a task multiplies one block of each.
 QUERY_BLOCK = 2_000
 ITEM_BLOCK = 20_000
+#: Products a task holds at a time.
+CELLS = 2_000_000
 SCORE_DIGITS = 9
 
 
@@ -34,21 +38,33 @@ def _best_columns(sims: np.ndarray, k: int) -> np.ndarray:
 
 
 def _scored(k: int):
-    """k best items of one block for each query of another."""
+    """k best items of one block for each query of another; items of a query's own part where there are parts."""
 
-    def score(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-        if asked.empty or stored.empty:
-            return pd.DataFrame({"query": [], "item": [], "score": []})
+    def best(asked: pd.DataFrame, stored: pd.DataFrame) -> Iterator[pd.DataFrame]:
         # Ascending keys, so that equal scores keep the lower one.
         stored = stored.sort_values("item", kind="stable")
         items, queries = stored["item"].to_numpy(), asked["query"].to_numpy()
-        matrix = np.stack(asked["embedding"].to_numpy()).astype(np.float64)
-        sims = np.round(matrix @ np.stack(stored["embedding"].to_numpy()).astype(np.float64).T, SCORE_DIGITS)
-        columns = _best_columns(sims, k)
-        row = np.repeat(np.arange(len(queries)), columns.shape[1])
-        return pd.DataFrame(
-            {"query": queries[row], "item": items[columns.ravel()], "score": sims[row, columns.ravel()]}
-        )
+        vectors = np.stack(stored["embedding"].to_numpy()).astype(np.float64).T
+        step = max(1, CELLS // len(items))
+        for at in range(0, len(queries), step):
+            some = slice(at, at + step)
+            matrix = np.stack(asked["embedding"].to_numpy()[some]).astype(np.float64)
+            sims = np.round(matrix @ vectors, SCORE_DIGITS)
+            columns = _best_columns(sims, k)
+            row = np.repeat(np.arange(len(matrix)), columns.shape[1])
+            yield pd.DataFrame(
+                {"query": queries[some][row], "item": items[columns.ravel()], "score": sims[row, columns.ravel()]}
+            )
+
+    def score(asked: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"query": [], "item": [], "score": []})
+        if asked.empty or stored.empty:
+            return none
+        if "part" not in asked:
+            return pd.concat(list(best(asked, stored)))
+        parts = dict(list(asked.groupby("part")))
+        found = [rows for part, own in stored.groupby("part") if part in parts for rows in best(parts[part], own)]
+        return pd.concat(found) if found else none
 
     return score
 
@@ -77,6 +93,7 @@ def _searched(asks: DataFrame, placed: DataFrame, k: int, size: int, kinds: str)
     """``(query, item, score)``: k best items of each block for the queries that ask for it, ``(query, embedding, block)``."""
     groups = asks.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("groups"))
     groups = broadcast_if_small(materialize(groups, "query-groups"))
+    # Python takes the products of a slice of queries at a time.
     left = asks.join(groups, "block").withColumn("g", F.pmod(F.xxhash64("query"), F.col("groups")).cast("int")).drop("groups")
     right = placed.drop("length").join(groups, "block").withColumn("g", F.explode(F.sequence(F.lit(0), F.col("groups") - 1))).drop("groups")
     return left.groupBy("block", "g").cogroup(right.groupBy("block", "g")).applyInPandas(_scored(k), kinds)
@@ -128,18 +145,42 @@ def nearest_within(
     query_key: str = "qid",
     document_key: str = "document_id",
     item_key: str = "sentence_id",
+    query_block: int = QUERY_BLOCK,
+    item_block: int = ITEM_BLOCK,
 ) -> DataFrame:
     """Top-k sentences per query among the documents ``allowed(query_key, document_key)``.
 
-    Each sentence meets the queries that may see its document in a join, which
-    Spark splits where a document is hot, and is scored there by built-in functions.
+    Documents are cut or put together into blocks of about ``item_block`` sentences, and a block meets the queries that
+    may see its documents in groups of bounded size, as in :func:`nearest`.
     """
     pairs = allowed.select(F.col(query_key).alias("query"), F.col(document_key).alias("part")).distinct()
-    asked = queries.select(F.col(query_key).alias("query"), F.col("embedding").alias("asked"))
+    asked = queries.select(F.col(query_key).alias("query"), "embedding")
     stored = sentences.select(F.col(document_key).alias("part"), F.col(item_key).alias("item"), "embedding")
-    score = F.round(dot("asked", "embedding"), SCORE_DIGITS)
-    found = stored.join(pairs.join(asked, "query"), "part").select("query", "item", score.alias("score"))
-    best = top_k(found, ["query"], [F.col("score").desc(), F.col("item")], k)
+    stored = stored.where("part is not null")
+    pairs = materialize(pairs.join(asked, "query"), "document-queries")
+    whole = F.col("embedding").isNotNull()
+    kinds = f"query {dict(asked.dtypes)['query']}, item {dict(stored.dtypes)['item']}, score double"
+    # A document with many sentences is several blocks, small documents share one.
+    sizes = stored.where(whole).groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    buckets = max(1, -(-total // item_block))
+    sizes = sizes.select(
+        "part",
+        F.when(F.col("n") <= item_block, F.pmod(F.xxhash64("part"), F.lit(buckets))).otherwise(F.xxhash64("part")).alias("bucket"),
+        F.ceil(F.col("n") / item_block).cast("int").alias("pieces"),
+    )
+    sizes = broadcast_if_small(materialize(sizes, "document-sizes"))
+    piece = F.pmod(F.xxhash64("item"), F.col("pieces")).cast("int")
+    block = lambda at: F.struct("bucket", F.col("pieces").alias("of"), at.alias("piece")).alias("block")
+    placed = stored.where(whole).join(sizes, "part").select("part", "item", "embedding", block(piece))
+    asks = pairs.where(whole).join(sizes, "part").withColumn("at", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    asks = asks.select("query", "part", "embedding", block(F.col("at")))
+    found = _searched(asks, placed, k, query_block, kinds)
+    # What has no vector has no score, and comes last.
+    no_item = stored.where(~whole).join(pairs.select("query", "part"), "part")
+    no_query = stored.where(whole).join(pairs.where(~whole).select("query", "part"), "part")
+    unscored = no_item.unionByName(no_query).select("query", "item", F.lit(None).cast("double").alias("score"))
+    best = top_k(found.unionByName(unscored), ["query"], [F.col("score").desc(), F.col("item")], k)
     return best.select(F.col("query").alias(query_key), "rank", F.col("item").alias(item_key), "score")
 
 
