@@ -1,43 +1,42 @@
 """Near-duplicate texts: exact Jaccard on character shingles as a similarity join.
 
-The answer is the one a nested loop would give. The work is an equi-join:
+The answer is the one a nested loop would give:
 
 * copies of one text are folded first, on both sides;
-* shingles are put in one global order, rarest among the references first, and
-  each text joins on its leading ones only;
-* two texts that reach the threshold share several leading shingles, so the
-  shared ones are counted and pairs with too few are dropped;
-* the join key also holds a size class, since sizes of matching texts are close;
-* a shared leading shingle says how much two texts can still have in common
-  behind it (positions), and a parity bit set of all shingles how much they differ at
-  least; pairs that cannot reach the threshold leave the join before anything is shuffled;
+* a text becomes its number of shingles and a parity bit set of them: every shingle turns one bit over, so two sets differ
+  in as many shingles at least as in bits;
+* texts of like size meet in a grid of blocks of bounded size. Matrix products of shortened bit sets rule most pairs
+  out, the whole bit sets most of the others, and neither shuffles a shingle;
 * every pair left is checked on the full shingle sets.
 
-The question is only whether *any* reference is close enough. Candidates first meet a
-few references of each leading shingle; the ones
-settled there leave, and the rest meet all references: nothing is capped. Both
-folded sides and the first answers are written, no more.
+The question is only whether *any* reference is close enough. Candidates are first compared with the nearest reference
+of each block, the ones settled there leave, and the rest are compared with all that are near enough: nothing is capped.
+Meeting in the grid is quadratic in the number of texts of a size, at a few ten nanoseconds a pair.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gleanspark.functions.text import collapse, shingles
-from gleanspark.operators.selection import top_k
 from gleanspark.runtime import broadcast_if_small, materialize
 
-# References per shingle and size class that candidates meet in the first round.
-FIRST_ROUND = 8
-# Longs of a parity bit set.
-WORDS = 4
-# Extra leading shingles, as a share of the text's, that buy the same number of
-# shared ones every pair must show.
-EXTRA = 0.05
+# References of each block that a candidate is compared with in the first round.
+FIRST_ROUND = 1
+# Bits of a bit set for each shingle, at least.
+SPARE = 4
+# Texts of one block, and the numbers that it or a task's products may take.
+BLOCK_TEXTS = 4_000
+CELLS = 4_000_000
+# Characters whose shingles are hashed at a time, besides those of one text.
+CHARS = 250_000
 
 
 def jaccard(left: Column | str, right: Column | str, n: int = 5) -> Column:
@@ -52,54 +51,63 @@ def text_id(flat: Column | str) -> Column:
     return F.unhex(F.substring(F.sha2(flat, 256), 1, 32))
 
 
+def _hashed(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, hash)`` of every text's distinct shingles of n characters, by row."""
+    letters = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(t) for t in texts])
+    row = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    factor = np.uint64(0x9E3779B97F4A7C15)
+    total = np.zeros(len(letters), np.uint64)
+    for at in range(n):  # a shorter text is its own shingle, with zeros behind
+        here = np.zeros(len(letters), np.uint64)
+        here[: max(0, len(letters) - at)] = letters[at:]
+        here[place + at >= sizes[row]] = 0
+        total = total * factor + here + np.uint64(1)
+    whole = (place + n <= sizes[row]) | (place == 0)
+    empty = np.flatnonzero(sizes == 0)
+    row, total = np.concatenate([row[whole], empty]), np.concatenate([total[whole], np.zeros(len(empty), np.uint64)])
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+        total = (total ^ (total >> np.uint64(shift))) * np.uint64(by)
+    order = np.lexsort((total, row))
+    row, total = row[order], total[order]
+    fresh = np.append(True, (row[1:] != row[:-1]) | (total[1:] != total[:-1]))
+    return row[fresh], total[fresh]
+
+
+def _pieces(texts: list[str]) -> Iterator[list[str]]:
+    piece, letters = [], 0
+    for text in texts:
+        if piece and letters + len(text) > CHARS:
+            yield piece
+            piece, letters = [], 0
+        piece.append(text)
+        letters += len(text)
+    if piece:
+        yield piece
+
+
 def _folded(texts: DataFrame, column: str, n: int) -> DataFrame:
-    """Distinct collapsed texts ``(tid, flat, grams, size, bits)``; grams are hashed shingles."""
+    """Distinct collapsed texts ``(tid, flat, size, bits)``: number of shingles and their parity bit set."""
     flat = texts.where(F.col(column).isNotNull()).select(collapse(column).alias("flat"))
     distinct = flat.groupBy(text_id("flat").alias("tid")).agg(F.first("flat").alias("flat"))
-    hashed = distinct.withColumn("grams", F.transform(shingles("flat", n), lambda g: F.xxhash64(g)))
-    return hashed.withColumns({"size": F.size("grams"), "bits": _parity("grams")})
-
-
-def _parity(grams: str) -> Column:
-    """``WORDS`` longs; every shingle turns one bit over, so two sets differ in as many shingles at least as in bits."""
-
-    def turned(acc: Column, gram: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), gram.bitwiseAND(63).cast("int"))
-        word = F.shiftright(gram, 6).bitwiseAND(WORDS - 1)
-        return F.struct(*[F.when(word == w, acc[f"w{w}"].bitwiseXOR(bit)).otherwise(acc[f"w{w}"]).alias(f"w{w}") for w in range(WORDS)])
-
-    start = F.struct(*[F.lit(0).cast("long").alias(f"w{w}") for w in range(WORDS)])
-    return F.aggregate(grams, start, turned)
-
-
-def _differing(a: str, b: str) -> Column:
-    """Shingles that only one of two sets has, at least."""
-    bits = [F.bit_count(F.col(a)[f"w{w}"].bitwiseXOR(F.col(b)[f"w{w}"])) for w in range(WORDS)]
-    return sum(bits[1:], bits[0])
-
-
-def _wanted(threshold: float) -> Column:
-    """Shared shingles that the threshold asks for."""
-    return F.ceil(threshold / (1 + threshold) * (F.col("size") + F.col("rsize")) - 1e-6)
 
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, bits = [], []
+            for piece in _pieces(batch.column("flat").to_pylist()):
+                row, hashed = _hashed(piece, n)
+                size = np.bincount(row, minlength=len(piece))
+                width = 1 << np.ceil(np.log2(np.maximum(SPARE * size, 256))).astype(np.int64)
+                ends = np.cumsum(width)
+                cell = (ends - width)[row] + (hashed & (width[row] - 1).astype(np.uint64)).astype(np.int64)
+                packed = np.packbits((np.bincount(cell, minlength=ends[-1]) & 1).astype(np.uint8), bitorder="little").tobytes()
+                sizes += size.tolist()
+                bits += [packed[(e - w) // 8 : e // 8] for e, w in zip(ends.tolist(), width.tolist())]
+            columns = [batch.column("tid"), batch.column("flat"), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["tid", "flat", "size", "bits"])
 
-def _able(threshold: float) -> Column:
-    """Sizes, places of the shared shingle and bit sets allow the threshold; ``r…`` are the reference's."""
-    both, wanted = F.col("size") + F.col("rsize"), _wanted(threshold)
-    sizes = F.least("size", "rsize") >= threshold * F.greatest("size", "rsize") - 1e-9
-    # At best all leading shingles up to this one are shared, and all of the shorter rest.
-    places = F.least("place", "rplace") + F.least(F.col("size") - F.col("place"), F.col("rsize") - F.col("rplace")) >= wanted
-    return sizes & places & (_differing("bits", "rbits") <= both - 2 * wanted)
-
-
-def _demanded(size: Column) -> Column:
-    """Shared leading shingles a pair must show: the smaller of both texts' numbers."""
-    return 1 + F.floor(size * EXTRA)
-
-
-def _leading(size: Column, threshold: float) -> Column:
-    """Leading shingles a text offers: with fewer, a match could hide behind them."""
-    return size - F.ceil(size * threshold - 1e-9) + _demanded(size)
+    return distinct.select("tid", "flat").mapInArrow(sign, "tid binary, flat string, size int, bits binary")
 
 
 def _size_class(size: Column, threshold: float) -> Column:
@@ -108,58 +116,84 @@ def _size_class(size: Column, threshold: float) -> Column:
 
 
 def _prefixes(cand: DataFrame, refs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """Leading shingles ``(tid, size, bits, gram, place, class)`` of candidates and of references; places from 1."""
-    ref_grams = refs.select("tid", "size", "bits", F.explode("grams").alias("gram"))
-    common = broadcast_if_small(ref_grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df")))
-    rarest = Window.partitionBy("tid").orderBy("df", "gram")
-
-    def leading(rows: DataFrame, unseen: Column) -> DataFrame:
-        return (
-            rows.withColumn("place", F.row_number().over(rarest) + unseen)
-            .where(F.col("place") <= _leading(F.col("size"), threshold))
-            .select("tid", "size", "bits", "gram", "place", _size_class(F.col("size"), threshold).alias("class"))
-        )
-
-    right = leading(ref_grams.join(common, "gram"), F.lit(0))
-    # Shingles no reference has are the rarest of all: they fill the front of a
-    # candidate's order, and a text with enough of them never enters the join.
-    grams = cand.select("tid", "size", "bits", F.explode("grams").alias("gram"))
-    seen = F.count(F.lit(1)).over(Window.partitionBy("tid"))
-    left = leading(grams.join(common, "gram").withColumn("seen", seen), F.col("size") - F.col("seen"))
-    near = F.array(*[F.col("class") + d for d in (-1, 0, 1)])
-    return left, right.withColumn("class", F.explode(near))
-
-
-def possible_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """Pairs ``(tid, rid)`` that have to be compared in full."""
-    right = right.select(
-        F.col("tid").alias("rid"), "gram", "class", F.col("size").alias("rsize"), F.col("place").alias("rplace"), F.col("bits").alias("rbits")
-    )
-    return (
-        left.join(right, ["gram", "class"])
-        .where(_able(threshold))
-        .groupBy("tid", "rid", "size", "rsize")
-        .agg(F.count(F.lit(1)).alias("shared"), F.max("place").alias("place"), F.max("rplace").alias("rplace"))
-        .where(F.col("shared") >= _demanded(F.least("size", "rsize")))
-        # Both orders are one, so what else is shared lies behind the last shared place of either text.
-        .where(F.col("shared") + F.least(F.col("size") - F.col("place"), F.col("rsize") - F.col("rplace")) >= _wanted(threshold))
-        .select("tid", "rid")
-    )
+    """``(tid, size, bits, class, i, j)`` of candidates and of references: cells of a grid in each class of like sizes.
+
+    A reference stands in its own class and the ones beside it.
+    """
+    classed = lambda rows: rows.select("tid", "size", "bits", _size_class(F.col("size"), threshold).alias("class"))
+    left, right = classed(cand), classed(refs)
+    right = right.withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
+    # Large texts have long bit sets, and fewer to a block.
+    most = F.least(F.lit(float(BLOCK_TEXTS)), F.greatest(F.lit(64.0), F.lit(4.0 * CELLS) / F.max("size")))
+    rows = lambda side, name: side.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
+    grid = materialize(rows(left, "rows").join(rows(right, "columns"), "class"), "grid")  # a row per class
+    deal = lambda of: F.pmod(F.xxhash64("tid"), F.col(of)).cast("int")
+    each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = left.join(F.broadcast(grid), "class").withColumns({"i": deal("rows"), "j": each("columns")})
+    right = right.join(F.broadcast(grid), "class").withColumns({"j": deal("columns"), "i": each("rows")})
+    return left.drop("rows", "columns"), right.drop("rows", "columns")
+
+
+def _shortened(bits: list[bytes], width: int) -> np.ndarray:
+    """Rows of words: bit sets of ``width`` bits, longer ones folded."""
+    return np.stack([np.bitwise_xor.reduce(np.frombuffer(b, np.uint64).reshape(-1, width // 64), axis=0) for b in bits])
+
+
+def _signs(words: np.ndarray) -> np.ndarray:
+    return 1 - 2 * np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").astype(np.float32)
+
+
+def _compared(threshold: float, nearest: int | None):
+    """Pairs of one cell whose sizes and bit sets allow the threshold; only the nearest references on demand."""
+
+    def found(left: pd.DataFrame, right: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        width = 8 * min(left["bits"].map(len).min(), right["bits"].map(len).min())
+        a, b = _shortened(left["bits"], width), _shortened(right["bits"], width)
+        coarse = max(64, width // 4)
+        fold = lambda words: _signs(np.bitwise_xor.reduce(words.reshape(len(words), -1, coarse // 64), axis=1))
+        x, y, n, m = fold(a), fold(b).T, left["size"].to_numpy(), right["size"].to_numpy()
+        step = max(1, CELLS // len(m))
+        for at in range(0, len(n), step):
+            some = n[at : at + step, None]
+            both = some + m
+            # Differing shingles that the threshold allows.
+            most = both - 2 * np.ceil(threshold / (1 + threshold) * both - 1e-6)
+            near = (coarse - x[at : at + step] @ y) / 2 <= most + 0.5
+            near &= np.minimum(some, m) >= threshold * np.maximum(some, m) - 1e-9
+            i, j = np.nonzero(near)
+            part = max(1, CELLS // (width // 64))
+            apart = [np.bitwise_count(a[at + i[k : k + part]] ^ b[j[k : k + part]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), part)]
+            apart = np.concatenate([np.empty(0, np.int64), *apart])
+            able = apart <= most[i, j] + 0.5
+            i, j, apart = i[able], j[able], apart[able]
+            if nearest is not None:
+                order = np.lexsort((j, apart, i))
+                i, j = i[order], j[order]
+                starts = np.searchsorted(i, i)
+                first = np.arange(len(i)) - starts < nearest
+                i, j = i[first], j[first]
+            yield pd.DataFrame({"tid": left["tid"].to_numpy()[at + i], "rid": right["tid"].to_numpy()[j]})
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if left.empty or right.empty:
+            return pd.DataFrame({"tid": [], "rid": []})
+        return pd.concat(list(found(left, right)))
+
+    return compare
+
+
+def possible_pairs(left: DataFrame, right: DataFrame, threshold: float, nearest: int | None = None) -> DataFrame:
+    """Pairs ``(tid, rid)`` that have to be compared in full; ``nearest``: at most so many of each cell for a candidate."""
+    cell = ["class", "i", "j"]
+    met = left.groupBy(*cell).cogroup(right.groupBy(*cell))
+    return met.applyInPandas(_compared(threshold, nearest), "tid binary, rid binary")
 
 
 def _matches(pairs: DataFrame, cand: DataFrame, refs: DataFrame, threshold: float, n: int) -> DataFrame:
     """The pairs at or above the threshold."""
-    texts = refs.select(F.col("tid").alias("rid"), F.col("flat").alias("rflat"), F.col("grams").alias("rgrams"), F.col("size").alias("rsize"))
-    shared = F.size(F.array_intersect("grams", "rgrams"))
-    # The hashed shingles first; only what they let through is compared by its letters.
-    close = shared >= threshold * (F.col("size") + F.col("rsize") - shared) - 1e-6
-    return (
-        pairs.join(cand.select("tid", "flat", "grams", "size"), "tid")
-        .join(texts, "rid")
-        .where(close)
-        .where(jaccard("flat", "rflat", n) >= threshold)
-        .select("tid", "rid")
-    )
+    texts = refs.select(F.col("tid").alias("rid"), F.col("flat").alias("rflat"))
+    met = pairs.join(cand.select("tid", "flat"), "tid").join(texts, "rid")
+    return met.where(jaccard("flat", "rflat", n) >= threshold).select("tid", "rid")
 
 
 def near_duplicate_keys(
@@ -173,10 +207,11 @@ def near_duplicate_keys(
     cand = materialize(_folded(candidates, column, n), "candidates")
     refs = materialize(_folded(references, column, n), "references")
     left, right = _prefixes(cand, refs, threshold)
-    few = top_k(right, ["gram", "class"], [F.col("tid")], FIRST_ROUND, "r").drop("r")
-    first = _matches(possible_pairs(left, few, threshold), cand, refs, threshold, n)
-    settled = materialize(first.select("tid").distinct(), "settled")
-    rest = left.join(broadcast_if_small(settled), "tid", "left_anti")
+    nearest = materialize(possible_pairs(left, right, threshold, FIRST_ROUND), "nearest-pairs")
+    settled = materialize(_matches(nearest, cand, refs, threshold, n).select("tid").distinct(), "settled")
+    # A candidate without a near enough reference is settled as well.
+    unsure = nearest.select("tid").distinct().join(broadcast_if_small(settled), "tid", "left_anti")
+    rest = left.join(broadcast_if_small(materialize(unsure, "unsure")), "tid", "left_semi")
     second = _matches(possible_pairs(rest, right, threshold), cand, refs, threshold, n)
     return settled.unionByName(second.select("tid").distinct())
 
