@@ -647,6 +647,13 @@ def test_build_t1_excludes_near_gold_and_needs_enough_rows(spark):
         tiers.build_t1(pool, gold, "i", 3)
 
 
+def test_build_t1_gives_rows_that_are_written(spark):
+    gold = spark.createDataFrame([("What is the speed of light in a vacuum?",)], "prompt string")
+    pool = spark.createDataFrame([(1, "Which planet is the largest one?"), (3, "Who wrote the play?")], "i long, prompt string")
+    tier = tiers.build_t1(pool, gold, "i", 2)
+    assert tier.count() == 2 and "Exchange" not in tier._jdf.queryExecution().executedPlan().toString()
+
+
 def test_null_policy_and_split_checks(spark):
     rows = spark.createDataFrame([("p", None, "b"), ("r", "a", "b")], "prompt string, A string, B string")
     assert tiers.apply_null_policy(rows, "drop", ["A", "B"]).count() == 1
