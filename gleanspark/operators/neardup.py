@@ -28,12 +28,12 @@ from pyspark.sql import functions as F
 from gleanspark.functions.text import collapse, shingles
 from gleanspark.runtime import broadcast_if_small, materialize
 
-# References of each block that a candidate is compared with in the first round.
+# References of each slice of a block that a candidate is compared with in the first round.
 FIRST_ROUND = 1
 # Bits of a bit set for each shingle, at least.
 SPARE = 4
 # Texts of one block, and the numbers that it or a task's products may take.
-BLOCK_TEXTS = 4_000
+BLOCK_TEXTS = 16_000
 CELLS = 4_000_000
 # Characters whose shingles are hashed at a time, besides those of one text.
 CHARS = 250_000
@@ -124,7 +124,7 @@ def _prefixes(cand: DataFrame, refs: DataFrame, threshold: float) -> tuple[DataF
     left, right = classed(cand), classed(refs)
     right = right.withColumn("class", F.explode(F.array(*[F.col("class") + d for d in (-1, 0, 1)])))
     # Large texts have long bit sets, and fewer to a block.
-    most = F.least(F.lit(float(BLOCK_TEXTS)), F.greatest(F.lit(64.0), F.lit(4.0 * CELLS) / F.max("size")))
+    most = F.least(F.lit(float(BLOCK_TEXTS)), F.greatest(F.lit(64.0), F.lit(16.0 * CELLS) / F.max("size")))
     rows = lambda side, name: side.groupBy("class").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name))
     grid = materialize(rows(left, "rows").join(rows(right, "columns"), "class"), "grid")  # a row per class
     deal = lambda of: F.pmod(F.xxhash64("tid"), F.col(of)).cast("int")
@@ -151,18 +151,20 @@ def _compared(threshold: float, nearest: int | None):
         a, b = _shortened(left["bits"], width), _shortened(right["bits"], width)
         coarse = max(64, width // 4)
         fold = lambda words: _signs(np.bitwise_xor.reduce(words.reshape(len(words), -1, coarse // 64), axis=1))
-        x, y, n, m = fold(a), fold(b).T, left["size"].to_numpy(), right["size"].to_numpy()
-        step = max(1, CELLS // len(m))
-        for at in range(0, len(n), step):
-            some = n[at : at + step, None]
-            both = some + m
+        n, m = left["size"].to_numpy(), right["size"].to_numpy()
+        step = max(1, min(2_000, CELLS // coarse))  # of either side at a time
+        for at, to in ((at, to) for at in range(0, len(n), step) for to in range(0, len(m), step)):
+            if to == 0:
+                x = fold(a[at : at + step])
+            some, other = n[at : at + step, None], m[to : to + step]
+            both = some + other
             # Differing shingles that the threshold allows.
             most = both - 2 * np.ceil(threshold / (1 + threshold) * both - 1e-6)
-            near = (coarse - x[at : at + step] @ y) / 2 <= most + 0.5
-            near &= np.minimum(some, m) >= threshold * np.maximum(some, m) - 1e-9
+            near = (coarse - x @ fold(b[to : to + step]).T) / 2 <= most + 0.5
+            near &= np.minimum(some, other) >= threshold * np.maximum(some, other) - 1e-9
             i, j = np.nonzero(near)
             part = max(1, CELLS // (width // 64))
-            apart = [np.bitwise_count(a[at + i[k : k + part]] ^ b[j[k : k + part]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), part)]
+            apart = [np.bitwise_count(a[at + i[k : k + part]] ^ b[to + j[k : k + part]]).sum(axis=1, dtype=np.int64) for k in range(0, len(i), part)]
             apart = np.concatenate([np.empty(0, np.int64), *apart])
             able = apart <= most[i, j] + 0.5
             i, j, apart = i[able], j[able], apart[able]
@@ -172,7 +174,7 @@ def _compared(threshold: float, nearest: int | None):
                 starts = np.searchsorted(i, i)
                 first = np.arange(len(i)) - starts < nearest
                 i, j = i[first], j[first]
-            yield pd.DataFrame({"tid": left["tid"].to_numpy()[at + i], "rid": right["tid"].to_numpy()[j]})
+            yield pd.DataFrame({"tid": left["tid"].to_numpy()[at + i], "rid": right["tid"].to_numpy()[to + j]})
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
@@ -183,7 +185,7 @@ def _compared(threshold: float, nearest: int | None):
 
 
 def possible_pairs(left: DataFrame, right: DataFrame, threshold: float, nearest: int | None = None) -> DataFrame:
-    """Pairs ``(tid, rid)`` that have to be compared in full; ``nearest``: at most so many of each cell for a candidate."""
+    """Pairs ``(tid, rid)`` that have to be compared in full; ``nearest``: at most so many of each slice of a cell for a candidate."""
     cell = ["class", "i", "j"]
     met = left.groupBy(*cell).cogroup(right.groupBy(*cell))
     return met.applyInPandas(_compared(threshold, nearest), "tid binary, rid binary")
