@@ -75,4 +75,6 @@ def sweep_report(scores: DataFrame, base: int = CLIP_SIZES[0], key: str = "qid",
 
 def context_lengths(questions: DataFrame, probs: Sequence[float] = (0.5, 0.9)) -> DataFrame:
     """``(prob, quantile)`` of the contexts' lengths in characters: which clip sizes can make a difference."""
-    return exact_quantiles(questions.select(F.length("context").alias("chars")), "chars", probs)
+    # Quantiles read their input more than once, and a context may be a whole search.
+    lengths = materialize(questions.select(F.length("context").alias("chars")), "context-lengths")
+    return exact_quantiles(lengths, "chars", probs)

@@ -702,3 +702,17 @@ def test_context_sweep_pairs_clip_sizes(spark):
     report = {r.chars: r for r in inference.sweep_report(scores, 50, resamples=50).collect()}
     assert report[400].delta == 0.5 and report[400].resolved and report[50].delta is None and report[50].mean == 0.5
     assert {r.quantile for r in inference.context_lengths(frame).collect()} <= {305.0, 306.0}
+
+
+def test_context_lengths_reads_its_contexts_once(spark):
+    from gleanspark.plans import inference
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def context(n):
+        seen.add(1)
+        return "x" * n
+
+    frame = spark.range(40, numPartitions=2).select(F.udf(context, "string")("id").alias("context"))
+    got = {r.prob: r.quantile for r in inference.context_lengths(frame).collect()}
+    assert got == {0.5: 19.5, 0.9: pytest.approx(35.1)} and seen.value == 40
