@@ -716,3 +716,21 @@ def test_context_lengths_reads_its_contexts_once(spark):
     frame = spark.range(40, numPartitions=2).select(F.udf(context, "string")("id").alias("context"))
     got = {r.prob: r.quantile for r in inference.context_lengths(frame).collect()}
     assert got == {0.5: 19.5, 0.9: pytest.approx(35.1)} and seen.value == 40
+
+
+def test_index_sizes_count_no_chunks_again(spark, bm25_data):
+    from gleanspark.plans import retrieval
+
+    _, _, frame, _ = bm25_data
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(text):
+        read.add(1)
+        return text
+
+    watched = frame.select("chunk_id", F.udf(seen, "string")("text").alias("text"))
+    indexes = {"half": build_index(watched.where("chunk_id % 2 = 0")), "full": build_index(watched)}
+    half, full = frame.where("chunk_id % 2 = 0").count(), frame.count()
+    before = read.value
+    assert {r.arm: r.n_chunks for r in retrieval.index_sizes(indexes).collect()} == {"half": half, "full": full}
+    assert read.value == before == half + full
