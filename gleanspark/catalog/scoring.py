@@ -199,7 +199,7 @@ def m14(t: Tables):
     letters = readers.ranked_letters(t.logits(0)).join(t.answers, "qid")
     right = F.when(F.get("letters", F.lit(0)) == F.col("answer"), 1).otherwise(0).cast("long")
     reader = letters.select("qid", right.alias("reader_correct"))
-    hits = support.context_hits(plan.attach_context(t.questions, t.index, t.chunks))
+    hits = support.context_hits(plan.attach_context(t.questions, t.index, t.chunks_of))
     found = hits.select("qid", F.col("score").cast("int").alias("gold_retrieved"))
     return attribution.failure_table(reader, found).select(
         "reader_correct", "n_missing", "n_found", rounded("pct_missing"), rounded("pct_found")
@@ -218,7 +218,7 @@ def m14(t: Tables):
     ),
 )
 def m15(t: Tables):
-    ranks = support.retrieve_ranks(t.questions, t.index, t.chunks, 100).where("hit_rank > 0")
+    ranks = support.retrieve_ranks(t.questions, t.index, t.chunks_of, 100).where("hit_rank > 0")
     oracle = arm(t, "r1").join(ranks.select("qid"), "qid", "left_semi")
     report = attribution.oracle_gap(arm(t, "r0"), oracle)
     return report.select("n_rows", "n_oracle", *[rounded(c) for c in ("oracle_mean", "actual_mean", "gap", "gap_mixed")])
@@ -400,7 +400,7 @@ def e10(t: Tables):
 )
 def w8(t: Tables):
     queries = support.question_queries(t.questions, pooled_query)
-    pool = plan.retrieve(t.questions, t.index, t.chunks, 50)
+    pool = plan.retrieve(t.questions, t.index, t.chunks_of, 50)
     ranked = rerank.rerank_by_phrases(pool, queries, 50)
     return ranked.select("qid", whole("rank"), "chunk_id", whole("phrase_count"))
 
@@ -448,7 +448,7 @@ INFERENCE = {
 )
 def inference_submission(t: Tables):
     """The whole chain: two indexes, fused contexts, reader scores, option order, checked and written submission."""
-    legs = [(build_index(t.half(i)), t.half(i)) for i in (0, 1)]
+    legs = [(build_index(t.half(i)), t.half_of(i)) for i in (0, 1)]
     made = inference.infer(t.questions, legs).select(F.col("qid").alias("id"), "prediction")
     path = scratch_path(t.spark, "inference")
     W.write_submission(materialize(made, "predictions"), t.answers.select(F.col("qid").alias("id")), path)
@@ -469,7 +469,7 @@ SIZES = (1750, 250, 1000, 4000)
 
 
 def swept(t: Tables):
-    return inference.context_sweep(plan.attach_context(t.questions, t.index, t.chunks), SIZES)
+    return inference.context_sweep(plan.attach_context(t.questions, t.index, t.chunks_of), SIZES)
 
 
 @query("sweep_context_scores", sql("SELECT chars, qid, round(score, 9) AS score FROM sweep_scores", "sweep_scores", extra=SWEEP))
@@ -506,5 +506,5 @@ def sweep_report(t: Tables):
     ),
 )
 def sweep_lengths(t: Tables):
-    found = inference.context_lengths(plan.attach_context(t.questions, t.index, t.chunks))
+    found = inference.context_lengths(plan.attach_context(t.questions, t.index, t.chunks_of))
     return found.select(F.col("prob").cast("double").alias("prob"), rounded("quantile"))

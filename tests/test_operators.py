@@ -602,6 +602,27 @@ def test_first_hit_rank_and_oracle_context(spark):
     assert contexts[0] == "about gravity PHOTOSYNTHESIS works photosynthesis"
 
 
+def test_texts_are_cut_for_the_ranked_chunks_only(spark, tmp_path):
+    from gleanspark.catalog.fixtures import Tables
+
+    # Article 7 has 1,002 pieces: its ids run into those of article 8.
+    texts = {i: " ".join(f"w{i}" for _ in range(450)) for i in [-1, *range(12)]} | {7: "x " * (200 * 1001 + 1), 8: "short", 9: ""}
+    rows = [(i, text, "en", "web", len(text)) for i, text in texts.items()] + [(10**13, "far", "en", "web", 3), (None, "none", "en", "web", 4)]
+    rows.append((11, None, "en", "web", 0))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    frame.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    t = Tables(spark, str(tmp_path))
+    ids = [-999, 3001, 3003, 7500, 8000, 8001, 9000, 10**16]
+    ranked = spark.createDataFrame([(0, i + 1, c) for i, c in enumerate(ids)], "qid long, rank int, chunk_id long")
+    assert {r.article_id for r in t.chunks_of(ranked).select("article_id").distinct().collect()} == {-1, 3, 7, 8, 9, 10**13}
+    for parity in (None, 0, 1):
+        whole = t.chunks if parity is None else t.half(parity)
+        part = t.chunks_of if parity is None else t.half_of(parity)
+        want = support.with_texts(ranked, whole, len(ids)).select("rank", "chunk_id", "text").collect()
+        got = support.with_texts(ranked, part, len(ids)).select("rank", "chunk_id", "text").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == {None: 8, 0: 2, 1: 5}[parity]
+
+
 def test_nan_logits_rank_last_and_ties_keep_option_order(spark):
     rows = [(0, i, v) for i, v in enumerate([0.5, float("nan"), 0.9, 0.5, -1.0])]
     frame = spark.createDataFrame(rows, "qid long, option_no int, logit double")
