@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -186,6 +187,39 @@ def test_alike_but_not_close_texts_are_hardly_compared(spark):
     assert marked == {1500 + k for k in range(5)}
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch):
+    """Several blocks of a size, short slices, little room for products; short, odd and long texts among them."""
+    monkeypatch.setattr(neardup, "BLOCK_TEXTS", 8)
+    monkeypatch.setattr(neardup, "CELLS", 5_000)
+    monkeypatch.setattr(neardup, "CHARS", 300)
+    candidates, refs = near_fixture(11)
+    long = random_texts(6, 5, 400, 900)
+    odd = ["a", "ab\0c", "ab", "\U0001f600 \U0001f601 smile smile", "İstanbul ΣΑΣ STRASSE ß"]
+    candidates += [(500 + k, t) for k, t in enumerate(long + odd)]
+    refs += [(900 + k, t) for k, t in enumerate([t[: 9 * len(t) // 10] for t in long[:4]] + [t.upper() for t in odd])]
+    cand = spark.createDataFrame(candidates, "i long, prompt string").repartition(5)
+    found = neardup.mark_near_duplicates(cand, spark.createDataFrame(refs, "i long, prompt string"), threshold=0.6)
+    assert {r.i for r in found.collect() if r.near_duplicate} == brute_near(candidates, refs, 0.6)
+
+
+def folder_bytes(paths):
+    return sum(f.stat().st_size for p in paths for f in Path(p.removeprefix("file:")).rglob("*.parquet"))
+
+
+def test_the_near_duplicate_search_writes_signatures_instead_of_texts(spark):
+    rng = random.Random(2)
+    letters = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n))
+    texts = [(k, letters(rng.randrange(20_000, 25_000))) for k in range(80)]
+    texts += [(80, texts[0][1][:-300])]
+    cand = spark.createDataFrame(texts[40:], "i long, prompt string")
+    refs = spark.createDataFrame(texts[:40], "i long, prompt string")
+    before = len(runtime._made)
+    assert [r.i for r in neardup.drop_near_duplicates(cand, refs).collect()] == list(range(40, 80))
+    assert folder_bytes(runtime._made[before:]) < sum(len(t) for _, t in texts) / 3
+    cand, refs = neardup._folded(cand, "prompt", 5), neardup._folded(refs, "prompt", 5)
+    assert "flat" not in neardup._prefixes(cand, refs, 0.8)[0].columns + cand.columns
+
+
 def test_near_duplicate_flags_do_not_multiply_rows(spark):
     candidates, refs = near_fixture(3)
     cand = spark.createDataFrame(candidates, "i long, prompt string")
