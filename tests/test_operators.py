@@ -333,6 +333,32 @@ def test_saved_index_gives_the_same_and_reads_its_folders_only(spark, bm25_data,
     assert "hashpartitioning(qid" in plan and "WindowGroupLimit" in plan
 
 
+def test_a_saved_index_is_scanned_for_frequent_terms(spark, bm25_data, monkeypatch, tmp_path):
+    """Tokens saved where they lie or by folder, bounds joined from small lists; nothing is written by block and query."""
+    chunks, queries, frame, asked = bm25_data
+    built = build_index(frame.repartition(5))
+    monkeypatch.setattr(bm25, "HELD_BOUNDS", 40)
+    monkeypatch.setattr(bm25, "PART_BLOCKS", 1)
+    monkeypatch.setattr(bm25, "BLOCK_CHUNKS", 3)
+    monkeypatch.setattr(bm25, "BLOCK_MATCHES", 0)
+    for files, name in ((10**6, "a"), (0, "b")):
+        monkeypatch.setattr(bm25, "FILES", files)
+        save_index(built, str(tmp_path / name), 4)
+        index = load_index(spark, str(tmp_path / name))
+        rows = lambda df, *columns: sorted(tuple(r) for r in df.select(*columns).collect())
+        assert rows(index.postings, "chunk_id", "term", "tf", "dl") == rows(built.postings, "chunk_id", "term", "tf", "dl")
+        columns = ["block", "term", "tf", "dl"]
+        want = bm25.block_bounds(built.postings.withColumn("block", bm25.block_of("chunk_id")))
+        assert rows(index.bounds, *columns) == rows(want, *columns)
+        before = len(runtime._made)
+        check_search(search(index, asked, 5), chunks, queries, 5)
+        assert len(runtime._made) == before
+    save_index(merge_indexes(index), str(tmp_path / "again"), 2)
+    check_search(search(load_index(spark, str(tmp_path / "again")), asked, 5), chunks, queries, 5)
+    save_index(build_index(frame.limit(0)), str(tmp_path / "none"), 2)
+    assert search(load_index(spark, str(tmp_path / "none")), asked, 5).count() == 0
+
+
 def test_a_term_in_most_chunks_does_not_shuffle_by_term(spark, bm25_data):
     _, _, frame, asked = bm25_data
     plan = search(build_index(frame), asked, 5)._jdf.queryExecution().executedPlan().toString()
