@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleanspark.functions.questions import LETTERS, letter_of, padded_option
 from gleanspark.operators.joins import without
 from gleanspark.operators.neardup import drop_near_duplicates
-from gleanspark.operators.selection import keep_first, sample_exact, sample_per_group, split_by_draw
+from gleanspark.operators.selection import keep_first, sample_first, sample_per_group, split_by_draw
 from gleanspark.runtime import materialize
 from gleanspark.schemas import OPTION_COLUMNS
 
@@ -97,9 +97,9 @@ def widen_options(rows: DataFrame, options: str = "options") -> DataFrame:
 
 def build_t1(pool: DataFrame, gold: DataFrame, order: str, n: int = 1500, seed: int = 42) -> DataFrame:
     """Exactly n pool rows, no two with one prompt, none close to a gold prompt."""
-    # Written, since the sample orders the prompts in several passes, and its rows are counted.
-    clean = materialize(keep_first(drop_near_duplicates(pool, gold, "prompt"), ["prompt"], [order]), "clean-pool")
-    sampled = materialize(tag(sample_exact(clean, "prompt", n, seed), "T1"), "tier")
+    clean = drop_near_duplicates(pool, gold, "prompt")
+    # Written, since its rows are counted.
+    sampled = materialize(tag(sample_first(clean, "prompt", order, n, seed), "T1"), "tier")
     found = sampled.count()
     if found < n:
         raise ValueError(f"only {found} clean pool rows available, need {n}")

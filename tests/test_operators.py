@@ -735,6 +735,22 @@ def test_build_t1_gives_rows_that_are_written(spark):
     assert tier.count() == 2 and "Exchange" not in tier._jdf.queryExecution().executedPlan().toString()
 
 
+def test_build_t1_draws_prompts_without_writing_the_pool(spark):
+    """Long, repeated and null prompts: the draw of the first rows that have them, as on rows written first."""
+    rng = random.Random(6)
+    prompts = [" ".join(f"{rng.randrange(10**9)}" for _ in range(rng.choice([2, 400]))) for _ in range(40)] + [None]
+    rows = [(i, rng.choice(prompts)) for i in range(150)]
+    pool = spark.createDataFrame(rows, "i long, prompt string").repartition(3)
+    gold = spark.createDataFrame([(prompts[0],), (prompts[1],)], "prompt string")
+    clean = selection.keep_first(neardup.drop_near_duplicates(pool, gold), ["prompt"], ["i"])
+    want = {r.i for r in selection.sample_exact(clean, "prompt", 12).collect()}
+    before = len(runtime._made)
+    tier = tiers.build_t1(pool, gold, "i", 12)
+    assert {r.i for r in tier.collect()} == want and len(want) == 12
+    names = [re.search("gleanspark-(.*)-", path)[1] for path in runtime._made[before:]]
+    assert "clean-pool" not in names and "tier" in names
+
+
 def test_null_policy_and_split_checks(spark):
     rows = spark.createDataFrame([("p", None, "b"), ("r", "a", "b")], "prompt string, A string, B string")
     assert tiers.apply_null_policy(rows, "drop", ["A", "B"]).count() == 1
