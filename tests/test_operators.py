@@ -751,6 +751,16 @@ def test_build_t1_draws_prompts_without_writing_the_pool(spark):
     assert "clean-pool" not in names and "tier" in names
 
 
+def test_long_keys_leave_as_digests(spark):
+    long = ["x" * 500 + str(k) for k in range(4)]
+    rows = spark.createDataFrame([(0, long[0], 1), (1, long[1], 1), (2, long[0], 2), (3, None, 1), (4, "y", None)], "i long, k string, m int")
+    others = spark.createDataFrame([(long[0], 1), (long[0], 1), (None, 1), (long[2], 1)], "k string, m int")
+    left = joins.without(rows, others, ["k", "m"])
+    assert sorted(r.i for r in left.collect()) == [1, 2, 4] and left.columns == rows.columns
+    assert folder_bytes([runtime._made[-1]]) < 4000 and "SortMergeJoin" not in left._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.i for r in joins.without(rows, rows.where("i = 2"), ["k"]).collect()) == [1, 3, 4]
+
+
 def test_null_policy_and_split_checks(spark):
     rows = spark.createDataFrame([("p", None, "b"), ("r", "a", "b")], "prompt string, A string, B string")
     assert tiers.apply_null_policy(rows, "drop", ["A", "B"]).count() == 1
